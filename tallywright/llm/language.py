@@ -133,7 +133,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", id_co
     the text is looked at. Rows that repeat get the same answer each."""
 
     def run(series: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"lang_pred": ["und"] * len(series), "score": 0.0, "ambiguous": False})
+        out = pd.DataFrame({"lang_pred": pd.Series(["und"] * len(series), dtype=object), "score": 0.0, "ambiguous": False})
         ok = [i for i, t in enumerate(series) if t is not None and any(map(str.isalpha, t))] if model is not None else []
         for at in range(0, len(ok), 500):
             rows = ok[at : at + 500]

@@ -76,7 +76,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], default: str = "allow
 
     def known(batches):
         for pdf in batches:
-            yield pd.DataFrame({"token": [t for ts in pdf.ts for t in ts if t in sent.value]})
+            yield pd.DataFrame({"token": pd.Series([t for ts in pdf.ts for t in ts if t in sent.value], dtype=object)})
 
     counts = base.select(tokens.alias("ts")).mapInPandas(known, "token string").groupBy("token").count()
     seen = {r["token"]: r["count"] for r in counts.collect()} if wanted else {}  # as many rows as the rules have tokens

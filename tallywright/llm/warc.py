@@ -47,7 +47,7 @@ def write_warc(captures: DataFrame, path: str) -> None:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record) of all files. Spark cuts the files where a record ends and the next one starts."""
     raw = spark.read.option("lineSep", _CUT).text(path)
-    return raw.select(F.regexp_replace(F.when(F.col("value").startswith("WARC/1.1\r\n"), F.col("value")).otherwise(F.concat(F.lit("WARC/1.1\r\n"), F.col("value"))), "\r\n\r\n\\z", "").alias("record"))
+    return raw.select(F.when(F.col("value").startswith("WARC/1.1\r\n"), F.col("value")).otherwise(F.concat(F.lit("WARC/1.1\r\n"), F.col("value"))).alias("record"))
 
 
 def header(block: str, name: str) -> F.Column:
@@ -59,7 +59,10 @@ def parse_records(records: DataFrame) -> DataFrame:
     """(record_id, url, kind, at, status, http, payload, intact) of WARC records. intact: the block is as long as its
     Content-Length says (a payload that holds the end-of-record mark itself is cut there, and found by this)."""
     cut = F.instr("record", "\r\n\r\n")
-    r = records.select(F.substring(F.col("record"), F.lit(1), cut - 1).alias("w"), F.substr("record", cut + 4).alias("block"))
+    r = records.select(F.substring(F.col("record"), F.lit(1), cut - 1).alias("w"), F.substr("record", cut + 4).cast("binary").alias("bytes"))
+    size = F.coalesce(header("w", "Content-Length").try_cast("int"), F.lit(-1))
+    whole = (F.octet_length("bytes") == size) | (F.octet_length("bytes") == size + 4)  # the last record of a file still has its end mark
+    r = r.select("w", whole.alias("intact"), F.when(whole, F.substring(F.col("bytes"), F.lit(1), size)).otherwise(F.col("bytes")).cast("string").alias("block"))
     split = F.instr("block", "\r\n\r\n")
     return r.select(
         F.regexp_extract(header("w", "WARC-Record-ID"), "<urn:record:(.*)>", 1).try_cast("long").alias("record_id"),
@@ -69,7 +72,7 @@ def parse_records(records: DataFrame) -> DataFrame:
         F.regexp_extract("block", r"^HTTP/[0-9.]+ ([0-9]+)", 1).try_cast("int").alias("status"),
         F.regexp_replace(F.substring(F.col("block"), F.lit(1), split + 1), r"^HTTP/[^\r]*\r\n", "").alias("http"),
         F.substr("block", split + 4).alias("payload"),
-        (F.octet_length("block") == header("w", "Content-Length").try_cast("int")).alias("intact"),
+        "intact",
     )
 
 

@@ -3,7 +3,7 @@
 Positions that lie in a difference cover D modulo v are sampled: for any two positions i and j there is a shift k < v
 with both i + k and j + k in the cover. Two equal windows of `window` words therefore share an anchor of
 window - v + 1 words at an aligned cover position. Only anchors are compared first; the windows around anchors that
-repeat are then extended to the full length and compared by 128 bits.
+repeat are then extended to the full length and compared by 96 bits.
 
 Hashes travel in blobs, one for each bin and flush of a task. A task sends each hash once and settles its own repeats
 itself, so a passage that a third of all documents hold costs a bin one entry for each flush, not one for each copy.
@@ -37,6 +37,16 @@ def cover_for(window: int) -> tuple[int, np.ndarray]:
     return v, member
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The array's bytes, all lowest ones first: the high bytes of small numbers then compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unplanes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+
+
 class _Flush:
     """Entries (document, position, hash) gathered by a task."""
 
@@ -49,6 +59,10 @@ class _Flush:
             self.docs.append(key)
             self.n += len(pos)
 
+    def _bin(self, h: np.ndarray) -> np.ndarray:
+        """Bins are ranges of hashes, so that the sorted hashes of a bin lie close together."""
+        return (((h >> np.uint64(32)) * np.uint64(self.bins)) >> np.uint64(32)).astype(np.int64)
+
     def blobs(self) -> Iterator[pd.DataFrame]:
         if not self.n:
             return
@@ -61,25 +75,22 @@ class _Flush:
         first = np.r_[True, ~same]
         alone = first & np.r_[~same, True]
         rows = []
-        # one probe for each hash: without a reference where this task has the hash twice, as those are settled
-        ph1, ph2, pdoc, ppos = h1[first], h2[first], doc[first], pos[first]
-        pdoc = np.where(alone[first], pdoc, np.uint32(0xFFFFFFFF))
-        b = (mixed(ph1) % np.uint64(self.bins)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        cuts = np.flatnonzero(np.diff(b[order])) + 1
-        for at in np.split(order, cuts):
-            used, local = np.unique(pdoc[at], return_inverse=True)
-            table = np.where(used == 0xFFFFFFFF, 0, keys[np.minimum(used, len(keys) - 1)])
-            local = np.where(pdoc[at] == 0xFFFFFFFF, 0xFFFFFFFF, local).astype(np.uint32)
-            rows.append((int(b[at[0]]), table.tobytes(), local.tobytes(), ppos[at].tobytes(), ph1[at].tobytes(), ph2[at].tobytes(), False))
+        # one probe for each hash: reference 0 where this task has the hash twice, as those are settled, else 1 + its document
+        ph1, ph2, ppos = h1[first], h2[first], np.where(alone[first], pos[first], 0).astype(np.uint32)
+        pdoc = np.where(alone[first], doc[first] + np.uint32(1), np.uint32(0))
+        b = self._bin(ph1)
+        for at in np.split(np.arange(len(b)), np.flatnonzero(np.diff(b)) + 1):
+            used, local = np.unique(np.r_[np.uint32(0), pdoc[at]], return_inverse=True)
+            table = keys[used[1:].astype(np.int64) - 1]
+            rows.append((int(b[at[0]]), table.tobytes(), _planes(local[1:].astype(np.uint32)), _planes(ppos[at]), _planes(np.diff(ph1[at], prepend=np.uint64(0))), _planes(ph2[at]), False))
         held = ~alone
         if held.any():
             d, p = doc[held], pos[held]
             order = np.lexsort((p, d))
             d, p = d[order], p[order]
+            bins = self._bin(keys.view(np.uint64))
             for at in np.split(np.arange(len(d)), np.flatnonzero(np.diff(d)) + 1):
-                key = keys[d[at[0]]]
-                rows.append((int(np.uint64(key) % np.uint64(self.bins)), key.tobytes(), b"", p[at].tobytes(), b"", b"", True))
+                rows.append((int(bins[d[at[0]]]), keys[d[at[0]]].tobytes(), b"", p[at].tobytes(), b"", b"", True))
         yield pd.DataFrame(rows, columns=["bin", "docs", "doc", "pos", "h1", "h2", "settled"])
 
 
@@ -91,12 +102,13 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
         out_pos.append(pos)
     own = pdf[~pdf.settled]
     if len(own):
-        h1, h2 = (np.frombuffer(b"".join(own[c]), np.uint64) for c in ("h1", "h2"))
-        pos = np.frombuffer(b"".join(own.pos), np.uint32)
+        h1 = np.concatenate([np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in own.h1])
+        h2 = np.concatenate([_unplanes(x, np.uint32) for x in own.h2])
+        pos = np.concatenate([_unplanes(x, np.uint32) for x in own.pos])
         keys, base, doc = [], 0, []
         for d, t in zip(own.doc, own.docs, strict=True):
-            d, t = np.frombuffer(d, np.uint32).astype(np.int64), np.frombuffer(t, np.int64)
-            doc.append(np.where(d == 0xFFFFFFFF, -1, d + base))
+            d, t = _unplanes(d, np.uint32).astype(np.int64), np.frombuffer(t, np.int64)
+            doc.append(np.where(d == 0, -1, d - 1 + base))
             keys.append(t)
             base += len(t)
         doc, keys = np.concatenate(doc), np.concatenate(keys)
@@ -151,7 +163,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, texts: bool = True, text
                     continue
                 h = rolling(ids, anchor)
                 at = np.flatnonzero(member[np.arange(len(h)) % v])
-                flush.add(k, at, h[at], np.zeros(len(at), np.uint64))
+                flush.add(k, at, h[at], np.zeros(len(at), np.uint32))
                 if flush.n >= FLUSH:
                     yield from flush.blobs()
         yield from flush.blobs()
@@ -170,7 +182,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, texts: bool = True, text
                     np.add.at(edge, np.maximum(a - v + 1, 0), 1)
                     np.add.at(edge, a + 1, -1)
                     at = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-                    flush.add(k, at, rolling(ids, window)[at], rolling(mixed(ids + MIX), window, 0xD6E8FEB86659FD93)[at])
+                    flush.add(k, at, rolling(ids, window)[at], rolling(mixed(ids + MIX), window, 0xD6E8FEB86659FD93)[at].astype(np.uint32))
                     if flush.n >= FLUSH:
                         yield from flush.blobs()
             yield from flush.blobs()
@@ -191,7 +203,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, texts: bool = True, text
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
 
     first = _repeats(base.select("k", "t").mapInPandas(anchors, _BLOB))
-    near = by_key.join(first, "k").select("k", "t", "pos")
+    near = by_key.join(first, "k").select("k", "t", F.col("doc_id").cast("string"), "pos")  # with doc_id, so that both joins read one shuffle of the texts
     second = _repeats(near.mapInPandas(windows, _BLOB))
     kind = base.schema["doc_id"].dataType.simpleString()
     done = by_key.join(second, "k", "left").select(F.col("doc_id").cast("string"), "t", "pos")  # as text: pandas would turn ids into floats where one is null

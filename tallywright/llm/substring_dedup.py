@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,24 +54,25 @@ class _Flush:
     def __init__(self, bins: int):
         self.bins, self.n, self.docs, self.parts = bins, 0, [], []
 
-    def add(self, key: int, pos: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
+    def add(self, key: int, pos: np.ndarray, h1: np.ndarray, h2: np.ndarray, by: np.ndarray | None = None) -> None:
+        """by: what the bin is chosen by, the same for equal hashes; the hash itself, if None."""
         if len(pos):
-            self.parts.append((np.full(len(pos), len(self.docs), np.uint32), pos.astype(np.uint32), h1, h2))
+            self.parts.append((np.full(len(pos), len(self.docs), np.uint32), pos.astype(np.uint32), h1, h2, self._bin(h1 if by is None else by)))
             self.docs.append(key)
             self.n += len(pos)
 
     def _bin(self, h: np.ndarray) -> np.ndarray:
-        """Bins are ranges of hashes, so that the sorted hashes of a bin lie close together."""
+        """Bins are ranges of hashes."""
         return (((h >> np.uint64(32)) * np.uint64(self.bins)) >> np.uint64(32)).astype(np.int64)
 
     def blobs(self) -> Iterator[pd.DataFrame]:
         if not self.n:
             return
-        doc, pos, h1, h2 = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        doc, pos, h1, h2, b = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         keys = np.array(self.docs, np.int64)
         self.n, self.docs, self.parts = 0, [], []
-        order = np.lexsort((h2, h1))
-        doc, pos, h1, h2 = doc[order], pos[order], h1[order], h2[order]
+        order = np.lexsort((h2, h1, b))
+        doc, pos, h1, h2, b = doc[order], pos[order], h1[order], h2[order], b[order]
         same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
         first = np.r_[True, ~same]
         alone = first & np.r_[~same, True]
@@ -78,7 +80,7 @@ class _Flush:
         # one probe for each hash: reference 0 where this task has the hash twice, as those are settled, else 1 + its document
         ph1, ph2, ppos = h1[first], h2[first], np.where(alone[first], pos[first], 0).astype(np.uint32)
         pdoc = np.where(alone[first], doc[first] + np.uint32(1), np.uint32(0))
-        b = self._bin(ph1)
+        b = b[first]
         for at in np.split(np.arange(len(b)), np.flatnonzero(np.diff(b)) + 1):
             used, local = np.unique(np.r_[np.uint32(0), pdoc[at]], return_inverse=True)
             table = keys[used[1:].astype(np.int64) - 1]
@@ -148,6 +150,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, texts: bool = True, text
     """
     spark = docs.sparkSession
     v, member = cover_for(window)
+    short = min(8, window)
     anchor = window - v + 1
     base = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t")).withColumn("k", row_key("doc_id", "t"))
     size = base.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -182,7 +185,9 @@ def dedup_substrings(docs: DataFrame, window: int = 35, texts: bool = True, text
                     np.add.at(edge, np.maximum(a - v + 1, 0), 1)
                     np.add.at(edge, a + 1, -1)
                     at = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-                    flush.add(k, at, rolling(ids, window)[at], rolling(mixed(ids + MIX), window, 0xD6E8FEB86659FD93)[at].astype(np.uint32))
+                    # windows that follow each other mostly share the least hash of a short run of words, so they meet in few bins
+                    least = sliding_window_view(rolling(ids, short), window - short + 1)[at].min(1)
+                    flush.add(k, at, rolling(ids, window)[at], rolling(mixed(ids + MIX), window, 0xD6E8FEB86659FD93)[at].astype(np.uint32), mixed(least))
                     if flush.n >= FLUSH:
                         yield from flush.blobs()
             yield from flush.blobs()

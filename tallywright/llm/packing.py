@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_width, text_bytes, written
-from .tokens import WordMemo, crc
+from .tokens import crc, word_memo
 
 #: Partitions whose open windows are merged together: a merge has at most OPEN * FAN windows.
 OPEN, FAN = 64, 256
@@ -59,7 +59,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: in
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "offset", "leftover", *(["ids"] if with_ids else [])]
 
     def run(batches) -> Iterator[pd.DataFrame]:
-        memo, fit = WordMemo(tokenizer), BestFit(size, open_windows)
+        memo, fit = word_memo(tokenizer), BestFit(size, open_windows)
         base = TaskContext.get().partitionId() << 32
         held: dict[int, list[tuple]] = {}
         out: list[tuple] = []

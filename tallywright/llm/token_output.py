@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import shared_dir, text_bytes, written
-from .tokens import WordMemo, crc
+from .tokens import crc, word_memo
 
 #: Ids of a block, about.
 BLOCK = 500_000
@@ -65,7 +65,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, te
     ordered = ordered.select(F.spark_partition_id().alias("shard"), F.col("doc_id").cast("string").alias("doc_id"), "t")
 
     def ids(batches):
-        memo, block = WordMemo(tokenizer), 0
+        memo, block = word_memo(tokenizer), 0
         rows, n = [], 0
         for pdf in batches:
             for shard, d, t in zip(pdf.shard, pdf.doc_id, pdf.t, strict=True):

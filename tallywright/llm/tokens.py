@@ -5,18 +5,36 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 
 from .common import ragged
 
-#: Words and word pieces that a task remembers before it starts anew.
-MEMO = 400_000
+#: Words that a Python worker remembers before it starts anew, some 200 MB.
+MEMO = 1_200_000
 _PIECE = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _PLAIN = re.compile(r"[\x21-\x7e]+\Z")
 _TAIL = re.compile(r"(.*?)([!-/:-@\[-`{-~]+)\Z", re.DOTALL)
 
 
+class _Places(dict):
+    """Places of known words; a word that is missing is learnt."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> int:
+        return self.learn(word)
+
+
+@lru_cache(1)
+def word_memo(path: str) -> WordMemo:
+    """The memo of this Python worker: Spark hands several tasks to a worker, and they share it."""
+    return WordMemo(path)
+
+
 class WordMemo:
     """Encodes texts with a tokenizer whose tokens never span white space, which lower-cases and composes (NFC) its
     input and cuts it into runs of letters, single digits, runs of other characters and English contractions.
@@ -33,7 +51,7 @@ class WordMemo:
         self._reset()
 
     def _reset(self) -> None:
-        self.words: dict[bytes, int] = {}
+        self.words = _Places(self._learn)
         self.pieces: dict[str, list[int]] = {}
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
@@ -58,32 +76,25 @@ class WordMemo:
             return [*self._piece(m[1], False), *self._piece(m[2], True)]
         return self._whole(word)
 
-    def _learn(self, new: set[bytes]) -> None:
-        found = [self._word(w) for w in new]
-        first, lengths = len(self.words), np.fromiter(map(len, found), np.int64, len(found))
-        self.words.update(zip(new, range(first, first + len(found)), strict=True))
-        while len(self.start) < len(self.words):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while len(self.flat) < self.used + int(lengths.sum()):
+    def _learn(self, word: bytes) -> int:
+        ids, place = self._word(word), len(self.words)
+        if place == len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * place), np.resize(self.length, 2 * place)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.start[first : first + len(found)] = self.used + np.cumsum(lengths) - lengths
-        self.length[first : first + len(found)] = lengths
-        flat = [i for ids in found for i in ids]
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
+        self.start[place], self.length[place] = self.used, len(ids)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.words[word] = place
+        return place
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids as int64."""
         if b"<|" in text:
             return np.array(self._whole(text.decode()), np.int64)
+        if len(self.words) > MEMO:
+            self._reset()
         words = text.split()
-        if not words:
-            return np.empty(0, np.int64)
-        if new := set(words).difference(self.words):
-            if len(self.words) + len(new) > MEMO and len(self.words):
-                self._reset()
-                new = set(words)
-            self._learn(new)
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         return self.flat[ragged(self.start[at], self.length[at])].astype(np.int64)
 

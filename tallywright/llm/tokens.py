@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,7 @@ from .common import ragged
 MEMO = 1_200_000
 _PIECE = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _PLAIN = re.compile(r"[\x21-\x7e]+\Z")
+_MARKS = frozenset(bytes([c]) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 _TAIL = re.compile(r"(.*?)([!-/:-@\[-`{-~]+)\Z", re.DOTALL)
 
 
@@ -53,8 +55,7 @@ class WordMemo:
     def _reset(self) -> None:
         self.words = _Places(self._learn)
         self.pieces: dict[str, list[int]] = {}
-        self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.flat, self.start, self.length = array("i"), array("q"), array("q")
 
     def _whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -66,25 +67,25 @@ class WordMemo:
         return ids
 
     def _word(self, raw: bytes) -> list[int]:
+        if raw.isalpha():  # ASCII letters only
+            return self._piece(raw.lower().decode(), True)
+        if raw[:-1].isalpha() and raw[-1:] in _MARKS:
+            return self._piece(raw[:-1].lower().decode(), True) + self._piece(raw[-1:].decode(), True)
         word = raw.decode()
         if "'" in word:
             return self._whole(word)
-        low = word.lower() if word.isascii() else word
-        if _PLAIN.match(low):
-            return [i for p in _PIECE.findall(low) for i in self._piece(p, True)]
+        if raw.isascii():
+            low = word.lower()
+            return [i for p in _PIECE.findall(low) for i in self._piece(p, True)] if _PLAIN.match(low) else self._whole(word)
         if (m := _TAIL.match(word)) and m[1] and m[1][-1].isalpha() and unicodedata.is_normalized("NFC", m[1]):
-            return [*self._piece(m[1], False), *self._piece(m[2], True)]
-        return self._whole(word)
+            return self._piece(m[1], False) + self._piece(m[2], True)
+        return self._piece(word, False)
 
     def _learn(self, word: bytes) -> int:
-        ids, place = self._word(word), len(self.words)
-        if place == len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * place), np.resize(self.length, 2 * place)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.start[place], self.length[place] = self.used, len(ids)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        ids, place = self._word(word), len(self.start)
+        self.start.append(len(self.flat))
+        self.length.append(len(ids))
+        self.flat.extend(ids)
         self.words[word] = place
         return place
 
@@ -95,8 +96,11 @@ class WordMemo:
         if len(self.words) > MEMO:
             self._reset()
         words = text.split()
+        if not words:
+            return np.empty(0, np.int64)
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        return self.flat[ragged(self.start[at], self.length[at])].astype(np.int64)
+        start, length, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.length, np.int64), np.frombuffer(self.flat, np.int32)
+        return flat[ragged(start[at], length[at])].astype(np.int64)
 
 
 def crc(ids: np.ndarray) -> int:

@@ -32,9 +32,16 @@ RADIUS, BLOCKS = 19, 4
 _WORD = re.compile(r"[^\W_]+")
 
 
+_SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
 def words_of(text: str) -> np.ndarray:
     """Hashes of the words: runs of letters and digits of the lower-cased text."""
-    w = _WORD.findall(text.lower())
+    low = text.lower()
+    if low.isascii() or all(c.isalnum() for c in set(low) if c > "\x7f"):  # then only ASCII characters cut words
+        w = low.encode("utf-8", "surrogatepass").translate(_SPACED).split()
+    else:
+        w = [x.encode("utf-8", "surrogatepass") for x in _WORD.findall(low)]
     return np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
 
 

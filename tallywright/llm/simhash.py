@@ -4,8 +4,8 @@ Fingerprints are dealt into tiles in the order of their population counts. Two f
 population counts that differ by r at most, so a pair of tiles whose counts lie further apart is never looked at. Each
 remaining pair of tiles is one unit of work: numpy compares blocks by exclusive-or and bit counts, and again skips
 blocks by the counts of both halves. A unit keeps a spanning forest of the links that it finds, not all of them, so a
-group of near copies costs one row for each member. The number of tiles has an upper bound, so that what is sent
-between executors grows with the number of fingerprints; the comparisons themselves grow with its square, as exact
+group of near copies costs one row for each member. The number of tiles is fixed (up to very large tables), so that what is
+sent between executors grows with the number of fingerprints; the comparisons themselves grow with its square, as exact
 comparison does.
 """
 
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import MIX, components, mixed, shuffle_width, text_bytes, written
 
-#: Fingerprints of a tile, and the most tiles there are.
-TILE, TILES = 16_384, 96
+#: Tiles there are, whatever the number of fingerprints, so that each fingerprint is sent equally often at every size;
+#: and the most fingerprints of a tile, beyond which there are more tiles.
+TILES, TILE = 32, 2_000_000
 _SPREAD = np.frombuffer(((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8).tobytes(), np.uint64)  # each bit of a byte in a byte of its own
 
 
@@ -135,7 +136,7 @@ def links(prints: DataFrame, radius: int, screen: int | None = None) -> DataFram
     ones = F.bit_count("f0")
     level = {r["p"]: r["n"] for r in prints.groupBy(ones.alias("p")).count().withColumnRenamed("count", "n").collect()}  # 65 rows at most
     total = sum(level.values())
-    tiles = max(1, min(TILES, math.ceil(total / TILE)))
+    tiles = max(1, min(total, max(TILES, math.ceil(total / TILE))))
     # a fingerprint's tile: its rank by population count, drawn at random within its level
     before, spans, seen = {}, {}, 0
     for p in sorted(level):

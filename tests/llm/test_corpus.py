@@ -81,9 +81,9 @@ def brute_print(text, n=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("tile", [16384, 40])
+@pytest.mark.parametrize("tile", [1, 7, 32])
 def test_simhash(spark, tile, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "TILES", tile)
     rows = [(r["doc_id"], r["text"]) for r in docs(spark).collect()] + [(1000 + d if d else None, t) for d, t, _ in ODD if d != 11]
     prints = [brute_print(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -238,6 +238,11 @@ def test_codewords():
         assert len({tuple(r) for r in c}) == k
 
 
+def test_words_of():
+    for t in ["Ab_c 12d,é-É", "x\u00a0y “z” …", "e\u0301a İ", "", "a\x1cb\x00c"]:
+        assert decontaminate.words_of(t).tolist() == [xxhash.xxh64_intdigest(w.encode()) for w in re.findall(r"[^\W_]+", t.lower())]
+
+
 def brute_matches(rows, bench, least=0.8):
     norm = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(max(0, len(w) - n + 1)))

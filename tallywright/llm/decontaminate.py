@@ -3,7 +3,7 @@
 A window has as many words as the benchmark item it is compared with (or is the whole document, if that is shorter).
 Windows and items have 64-bit SimHash fingerprints of their weighted shingles. A multi-index over blocks of the
 fingerprint finds all items within the radius: with m blocks, two fingerprints within radius r differ in at most
-r // m bits of some block, and the table of each block lists the items within that distance of every block value.
+r // m bits of some block, so only items with a block within that distance are looked at further.
 Candidates are then verified by the exact weighted Jaccard similarity of the shingles. Windows that hold no shingle of
 any item have similarity zero, so only the neighbourhood of shared shingles is fingerprinted.
 
@@ -12,7 +12,6 @@ The benchmark goes through the job in parts of a bounded size; the documents are
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import Counter, defaultdict
 
@@ -81,27 +80,22 @@ class Index:
         self.known = np.unique(np.concatenate(self.known)) if self.known else np.empty(0, np.uint64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        self.short = sorted({n for n in self.by_size if n < ngram})
-        reach = radius // blocks
-        self.masks = np.array([sum(1 << i for i in c) for r in range(reach + 1) for c in itertools.combinations(range(self.width), r)], np.uint64)
+        # for each number of words: the items, and the values of each block of their fingerprints
         self.tables = {}
         for size, which in self.by_size.items():
-            for b in range(blocks):
-                table = defaultdict(list)
-                for i in which:
-                    table[int(self.prints[i] >> np.uint64(b * self.width)) & (1 << self.width) - 1].append(i)
-                self.tables[size, b] = (np.array(list(table), np.uint64), list(table.values()))
+            own = self.prints[which]
+            self.tables[size] = (np.array(which), [(own >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1) for b in range(blocks)])
 
     def near(self, size: int, f: np.ndarray) -> list[tuple[int, int]]:
         """(row of f, item) for all items of this number of words within the radius."""
+        which, values = self.tables[size]
         found = set()
         for b in range(self.blocks):
-            values, lists = self.tables[size, b]
             part = (f >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)
-            close = np.bitwise_count(part[:, None] ^ values[None]) <= self.radius // self.blocks
-            for r, v in zip(*np.nonzero(close), strict=True):
-                found.update((int(r), i) for i in lists[v])
-        return [(r, i) for r, i in found if int(f[r] ^ self.prints[i]).bit_count() <= self.radius]
+            r, c = np.nonzero(np.bitwise_count(part[:, None] ^ values[b][None]) <= self.radius // self.blocks)
+            ok = np.bitwise_count(f[r] ^ self.prints[which[c]]) <= self.radius
+            found.update(zip(r[ok].tolist(), which[c[ok]].tolist(), strict=True))
+        return sorted(found)
 
     def matches(self, ids: np.ndarray, least: float) -> list[tuple[int, int, int, float, int]]:
         """(item, first word, words, similarity, differing bits) of each item's best window in the document."""
@@ -133,7 +127,10 @@ class Index:
 
     def _hits(self, h: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(self.filter[(h & np.uint64(0xFFFFF)).astype(np.int64)])
-        return at[np.isin(h[at], self.known)] if len(at) else at
+        if not len(at):
+            return at
+        place = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
+        return at[self.known[place] == h[at]]
 
     def _similarity(self, window: np.ndarray, i: int) -> float:
         own, other = Counter(window.tolist()), self.items[i][2]

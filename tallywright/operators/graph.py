@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source_id").alias("id")).union(edges.select("target_id")).distinct()
@@ -106,3 +108,22 @@ def call_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
     hit = keys.join(f, "key").withColumn("rank", F.when(F.col("key") == F.col("full"), 0).otherwise(2) + F.when(F.col("path") == F.col("home"), 0).otherwise(1))
     best = hit.groupBy("path", "caller", "full").agg(F.min("rank").alias("rank"))
     return hit.join(best, ["path", "caller", "full", "rank"]).where("caller <> callee").select("caller", "callee").distinct()
+
+
+def clusters(edges: DataFrame, least: int = 3) -> DataFrame:
+    """(cluster, nodes, internal_edges): groups of at least that many nodes that pairs of edges in both directions connect, named by
+    their smallest node, and the distinct edges inside. Labels spread along edges and jump along labels until none changes."""
+    e = edges.select("source_id", "target_id").where("source_id <> target_id").distinct()
+    both = cut(e.join(e.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")), ["source_id", "target_id"], "left_semi"))
+    labels = cut(both.groupBy(F.col("source_id").alias("id")).agg(F.least(F.col("id"), F.min("target_id")).alias("label")))
+    moved = True
+    while moved:
+        near = both.join(labels, both["target_id"] == labels["id"]).groupBy(F.col("source_id").alias("id")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = step.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        new = cut(step.join(jump, "label").select("id", "old", F.col("far").alias("label")))
+        moved = not new.where("old <> label").isEmpty()
+        labels = new.select("id", "label")
+    a, b = (labels.select(F.col("id").alias(c), F.col("label").alias(n)) for c, n in (("source_id", "cluster"), ("target_id", "other")))
+    inside = e.join(a, "source_id").join(b, "target_id").where("cluster = other").groupBy("cluster").agg(F.count("*").alias("internal_edges"))
+    return labels.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("nodes")).where(F.col("nodes") >= least).join(inside, "cluster")

@@ -1,7 +1,8 @@
 """Structural metrics of Python code: one job extracts facts, all else is relational.
 
-A fact is a row for a syntax node: node_id and parent_id (numbers within the file), funcs (enclosing functions, outermost first),
-class_id (nearest class), kind, name, line, end_line, n (parameters, bases, or values of a condition), flag (has a docstring, or a timeout).
+A fact is a row for a syntax node: node_id and parent_id (numbers within the file), funcs, classes, loops (enclosing ones, outermost
+first), class_id (nearest class), kind, name, line, end_line, n (parameters, bases, or values of a condition), flag (has a docstring,
+a timeout, or a value that is returned), doc (docstring).
 """
 
 from __future__ import annotations
@@ -13,9 +14,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FACT = "repo_id long, path string, node_id int, parent_id int, funcs array<int>, class_id int, kind string, name string, line int, end_line int, n int, flag boolean"
+FACT = "repo_id long, path string, node_id int, parent_id int, funcs array<int>, classes array<int>, loops array<int>, class_id int, kind string, name string, line int, end_line int, n int, flag boolean, doc string"
 KEY = ("repo_id", "path")
+#: Names of calls that are taken for queries. Fixed values.
+QUERY_CALLS = ("get", "filter", "all", "select", "query", "fetch")
+#: Headings of docstring sections. Fixed values.
+PARAMETER_HEADS = ("Args:", "Arguments:", "Parameters:", "Params:")
+RETURN_HEADS = ("Returns:", "Return:", "Yields:", "Yield:")
+RAISE_HEADS = ("Raises:", "Raise:", "Throws:", "Throw:")
 _FUNCTION, _LOOP = (ast.FunctionDef, ast.AsyncFunctionDef), (ast.For, ast.While, ast.AsyncFor)
+_KEPT = (
+    *_FUNCTION, *_LOOP, ast.ClassDef, ast.Module, ast.Call, ast.Attribute, ast.Name, ast.BoolOp, ast.If, ast.ExceptHandler, ast.Assert, ast.ListComp,
+    ast.AugAssign, ast.Import, ast.ImportFrom, ast.Return, ast.Raise,
+)
 
 
 def _name(node: ast.AST) -> str:
@@ -26,43 +37,58 @@ def _name(node: ast.AST) -> str:
 
 def _facts_of(content: str) -> Iterator[tuple]:
     try:
-        todo = [(ast.parse(content), None, [], None)]
+        todo = [(ast.parse(content), None, [], [], [])]
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
     number = 0
     while todo:
-        node, parent, funcs, owner = todo.pop()
+        node, parent, funcs, classes, loops = todo.pop()
         me, number = number, number + 1
-        name, n, flag = getattr(node, "name", None), 0, False
+        name, n, flag, doc = getattr(node, "name", None), 0, False, None
         if isinstance(node, (*_FUNCTION, ast.ClassDef, ast.Module)):
-            flag = ast.get_docstring(node) is not None
-            n = len(node.args.args) if isinstance(node, _FUNCTION) else len(node.bases) if isinstance(node, ast.ClassDef) else 0
-            if isinstance(node, ast.ClassDef):
-                for base in node.bases:
-                    yield number, me, funcs, me, "Base", _name(base), node.lineno, node.lineno, 0, False
-                    number += 1
+            doc = ast.get_docstring(node)
+            flag = doc is not None
+            parts = [("Param", a.arg) for a in node.args.args] if isinstance(node, _FUNCTION) else [("Base", _name(b)) for b in node.bases] if isinstance(node, ast.ClassDef) else []
+            n, own = len(parts), me if isinstance(node, ast.ClassDef) else classes[-1] if classes else None
+            for kind, part in parts:
+                yield number, me, funcs, classes, loops, own, kind, part, node.lineno, node.lineno, 0, False, None
+                number += 1
         elif isinstance(node, ast.Call):
             name, flag = _name(node.func), any(k.arg == "timeout" for k in node.keywords)
-        elif isinstance(node, ast.Attribute):
+        elif isinstance(node, (ast.Attribute, ast.Name)):
             name = _name(node)
+        elif isinstance(node, ast.ImportFrom):
+            name = node.module
+        elif isinstance(node, ast.AugAssign):
+            name = type(node.op).__name__
+        elif isinstance(node, ast.Return):
+            flag = node.value is not None
         elif isinstance(node, ast.BoolOp):
             n = len(node.values)
-        if isinstance(node, (*_FUNCTION, *_LOOP, ast.ClassDef, ast.Module, ast.Call, ast.Attribute, ast.BoolOp, ast.If, ast.ExceptHandler, ast.Assert, ast.ListComp, ast.AugAssign, ast.Import, ast.ImportFrom)):
+        if isinstance(node, _KEPT):
             kind = "FunctionDef" if isinstance(node, _FUNCTION) else type(node).__name__
-            yield me, parent, funcs, owner, kind, name, getattr(node, "lineno", 1), getattr(node, "end_lineno", 1), n, flag
-        inner, own = (funcs + [me] if isinstance(node, _FUNCTION) else funcs), (me if isinstance(node, ast.ClassDef) else owner)
-        todo += [(c, me, inner, own) for c in reversed(list(ast.iter_child_nodes(node)))]
+            yield me, parent, funcs, classes, loops, classes[-1] if classes else None, kind, name, getattr(node, "lineno", 1), getattr(node, "end_lineno", 1), n, flag, doc
+        inside = [around + [me] if isinstance(node, kinds) else around for around, kinds in ((funcs, _FUNCTION), (classes, ast.ClassDef), (loops, _LOOP))]
+        todo += [(c, me, *inside) for c in reversed(list(ast.iter_child_nodes(node)))]
 
 
 def facts(files: DataFrame) -> DataFrame:
     """Facts of files (repo_id, path, content), file by file; those that do not parse, null or empty ones give at most their module's."""
 
+    names = [c.split()[0] for c in FACT.split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"parent_id": "Int32", "class_id": "Int32"})
+
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FACT.split(", ")]
         for batch in batches:
+            rows: list[tuple] = []
             for repo, path, content in zip(batch["repo_id"], batch["path"], batch["content"], strict=True):
-                out = pd.DataFrame([(repo, path, *f) for f in _facts_of(content or "")], columns=names)
-                yield out.astype({"parent_id": "Int32", "class_id": "Int32"})
+                rows.extend((repo, path, *f) for f in _facts_of(content or ""))
+                if len(rows) >= 20_000:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     return files.select(F.col("repo_id").cast("long").alias("repo_id"), "path", "content").mapInPandas(extract, FACT)
 
@@ -146,3 +172,85 @@ def code_nodes(f: DataFrame) -> DataFrame:
     kind = F.when(F.col("kind") == "ClassDef", "class").when(F.col("owner").isNotNull(), "method").otherwise("function")
     out = named.select(F.concat("path", F.lit("::"), F.when(kind == "method", F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))).alias("id"), kind.alias("node_type"), "name", "path")
     return out.union(_kind(f, "Module").select("path", F.lit("file"), "path", "path")).dropDuplicates(["id"])
+
+
+def structural_edges(f: DataFrame) -> DataFrame:
+    """(source_id, target_id, edge_type) of a code graph: a file defines its classes and functions, a class contains its methods and
+    inherits from its bases, which are named as they stand in the code; each edge once."""
+    cls = _kind(f, "ClassDef").select(*KEY, F.col("node_id").alias("parent_id"), F.col("name").alias("owner"))
+    named = _kind(f, "FunctionDef", "ClassDef", "Base").join(cls, [*KEY, "parent_id"], "left")
+    at = lambda *parts: F.concat("path", F.lit("::"), *parts)
+    base, method = F.col("kind") == "Base", (F.col("kind") == "FunctionDef") & F.col("owner").isNotNull()
+    source = F.when(base | method, at("owner")).otherwise(F.col("path"))
+    target = F.when(base, F.col("name")).when(method, at("owner", F.lit("."), "name")).otherwise(at("name"))
+    kind = F.when(base, "inherits").when(method, "contains").otherwise("defines")
+    return named.where(~base | (F.col("name") != "")).select(source.alias("source_id"), target.alias("target_id"), kind.alias("edge_type")).distinct()
+
+
+def couplings(f: DataFrame, most: int = 10) -> DataFrame:
+    """(repo_id, path, name, line, names): classes in which more distinct names occur, self and cls left out."""
+    used = _kind(f, "Name").where(~F.col("name").isin("self", "cls")).select(*KEY, F.explode("classes").alias("node_id"), F.col("name").alias("used"))
+    per = used.groupBy(*KEY, "node_id").agg(F.count_distinct("used").alias("names")).where(F.col("names") > most)
+    return _kind(f, "ClassDef").join(per, [*KEY, "node_id"]).select(*KEY, "name", "line", "names")
+
+
+def feature_envy(f: DataFrame, most: int = 5) -> DataFrame:
+    """(repo_id, path, name, line, root, accesses): functions that read attributes of another name more often; those with double underscores are left out."""
+    one = _kind(f, "Attribute").where(F.col("name").rlike(r"^[^.]+\.[^.]+$") & ~F.col("name").startswith("self."))
+    per = one.select(*KEY, F.explode("funcs").alias("node_id"), F.substring_index("name", ".", 1).alias("root")).groupBy(*KEY, "node_id", "root").agg(F.count("*").alias("accesses")).where(F.col("accesses") > most)
+    return _kind(f, "FunctionDef").where(_public()).join(per, [*KEY, "node_id"]).select(*KEY, "name", "line", "root", "accesses")
+
+
+def _problems(*cases: tuple[Column, str, Column | str]) -> Column:
+    """One row for each case (condition, problem, severity) that holds."""
+    return F.explode(F.array_compact(F.array(*[F.when(when, F.struct(F.lit(what).alias("problem"), (how if isinstance(how, Column) else F.lit(how)).alias("severity"))) for when, what, how in cases])))
+
+
+def module_checks(f: DataFrame, files: DataFrame, code_lines: int = 1000, imports: int = 20, from_imports: int = 30, classes: int = 10) -> DataFrame:
+    """(repo_id, path, problem, severity, code_lines, imports, classes) of files that parse: too many lines with code, imports
+    (more than `from_imports` of names out of modules count again, as low), classes."""
+    code = F.size(F.filter(F.split("content", "\n"), lambda x: x.rlike(r"^\s*[^\s#]")))
+    size = files.select(F.col("repo_id").cast("long").alias("repo_id"), "path", code.alias("code_lines"))
+    kind = F.col("kind")
+    per = _kind(f, "Module", "Import", "ImportFrom", "ClassDef").groupBy(*KEY).agg(
+        F.count_if(kind.isin("Import", "ImportFrom")).alias("imports"), F.count_if((kind == "ImportFrom") & F.col("name").isNotNull()).alias("froms"), F.count_if(kind == "ClassDef").alias("classes")
+    )
+    found = _problems((F.col("code_lines") > code_lines, "lines", "MEDIUM"), (F.col("imports") > imports, "imports", "MEDIUM"), (F.col("classes") > classes, "classes", "MEDIUM"), (F.col("froms") > from_imports, "from_imports", "LOW"))
+    return per.join(size, list(KEY)).withColumn("p", found).select(*KEY, "p.problem", "p.severity", "code_lines", "imports", "classes")
+
+
+def loop_smells(f: DataFrame, repeats: int = 3) -> DataFrame:
+    """(repo_id, path, line, smell, severity, detail) of for and while loops: a list comprehension in them (line: the first one's),
+    an addition in place, a query call, an attribute (detail) that is read more than `repeats` times."""
+    inner = _kind(f, "ListComp", "AugAssign", "Attribute", "Call").select(*KEY, F.explode("loops").alias("node_id"), F.col("kind").alias("k"), F.regexp_replace("name", r"^\.", "").alias("attr"), F.col("line").alias("at"))
+    loops = _kind(f, "For", "While").select(*KEY, "node_id", "line")
+    query = F.when(F.col("k") == "Attribute", F.substring_index("attr", ".", -1)).when(F.col("k") == "Call", F.col("attr")).isin(*QUERY_CALLS)
+    per = inner.groupBy(*KEY, "node_id").agg(F.min(F.when(F.col("k") == "ListComp", F.col("at"))).alias("comp"), F.max((F.col("k") == "AugAssign") & (F.col("attr") == "Add")).alias("add"), F.max(F.coalesce(query, F.lit(False))).alias("query"))
+    found = _problems((F.col("comp").isNotNull(), "list_comprehension", "MEDIUM"), (F.col("add"), "concatenation", "MEDIUM"), (F.col("query"), "query", "HIGH"))
+    one = loops.join(per, [*KEY, "node_id"]).withColumn("p", found)
+    line = F.when(F.col("p.problem") == "list_comprehension", F.col("comp")).otherwise(F.col("line"))
+    often = inner.where("k = 'Attribute'").groupBy(*KEY, "node_id", "attr").agg(F.count("*").alias("reads")).where(F.col("reads") > repeats)
+    return one.select(*KEY, line.alias("line"), F.col("p.problem").alias("smell"), "p.severity", F.lit(None).cast("string").alias("detail")).union(
+        loops.join(often, [*KEY, "node_id"]).select(*KEY, "line", F.lit("repeated_attribute"), F.lit("LOW"), "attr"))
+
+
+def doc_issues(f: DataFrame) -> DataFrame:
+    """(repo_id, path, name, line, problem, severity): modules, classes and functions without a docstring, classes with one of under
+    20 characters, and documented functions whose docstring lacks the section for their parameters, returned values or exceptions.
+    Functions whose name starts with a single underscore are left out."""
+    node = F.explode(F.when(F.col("kind") == "Param", F.array("parent_id")).otherwise(F.col("funcs"))).alias("node_id")
+    kind = F.col("kind")
+    uses = _kind(f, "Param", "Return", "Raise").where((kind != "Param") | (F.col("name") != "self")).select(*KEY, node, "kind", "flag")
+    per = uses.groupBy(*KEY, "node_id").agg(F.max(kind == "Param").alias("params"), F.max((kind == "Return") & F.col("flag")).alias("returns"), F.max(kind == "Raise").alias("raises"))
+    private = (kind == "FunctionDef") & F.col("name").rlike("^_(?!_)")
+    t = _kind(f, "FunctionDef", "ClassDef", "Module").where(~private).join(per, [*KEY, "node_id"], "left")
+    is_function, public, none = kind == "FunctionDef", (kind != "Module") & ~F.col("name").startswith("_"), ~F.col("flag") | (F.col("doc") == "")
+    lacks = lambda use, heads: is_function & ~none & F.coalesce(use, F.lit(False)) & ~F.col("doc").rlike("|".join(heads))
+    found = _problems(
+        (none, "no_docstring", F.when(public, "HIGH").when(is_function, "LOW").otherwise("MEDIUM")),
+        (~none & (kind == "ClassDef") & (F.length("doc") < 20), "short_docstring", "LOW"),
+        (lacks(F.col("params"), PARAMETER_HEADS), "no_parameter_section", "MEDIUM"),
+        (lacks(F.col("returns"), RETURN_HEADS), "no_return_section", "MEDIUM"),
+        (lacks(F.col("raises"), RAISE_HEADS), "no_exception_section", "LOW"),
+    )
+    return t.withColumn("p", found).select(*KEY, "name", "line", "p.problem", "p.severity")

@@ -40,3 +40,23 @@ add("gr_domain_leak", lambda v: gr.domain_leaks(v.graph_edges), "WITH t AS (SELE
 add("gr_layers", lambda v: gr.layer_violations(v.graph_edges, v.spark.createDataFrame(list(LAYERS), "name string, level int")), f"""
 WITH l(name, level) AS (VALUES ('n1', 1), ('n2', 2), ('pkg3', 3)), o AS (SELECT id, min_by(name, level) AS name, min(level) AS level FROM ({NODES}) n JOIN l ON contains(id, name) GROUP BY 1)
 SELECT a.name AS from_layer, b.name AS to_layer, count(*) AS violations FROM graph_edges e JOIN o a ON a.id = e.source_id JOIN o b ON b.id = e.target_id WHERE a.level > b.level GROUP BY 1, 2""")
+add("gr_clusters", lambda v: gr.clusters(v.graph_edges), f"""
+WITH RECURSIVE e AS ({E1}), p AS (SELECT a.s, a.t FROM e a JOIN e b ON a.s = b.t AND a.t = b.s), r(id, node) AS (SELECT DISTINCT s, s FROM p UNION SELECT r.id, p.t FROM r JOIN p ON r.node = p.s),
+l AS (SELECT id, min(node) AS cluster FROM r GROUP BY 1), i AS (SELECT a.cluster, count(*) AS internal_edges FROM e JOIN l a ON a.id = e.s JOIN l b ON b.id = e.t WHERE a.cluster = b.cluster GROUP BY 1)
+SELECT l.cluster, count(*) AS nodes, any_value(i.internal_edges) AS internal_edges FROM l JOIN i ON i.cluster = l.cluster GROUP BY 1 HAVING count(*) >= 3""")
+
+
+def _index(v: Views):
+    return gr.module_index(v.source_lines.select("path").distinct())
+
+
+INDEX = "d AS (SELECT DISTINCT replace(regexp_replace(path, '\\.py$', ''), '/', '.') AS module, path FROM source_lines), x AS (SELECT module, path FROM d UNION ALL SELECT split_part(module, '.', -1), min(path) FROM d WHERE split_part(module, '.', -1) NOT IN (SELECT module FROM d) GROUP BY 1)"
+add("gr_module_index", _index, f"WITH {INDEX} SELECT module, path FROM x")
+add("gr_import_edges", lambda v: gr.import_edges(v.code_imports, _index(v)), f"""
+WITH {INDEX}, m AS (SELECT DISTINCT path, module, string_split(module, '.') AS parts FROM code_imports),
+k AS (SELECT path, module, unnest(range(0, len(parts) + 1)) AS n, parts FROM m), h AS (SELECT k.path AS source, k.module, k.n, x.path AS target FROM k JOIN x ON x.module = CASE k.n WHEN 0 THEN parts[-1] ELSE array_to_string(parts[1:k.n], '.') END),
+b AS (SELECT source, module, arg_max(target, n) AS target FROM h GROUP BY 1, 2) SELECT DISTINCT source, target FROM b WHERE source <> target""")
+add("gr_call_edges", lambda v: gr.call_edges(v.code_calls, v.code_functions), """
+WITH c AS (SELECT DISTINCT path, caller, regexp_replace(name, '^self\\.', '') AS called FROM code_calls), f AS (SELECT path AS home, name, id FROM code_functions),
+h AS (SELECT c.path, caller, called, id, CASE WHEN f.name = called THEN 0 ELSE 2 END + CASE WHEN home = path THEN 0 ELSE 1 END AS r FROM c JOIN f ON f.name = split_part(called, '.', -1))
+SELECT DISTINCT caller, id AS callee FROM (SELECT *, min(r) OVER (PARTITION BY path, caller, called) AS least FROM h) WHERE r = least AND caller <> id""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import scores as sc
 from ..operators import structure as st
 from .registry import Registry
 from .views import Views
@@ -18,12 +19,16 @@ FORMS = (
 ORDERS = "(SELECT o_custkey % 20 AS repo_id, 'src/c' || CAST(o_custkey AS VARCHAR) || '.py' AS path, o_custkey AS c, o_orderkey AS k, o_orderkey % 3 AS form FROM orders)"
 
 
-def _facts(v: Views):
+def _files(v: Views):
     key = F.col("o_orderkey")
     method = F.when(key % 3 == 0, F.format_string(FORMS[0], key)).when(key % 3 == 1, F.format_string(FORMS[1], key)).otherwise(F.format_string(FORMS[2], key))
     parts = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), method.alias("m")))), lambda p: p["m"])
     text = F.concat(F.format_string("class C%d(Base, Other):\n", F.col("o_custkey")), F.array_join(parts, ""))
-    return st.facts(v.orders.groupBy("o_custkey").agg(text.alias("content")).select((F.col("o_custkey") % 20).alias("repo_id"), F.format_string("src/c%d.py", F.col("o_custkey")).alias("path"), "content"))
+    return v.orders.groupBy("o_custkey").agg(text.alias("content")).select((F.col("o_custkey") % 20).alias("repo_id"), F.format_string("src/c%d.py", F.col("o_custkey")).alias("path"), "content")
+
+
+def _facts(v: Views):
+    return st.facts(_files(v))
 
 
 def _without_line(df):
@@ -43,3 +48,64 @@ add("st_asserts", lambda v: _without_line(st.calls_and_asserts(_facts(v))), f"SE
 add("st_doc_cover", lambda v: st.doc_coverage(_facts(v)), f"SELECT repo_id, count(*) FILTER (WHERE form = 1) AS documented, count(*) + 2 * count(DISTINCT c) AS total, count(*) FILTER (WHERE form = 1) / (count(*) + 2 * count(DISTINCT c)) * 100 AS coverage FROM {ORDERS} GROUP BY 1")
 add("st_test_quality", lambda v: st.test_quality(_facts(v)), f"SELECT repo_id, path, 'test_m' || k AS name, 'no_assertion' AS problem, 'HIGH' AS severity FROM {ORDERS} WHERE form = 1")
 add("gr_nodes", lambda v: st.code_nodes(_facts(v)).select("id", "node_type"), f"SELECT DISTINCT path AS id, 'file' AS node_type FROM {ORDERS} UNION ALL SELECT DISTINCT path || '::C' || c, 'class' FROM {ORDERS} UNION ALL SELECT path || '::C' || c || CASE form WHEN 1 THEN '.test_m' ELSE '.m' END || k, 'method' FROM {ORDERS}")
+add("gr_structural_edges", lambda v: st.structural_edges(_facts(v)), f"""
+SELECT DISTINCT path AS source_id, path || '::C' || c AS target_id, 'defines' AS edge_type FROM {ORDERS} UNION ALL SELECT DISTINCT path || '::C' || c, 'Base', 'inherits' FROM {ORDERS} UNION ALL SELECT DISTINCT path || '::C' || c, 'Other', 'inherits' FROM {ORDERS}
+UNION ALL SELECT path || '::C' || c, path || '::C' || c || CASE form WHEN 1 THEN '.test_m' ELSE '.m' END || k, 'contains' FROM {ORDERS}""")
+add("st_coupling", lambda v: _without_line(st.couplings(_facts(v), 7)), f"SELECT repo_id, path, 'C' || c AS name, 2 + max(CASE form WHEN 0 THEN 5 ELSE 0 END) + max(CASE form WHEN 1 THEN 1 ELSE 0 END) + max(CASE form WHEN 2 THEN 1 ELSE 0 END) AS names FROM {ORDERS} GROUP BY repo_id, path, c HAVING names > 7")
+add("st_feature_envy", lambda v: _without_line(st.feature_envy(_facts(v), 0)), f"SELECT repo_id, path, 'test_m' || k AS name, 'requests' AS root, 1 AS accesses FROM {ORDERS} WHERE form = 1")
+add("st_module", lambda v: st.module_checks(_facts(v), _files(v), code_lines=40, classes=0), f"""
+WITH m AS (SELECT repo_id, path, 1 + sum(CASE form WHEN 2 THEN 2 ELSE 4 END) AS code_lines, 0 AS imports, 1 AS classes FROM {ORDERS} GROUP BY 1, 2)
+SELECT repo_id, path, 'classes' AS problem, 'MEDIUM' AS severity, code_lines, imports, classes FROM m UNION ALL SELECT repo_id, path, 'lines', 'MEDIUM', code_lines, imports, classes FROM m WHERE code_lines > 40""")
+add("st_test_score", lambda v: sc.test_scores(_facts(v), st.KEY), f"SELECT repo_id, path, 70 - least(count(*) * 5, 40) AS score FROM {ORDERS} WHERE form = 1 GROUP BY 1, 2")
+
+#: Code that is written from the order lines: a file for each order, a function for each line.
+LINE_FORMS = (
+    '    """Doc of f."""\n    for x in a:\n        t = [y for y in x]\n    return t\n',
+    "    for x in a:\n        a += x\n",
+    '    """Doc of f."""\n    for x in self.rows:\n        db.query(x)\n    raise ValueError\n',
+    "    while a.b:\n        a.c = a.k + a.k + a.k + a.k\n",
+)
+LINES = "(SELECT l_orderkey % 20 AS repo_id, 'src/o' || CAST(l_orderkey AS VARCHAR) || '.py' AS path, l_linenumber AS n, l_linenumber % 4 AS form FROM lineitem)"
+
+
+def _line_facts(v: Views):
+    form = F.col("l_linenumber") % 4
+    body = F.element_at(F.array(*[F.lit(x) for x in LINE_FORMS]), (form + 1).cast("int"))
+    text = F.concat(F.format_string("def f%d(", F.col("l_linenumber")), F.when(form == 2, "self").otherwise("a"), F.lit("):\n"), body)
+    per = v.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(text)), "").alias("content"))
+    return st.facts(per.select((F.col("l_orderkey") % 20).alias("repo_id"), F.format_string("src/o%d.py", F.col("l_orderkey")).alias("path"), "content"))
+
+
+add("st_loop_smells", lambda v: _without_line(st.loop_smells(_line_facts(v))), f"""
+SELECT repo_id, path, CASE form WHEN 0 THEN 'list_comprehension' WHEN 1 THEN 'concatenation' WHEN 2 THEN 'query' ELSE 'repeated_attribute' END AS smell,
+  CASE form WHEN 2 THEN 'HIGH' WHEN 3 THEN 'LOW' ELSE 'MEDIUM' END AS severity, CASE form WHEN 3 THEN 'a.k' END AS detail FROM {LINES}""")
+ISSUES = f"""(SELECT DISTINCT repo_id, path, NULL AS name, 'no_docstring' AS problem, 'MEDIUM' AS severity FROM {LINES} UNION ALL SELECT repo_id, path, 'f' || n, 'no_docstring', 'HIGH' FROM {LINES} WHERE form IN (1, 3)
+UNION ALL SELECT repo_id, path, 'f' || n, 'no_parameter_section', 'MEDIUM' FROM {LINES} WHERE form = 0 UNION ALL SELECT repo_id, path, 'f' || n, 'no_return_section', 'MEDIUM' FROM {LINES} WHERE form = 0
+UNION ALL SELECT repo_id, path, 'f' || n, 'no_exception_section', 'LOW' FROM {LINES} WHERE form = 2)"""
+add("st_doc_issues", lambda v: _without_line(st.doc_issues(_line_facts(v))), f"SELECT * FROM {ISSUES}")
+add("st_doc_score", lambda v: sc.documentation_scores(_line_facts(v), st.KEY), f"""
+WITH c AS (SELECT repo_id, path, 100.0 * count(*) FILTER (WHERE form IN (0, 2)) / (count(*) + 1) AS coverage FROM {LINES} GROUP BY 1, 2), i AS (SELECT path, count(*) AS k, count(*) FILTER (WHERE problem = 'no_parameter_section') AS p FROM {ISSUES} GROUP BY 1)
+SELECT repo_id, c.path, greatest(0, 100 - CASE WHEN coverage < 50 THEN 30 WHEN coverage < 70 THEN 20 WHEN coverage < 90 THEN 10 ELSE 0 END - least(3 * k, 30) - 2 * least(2 * p, 15)) AS score FROM c JOIN i ON i.path = c.path""")
+
+COUNTS = "count(*) FILTER (WHERE severity = 'critical') AS c, count(*) FILTER (WHERE severity = 'high') AS h, count(*) FILTER (WHERE severity = 'medium') AS m"
+SCORES = " UNION ALL ".join(
+    f"SELECT run_id, '{family}' AS family, greatest(0, 100 - {c} * c - {h} * h - {m} * m) AS score FROM (SELECT run_id, {COUNTS} FROM scored_issues WHERE family = '{family}' GROUP BY 1)" for family, (c, h, m) in sc.WEIGHTS.items()
+)
+for name, family in (("st_sec_score", "security"), ("st_perf_score", "performance"), ("st_arch_score", "architecture")):
+    add(name, lambda v, family=family: sc.family_scores(v.scored_issues, "run_id", family), f"SELECT * FROM ({SCORES}) WHERE family = '{family}'")
+
+
+def _scores(v: Views):
+    parts = [sc.family_scores(v.scored_issues, "run_id", family) for family in sc.WEIGHTS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def _families(v: Views):
+    return {family: v.scored_issues.where(F.col("family") == family).drop("family") for family in sc.WEIGHTS}
+
+
+add("st_overall", lambda v: sc.overall(_scores(v), v.scored_issues, "run_id"), f"""
+WITH s AS (SELECT run_id, floor(avg(score) + 0.5)::BIGINT AS overall FROM ({SCORES}) GROUP BY 1), i AS (SELECT run_id, {COUNTS} FROM scored_issues GROUP BY 1)
+SELECT i.run_id, overall, floor(4 * c + 2 * h + 0.5 * m + 0.5)::BIGINT AS debt_hours, least(100, 25 * c + 10 * h + 5 * m) AS risk FROM i JOIN s ON s.run_id = i.run_id""")
+add("st_aggregate", lambda v: sc.breakdown(sc.aggregate(_families(v)), "family", "severity", "severity_rank"), """
+SELECT family, severity, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS severity_rank, count(*) AS issues FROM scored_issues GROUP BY 1, 2""")

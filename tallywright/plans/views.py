@@ -95,10 +95,26 @@ SELECT CAST(l_orderkey % 20 AS INT) AS repo_id, 'src/m' || CAST(l_orderkey % 500
    WHEN 16 THEN 'class Service:' WHEN 17 THEN '    def __init__(self, **kwargs):' WHEN 18 THEN '    if len(parts) > 0:' ELSE '    x = parts[0]' END AS text
 FROM {{lineitem}}""",
     "graph_edges": """
-SELECT DISTINCT 'pkg' || CAST(l_partkey % 300 % 12 AS STRING) || '.n' || CAST(l_partkey % 300 AS STRING) AS source_id,
-  'pkg' || CAST((l_suppkey * 7 + l_linenumber) % 300 % 12 AS STRING) || '.n' || CAST((l_suppkey * 7 + l_linenumber) % 300 AS STRING) AS target_id,
+SELECT DISTINCT 'pkg' || CAST(l_partkey % 12 AS STRING) || '.n' || CAST(l_partkey AS STRING) AS source_id,
+  'pkg' || CAST((l_suppkey * 7 + l_linenumber) % 12 AS STRING) || '.n' || CAST(l_suppkey * 7 + l_linenumber AS STRING) AS target_id,
   CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'imports' WHEN 1 THEN 'calls' ELSE 'contains' END AS edge_type
-FROM {lineitem} WHERE l_orderkey % 40 = 0""",
+FROM {lineitem}""",
+    "code_imports": """
+SELECT 'src/m' || CAST(l_orderkey % 500 AS STRING) || '.py' AS path,
+  CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'src.' WHEN 1 THEN 'lib.' ELSE '' END || 'm' || CAST(l_partkey % 600 AS STRING)
+    || CASE WHEN l_linenumber % 3 = 0 AND l_suppkey % 2 = 0 THEN '.Thing' ELSE '' END AS module
+FROM {lineitem}""",
+    "code_functions": """
+SELECT 'src/m' || CAST(p_partkey % 50 AS STRING) || '.py' AS path, 'g' || CAST(p_partkey % 150 AS STRING) AS name,
+  'src/m' || CAST(p_partkey % 50 AS STRING) || '.py::g' || CAST(p_partkey % 150 AS STRING) || '#' || CAST(p_partkey AS STRING) AS id
+FROM {part}""",
+    "code_calls": """
+SELECT 'src/m' || CAST(l_orderkey % 50 AS STRING) || '.py' AS path, 'src/m' || CAST(l_orderkey % 50 AS STRING) || '.py::f' || CAST(l_orderkey AS STRING) AS caller,
+  CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'self.' WHEN 1 THEN 'mod.' ELSE '' END || 'g' || CAST(l_partkey % 200 AS STRING) AS name
+FROM {lineitem}""",
+    "scored_issues": """
+SELECT run_id, severity, CASE WHEN issue_code LIKE 'F%' THEN 'security' WHEN issue_code LIKE 'E%' THEN 'performance' ELSE 'architecture' END AS family
+FROM {analysis_results}""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 _NAME = re.compile(r"\{(\w+)\}")

@@ -1,5 +1,7 @@
 """Facts of files that do not parse, that are empty or null, and of nested functions."""
 
+from tallywright.operators import graph
+from tallywright.operators import scores as sc
 from tallywright.operators import structure as st
 
 
@@ -12,3 +14,46 @@ def test_facts(spark):
     assert got == {"a": 5, "b": 2}
     none = st.facts(spark.createDataFrame([], "repo_id int, path string, content string"))
     assert none.count() == 0 and st.code_nodes(none).count() == 0
+
+
+def _rows(spark, *files):
+    return spark.createDataFrame([(1, *f) for f in files], "repo_id int, path string, content string")
+
+
+def test_loops_sections_and_names(spark):
+    code = (
+        "from a.b import c\nimport d\n\nclass K(P.Q):\n    def m(self, x):\n        '''Does it at length.'''\n        for i in x:\n            for j in i:\n"
+        "                self.n -= 1\n                t = c.u + c.u + c.u + c.u\n                get(t)\n        return x\n    def _p(self):\n        return [1 for q in c.v]\n"
+    )
+    f = st.facts(_rows(spark, ("k.py", code), ("bad.py", "def (")))
+    smells = sorted((r["line"], r["smell"], r["detail"]) for r in st.loop_smells(f).collect())
+    assert smells == [(7, "query", None), (7, "repeated_attribute", "c.u"), (8, "query", None), (8, "repeated_attribute", "c.u")]
+    problems = sorted((r["line"], r["problem"], r["severity"]) for r in st.doc_issues(f).collect())
+    assert problems == [(1, "no_docstring", "MEDIUM"), (4, "no_docstring", "HIGH"), (5, "no_parameter_section", "MEDIUM"), (5, "no_return_section", "MEDIUM")]
+    assert [(r["name"], r["names"]) for r in st.couplings(f, 0).collect()] == [("K", 8)]
+    assert [(r["name"], r["root"], r["accesses"]) for r in st.feature_envy(f, 3).collect()] == [("m", "c", 4)]
+    edges = {(r["source_id"], r["target_id"], r["edge_type"]) for r in st.structural_edges(f).collect()}
+    assert edges == {("k.py", "k.py::K", "defines"), ("k.py::K", "P.Q", "inherits"), ("k.py::K", "k.py::K.m", "contains"), ("k.py::K", "k.py::K._p", "contains")}
+    checks = st.module_checks(f, _rows(spark, ("k.py", code)), code_lines=12, imports=1, from_imports=0, classes=1).collect()
+    assert sorted(r["problem"] for r in checks) == ["from_imports", "imports", "lines"] and {r["code_lines"] for r in checks} == {13}
+
+
+def test_scores_of_nothing_and_of_much(spark):
+    rows = [(1, "critical", "security")] * 6 + [(2, "high", "performance"), (2, "medium", "architecture"), (3, None, "security")]
+    issues = spark.createDataFrame(rows, "run_id int, severity string, family string")
+    parts = [sc.family_scores(issues, "run_id", family) for family in sc.WEIGHTS]
+    scores = parts[0].union(parts[1]).union(parts[2])
+    assert {(r["run_id"], r["family"]): r["score"] for r in scores.collect()} == {(1, "security"): 0, (2, "performance"): 85, (2, "architecture"): 94, (3, "security"): 100}
+    got = {r["run_id"]: (r["overall"], r["debt_hours"], r["risk"]) for r in sc.overall(scores, issues, "run_id").collect()}
+    assert got == {1: (0, 24, 100), 2: (90, 3, 15), 3: (100, 0, 0)}
+    ranks = {r["severity"]: r["severity_rank"] for r in sc.aggregate({"a": issues.drop("family")}).collect()}
+    assert ranks == {"critical": 0, "high": 1, "medium": 2, None: 999}
+    none = issues.where("false")
+    assert sc.overall(sc.family_scores(none, "run_id", "security"), none, "run_id").count() == 0
+
+
+def test_clusters(spark):
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("d", "c"), ("c", "d"), ("e", "a"), ("a", "c"), ("x", "y"), ("y", "x"), ("a", "a")]
+    edges = spark.createDataFrame(pairs, "source_id string, target_id string")
+    assert [tuple(r) for r in graph.clusters(edges).select("cluster", "nodes", "internal_edges").collect()] == [("a", 4, 7)]
+    assert graph.clusters(edges.where("false")).count() == 0

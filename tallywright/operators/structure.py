@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,21 +76,24 @@ def facts(files: DataFrame) -> DataFrame:
     """Facts of files (repo_id, path, content), file by file; those that do not parse, null or empty ones give at most their module's."""
 
     names = [c.split()[0] for c in FACT.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    types = [kinds[c.split()[1]] for c in FACT.split(", ")]
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"parent_id": "Int32", "class_id": "Int32"})
+    def facts_batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for repo, path, content in zip(batch["repo_id"], batch["path"], batch["content"], strict=True):
-                rows.extend((repo, path, *f) for f in _facts_of(content or ""))
+            for file in batch.to_pylist():
+                rows.extend((file["repo_id"], file["path"], *f) for f in _facts_of(file["content"] or ""))
                 if len(rows) >= 20_000:
-                    yield frame(rows)
+                    yield facts_batch(rows)
                     rows = []
-            yield frame(rows)
+            yield facts_batch(rows)
 
-    return files.select(F.col("repo_id").cast("long").alias("repo_id"), "path", "content").mapInPandas(extract, FACT)
+    return files.select(F.col("repo_id").cast("long").alias("repo_id"), "path", "content").mapInArrow(extract, FACT)
 
 
 def _kind(f: DataFrame, *kinds: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scores as sc
@@ -19,12 +20,17 @@ FORMS = (
 ORDERS = "(SELECT o_custkey % 20 AS repo_id, 'src/c' || CAST(o_custkey AS VARCHAR) || '.py' AS path, o_custkey AS c, o_orderkey AS k, o_orderkey % 3 AS form FROM orders)"
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by their key over all shuffle partitions: adaptive execution would merge small texts into few tasks, though parsing them is work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _files(v: Views):
     key = F.col("o_orderkey")
     method = F.when(key % 3 == 0, F.format_string(FORMS[0], key)).when(key % 3 == 1, F.format_string(FORMS[1], key)).otherwise(F.format_string(FORMS[2], key))
     parts = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), method.alias("m")))), lambda p: p["m"])
     text = F.concat(F.format_string("class C%d(Base, Other):\n", F.col("o_custkey")), F.array_join(parts, ""))
-    return v.orders.groupBy("o_custkey").agg(text.alias("content")).select((F.col("o_custkey") % 20).alias("repo_id"), F.format_string("src/c%d.py", F.col("o_custkey")).alias("path"), "content")
+    return _dealt(v.orders, "o_custkey").groupBy("o_custkey").agg(text.alias("content")).select((F.col("o_custkey") % 20).alias("repo_id"), F.format_string("src/c%d.py", F.col("o_custkey")).alias("path"), "content")
 
 
 def _facts(v: Views):
@@ -72,7 +78,7 @@ def _line_facts(v: Views):
     form = F.col("l_linenumber") % 4
     body = F.element_at(F.array(*[F.lit(x) for x in LINE_FORMS]), (form + 1).cast("int"))
     text = F.concat(F.format_string("def f%d(", F.col("l_linenumber")), F.when(form == 2, "self").otherwise("a"), F.lit("):\n"), body)
-    per = v.lineitem.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(text)), "").alias("content"))
+    per = _dealt(v.lineitem, "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(text)), "").alias("content"))
     return st.facts(per.select((F.col("l_orderkey") % 20).alias("repo_id"), F.format_string("src/o%d.py", F.col("l_orderkey")).alias("path"), "content"))
 
 

@@ -380,3 +380,53 @@ def test_pipeline(spark):
     assert clean.columns == table.columns
     pieces = p.pack(spark, clean, SF)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in clean.collect()}
+
+
+def test_near_stage_equals_brute_force(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(11)
+    text = lambda n: [f"t{x}" for x in rng.integers(0, 10**9, n)]
+    rows = [(r["doc_id"], r["text"]) for r in docs(spark).collect() if (r["text"] or "").strip()]
+    for n in (10, 11, 12, 40, 100, 300):
+        for g in range(12):
+            base, at = text(n), 10_000 + 1000 * n + 10 * g
+            rows.append((at, " ".join(base)))
+            for i, changed in enumerate((1, 2, 3, 5), 1):  # similarities about 0.8
+                copy = list(base)
+                for w in rng.integers(0, n, max(1, n * changed // 100)):
+                    copy[w] = f"new{rng.integers(0, 10**9)}"
+                rows.append((at + i, " ".join(copy[: n - i % 2])))
+    rows += [(1, "Two Words"), (2, "two  words"), (None, "two\twords"), (None, "TWO WORDS"), (3, "one two three four five six seven eight nine"), (4, "one two three four five six seven eight")]
+    rows = list({t: (d, t) for d, t in rows}.values())
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = defaultdict(list)
+    for i, x in enumerate(sets):
+        for y in x:
+            holders[y].append(i)
+    for i, j in {(i, j) for h in holders.values() for i in h for j in h if i < j}:
+        both = len(sets[i] & sets[j])
+        if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+            root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        groups[find(i)].append(d)
+    want = sorted(min((d for d in g if d is not None), default=-1) for g in groups.values())
+    table = odd(spark, [(d, t, "en") for d, t in rows])
+    for chunk in (256, 2):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(simhash, "CHUNK", chunk, raising=False)
+            got = p.drop_near_copies(spark, table, SF)
+            assert got.columns == table.columns
+            assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got.collect()) == want
+    assert p.drop_near_copies(spark, odd(spark, []), SF).collect() == []

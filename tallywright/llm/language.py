@@ -127,6 +127,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 CLOSE = 0.05
 
 
+def has_letter(text_col: str = "text") -> F.Column:
+    """Whether a text has a letter; false for null."""
+
+    def run(series: pd.Series) -> pd.Series:
+        return pd.Series([t is not None and any(map(str.isalpha, t)) for t in series], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(F.col(text_col))
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: doc_id, held_out, lang_pred, score, ambiguous, and the columns in `keep` unchanged.
     A text that is null or has no letter is `und` with score 0, and so is every text where nothing could be learnt. Only

@@ -430,3 +430,14 @@ def test_near_stage_equals_brute_force(spark):
             assert got.columns == table.columns
             assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got.collect()) == want
     assert p.drop_near_copies(spark, odd(spark, []), SF).collect() == []
+
+
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline as p
+
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for rows in ([(d, t, None) for d, t, _ in ODD], [(held, t, "en") for _, t, _ in ODD]):
+        table = odd(spark, rows)
+        got = p.keep_language(spark, table, SF)
+        assert got.columns == table.columns
+        assert key(map(tuple, got.select("doc_id", "text").collect())) == key([(d, t) for d, t, _ in rows if any(map(str.isalpha, t or ""))])

@@ -26,11 +26,9 @@ def features(text: str) -> np.ndarray:
     """Relative frequencies, square-rooted, of hashed runs of 1 to 3 characters of the whole lower-cased text; what is not a letter counts as a space."""
     low = text.lower()
     c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    top = int(c.max()) if len(c) else 0
-    if top < 0x3000:
-        c = _FOLD[c.astype(np.int64)]
-        keep = np.r_[True, (c[1:] != 32) | (c[:-1] != 32)] if len(c) else np.zeros(0, bool)
-        c = c[keep]
+    if len(c):
+        c = folded(c)
+        c = c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]]
     total = np.zeros(FEATURES, np.int64)
     h = np.zeros(len(c), np.uint64)
     for n in range(3):
@@ -44,6 +42,16 @@ def features(text: str) -> np.ndarray:
 _FOLD = np.array([i if chr(i).isalpha() else 32 for i in range(0x3000)], np.uint64)
 
 
+def folded(c: np.ndarray) -> np.ndarray:
+    """Code points, with 32 for each that is no letter."""
+    out = _FOLD[np.minimum(c, np.uint64(0x2FFF)).astype(np.int64)]
+    high = c >= 0x3000
+    if high.any():
+        seen, at = np.unique(c[high], return_inverse=True)
+        out[high] = np.array([i if chr(i).isalpha() else 32 for i in seen.tolist()], np.uint64)[at]
+    return out
+
+
 def codewords(k: int, seed: int = 7) -> np.ndarray:
     """k codewords as rows of +1 and -1: the exhaustive code for up to 7 languages, else the random code of 10 log2(k) bits with the largest least distance of 200."""
     if k == 1:

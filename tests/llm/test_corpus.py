@@ -441,3 +441,11 @@ def test_language_stage_without_labels(spark):
         got = p.keep_language(spark, table, SF)
         assert got.columns == table.columns
         assert key(map(tuple, got.select("doc_id", "text").collect())) == key([(d, t) for d, t, _ in rows if any(map(str.isalpha, t or ""))])
+
+
+def test_features_fold_every_code_point():
+    plain = language.features("one two three")
+    for text in ("one 12, two\n\n  three", "one \U0001f600 two, 3 three", "one、two 1!。  three", "one \ud800 two three"):
+        assert (language.features(text) == plain).all()
+    assert (language.features("日本語、 テスト 12") == language.features("日本語 テスト ")).all()
+    assert (language.features("\U00020000a") != language.features("a")).any() and not language.features("").any()

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a driver-side table whose size is bounded by a documented parameter.
+#: An odd constant that mixes bits (2**64 over the golden ratio).
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,10 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/tallywright/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lost executors do not lose it, and its lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tallywright/{uuid.uuid4().hex}"
+    path = scratch_dir(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -86,20 +91,36 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total, dtype=np.int64)
 
 
+#: Keys that hub_join() treats as hubs, at most; and rows of a hub, at least.
+HUBS, HUB_ROWS = 512, 64
+
+
+def hub_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left.join(right, key, how), how being inner, left, left_semi or left_anti, where right has one row at most for each key.
+    The HUBS most frequent keys of left, each of which would send its rows to one task, meet a broadcast of their rows of
+    right, which are as many at most; no other key has more than a HUBS-th of the rows. left is read three times."""
+    most = left.groupBy(key).count().where(F.col("count") > HUB_ROWS).orderBy(F.desc("count"), key).limit(HUBS)
+    hubs = [r[key] for r in most.collect() if r[key] is not None]
+    if not hubs:
+        return left.join(right, key, how)
+    hub, other = F.coalesce(F.col(key).isin(hubs), F.lit(False)), ~F.coalesce(F.col(key).isin(hubs), F.lit(False))
+    return left.where(other).join(right.where(other), key, how).unionByName(left.where(hub).join(F.broadcast(right.where(hub)), key, how))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b) of longs: one row (node, root) for each node that has an edge,
-    root being the component's smallest node. Alternates the large-star and small-star steps; each takes the
-    neighbourhood minimum with a map-side combine and joins it back, so no neighbourhood is gathered in one task.
+    root being the component's smallest node. Alternates the large-star and small-star steps; each takes the least
+    smaller neighbour with a map-side combine and joins it back by hub_join, so no neighbourhood meets in one task.
     The work on each round is cut off in the shared folder; the number of edges never grows."""
     pairs = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
     pairs = written(pairs)
     before = None
     for _ in range(max_rounds):
-        both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = pairs.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = hub_join(pairs, least.withColumnRenamed("hi", "lo"), "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        large = written(large.distinct())
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = hub_join(large, least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         pairs = written(small.union(least.select("hi", F.col("m").alias("lo"))).distinct())
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first()
         if now == before:

@@ -4,9 +4,9 @@ Fingerprints are dealt into tiles in the order of their population counts. Two f
 population counts that differ by r at most, so a pair of tiles whose counts lie further apart is never looked at. Each
 remaining pair of tiles is one unit of work: numpy compares blocks by exclusive-or and bit counts, and again skips
 blocks by the counts of both halves. A unit keeps a spanning forest of the links that it finds, not all of them, so a
-group of near copies costs one row for each member. The number of tiles is fixed (up to very large tables), so that what is
-sent between executors grows with the number of fingerprints; the comparisons themselves grow with its square, as exact
-comparison does.
+group of near copies costs one row for each member. The number of tiles is fixed up to TILES * TILE fingerprints, so that
+what is sent between executors grows with their number; beyond that there are more tiles and units, and copies sent grow
+with the square of the number of fingerprints, as the comparisons do at every size.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, components, mixed, shuffle_width, text_bytes, written
+from .common import MIX, components, hub_join, mixed, shuffle_width, text_bytes, written
 
 #: Tiles there are, whatever the number of fingerprints, so that each fingerprint is sent equally often at every size;
 #: and the most fingerprints of a tile, beyond which there are more tiles.
-TILES, TILE = 32, 2_000_000
+TILES, TILE = 32, 250_000
 _SPREAD = np.frombuffer(((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8).tobytes(), np.uint64)  # each bit of a byte in a byte of its own
 
 
@@ -147,24 +147,29 @@ def links(prints: DataFrame, radius: int, screen: int | None = None) -> DataFram
         for t in range(tile_of(before[p]), tile_of(before[p] + level[p] - 1) + 1):
             low, high = spans.get(t, (p, p))
             spans[t] = (min(low, p), max(high, p))
-    units = [(t, u) for t in spans for u in spans if t <= u and max(spans[t][0] - spans[u][1], spans[u][0] - spans[t][1], 0) <= screen]
-    where = {t: [(k, int(u != t and t == v)) for k, (u, v) in enumerate(units) if t in (u, v)] for t in spans}
-    lookup = F.create_map(*[x for p in sorted(level) for x in (F.lit(p), F.struct(F.lit(float(before[p])).alias("first"), F.lit(float(level[p])).alias("n")))]) if level else None
-    if lookup is None:
+    if not level:
         return prints.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    # the counts of tiles grow with their numbers, so the tiles that one has to meet are a range: one row for each tile
+    order, plan, first, last = sorted(spans), [], 0, 0
+    for t in order:
+        while spans[t][0] - spans[order[first]][1] > screen:
+            first += 1
+        while last + 1 < len(order) and spans[order[last + 1]][0] - spans[t][1] <= screen:
+            last += 1
+        plan.append((t, order[first], order[last]))
+    lookup = F.create_map(*[x for p in sorted(level) for x in (F.lit(p), F.struct(F.lit(float(before[p])).alias("first"), F.lit(float(level[p])).alias("n")))])
     at = lookup[ones]
     draw = (F.xxhash64(*cols).bitwiseAND(F.lit(2**53 - 1)).cast("double") / F.lit(float(2**53)))
     tile = F.least(F.lit(tiles - 1), F.floor((at["first"] + F.floor(draw * at["n"])) / F.lit(per)).cast("int"))
-    plan = spark.createDataFrame([(t, k, side) for t, ks in where.items() for k, side in ks], "tile int, unit int, side int")  # at most TILES squared
-    dealt = prints.withColumn("tile", tile).join(F.broadcast(plan), "tile").select("unit", "side", "node", *cols)
-    both = {k for k, (t, u) in enumerate(units) if t != u}
+    dealt = prints.withColumn("tile", tile).join(F.broadcast(spark.createDataFrame(plan, "tile int, first int, last int")), "tile")
+    dealt = dealt.withColumn("other", F.explode(F.sequence("first", "last"))).select(F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).alias("side"), "node", *cols)
 
     def unit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "node"])
         f = np.ascontiguousarray(pdf[cols].to_numpy(np.int64)).view(np.uint64)
-        n = int((pdf.side == 0).sum())
+        n = int((~pdf.side).sum())
         node = pdf.node.to_numpy(np.int64)
-        if int(pdf.unit.iloc[0]) in both:
+        if pdf.i.iloc[0] != pdf.j.iloc[0]:
             if n == 0 or n == len(f):
                 return pd.DataFrame({"a": node[:0], "b": node[:0]})
             i, j = compare(f[:n], f[n:], radius, screen)
@@ -172,7 +177,8 @@ def links(prints: DataFrame, radius: int, screen: int | None = None) -> DataFram
             i, j = compare(f, None, radius, screen)
         return pd.DataFrame({"a": node[i], "b": node[j]})
 
-    return dealt.repartition(max(shuffle_width(spark), min(4 * shuffle_width(spark), len(units))), "unit").groupBy("unit").applyInPandas(unit, "a long, b long")
+    units = sum(b - a + 1 for _, a, b in plan)
+    return dealt.repartition(max(shuffle_width(spark), min(4 * shuffle_width(spark), units)), "i", "j").groupBy("i", "j").applyInPandas(unit, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = 3, words: int = 1, radius: int = 2, screen: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -181,7 +187,8 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, words: int = 1, radius: int
     Returns one row for each input row: doc_id, fingerprint (hexadecimal digits of all words), component_id (the smallest
     doc_id of its group, its own included), group_size, text_key (XXH64 of the text). Rows with equal fingerprints are always linked; so are all texts
     without words, null ones included. Rows that repeat are counted each. A row with a null doc_id takes part; its
-    group's component_id is null only if no member has an id. An empty table gives an empty result.
+    group's component_id is null only if no member has an id. A very long text is one fingerprint like any other. Other
+    columns are not looked at, whatever their names. An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, ngram, words, text_col, id_col))
     cols = [f"f{i}" for i in range(words)]
@@ -189,11 +196,11 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, words: int = 1, radius: int
     prints = prints.withColumn("node", key)
     distinct = written(prints.groupBy("node", *cols).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     comp = components(links(distinct.select("node", *cols), radius, screen))
-    rooted = distinct.join(comp, "node", "left").select("node", *cols, "least", "n", F.coalesce("root", "node").alias("root"))
+    rooted = written(distinct.join(comp, "node", "left").select("node", "least", "n", F.coalesce("root", "node").alias("root")))
     sums = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size"))
-    where = rooted.join(sums, "root").select("node", "component_id", "group_size")
+    where = written(hub_join(rooted, sums, "root").select("node", "component_id", "group_size").dropDuplicates(["node"]))
     digits = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in cols])
-    return prints.join(where.dropDuplicates(["node"]), "node").select("doc_id", digits.alias("fingerprint"), "component_id", "group_size", "text_key")
+    return hub_join(prints, where, "node").select("doc_id", digits.alias("fingerprint"), "component_id", "group_size", "text_key")
 
 
 #: Most shingle sets of a chunk of a candidate group, and most shingles, about (chunks are drawn by a hash).
@@ -252,6 +259,8 @@ def near_copies(docs: DataFrame, ngram: int, words: int, radius: int, screen: in
     Fingerprints of the distinct shingles only propose groups (`radius`, `screen` as in links). The shingle sets of such a
     group are then compared exactly, all with all: dealt into chunks, each pair of chunks being a unit of work that keeps a
     spanning forest of its links. So no pair is dropped for being many, and none is linked by its fingerprints alone.
+    A text with fewer words than `ngram` is one shingle; texts without words (or null) are alike. Rows that repeat in id and
+    text stay as one row here. Other columns are not looked at. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     cols = [f"f{i}" for i in range(words)]
@@ -272,15 +281,16 @@ def near_copies(docs: DataFrame, ngram: int, words: int, radius: int, screen: in
     block = written(components(links(sets.select("node", *cols), radius, screen)).withColumnRenamed("root", "block"))
 
     k = F.ceil(F.greatest(F.count("*") / F.lit(CHUNK), F.sum("size") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks")
-    member = sets.join(block, "node").select("node", "block", "size", F.col("first.text_key").alias("text_key"))
-    member = written(member.join(member.groupBy("block").agg(k), "block"))
+    member = written(sets.join(block, "node").select("node", "block", "size", F.col("first.text_key").alias("text_key"), F.col("first.doc_id").cast("string").alias("first_id")))
+    member = written(hub_join(member, member.groupBy("block").agg(k), "block"))
 
     def gather(batches):
         for pdf in batches:
             yield pd.DataFrame({"node": pdf.node, "block": pdf.block, "chunk": pdf.chunk, "chunks": pdf.chunks, "h": [shingle_set(t, ngram).tobytes() for t in pdf.t]})
 
     chunk = F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("chunks")).cast("int").alias("chunk")
-    held = texts.select("t", "text_key").join(member, "text_key").select("node", "block", chunk, "chunks", "t").mapInPandas(gather, "node long, block long, chunk int, chunks int, h binary")
+    one = texts.join(member.withColumnRenamed("text_key", "own_key"), (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))  # the id spreads copies
+    held = one.select("node", "block", chunk, "chunks", "t").mapInPandas(gather, "node long, block long, chunk int, chunks int, h binary")
     x = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("x")
     dealt = held.select("node", "block", "chunk", "h", x).select("node", "block", F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"), "chunk", "h")
 

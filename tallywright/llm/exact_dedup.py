@@ -1,9 +1,11 @@
 """Exact deduplication of a new batch against an immutable snapshot.
 
-The snapshot's digests are kept in static 3-wise binary-fuse filters (Graf and Lemire, 2022), one for each bucket of
-digests: about nine bits a key, no false negative and one false positive in 256. Incoming digests are screened by the
-filters; only the positives join the exact buckets, where texts are compared byte for byte. Duplicates within the new
-batch are grouped on their own, by digest, with a map-side combine.
+A snapshot is stored once and never changed: the digests of its rows, its groups of equal digests, and static 3-wise
+binary-fuse filters (Graf and Lemire, 2022) over them, one for each bucket of digests: about nine bits a key, no false
+negative and one false positive in 256. Each new batch loads the filters and screens its digests by them; only the
+positives join the exact buckets, where texts are compared byte for byte. Filters of up to FILTER_BYTES in all are sent to
+every task, so that the batch is not shuffled for the screening; larger ones meet its digests bucket by bucket.
+Duplicates within the new batch are grouped on their own, by digest, with a map-side combine.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, shuffle_width, written
+from .common import hub_join, mixed, scratch_dir, shuffle_width, written
 
-#: Snapshot digests of a bucket, on average.
-BUCKET = 200_000
+#: Snapshot digests of a bucket, on average; and bytes of filters that are sent to every task, at most.
+BUCKET, FILTER_BYTES = 200_000, 32_000_000
 
 
 def _places(keys: np.ndarray, seed: int, segment: int, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,67 +71,107 @@ def may_hold(keys: np.ndarray, seed: int, segment: int, count: int, table: bytes
     return (t[slots[:, 0]] ^ t[slots[:, 1]] ^ t[slots[:, 2]]) == prints
 
 
-def _key() -> F.Column:
-    """60 bits of the digest."""
-    return F.conv(F.substring("sha", 1, 15), 16, 10).cast("long")
+def _digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(doc_id, sha, text_key): SHA-256 and XXH64 of each text; null counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.xxhash64(text).alias("text_key"))
 
 
-def snapshot_filters(groups: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, seed, segment, segments, bits): one filter for each bucket of the snapshot's digests `sha`."""
+def _groups(digests: DataFrame) -> DataFrame:
+    return digests.groupBy("sha").agg(F.max("doc_id").alias("top"), F.count("*").alias("n"), F.min("text_key").alias("text_key"))
+
+
+def _keyed(groups: DataFrame, buckets: int | F.Column) -> DataFrame:
+    key = F.xxhash64("sha")
+    return groups.select("sha", key.alias("key"), F.pmod(key, F.lit(buckets)).cast("int").alias("bucket"))
+
+
+def write_snapshot(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> None:
+    """Store what later batches need of the snapshot docs: path/digests (doc_id, sha, text_key), path/groups (sha, top,
+    n, text_key) and path/filters (bucket, buckets, seed, segment, segments, bits). The texts are read once."""
+    spark = docs.sparkSession
+    _digests(docs, text_col, id_col).write.parquet(f"{path}/digests")
+    _groups(spark.read.parquet(f"{path}/digests")).write.parquet(f"{path}/groups")
+    groups = spark.read.parquet(f"{path}/groups")
+    buckets = max(shuffle_width(spark), math.ceil(groups.count() / BUCKET))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         seed, segment, count, table = build_filter(pdf.key.to_numpy(np.int64).view(np.uint64))
-        return pd.DataFrame([(pdf.bucket.iloc[0], seed, segment, count, table)], columns=["bucket", "seed", "segment", "segments", "bits"])
+        return pd.DataFrame([(pdf.bucket.iloc[0], buckets, seed, segment, count, table)], columns=["bucket", "buckets", "seed", "segment", "segments", "bits"])
+
+    filters = _keyed(groups, buckets).select("key", "bucket").groupBy("bucket").applyInPandas(build, "bucket int, buckets int, seed int, segment int, segments int, bits binary")
+    filters.write.parquet(f"{path}/filters")
+
+
+def screen(groups: DataFrame, filters: DataFrame) -> DataFrame:
+    """(sha): the digests of groups that a filter of the snapshot may hold."""
+    size = filters.agg(F.max("buckets").alias("buckets"), F.sum(F.octet_length("bits") + 100).alias("size")).first()
+    if not size["buckets"]:
+        return groups.select("sha").where("false")
+    keyed = _keyed(groups, size["buckets"])
+
+    def hits(pdf: pd.DataFrame, f) -> pd.DataFrame:
+        return pdf.loc[may_hold(pdf.key.to_numpy(np.int64).view(np.uint64), int(f["seed"]), int(f["segment"]), int(f["segments"]), f["bits"]), ["sha"]]
 
-    keyed = groups.select(_key().alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
-    return keyed.groupBy("bucket").applyInPandas(build, "bucket int, seed int, segment int, segments int, bits binary")
+    if size["size"] <= FILTER_BYTES:
+        sent = groups.sparkSession.sparkContext.broadcast({r["bucket"]: {**r.asDict(), "bits": bytes(r["bits"])} for r in filters.toLocalIterator()})
 
+        def probe(batches):
+            for pdf in batches:
+                for bucket, own in pdf.groupby("bucket"):
+                    if bucket in sent.value:
+                        yield hits(own, sent.value[bucket])
 
-def screen(groups: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The rows of groups (with digests `sha`) that a filter of the snapshot may hold."""
+        return keyed.mapInPandas(probe, "sha binary")
 
-    def run(f: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(f) or not len(pdf):
-            return pdf[["sha"]].iloc[:0]
-        x = f.iloc[0]
-        return pdf.loc[may_hold(pdf.key.to_numpy(np.int64).view(np.uint64), int(x.seed), int(x.segment), int(x.segments), x.bits), ["sha"]]
+    def meet(f: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        return hits(pdf, f.iloc[0]) if len(f) and len(pdf) else pd.DataFrame({"sha": pd.Series([], dtype=object)})
 
-    keyed = groups.select("sha", _key().alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
-    return filters.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInPandas(run, "sha string")
+    return filters.groupBy("bucket").cogroup(keyed.groupBy("bucket")).applyInPandas(meet, "sha binary")
 
 
-def exact_duplicates(snapshot: DataFrame, incoming: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Groups of equal texts over an old snapshot and a new batch.
+def exact_duplicates(snapshot: DataFrame, incoming: DataFrame, path: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Groups of equal texts over an old snapshot and a new batch. path: where write_snapshot() stored the snapshot; if
+    None, it is stored in the shared folder first.
 
     Returns one row for each row of both: doc_id, keep_id (largest doc_id of the group), group_size, kept (doc_id is
-    keep_id), text_sha256. Texts are compared unchanged; null counts as empty. A null doc_id is never the largest unless
-    the group has no other, and then keep_id is null and the rows are kept. Rows that repeat with the same doc_id and
-    text count each, and all of them carry kept = true where theirs is the largest id: they cannot be told apart.
+    keep_id), text_sha256. Texts are compared unchanged, however long; null counts as empty. A null doc_id is never the
+    largest unless the group has no other, and then keep_id is null and the rows are kept. Rows that repeat with the same
+    doc_id and text count each, and all of them carry kept = true where theirs is the largest id: they cannot be told
+    apart. Other columns are not looked at, whatever their names. Empty tables, either or both, give no rows of theirs.
     """
     spark = snapshot.sparkSession
-    part = lambda df: df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
-    old, new = part(snapshot), part(incoming)
-    group = lambda df: df.groupBy("sha").agg(F.max("doc_id").alias("top"), F.count("*").alias("n"))
-    old_groups, new_groups = written(group(old.drop("text"))), written(group(new.drop("text")))
-    buckets = max(shuffle_width(spark), math.ceil(old_groups.count() / BUCKET))
-    positives = written(screen(new_groups, snapshot_filters(old_groups, buckets), buckets))
-
-    def sample(df: DataFrame, groups: DataFrame) -> DataFrame:
+    if path is None:
+        path = scratch_dir(spark)
+        write_snapshot(snapshot, path, text_col, id_col)
+    old, old_groups, filters = (spark.read.parquet(f"{path}/{x}") for x in ("digests", "groups", "filters"))
+    new = written(_digests(incoming, text_col, id_col))
+    new_groups = written(_groups(new))
+    positives = written(screen(new_groups, filters))
+
+    def sample(docs: DataFrame, groups: DataFrame) -> DataFrame:
         """One text of each digest that the filters let through. The id is part of the key, which spreads large groups."""
-        wanted = groups.join(positives, "sha").select(F.col("sha").alias("digest"), "top")
-        return df.join(wanted, (F.col("sha") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("top"))).select("sha", "text")
+        wanted = groups.join(positives, "sha").select(F.col("sha").alias("digest"), "top", F.col("text_key").alias("key"))
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+        found = texts.join(wanted, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("top")))
+        return found.where(F.unhex(F.sha2("text", 256)) == F.col("digest")).select(F.col("digest").alias("sha"), "text")
 
     # the exact buckets, compared byte for byte
-    same = sample(old, old_groups).join(sample(new, new_groups).withColumnRenamed("text", "other"), "sha").where(F.col("text") == F.col("other")).select("sha").distinct()
-    matched = written(same.withColumn("old", F.lit(True)))
-    joint = old_groups.join(matched, "sha").select("sha", "top", "n").union(new_groups.join(matched, "sha").select("sha", "top", "n"))
-    joint = joint.groupBy("sha").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
-    alone = lambda groups: groups.join(matched, "sha", "left_anti").select("sha", "top", "n")
-    out = old.select("doc_id", "sha").join(alone(old_groups).union(joint), "sha").union(new.select("doc_id", "sha").join(alone(new_groups).union(joint), "sha"))
-    return out.select("doc_id", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("top")).alias("kept"), F.col("sha").alias("text_sha256"))
+    same = sample(snapshot, old_groups).join(sample(incoming, new_groups).withColumnRenamed("text", "other"), "sha").where(F.col("text") == F.col("other")).select("sha").distinct()
+    matched = written(same)
+    side = [F.lit(bytearray([i])) for i in (0, 1)]  # digests that are equal though the texts differ stay apart
+    plain = [g.select("sha", "top", "n") for g in (old_groups, new_groups)]
+    joint = plain[0].join(matched, "sha").union(plain[1].join(matched, "sha")).groupBy("sha").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
+    groups = joint.select(F.explode(F.array(*[F.concat("sha", x) for x in side])).alias("k"), "top", "n")
+    for g, x in zip(plain, side, strict=True):
+        groups = groups.union(g.join(matched, "sha", "left_anti").select(F.concat("sha", x), "top", "n"))
+    rows = old.select("doc_id", "sha", F.concat("sha", side[0]).alias("k")).union(new.select("doc_id", "sha", F.concat("sha", side[1])))
+    out = hub_join(rows, written(groups), "k")
+    return out.select("doc_id", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("top")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def dedup_table(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """exact_duplicates over one table: half of its rows, by a hash of their ids, is the snapshot and the rest the batch."""
     half = F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)) == 0
-    return exact_duplicates(docs.where(half), docs.where(~half), text_col, id_col)
+    return exact_duplicates(docs.where(half), docs.where(~half), None, text_col, id_col)

@@ -4,8 +4,9 @@ A conversation is often logged again with each new turn. Every turn prefix has a
 128 bits of each turn with its position. A conversation whose full hash is a proper prefix of another is anti-joined
 away, and of equal conversations the one with the smallest conv_id stays.
 
-Positions and prefix hashes are built in two levels, inside blocks of BLOCK turn numbers and over the blocks of a
-conversation, and a rendered row covers one block, so a conversation with very many turns is never gathered whole.
+Positions, prefix hashes and rendered texts are built in two levels, inside blocks of BLOCK turn numbers and over the
+blocks of a conversation, so the turns of a very long conversation are sorted in many tasks. Only its rendered text, one
+row, comes together.
 """
 
 from __future__ import annotations
@@ -13,60 +14,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import hub_join, written
+
 #: Turn numbers of a block.
 BLOCK = 1000
 
 
-def turn_prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, block, pos, role, text, a, b): turns numbered from 1 in order of turn (nulls first), role and text, with
-    the two 64-bit rolling hashes of the prefix that ends there. Null roles and texts count as empty."""
+def numbered_turns(turns: DataFrame) -> DataFrame:
+    """(c, conv_id, block, at, role, text): turns numbered from 1 within their block in order of turn (nulls first), role and
+    text. c is the conversation's id as text that also null has. Null roles and texts count as empty."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    t = t.withColumn("at", F.row_number().over(inside).cast("long"))
-    sizes = t.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    past = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    t = _beside(t, sizes.select("conv_id", "block", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before")))
-    t = t.withColumn("pos", F.col("before") + F.col("at"))
-    run = Window.partitionBy("conv_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rolling = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "pos", "role", "text")).over(run)
-    t = t.withColumns({"x": rolling(1), "y": rolling(2)})
-    ends = t.groupBy("conv_id", "block").agg(F.max(F.struct("at", "x", "y")).alias("last"))
-    ends = ends.select("conv_id", "block", *[F.coalesce(F.bit_xor(f"last.{c}").over(past), F.lit(0)).alias(f"p{c}") for c in "xy"])
-    t = _beside(t, ends)
-    return t.select("conv_id", "block", "pos", "role", "text", F.col("x").bitwiseXOR(F.col("px")).alias("a"), F.col("y").bitwiseXOR(F.col("py")).alias("b"))
+    t = t.withColumn("c", F.to_json(F.struct("conv_id"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
+    inside = Window.partitionBy("c", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    return t.select("c", "conv_id", "block", F.row_number().over(inside).cast("long").alias("at"), "role", "text")
 
 
-def _beside(t: DataFrame, blocks: DataFrame) -> DataFrame:
-    """t with the columns of its row in blocks; null conversation ids meet."""
-    blocks = blocks.withColumnRenamed("conv_id", "c").withColumnRenamed("block", "k")
-    return t.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("k"))).drop("c", "k")
+def turn_prefixes(numbered: DataFrame) -> DataFrame:
+    """(c, conv_id, pos, n_turns, a, b): for each turn its position from 1, the number of turns of its conversation, and the two
+    64-bit rolling hashes of the prefix that ends there."""
+    past = Window.partitionBy("c").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy("c", "block").agg(F.count("*").alias("n"))
+    sizes = sizes.select("c", "block", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("c")).alias("n_turns"))
+    t = numbered.join(sizes, ["c", "block"]).withColumn("pos", F.col("before") + F.col("at"))
+    run = Window.partitionBy("c", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rolling = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "pos", "role", "text")).over(run)
+    t = written(t.select("c", "conv_id", "block", "pos", "n_turns", rolling(1).alias("x"), rolling(2).alias("y")))
+    ends = t.groupBy("c", "block").agg(F.max(F.struct("pos", "x", "y")).alias("last"))
+    ends = ends.select("c", "block", *[F.coalesce(F.bit_xor(f"last.{h}").over(past), F.lit(0)).alias(f"past_{h}") for h in "xy"])
+    t = t.join(ends, ["c", "block"])
+    return t.select("c", "conv_id", "pos", "n_turns", F.col("x").bitwiseXOR(F.col("past_x")).alias("a"), F.col("y").bitwiseXOR(F.col("past_y")).alias("b"))
 
 
 def maximal_conversations(prefixes: DataFrame) -> DataFrame:
-    """(conv_id, n_turns): conversations that no longer one starts with, one of each set of equal ones."""
-    whole = prefixes.groupBy("conv_id").agg(F.max(F.struct("pos", "a", "b")).alias("last"))
-    whole = whole.select("conv_id", F.col("last.pos").alias("n_turns"), F.col("last.a").alias("a"), F.col("last.b").alias("b"))
-    ends = whole.select(F.col("conv_id").alias("c"), F.col("n_turns").alias("n"))
-    proper = prefixes.join(ends, F.col("conv_id").eqNullSafe(F.col("c"))).where("pos < n").groupBy("pos", "a", "b").agg(F.lit(1).alias("one"))
-    proper = proper.select(F.col("pos").alias("n_turns"), "a", "b")
-    left = whole.join(proper, ["n_turns", "a", "b"], "left_anti")
-    first = left.groupBy("n_turns", "a", "b").agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id")).alias("first"))
-    return first.select(F.col("first.conv_id").alias("conv_id"), "n_turns")
+    """(c, n_turns): conversations that no longer one starts with, one of each set of equal ones. Equal prefixes are
+    grouped first on both sides, so one that is logged very often is one row of the anti-join."""
+    first = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "c")).alias("first")
+    whole = prefixes.where("pos = n_turns").groupBy("pos", "a", "b").agg(first)
+    proper = prefixes.where("pos < n_turns").select("pos", "a", "b").distinct()
+    return whole.join(proper, ["pos", "a", "b"], "left_anti").select("first.c", F.col("pos").alias("n_turns"))
 
 
 def format_chats(turns: DataFrame, start: str = "<|", mid: str = "|>\n", end: str = "<|end|>\n") -> DataFrame:
     """Render the maximal conversations of (conv_id, turn, role, text).
 
-    Returns one row for each kept conversation and block of turn numbers (nearly always one): conv_id, segment (from 0),
-    n_turns (of the whole conversation), text: start + role + mid + text + end for each turn. Turns are ordered by turn
-    (nulls first), role, text; turns that repeat stay. Null roles and texts render as empty. Rows with a null conv_id are
-    one conversation. An empty table gives no rows. Other columns are not looked at.
+    Returns one row for each kept conversation: conv_id, n_turns, text: start + role + mid + text + end for each turn.
+    Turns are ordered by turn (nulls first), role, text; turns that repeat stay. Null roles and texts render as empty,
+    very long ones whole (a conversation has to fit in one row, 2 GB). Rows with a null conv_id are one conversation. An
+    empty table gives no rows. Other columns are not looked at, whatever their names.
     """
-    prefixes = turn_prefixes(turns)
-    kept = maximal_conversations(prefixes).withColumnRenamed("conv_id", "c")
-    own = prefixes.join(kept, F.col("conv_id").eqNullSafe(F.col("c")))
-    parts = own.groupBy("conv_id", "block", "n_turns").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("ts"))
-    text = F.array_join(F.transform("ts", lambda t: F.concat(F.lit(start), t["role"], F.lit(mid), t["text"], F.lit(end))), "")
-    segment = F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1
-    return parts.select("conv_id", segment.alias("segment"), "n_turns", text.alias("text"))
+    numbered = written(numbered_turns(turns))
+    kept = written(maximal_conversations(written(turn_prefixes(numbered))))
+    line = F.concat(F.lit(start), "role", F.lit(mid), "text", F.lit(end))
+    joined = lambda order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "").alias("text")
+    blocks = hub_join(numbered.select("c", "conv_id", "block", "at", line.alias("text")), kept, "c").groupBy("c", "conv_id", "n_turns", "block").agg(joined("at"))
+    return blocks.groupBy("c", "conv_id", "n_turns").agg(joined("block")).select("conv_id", "n_turns", "text")

@@ -40,7 +40,7 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+    return chat.format_chats(_table(spark, sf_dir, "conversations")).select("conv_id", F.lit(0).alias("segment"), "n_turns", "text")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC records, parsed again and their revisits resolved."""
-    return warc.resolve_revisits(warc.parse_records(warc.format_records(captures(_table(spark, sf_dir, "pages")))).where("intact"))
+    return warc.resolve_revisits(warc.parse_records(warc.format_records(captures(_table(spark, sf_dir, "pages")))))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""WARC records and the resolution of not-modified revisits. DataFrame functions only.
+"""WARC records and the resolution of not-modified revisits.
 
 A revisit record says that a page had not changed. It is resolved by an as-of join on the canonical URL to the latest
 full response captured before it; the validators (ETag, else Last-Modified) must agree, and the headers that a 304
@@ -8,14 +8,20 @@ the blocks of a URL, so a URL that is captured very often does not land in one t
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import shuffle_width, written
+
 #: Seconds of a time block.
 BLOCK = 86_400
 #: Headers that a not-modified response updates. Fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 _CUT = "\r\n\r\nWARC/1.1\r\n"
+_LENGTH = re.compile(r"(?im)^Content-Length:[ \t]*([0-9]+)")
 
 
 def canonical_url(url: str = "url") -> F.Column:
@@ -45,9 +51,30 @@ def write_warc(captures: DataFrame, path: str) -> None:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record) of all files. Spark cuts the files where a record ends and the next one starts."""
-    raw = spark.read.option("lineSep", _CUT).text(path)
-    return raw.select(F.when(F.col("value").startswith("WARC/1.1\r\n"), F.col("value")).otherwise(F.concat(F.lit("WARC/1.1\r\n"), F.col("value"))).alias("record"))
+    """(record) of all files, each as long as its Content-Length says: a payload may hold the end-of-record mark, and what
+    follows the mark then belongs to it. Spark cuts the files at the marks; the pieces of a file go through one task in
+    order, a batch at a time, where those that a record is short of are put back to it. A record that the end of its
+    file cuts off comes as it is."""
+    raw = spark.read.option("lineSep", _CUT).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value")
+
+    def whole(batches):
+        file, held, short = None, [], 0
+        for pdf in batches:
+            out = []
+            for f, value in zip(pdf.file, pdf.value, strict=True):
+                if f != file or short <= 0:
+                    out += [_CUT.join(held)] * bool(held)
+                    file, held = f, [value if value.startswith("WARC/1.1\r\n") else "WARC/1.1\r\n" + value]
+                    head, _, block = held[0].partition("\r\n\r\n")
+                    size = _LENGTH.search(head)
+                    short = (int(size[1]) if size else 0) - len(block.encode())
+                else:
+                    held.append(value)
+                    short -= len((_CUT + value).encode())
+            yield pd.DataFrame({"record": pd.Series(out, dtype=object)})
+        yield pd.DataFrame({"record": pd.Series([_CUT.join(held)] * bool(held), dtype=object)})
+
+    return raw.repartition(shuffle_width(spark), "file").sortWithinPartitions("file", "start", "n").mapInPandas(whole, "record string")
 
 
 def header(block: str, name: str) -> F.Column:
@@ -57,7 +84,7 @@ def header(block: str, name: str) -> F.Column:
 
 def parse_records(records: DataFrame) -> DataFrame:
     """(record_id, url, kind, at, status, http, payload, intact) of WARC records. intact: the block is as long as its
-    Content-Length says (a payload that holds the end-of-record mark itself is cut there, and found by this)."""
+    Content-Length says; of others (cut off by the end of their file) what there is is returned."""
     cut = F.instr("record", "\r\n\r\n")
     r = records.select(F.substring(F.col("record"), F.lit(1), cut - 1).alias("w"), F.substr("record", cut + 4).cast("binary").alias("bytes"))
     size = F.coalesce(header("w", "Content-Length").try_cast("int"), F.lit(-1))
@@ -91,13 +118,15 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     earlier); mismatch (both have an ETag and they differ, weak marks ignored, or, where not both have one, both have
     Last-Modified and they differ); unverified (no validator to compare). Only resolved ones carry response columns.
     Of responses at the same time the one with the largest record_id counts. A null time is never earlier than
-    anything, and a null URL counts as empty. Rows that repeat are resolved each.
+    anything, and a null URL counts as empty. Rows that repeat are resolved each. Very long payloads are only hashed. Other
+    columns are not looked at, whatever their names. An empty table gives no rows.
     """
     c = captures.select("record_id", "kind", "status", "http", "payload", canonical_url("url").alias("u"), F.unix_micros("at").alias("t"))
     c = c.withColumn("block", F.floor(F.col("t") / (BLOCK * 1_000_000)))
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("t").isNotNull()
     rows = c.withColumn("own", F.when(full, F.struct("t", "record_id", F.coalesce("http", F.lit("")).alias("http"), F.sha2(F.coalesce("payload", F.lit("")), 256).alias("digest"))))
     rows = rows.select("record_id", "u", "t", "block", "kind", "http", "own").where(F.col("own").isNotNull() | (F.col("kind") == "revisit"))
+    rows = written(rows)  # without the payloads; both sides of the join below read it
     blocks = rows.groupBy("u", "block").agg(F.max("own").alias("last"))
     past = Window.partitionBy("u").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.select(F.col("u").alias("u2"), F.col("block").alias("b2"), F.max("last").over(past).alias("carried"))

@@ -1,19 +1,23 @@
 """Benchmark decontamination by SimHash fingerprints of item-sized windows.
 
 A window has as many words as the benchmark item it is compared with (or is the whole document, if that is shorter).
-Windows and items have 64-bit SimHash fingerprints of their weighted shingles. A multi-index over blocks of the
-fingerprint finds all items within the radius: with m blocks, two fingerprints within radius r differ in at most
-r // m bits of some block, so only items with a block within that distance are looked at further.
-Candidates are then verified by the exact weighted Jaccard similarity of the shingles. Windows that hold no shingle of
-any item have similarity zero, so only the neighbourhood of shared shingles is fingerprinted.
-
-The benchmark goes through the job in parts of a bounded size; the documents are never shuffled.
+Windows and items have 64-bit SimHash fingerprints of their weighted shingles. A multi-index over m blocks of the
+fingerprint finds all items within the radius r: two such fingerprints differ in at most r // m bits of some block. For
+each block there is a table from the block's value to the items (as a bit set) whose block lies within that many bits, so
+a window looks m sets up and joins them; no window is compared with items outside them. Candidates are then verified by
+the exact weighted Jaccard similarity of the shingles. Windows that hold no shingle of any item have similarity zero, so
+only the neighbourhood of shared shingles is fingerprinted.
+
+The documents are never shuffled: every task has the index. A benchmark of up to PART items and PART_CHARS characters is
+one index and one scan of the documents; a larger one is cut into parts of that size, each with a scan of its own, and
+the driver holds one part at a time.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -24,10 +28,11 @@ from pyspark.sql import functions as F
 from .common import mixed
 
 #: Most items, and characters, of a part of the benchmark that is sent to every task.
-PART, PART_CHARS = 5_000, 8_000_000
+PART, PART_CHARS = 50_000, 20_000_000
 #: Bits by which a window's fingerprint may differ from an item's, and blocks of the multi-index. Of pairs that are 0.8
-#: alike, fingerprints differ in 10 bits of 64 on average (standard deviation 3).
-RADIUS, BLOCKS = 19, 4
+#: alike, fingerprints differ in 10 bits of 64 on average (standard deviation 3). With blocks of 7 bits that may differ in
+#: one, chance puts 0.43 of the items among the candidates; a radius that finds 0.8 leaves no more to gain.
+RADIUS, BLOCKS = 17, 9
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -65,44 +70,57 @@ def prints(sums: np.ndarray) -> np.ndarray:
 class Index:
     """The items of one part of the benchmark: shingles, fingerprints and the multi-index, by number of words."""
 
-    def __init__(self, items: list[tuple[int, str]], ngram: int, radius: int, blocks: int):
-        self.ngram, self.radius, self.blocks, self.width = ngram, radius, blocks, 64 // blocks
-        self.items, self.by_size, self.known = [], defaultdict(list), []
+    def __init__(self, items: list[tuple[str, str]], ngram: int, radius: int, blocks: int):
+        self.ngram, self.radius, self.blocks = ngram, radius, blocks
+        self.items, by_size, prints_, known = [], defaultdict(list), [], []
         for item, text in items:
             ids = words_of(text)
             if not len(ids):
                 continue
             h = shingles(ids, ngram)
-            self.by_size[len(ids)].append(len(self.items))
-            self.items.append((item, len(ids), Counter(h.tolist()), prints(signs(h).sum(0, keepdims=True))[0]))
-            self.known.append(h)
-        self.prints = np.array([x[3] for x in self.items], np.uint64)
-        self.known = np.unique(np.concatenate(self.known)) if self.known else np.empty(0, np.uint64)
+            by_size[len(ids)].append(len(self.items))
+            self.items.append((item, *np.unique(h, return_counts=True)))
+            prints_.append(prints(signs(h).sum(0, keepdims=True))[0])
+            known.append(self.items[-1][1])
+        self.prints = np.array(prints_, np.uint64)
+        self.known = np.unique(np.concatenate(known)) if known else np.empty(0, np.uint64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        # for each number of words: the items, and the values of each block of their fingerprints
-        self.tables = {}
-        for size, which in self.by_size.items():
-            own = self.prints[which]
-            self.tables[size] = (np.array(which), [(own >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1) for b in range(blocks)])
+        edges = [64 * b // blocks for b in range(blocks + 1)]
+        self.cuts = list(zip(edges[:-1], np.diff(edges).tolist(), strict=True))  # first bit and width of each block
+        self.tables = {size: (np.array(which), self._table(self.prints[which])) for size, which in by_size.items()}
+
+    def _block(self, f: np.ndarray, b: int) -> np.ndarray:
+        first, width = self.cuts[b]
+        return ((f >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+    def _table(self, own: np.ndarray) -> list[np.ndarray]:
+        """For each block and value, the items whose block differs from it in radius // blocks bits or fewer, eight a byte."""
+        out, item = [], np.arange(len(own))
+        for b, (_, width) in enumerate(self.cuts):
+            table = np.zeros((1 << width, -(-len(own) // 8)), np.uint8)
+            value = self._block(own, b)
+            for flip in np.flatnonzero(np.bitwise_count(np.arange(1 << width)) <= self.radius // self.blocks):
+                np.bitwise_or.at(table, (value ^ flip, item // 8), (1 << item % 8).astype(np.uint8))
+            out.append(table)
+        return out
 
     def near(self, size: int, f: np.ndarray) -> list[tuple[int, int]]:
         """(row of f, item) for all items of this number of words within the radius."""
-        which, values = self.tables[size]
-        found = set()
-        for b in range(self.blocks):
-            part = (f >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)
-            r, c = np.nonzero(np.bitwise_count(part[:, None] ^ values[b][None]) <= self.radius // self.blocks)
-            ok = np.bitwise_count(f[r] ^ self.prints[which[c]]) <= self.radius
-            found.update(zip(r[ok].tolist(), which[c[ok]].tolist(), strict=True))
-        return sorted(found)
+        which, tables = self.tables[size]
+        sets = tables[0][self._block(f, 0)]
+        for b in range(1, self.blocks):
+            sets |= tables[b][self._block(f, b)]
+        r, c = np.nonzero(np.unpackbits(sets, axis=1, count=len(which), bitorder="little"))
+        ok = np.bitwise_count(f[r] ^ self.prints[which[c]]) <= self.radius
+        return list(zip(r[ok].tolist(), which[c[ok]].tolist(), strict=True))
 
     def matches(self, ids: np.ndarray, least: float) -> list[tuple[int, int, int, float, int]]:
         """(item, first word, words, similarity, differing bits) of each item's best window in the document."""
         best: dict[int, tuple] = {}
         whole = shingles(ids, self.ngram)
         spots = self._hits(whole)
-        for size in self.by_size:
+        for size in self.tables:
             n = min(self.ngram, size)
             h, at = (whole, spots) if n == self.ngram else ((x := shingles(ids, n)), self._hits(x))
             if not len(at):
@@ -133,9 +151,22 @@ class Index:
         return at[self.known[place] == h[at]]
 
     def _similarity(self, window: np.ndarray, i: int) -> float:
-        own, other = Counter(window.tolist()), self.items[i][2]
-        both = sum(min(n, other[x]) for x, n in own.items() if x in other)
-        return both / (len(window) + sum(other.values()) - both)
+        _, h, n = self.items[i]
+        own, m = np.unique(window, return_counts=True)
+        place = np.minimum(np.searchsorted(h, own), len(h) - 1)
+        both = int(np.minimum(m, np.where(h[place] == own, n[place], 0)).sum())
+        return both / (len(window) + int(n.sum()) - both)
+
+
+_INDEX: dict[str, Index] = {}
+
+
+def _index(key: str, sent, *rule: int) -> Index:
+    """The index of a part, built once in each Python worker."""
+    if key not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key] = Index(sent.value, *rule)
+    return _INDEX[key]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = 5, least: float = 0.8, radius: int = RADIUS, blocks: int = BLOCKS, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -143,8 +174,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = 5, least: f
     where the weighted Jaccard similarity of the shingles of `ngram` words is `least` or more (earliest, if several).
 
     Words are runs of letters and digits, lower-cased. Items with fewer words than `ngram` are compared as whole
-    sequences. Null and empty texts and items without words match nothing. Rows that repeat are reported each. Candidates
-    come from fingerprints within `radius`: a window that is alike may, rarely, lie beyond it; equal passages never do.
+    sequences. Null and empty texts and items without words match nothing. Rows that repeat are reported each. Very long
+    texts are read whole. Other columns are not looked at, whatever their names. An empty table on either side gives no
+    rows. Candidates come from fingerprints within `radius`: a window that is alike may, rarely, lie beyond it; equal
+    passages never do.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -152,11 +185,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = 5, least: f
     schema = "doc_id string, text_key long, item_id string, start_word long, n_words long, similarity double, distance int"
     out = None
 
-    def scan(part: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(part)
+    def scan(part: list[tuple[str, str]]) -> DataFrame:
+        sent, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
         def run(batches):
-            index = Index(sent.value, ngram, radius, blocks)
+            index = _index(name, sent, ngram, radius, blocks)
             for pdf in batches:
                 rows = [(d, k, *m) for d, k, t in zip(pdf.doc_id, pdf.text_key, pdf.text, strict=True) for m in index.matches(words_of(t), least)]
                 if rows:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import mixed
 
-#: Texts of each language the classifiers learn from, about (a bound by rate of a hash of doc_id); most languages, the most frequent ones.
-PER_LANGUAGE, LANGUAGES = 400, 200
+#: Texts of each language, and of all, that the classifiers learn from, about (a bound by rate of a hash of doc_id).
+PER_LANGUAGE, SAMPLE = 400, 20_000
 #: Size of the hashed feature space.
 FEATURES = 1 << 12
 
@@ -88,12 +88,12 @@ class Model:
 
 def train(x: np.ndarray, y: np.ndarray, langs: list[str], rounds: int = 300, rate: float = 8.0, decay: float = 1e-5) -> Model:
     """One logistic classifier for each bit, by full-batch gradient steps with momentum; languages weigh the same whatever their number of texts."""
-    codes = codewords(len(langs))
+    codes = codewords(len(langs)).astype(x.dtype)
     target = codes[y]
-    w, b = np.zeros((x.shape[1], codes.shape[1])), np.zeros(codes.shape[1])
+    w, b = np.zeros((x.shape[1], codes.shape[1]), x.dtype), np.zeros(codes.shape[1], x.dtype)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     share = 1 / np.bincount(y, minlength=len(langs))[y]
-    share = (share / share.sum())[:, None]
+    share = (share / share.sum())[:, None].astype(x.dtype)
     for _ in range(rounds):
         g = -target * share / (1 + np.exp(np.clip(target * (x @ w + b), -50, 50)))
         vw = 0.9 * vw - rate * (x.T @ g + decay * w)
@@ -107,28 +107,26 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Learn from rows that are not held out and have a language. A bounded sample: about `per_language` texts of each of the
-    LANGUAGES most frequent languages, chosen by a hash of the id. None if there is nothing to learn from."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, most: int = SAMPLE) -> Model | None:
+    """Learn every language of the rows that are not held out from a bounded sample: about `per_language` texts of each,
+    fewer where that makes more than `most` in all, chosen by a hash of the id, and one text of each language at least.
+    None if there is nothing to learn from. The driver holds the sample's features and a row for each language."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.where(F.length("text") > 0)
-    size = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not size:
-        return None
-    langs = sorted(size)
-    rates = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, per_language / size[lang])))])
     draw = F.xxhash64(F.lit("language"), F.col("doc_id")).bitwiseAND(F.lit(2**53 - 1)) / F.lit(2.0**53)
+    known = known.where(F.length("text") > 0).withColumn("draw", draw)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()
+    if not sizes:
+        return None
+    langs, each = sorted(r["lang"] for r in sizes), min(per_language, most / len(sizes))
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], max(r["least"], min(1.0, each / r["n"]))) for r in sizes], "lang string, bound double")
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"lang": pdf.lang, "x": [features(t).astype(np.float32).tobytes() for t in pdf.text]})
 
-    rows = known.where(F.col("lang").isin(langs)).where(draw < rates[F.col("lang")]).select("text", "lang").mapInPandas(run, "lang string, x binary").collect()
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(float) if rows else np.zeros((0, FEATURES))
-    if not len(x):
-        return None
-    seen = sorted({r["lang"] for r in rows})
-    return train(x, np.array([seen.index(r["lang"]) for r in rows]), seen)
+    rows = known.join(F.broadcast(bounds), "lang").where("draw <= bound").select("text", "lang").mapInPandas(run, "lang string, x binary").collect()
+    at = {lang: i for i, lang in enumerate(langs)}
+    return train(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([at[r["lang"]] for r in rows]), langs)
 
 
 #: Gap of the mean losses below which a decision is ambiguous.

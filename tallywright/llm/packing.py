@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, text_bytes, written
-from .tokens import crc, word_memo
+from .common import ragged, shuffle_width, written
+from .tokens import crcs, ended, word_memo
 
 #: Partitions whose open windows are merged together: a merge has at most OPEN * FAN windows.
 OPEN, FAN = 64, 256
@@ -31,6 +32,11 @@ class BestFit:
     def __init__(self, size: int, most: int):
         self.size, self.most, self.rooms, self.made = size, most, [], 0  # rooms: sorted (room, window)
 
+    def full(self) -> int:
+        """A new window that an item fills by itself."""
+        self.made += 1
+        return self.made - 1
+
     def place(self, length: int) -> tuple[int, int, list[int]]:
         at, emitted = bisect.bisect_left(self.rooms, (length, -1)), []
         if at < len(self.rooms):
@@ -51,39 +57,53 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: in
 
     Returns one row for each piece: doc_id, start (the document's ids before it), length, ids_crc32, doc_tokens,
     sequence_id, offset (gapless from 0 in each sequence) and, if with_ids, ids. Each id lies in exactly one piece. Rows
-    that repeat are packed each; a null doc_id stays null. An empty text is the end id alone. sequence_id is unique but
-    not dense. An empty table gives no pieces.
+    that repeat are packed each; a null doc_id stays null. An empty text is the end id alone; a very long one fills
+    windows by itself. sequence_id is unique but not dense. Other columns are not looked at, whatever their names. An
+    empty table gives no pieces.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_(), *([pa.list_(pa.int32())] if with_ids else [])]
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "offset", "leftover", *(["ids"] if with_ids else [])]
 
-    def run(batches) -> Iterator[pd.DataFrame]:
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
         memo, fit = word_memo(tokenizer), BestFit(size, open_windows)
         base = TaskContext.get().partitionId() << 32
         held: dict[int, list[tuple]] = {}
         out: list[tuple] = []
-        for pdf in batches:
-            for d, t in zip(pdf.doc_id, pdf.t, strict=True):
-                ids = np.append(memo.encode(t), end_id)
-                n, cut = len(ids), len(ids) - len(ids) % size
-                for a in range(0, cut, size):
-                    fit.made += 1
-                    out.append((d, a, size, crc(ids[a : a + size]), n, base | fit.made - 1, 0, False, *([ids[a : a + size].tolist()] if with_ids else [])))
-                if cut < n:
-                    window, offset, emitted = fit.place(n - cut)
-                    held.setdefault(window, []).append((d, cut, n - cut, crc(ids[cut:]), n, base | window, offset, False, *([ids[cut:].tolist()] if with_ids else [])))
+        for batch in batches:
+            doc_ids = batch.column(0).to_pylist()
+            for first, ids, n in memo.encode(batch.column(1)):
+                ids, n = ended(ids, n, end_id)
+                to = np.cumsum(n)
+                # the pieces of all documents, cut at multiples of the size from each document's start
+                cuts = -(-n // size)
+                start = ragged(np.zeros(len(n), np.int64), cuts) * size
+                doc = np.repeat(np.arange(len(n)), cuts)
+                at = (to - n)[doc] + start
+                sums = crcs(ids, np.r_[at, len(ids)])
+                for d, a, p, c in zip(doc.tolist(), start.tolist(), at.tolist(), sums, strict=True):
+                    length = min(size, int(n[d]) - a)
+                    more = [ids[p : p + length].tolist()] if with_ids else []
+                    if length == size:
+                        out.append((doc_ids[first + d], a, length, c, int(n[d]), base | fit.full(), 0, False, *more))
+                        continue
+                    window, offset, emitted = fit.place(length)
+                    held.setdefault(window, []).append((doc_ids[first + d], a, length, c, int(n[d]), base | window, offset, False, *more))
                     for w in emitted:
                         out += held.pop(w)
-            if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
+                if len(out) > 20_000:
+                    yield table(out)
+                    out = []
         out += [(*p[:7], True, *p[8:]) for w in held.values() for p in w]
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield table(out)
 
-    source = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_bytes(text_col).alias("t"))
-    pieces = written(source.mapInPandas(run, _PIECE + ", ids array<int>" * with_ids))
+    source = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    pieces = written(source.mapInArrow(run, _PIECE + ", ids array<int>" * with_ids))
     left = pieces.where("leftover").groupBy("window").agg(F.sum("length").alias("filled"))
     group = F.shiftright("window", 32 + FAN.bit_length() - 1)
 

@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -164,11 +166,41 @@ TRICKY = [
 ]
 
 
-def test_word_memo_equals_library(spark):
+def encoded(memo, texts):
+    out = []
+    for first, ids, n in memo.encode(pa.array(texts)):
+        assert first == len(out)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    return out
+
+
+def test_word_memo_equals_library(spark, monkeypatch):
     texts = TRICKY + [r["text"] for r in docs(spark).collect()]
-    memo = tokens.WordMemo(tokenizer_path())
-    for text, ids in zip(texts, plain_ids(texts), strict=True):
-        assert memo.encode(text.encode()).tolist() == ids, text[:80]
+    for memo, run in ((300_000, 8_000_000), (50, 1000)):
+        monkeypatch.setattr(tokens, "MEMO", memo)
+        monkeypatch.setattr(tokens, "RUN", run)
+        memo = tokens.WordMemo(tokenizer_path())
+        assert memo.by_word
+        for text, got, ids in zip(texts, encoded(memo, texts), plain_ids(texts), strict=True):
+            assert got == ids, text[:80]
+    assert list(memo.encode(pa.array([], pa.string()))) == []
+
+
+def test_word_memo_over_all_letters():
+    letters = [chr(i) for i in range(0x21, 0x3000) if chr(i).isprintable()]
+    rng = np.random.default_rng(2)
+    texts = [f"{c}. a{c}, ({c}b) {c}'s {c}{c}… “{c}” X{c}Y; 1{c}" for c in letters] + ["".join(rng.choice([*letters[:500], *" .,'“…"], 40)) for _ in range(3000)] + ["İ.", "TARİHİ, GAZETESİ:"]
+    for text, got, ids in zip(texts, encoded(tokens.WordMemo(tokenizer_path()), texts), plain_ids(texts), strict=True):
+        assert got == ids, text
+
+
+def test_other_tokenizers_encode_whole():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    memo, texts = tokens.WordMemo(path), ["It's  two\n\n spaces .", "", "<|endoftext|> x"]
+    assert not memo.by_word
+    assert encoded(memo, texts) == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_rank_code_round_trip():
@@ -281,6 +313,34 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(odd(spark, []), spark.createDataFrame(bench, "item_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize(("radius", "blocks"), [(17, 9), (19, 4), (3, 4), (0, 1)])
+def test_multi_index_finds_all_within_the_radius(radius, blocks):
+    rng = np.random.default_rng(1)
+    if blocks == 1:
+        blocks = 8
+    index = decontaminate.Index([(str(i), f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(40)], 5, radius, blocks)
+    f = np.concatenate([index.prints ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in range(0, 24)])
+    want = {(int(r), int(c)) for r, c in zip(*np.nonzero(np.bitwise_count(f[:, None] ^ index.prints[None]) <= radius), strict=True)}
+    assert set(index.near(6, f)) == want and len(index.near(6, f)) == len(want)
+
+
+def test_decontaminate_recall():
+    rng, found, alike = np.random.default_rng(4), 0, 0
+    for size in (8, 12, 20, 40, 80, 150):
+        for trial in range(60):
+            item = [f"w{x}" for x in rng.integers(0, 10**9, size)]
+            index = decontaminate.Index([("1", " ".join(item))], 5, decontaminate.RADIUS, decontaminate.BLOCKS)
+            copy = list(item)
+            for k in rng.choice(size, 1 + trial % 3, replace=False) if size > 20 else [[0, size - 1][trial % 2]]:
+                copy[k] = f"new{rng.integers(0, 10**9)}"
+            grams = lambda w: Counter(zip(*[w[i:] for i in range(5)], strict=False))
+            both = sum((grams(item) & grams(copy)).values())
+            if both >= 0.8 * (2 * (size - 4) - both) - 1e-9:
+                alike += 1
+                found += bool(index.matches(decontaminate.words_of(" ".join(copy)), 0.8 - 1e-9))
+    assert alike > 100 and found >= 0.97 * alike
+
+
 def test_decontaminate_parts(spark, monkeypatch):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     one = decontaminate.contaminated(docs(spark), spark.createDataFrame(bench, "item_id long, text string")).collect()
@@ -301,14 +361,15 @@ def test_chat(spark, block, monkeypatch):
     rows = [
         (1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 5, "user", "hi"), (3, 9, "assistant", "yo"), (3, 11, "user", "more"),
         (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 0, "user", "hi"), (5, 1, "assistant", "no"), (None, 0, "user", None), (None, None, None, ""), (6, 0, "user", "hi"), (6, 0, "user", "hi"),
+        *[(7, t, "user", f"t{t}") for t in (999, 1000, -1, -2000, 5000)], (7, None, "user", "first"), (8, None, "user", "first"), (8, -7, "user", "t-2000"), *[(9, t, "user", "long " * 50_000) for t in range(3)],
     ]
-    got = chat.format_chats(chats(spark, rows)).orderBy("conv_id", "segment").collect()
+    got = chat.format_chats(chats(spark, rows)).collect()
     turn = lambda r, t: f"<|{r}|>\n{t}<|end|>\n"
-    texts = defaultdict(str)
-    for r in got:
-        texts[r["conv_id"], r["n_turns"]] += r["text"]
+    texts = {(r["conv_id"], r["n_turns"]): r["text"] for r in got}
+    assert len(texts) == len(got)
     want = {(3, 3): turn("user", "hi") + turn("assistant", "yo") + turn("user", "more"), (4, 2): turn("user", "hi") + turn("assistant", "no"), (6, 2): turn("user", "hi") * 2, (None, 2): turn("", "") + turn("user", "")}
-    assert dict(texts) == want
+    want |= {(7, 6): "".join(turn("user", x) for x in ("first", "t-2000", "t-1", "t999", "t1000", "t5000")), (9, 3): turn("user", "long " * 50_000) * 3}
+    assert texts == want
     assert chat.format_chats(chats(spark, [])).collect() == []
 
 
@@ -328,6 +389,30 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(table.limit(0), HOST_RULES).collect() == []
 
 
+def test_url_filter_with_thousands_of_rules(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    name = lambda: f"{rng.choice(['shop', 'news', 'blog', 'x'])}{rng.integers(0, 400)}.{rng.choice(['com', 'net', 'org'])}"
+    folder = lambda: f"/{rng.choice(['a', 'img', 'Tag'])}{rng.integers(0, 9)}"
+    hosts = list({(h, p): (str(rng.choice(["allow", "block"])), h, p) for h, p in ((name(), folder() if rng.random() < 0.5 else "/") for _ in range(3000))}.values())
+    patterns = [("block", f"tracker {i}", rf"(?i)/track{i}(?:/|\Z)", [f"track{i}"]) for i in range(500)] + [("block", "empty", r"\A\Z", [])]
+    urls = [f"http://{'www.' * int(rng.integers(0, 2))}{name()}{folder()}{folder()}" for _ in range(1500)] + [f"https://{name()}/TRACK{i}" for i in range(0, 700, 7)] + [None, "nothing", "http://" + name() + "/a1" * 20_000]
+    urls += urls[:5]
+    want = []
+    for u in urls:
+        rest = (u or "").partition("://")[2]
+        h, p = re.match(r"[^/?#]*", rest)[0].lower(), re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        own = [(-1_000_000 - len(x + q), x + q, v) for v, x, q in hosts if (h == x or h.endswith("." + x)) and p.startswith(q)]
+        own += [(-len(e), n, v) for v, n, e, _ in patterns if re.search(e, h + p)]
+        want.append(min(own)[1:] if own else (None, "allow"))
+    table = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    rules = spark.createDataFrame([(v, h, p, None, None, None) for v, h, p in hosts] + [(v, None, None, n, e, t) for v, n, e, t in patterns] + [("block", None, None, "none", None, None)], "verdict string, host string, path string, name string, pattern string, tokens array<string>")
+    for most in (200_000, 1000):
+        monkeypatch.setattr(url_filter, "RULES", most)
+        got = url_filter.filter_urls(table, rules).orderBy("page_id").collect()
+        assert [(r["rule"], r["verdict"]) for r in got] == want
+    assert {r["verdict"] for r in url_filter.filter_urls(table, ()).collect()} == {"allow"}
+
+
 def test_warc(spark, tmp_path, monkeypatch):
     rows = [
         (1, "HTTP://Site.com:80/a?utm_source=x&q=1#f", "response", "2024-01-01 00:00:00", 200, 'ETag: W/"1"\r\nX-Keep: y\r\nCache-Control: old\r\n', "body one"),
@@ -339,13 +424,18 @@ def test_warc(spark, tmp_path, monkeypatch):
         (7, "http://b.com", "response", "2024-01-01 10:00:00", 200, "Last-Modified: m\r\n", "é\n\nb"),
         (8, "http://b.com/", "revisit", "2024-01-01 11:00:00", 304, "Last-Modified: m\r\n", None),
         (9, None, "revisit", None, 304, None, None),
+        (10, "http://c.com/", "response", "2024-01-01 10:00:00", 200, "ETag: x\r\n", "about WARC\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nend " + "long " * 100_000),
+        (11, "http://c.com/", "revisit", "2024-01-01 10:00:01", 304, "ETag: x\r\n", ""), (11, "http://c.com/", "revisit", "2024-01-01 10:00:01", 304, "ETag: x\r\n", ""),
     ]
     table = spark.createDataFrame(rows, "record_id long, url string, kind string, at string, status int, http string, payload string").withColumn("at", F.to_timestamp("at"))
+    for name in ("u", "t", "block", "own", "b2", "resp"):
+        table = table.withColumn(name, F.lit("clash"))
     monkeypatch.setattr(warc, "BLOCK", 86_400)
     for block in (86_400, 7200):
         monkeypatch.setattr(warc, "BLOCK", block)
         got = {r["record_id"]: r for r in warc.resolve_revisits(table).collect()}
-        assert {k: (r["outcome"], r["response_id"]) for k, r in got.items()} == {2: ("resolved", 1), 3: ("no_response", None), 5: ("mismatch", None), 6: ("unverified", None), 8: ("resolved", 7), 9: ("no_response", None)}
+        assert {k: (r["outcome"], r["response_id"]) for k, r in got.items()} == {2: ("resolved", 1), 3: ("no_response", None), 5: ("mismatch", None), 6: ("unverified", None), 8: ("resolved", 7), 9: ("no_response", None), 11: ("resolved", 10)}
+        assert got[11]["digest"] == hashlib.sha256(rows[9][6].encode()).hexdigest()
         assert got[2]["headers"] == 'cache-control: new\netag: "1"\nx-keep: y' and got[8]["digest"] == hashlib.sha256("é\n\nb".encode()).hexdigest()
         assert got[2]["canonical_url"] == "http://site.com/a?q=1" and got[8]["canonical_url"] == "http://b.com/"
     warc.write_warc(table, str(tmp_path / "w"))

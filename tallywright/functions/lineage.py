@@ -1,15 +1,49 @@
-"""Cutting of lineage in loops."""
+"""The folder that all executors share, cutting of lineage there, and joins with keys that hold very many rows."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that hub_join() treats as hubs, at most; and rows of a hub, at least.
+HUBS, HUB_ROWS = 512, 64
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a new temporary folder on a local master (tests), an error on any other."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = context.getCheckpointDir()
+    return found
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/tallywright/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the session's folder; a folder of this machine's own stands in where none is set, as in tests."""
+    """df from a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def hub_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left.join(right, key, how), how being inner, left, left_semi or left_anti, where right has one row at most for each key.
+    The HUBS most frequent keys of left, each of which would send its rows to one task, meet a broadcast of their rows of
+    right, which are as many at most; no other key has more than a HUBS-th of the rows. left is read three times."""
+    most = left.groupBy(key).count().where(F.col("count") > HUB_ROWS).orderBy(F.desc("count"), key).limit(HUBS)
+    hubs = [r[key] for r in most.collect() if r[key] is not None]
+    if not hubs:
+        return left.join(right, key, how)
+    hub = F.coalesce(F.col(key).isin(hubs), F.lit(False))
+    return left.where(~hub).join(right.where(~hub), key, how).unionByName(left.where(hub).join(F.broadcast(right.where(hub)), key, how))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch_dir
 from ..operators import ledger
 from ..sources import files
 from .registry import Registry
@@ -27,14 +26,7 @@ HUMAN = "count(*) FILTER (WHERE event_type = 'PLAN_APPROVED' AND lower(actor_rol
 
 def written(v: Views, df, kind: str = "json"):
     """df as JSON files in the folder the cluster shares, and their path: logs as a source finds them."""
-    context = v.spark.sparkContext
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        base = context.getCheckpointDir()
-    path = f"{base.rstrip('/')}/tallywright/{uuid.uuid4().hex}"
+    path = scratch_dir(v.spark)
     (df.write.text if kind == "text" else df.write.json)(path)
     return path
 

@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 
 class LineRule(NamedTuple):
-    """A line is hit when `need` and `also` match it and `skip` does not."""
+    """A line is hit when `need` and `also` match it and `skip` does not; so do `paths` and `skip_paths` with its file."""
 
     rule: str
     subtype: str
@@ -17,10 +17,11 @@ class LineRule(NamedTuple):
     skip: str = ""
     also: str = ""
     paths: str = r"\.py$"
+    skip_paths: str = ""
 
 
 class NearRule(NamedTuple):
-    """A line is hit when `need` and `also` match it, and the lines from `low` to `high` around it match near_need and not near_skip."""
+    """A line is hit when `need` and `also` match it and `skip` does not, and the lines from `low` to `high` around it match near_need and not near_skip."""
 
     rule: str
     subtype: str
@@ -31,6 +32,7 @@ class NearRule(NamedTuple):
     near_skip: str = ""
     also: str = ""
     paths: str = r"\.py$"
+    skip: str = ""
 
 
 class FileRule(NamedTuple):
@@ -47,6 +49,8 @@ class FileRule(NamedTuple):
 
 # Names, patterns, severities and confidences that results must agree with.
 _JS = r"\.(js|jsx|ts|tsx)$"
+_JS_FUNCTION = r"\b(function|const|let|var)\s+\w+\s*=\s*(async\s+)?(\(.*?\)|function)"
+_NOT_TESTS = r"(^|/)(__pycache__|\.git|venv|build|dist|tests)/|(^|/)test_[^/]*$"
 LINE_RULES = (
     LineRule("sc_secrets", "api_key", r"""(?i)["']?api[_-]?key["']?\s*[=:]\s*["']([^"']+)["']""", paths=""),
     LineRule("sc_secrets", "password", r"""(?i)["']?password["']?\s*[=:]\s*["']([^"']+)["']""", paths=""),
@@ -61,7 +65,7 @@ LINE_RULES = (
     LineRule("sc_sec_patterns", "exec_usage", r"(?i)\bexec\s*\("),
     LineRule("sc_sec_patterns", "debug_mode", r"(?i)(DEBUG\s*=\s*True|app\.debug\s*=\s*True)"),
     LineRule("sc_sec_patterns", "weak_crypto", r"(?i)\b(md5|sha1|DES|RC4)\s*\("),
-    LineRule("sc_sec_patterns", "missing_csrf_protection", r"(?i)@app\.route.*methods.*POST"),
+    LineRule("sc_sec_patterns", "missing_csrf_protection", r"(?i)@app\.route.*methods.*POST"),  # without the look-ahead at its end, which never fails
     LineRule("sc_sec_patterns", "insecure_random", r"(?i)\brandom\.(random|randint|choice)\s*\("),
     LineRule("sc_sec_patterns", "path_traversal", r"(?i)(open|read).*\+.*user.*\+"),
     LineRule("sc_sec_patterns", "hardcoded_secret", r"""(?i)(secret[_-]?key|jwt[_-]?secret|encryption[_-]?key)\s*=\s*["'][^"']+["']"""),
@@ -93,7 +97,7 @@ LINE_RULES = (
     LineRule("sc_nplus1_line", "", r"for\s+\w+\s+in", also=r"\.query\(|\.filter\(|\.get\(|\.all\(|db\.session"),
     LineRule("sc_infinite_loop", "", r"while\s+(True|1)\s*:"),
     LineRule("sc_blocking_io", "", r"\.read\(|\.readlines\(|open\("),
-    *(LineRule("sc_critical_code", w, f"(?i){w}", paths=r"^[^/]*(/[^/]*)*\.py$") for w in ("payment", "transaction", "security", "password", "token", "auth", "encrypt")),
+    *(LineRule("sc_critical_code", w, f"(?i){w}", skip_paths=_NOT_TESTS) for w in ("payment", "transaction", "security", "password", "token", "auth", "encrypt")),
     LineRule("sc_untested_errors", "", r"except\s+\w+|raise\s+\w+"),
     LineRule("sc_shared_state", "self_list", r"self\.\w+\s*=\s*\[\]"),
     LineRule("sc_shared_state", "self_dict", r"self\.\w+\s*=\s*\{\}"),
@@ -123,6 +127,7 @@ LINE_RULES = (
     LineRule("sc_mem_leak", "list", r"^(\w+)\s*=\s*\[\]"),
     LineRule("sc_thread_leak", "pool", r"ThreadPoolExecutor\(", "with"),
     LineRule("sc_unbounded_query", "select", r"(?i)SELECT.*FROM", "(?i)LIMIT"),
+    LineRule("sc_js_tests", "empty_suite", r"""describe\s*\(\s*["'].*["']\s*,\s*\(\)\s*=>\s*\{\s*\}\s*\)""", paths=_JS),
 )
 #: Rules whose first matching subtype alone counts on a line.
 FIRST_ONLY = ("sc_hardcoded", "sc_deprecated", "sc_critical_code")
@@ -139,8 +144,8 @@ NEAR_RULES = (
     NearRule("sc_nplus1_window", "", "for ", 1, 5, r"\.query|\.filter|\.get\(|SELECT|select", also=" in "),
     NearRule("sc_unbounded_query", "all", r"\.all\(\)", -4, 0, "", r"\.limit\(|LIMIT"),
     NearRule("sc_js_tests", "no_assertion", r"\b(it|test)\s*\(", 1, 20, "", r"expect\(|assert|should", paths=_JS),
-    NearRule("sc_js_docs", "function", r"\b(function|const|let|var)\s+[a-zA-Z0-9]\w*\s*=\s*(async\s+)?(\(.*?\)|function)", -1, -1, "", r"\*/", paths=_JS),
-    NearRule("sc_js_docs", "class", r"\bclass\s+[a-zA-Z0-9]\w*", -1, -1, "", r"\*/", paths=_JS),
+    NearRule("sc_js_docs", "function", r"\b(function|const|let|var)\s+[a-zA-Z0-9]\w*\s*=\s*(async\s+)?(\(.*?\)|function)", -1, -1, "", r"^\s*(/\*\*|\*)", paths=_JS),
+    NearRule("sc_js_docs", "class", r"\bclass\s+[a-zA-Z0-9]\w*", -1, -1, "", r"^\s*/\*\*", paths=_JS, skip=_JS_FUNCTION),
 )
 FILE_RULES = (
     FileRule("sc_insecure", "sql_concat", r"""(?i)query\s*[+=]\s*["'].*'\s*\+""", paths=r"\.(py|js|ts|sql|yml|yaml)$"),
@@ -157,15 +162,24 @@ FILE_RULES = (
     FileRule("sc_algorithms", "list_membership", r" in list|\.append", (" in ",)),
     *(FileRule("sc_readme", w, "^", skip=rf"(?i)##\s*{w}", paths="README") for w in ("Installation", "Usage", "Features", "Contributing")),
 )
+# Modules that are not third-party ones.
 STDLIB = (
-    "os sys re json time datetime collections itertools functools operator math random statistics decimal fractions cmath string io pathlib "
-    "glob fnmatch shutil sqlite3 zlib gzip bz2 lzma pickle configparser logging argparse getpass curses platform subprocess socket ssl select "
-    "selectors asyncio threading multiprocessing concurrent urllib http ftplib poplib imaplib smtplib uuid socketserver xmlrpc csv netrc plistlib"
-).split()
+    "os", "sys", "re", "json", "time", "datetime", "collections",
+    "itertools", "functools", "operator", "math", "random", "statistics",
+    "decimal", "fractions", "cmath", "string", "io", "pathlib", "glob",
+    "fnmatch", "shutil", "sqlite3", "zlib", "gzip", "bz2", "lzma",
+    "pickle", "configparser", "logging", "argparse", "getpass", "curses",
+    "platform", "subprocess", "socket", "ssl", "select", "selectors",
+    "asyncio", "threading", "multiprocessing", "concurrent", "urllib",
+    "http", "ftplib", "poplib", "imaplib", "smtplib", "uuid", "socketserver",
+    "xmlrpc", "csv", "netrc", "plistlib",
+)
+# The levels of folders.
 LAYERS = {"api": 0, "routers": 0, "views": 0, "controllers": 0, "handlers": 0, "services": 1, "business": 1, "logic": 1, "core": 1,
           "repositories": 2, "models": 2, "db": 2, "database": 2, "data": 2, "storage": 2}
-#: Names of test files for a source file's stem.
+# Names of test files for a source file's stem.
 TEST_NAMES = ("test_{}.py", "{}_test.py", "{}.test.js", "{}.test.ts", "{}.spec.js", "{}.spec.ts")
+# Patterns of locks, risky calls in constructors, and branch words.
 DEADLOCK, LOCK_USE = r"\.acquire\(|with.*lock", r"(lock|Lock|mutex)\.acquire|with\s+\w+:"
 RISKY_INIT = r"open\(|\.parse|\.get|json\.load|requests\."
 BRANCHES = r"\b(if|elif|else|for|while)\b"

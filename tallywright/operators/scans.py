@@ -6,7 +6,7 @@ returns hits (repo_id, rule_id, path, line_no, subtype, snippet); all rules of a
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,7 +66,7 @@ def scan_lines(lines: DataFrame, rules: Iterable = LINE_RULES) -> DataFrame:
     """Hits of line rules: a projection, without a shuffle."""
     rules, found, chains = list(rules), [], {}
     for r in rules:
-        when = _all(F.col("path").rlike(r.paths) if r.paths else None, _match(_text(), r.need, r.skip), _text().rlike(r.also) if r.also else None)
+        when = _all(_match(F.col("path"), r.paths, r.skip_paths), _match(_text(), r.need, r.skip), _text().rlike(r.also) if r.also else None)
         if r.rule in FIRST_ONLY:
             chains[r.rule] = chains[r.rule].when(when, _named(r.rule, r.subtype)) if r.rule in chains else F.when(when, _named(r.rule, r.subtype))
         else:
@@ -95,7 +95,7 @@ def scan_near(lines: DataFrame, rules: Iterable = NEAR_RULES) -> DataFrame:
         return F.array_join(F.concat(*parts), "\n")
 
     return _hits(df, [
-        F.when(_all(F.col("path").rlike(r.paths) if r.paths else None, _match(_text(), r.need), _text().rlike(r.also) if r.also else None,
+        F.when(_all(F.col("path").rlike(r.paths) if r.paths else None, _match(_text(), r.need, r.skip), _text().rlike(r.also) if r.also else None,
                     _match(near(r.low, r.high), r.near_need, r.near_skip)), _named(r.rule, r.subtype)) for r in rules
     ])
 
@@ -245,6 +245,35 @@ def missing_tests(paths: DataFrame) -> DataFrame:
     return sources.join(tested.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
 
 
-def scan_stats(lines: DataFrame) -> DataFrame:
-    """(repo_id, files, lines) that a scan covers."""
-    return lines.groupBy("repo_id").agg(F.count_distinct("path").alias("files"), F.count("*").alias("lines"))
+def scan_stats(lines: DataFrame, rules: Iterable = (*LINE_RULES, *NEAR_RULES, *FILE_RULES)) -> DataFrame:
+    """(repo_id, rule_id, files, lines) that each family of rules covers: those whose path one of its rules takes."""
+    per = lines.groupBy("repo_id", "path").agg(F.count("*").alias("n"))
+    families: dict[str, list[Column]] = {}
+    for r in rules:
+        families.setdefault(r.rule, []).append(_match(F.col("path"), r.paths, getattr(r, "skip_paths", "")))
+    taken = [F.when(reduce(Column.__or__, own), F.lit(name)) for name, own in families.items()]
+    each = per.withColumn("rule_id", F.explode(F.array_compact(F.array(*taken))))
+    return each.groupBy("repo_id", "rule_id").agg(F.count("*").alias("files"), F.sum("n").alias("lines"))
+
+
+#: Scans that are registered by name: functions of lines that return hits (the columns of HIT).
+SCANS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_scan(name: str, scan: Callable[[DataFrame], DataFrame]) -> None:
+    """Adds a scan of the user's own, which may use windows and scopes as the ones here do; a name is taken once."""
+    if name in SCANS:
+        raise ValueError(f"there is a scan {name} already")
+    SCANS[name] = scan
+
+
+def run_scans(lines: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """The hits of the registered scans (all, or those named) on lines."""
+    return reduce(DataFrame.unionByName, [SCANS[n](lines).select(*HIT) for n in (SCANS if names is None else names)])
+
+
+for _name, _scan in (
+    ("lines", scan_lines), ("near", scan_near), ("nested_loops", nested_loops), ("signature_mismatch", signature_mismatch), ("risky_constructors", risky_constructors), ("async_blocking", async_blocking),
+    ("heavy_handlers", heavy_handlers), ("deadlocks", deadlocks), ("recursion", recursion), ("long_locks", long_locks), ("third_party", third_party), ("unpinned", unpinned), ("layer_imports", layer_imports),
+):
+    register_scan(_name, _scan)

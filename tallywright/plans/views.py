@@ -16,6 +16,20 @@ AS_OF, AS_OF_EVENTS = "2001-08-02 00:00:00", "2024-01-31 00:00:00"
 
 _LINE_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
 
+#: Lines of code of the fixture; each rule of the scans has one that it hits.
+CODE = (
+    "import os", "import pkg_resources", "def handler(a, b):", "    async def fetch(self):", "        time.sleep(3)", "    r = requests.get(url)", "    for x in items:", "        rows = db.query(User).all()", "    except:",
+    "        pass", 'password = "hunter2"', "    f = open(path)", "while True:", "    ratio = total / count", "    now = datetime.now()", "cache = {}", "class Service:", "    def __init__(self, **kwargs):", "    if len(parts) > 0:",
+    "    x = parts[0]", "        for y in x:", "    self.items = []", "    t = threading.Thread(target=work)", "    Thread(target=work).start()", "pool = ThreadPoolExecutor(4)", '    key = os.getenv("KEY")', "timeout = 30",
+    '    if ENVIRONMENT == "prod":', "    rows = [u for u in db.session.query(User)]", "    except ValueError as e:", "    if rate == 0.5:", "    except OSError: continue", "    for retry in range(3):", "    conn = sqlite3.connect(path)",
+    "def load(a) -> dict:", "    v = other._hidden", "    data = json.load(f)", "    lock.acquire()", "    with lock:", "    await fetch(x)", "    self.cache = {}", "console.log(x)", "const f = (a) => a", "class Widget {",
+    'test("adds", () => {', 'describe("nothing", () => {})', "/** A comment. */", '@app.route("/x")', "query = \"SELECT a FROM t WHERE b = '\" + b", "DEBUG = True", "def walk(n):", "    return walk(n - 1)", "port = 8080",
+)
+_TEXTS = " ".join(f"WHEN {i} THEN '" + x.replace("'", "''").replace("{", "{{").replace("}", "}}") + "'" for i, x in enumerate(CODE))
+#: A file's number, which grows with the keys: some 400 lines a file, 10 files a repository, one of them a test of the one before, one JavaScript.
+_FILE = "CAST(floor(l_orderkey / 100) AS BIGINT)"
+_PATH = "CASE WHEN f % 10 = 8 THEN 'src/test_m' || CAST(f - 1 AS STRING) || '.py' WHEN f % 10 = 9 THEN 'src/m' || CAST(f AS STRING) || '.js' ELSE 'src/m' || CAST(f AS STRING) || '.py' END"
+
 VIEWS = {
     "repositories": """
 SELECT c_custkey AS id, c_nationkey AS installation_id, c_name AS repo_full_name, c_acctbal >= 0 AS is_enabled FROM {customer}""",
@@ -85,32 +99,30 @@ SELECT 'run-' || CAST(user_id AS STRING) AS run_id, 'repo-' || CAST(user_id % 20
        WHEN user_id % 3 = 0 THEN 'COMPLETE' WHEN user_id % 3 = 1 THEN CASE WHEN user_id % 2 = 0 THEN 'ABORTED' ELSE 'INCOMPLETE' END ELSE 'REJECTED' END AS final_state
 FROM {events} GROUP BY user_id""",
     "source_lines": f"""
-SELECT CAST(l_orderkey % 20 AS INT) AS repo_id, 'src/m' || CAST(l_orderkey % 500 AS STRING) || '.py' AS path,
-  CAST(row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY {_LINE_ORDER}) AS INT) AS line_no,
-  CASE CAST(l_partkey % 20 AS INT) WHEN 0 THEN 'import os' WHEN 1 THEN 'import pkg_resources' WHEN 2 THEN 'def handler(a, b):'
-   WHEN 3 THEN '    async def fetch(self):' WHEN 4 THEN '        time.sleep(3)' WHEN 5 THEN '    r = requests.get(url)'
-   WHEN 6 THEN '    for x in items:' WHEN 7 THEN '        rows = db.query(User).all()' WHEN 8 THEN '    except:'
-   WHEN 9 THEN '        pass' WHEN 10 THEN 'password = "hunter2"' WHEN 11 THEN '    f = open(path)' WHEN 12 THEN 'while True:'
-   WHEN 13 THEN '    ratio = total / count' WHEN 14 THEN '    now = datetime.now()' WHEN 15 THEN 'cache = {{{{}}}}'
-   WHEN 16 THEN 'class Service:' WHEN 17 THEN '    def __init__(self, **kwargs):' WHEN 18 THEN '    if len(parts) > 0:' ELSE '    x = parts[0]' END AS text
-FROM {{lineitem}}""",
+SELECT repo_id, path, line_no, CASE WHEN f % 10 = 7 AND line_no = 1 THEN 'class Big:' WHEN f % 10 = 7 AND line_no <= 25 + f % 40 THEN '    def m' || CAST(line_no AS STRING) || '(self):'
+  WHEN f % 10 = 6 AND line_no = 1 THEN 'class Lazy:' WHEN f % 10 = 6 AND line_no <= 9 THEN '        return self.total + self.rate'
+  ELSE CASE CAST(l_partkey % {len(CODE)} AS INT) {_TEXTS} END END AS text
+FROM (SELECT CAST(floor(f / 10) AS INT) AS repo_id, {_PATH} AS path, f, l_partkey, CAST(row_number() OVER (PARTITION BY f ORDER BY {_LINE_ORDER}) AS INT) AS line_no
+  FROM (SELECT *, {_FILE} AS f FROM {{lineitem}}))""",
     "graph_edges": """
 SELECT DISTINCT 'pkg' || CAST(l_partkey % 12 AS STRING) || '.n' || CAST(l_partkey AS STRING) AS source_id,
   'pkg' || CAST((l_suppkey * 7 + l_linenumber) % 12 AS STRING) || '.n' || CAST(l_suppkey * 7 + l_linenumber AS STRING) AS target_id,
   CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'imports' WHEN 1 THEN 'calls' ELSE 'contains' END AS edge_type
 FROM {lineitem}""",
-    "code_imports": """
-SELECT 'src/m' || CAST(l_orderkey % 500 AS STRING) || '.py' AS path,
+    "graph_nodes": """
+SELECT id, CASE CAST(length(id) % 3 AS INT) WHEN 0 THEN 'file' WHEN 1 THEN 'class' ELSE 'function' END AS node_type FROM (SELECT source_id AS id FROM {graph_edges} UNION SELECT target_id AS id FROM {graph_edges})""",
+    "code_imports": f"""
+SELECT {_PATH} AS path,
   CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'src.' WHEN 1 THEN 'lib.' ELSE '' END || 'm' || CAST(l_partkey % 600 AS STRING)
     || CASE WHEN l_linenumber % 3 = 0 AND l_suppkey % 2 = 0 THEN '.Thing' ELSE '' END AS module
-FROM {lineitem}""",
+FROM (SELECT *, {_FILE} AS f FROM {{lineitem}})""",
     "code_functions": """
-SELECT 'src/m' || CAST(p_partkey % 50 AS STRING) || '.py' AS path, 'g' || CAST(p_partkey % 150 AS STRING) AS name,
-  'src/m' || CAST(p_partkey % 50 AS STRING) || '.py::g' || CAST(p_partkey % 150 AS STRING) || '#' || CAST(p_partkey AS STRING) AS id
+SELECT 'src/m' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) || '.py' AS path, 'g' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) AS name,
+  'src/m' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) || '.py::g' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) || '#' || CAST(p_partkey AS STRING) AS id
 FROM {part}""",
     "code_calls": """
-SELECT 'src/m' || CAST(l_orderkey % 50 AS STRING) || '.py' AS path, 'src/m' || CAST(l_orderkey % 50 AS STRING) || '.py::f' || CAST(l_orderkey AS STRING) AS caller,
-  CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'self.' WHEN 1 THEN 'mod.' ELSE '' END || 'g' || CAST(l_partkey % 200 AS STRING) AS name
+SELECT 'src/m' || CAST(CAST(floor(l_partkey / 41) AS BIGINT) AS STRING) || '.py' AS path, 'src/m' || CAST(CAST(floor(l_partkey / 41) AS BIGINT) AS STRING) || '.py::f' || CAST(l_orderkey AS STRING) AS caller,
+  CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'self.' WHEN 1 THEN 'mod.' ELSE '' END || CASE WHEN l_suppkey % 5 = 0 THEN 'h' ELSE 'g' END || CAST(CAST(floor((l_partkey + l_suppkey % 2 * 97) / 3) AS BIGINT) AS STRING) AS name
 FROM {lineitem}""",
     "scored_issues": """
 SELECT run_id, severity, CASE WHEN issue_code LIKE 'F%' THEN 'security' WHEN issue_code LIKE 'E%' THEN 'performance' ELSE 'architecture' END AS family
@@ -130,7 +142,7 @@ class Views:
         if name in VIEWS:
             if name not in self._built:
                 text = VIEWS[name]
-                self._built[name] = self.spark.sql(text, **{n: getattr(self, n) for n in set(_NAME.findall(text.replace("{{}}", "")))})
+                self._built[name] = self.spark.sql(text, **{n: getattr(self, n) for n in set(_NAME.findall(text.replace("{{", "").replace("}}", "")))})
             return self._built[name]
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -149,7 +161,7 @@ FILES_SQL = "SELECT repo_id, path, string_agg(text, chr(10) ORDER BY line_no) AS
 
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views that it names in front."""
-    texts = {k: _NAME.sub(r"\1", v.replace("{{}}", "\0")).replace("\0", "{}") for k, v in VIEWS.items()} | {"source_files": FILES_SQL}
+    texts = {k: _NAME.sub(r"\1", v.replace("{{", "\0").replace("}}", "\1")).replace("\0", "{").replace("\1", "}") for k, v in VIEWS.items()} | {"source_files": FILES_SQL}
     needed: list[str] = []
 
     def want(text: str) -> None:

@@ -26,6 +26,58 @@ def test_line_rules(spark, rule, hit, miss):
     assert found(scans.scan_lines(lines(spark, hit), own)) and not found(scans.scan_lines(lines(spark, miss), own))
 
 
+@pytest.mark.parametrize("rule,hit,miss", [
+    ("sc_impl_types", "def f() -> dict:", "def f() -> Dict:"), ("sc_no_error_handling", "d = json.load(f)", "try: json.load(f)"), ("sc_shared_mutable", "self.a = []", "self.a = [] or Queue()"),
+    ("sc_threads", "threading.Thread(target=f)", "Threads(f)"), ("sc_env_usage", "os.getenv('A')", "getenv('A')"), ("sc_hardcoded", "timeout = 3", "timeout = limit"), ("sc_env_specific", "if ENV:", "ENV = 1"),
+    ("sc_nplus1_line", "[db.query(x) for x in y]", "[f(x) for x in y]"), ("sc_untested_errors", "raise ValueError", "except:"), ("sc_conn_leak", "c = d.cursor()", "with d.cursor() as c:"), ("sc_thread_leak", "ThreadPoolExecutor(2)", "with ThreadPoolExecutor(2) as p:"),
+    ("sc_critical_code", "charge_payment(x)", "charge(x)"),
+])
+def test_more_line_rules(spark, rule, hit, miss):
+    own = [r for r in scan_rules.LINE_RULES if r.rule == rule]
+    assert found(scans.scan_lines(lines(spark, hit), own)) and not found(scans.scan_lines(lines(spark, miss), own))
+
+
+def test_paths_that_rules_leave_out(spark):
+    own = [r for r in scan_rules.LINE_RULES if r.rule == "sc_critical_code"]
+    for path in ("test_a.py", "x/test_a.py", "tests/a.py", "x/tests/y/a.py", "a.js"):
+        assert not found(scans.scan_lines(lines(spark, "token", path), own))
+    assert found(scans.scan_lines(lines(spark, "token", "contests/a_test.py"), own))
+    js = [r for r in scan_rules.LINE_RULES if r.rule == "sc_sec_js"]
+    assert found(scans.scan_lines(lines(spark, "a.innerHTML = b", "a.tsx"), js)) and not found(scans.scan_lines(lines(spark, "a.innerHTML = b", "a.py"), js))
+
+
+@pytest.mark.parametrize("scan,hit,miss", [
+    (scans.heavy_handlers, "@app.route('/')\nx = sorted(y)", "@app.route('/')\ndef f():\n  x = sorted(y)"), (scans.deadlocks, "a.acquire()\nb.acquire()\nwith my_lock:", "a.acquire()\nb.acquire()"),
+    (scans.long_locks, "with lock:\n" + "x\n" * 22, "with lock:\n" + "x\n" * 20), (lambda d: scans.scan_near(d), "t = Thread(f); thread\nself.a.append(1)", "t = f\nself.a = 1"),
+])
+def test_scope_rules(spark, scan, hit, miss):
+    assert found(scan(lines(spark, hit))) and not found(scan(lines(spark, miss)))
+
+
+def test_file_rules(spark):
+    rows = [("a.py", "for x in y:\n  await f(x)"), ("b.py", "await f(x)"), ("c.py", "self.cache = {}"), ("d.py", "self.cache = {}\nself.cache.clear()")]
+    got = scans.scan_files(spark.createDataFrame([(1, *r) for r in rows], "repo_id int, path string, content string"), [r for r in scan_rules.FILE_RULES if r.rule in ("sc_await_loop", "sc_cache_growth")]).collect()
+    assert sorted((r["rule_id"], r["path"], r["matches"]) for r in got) == [("sc_await_loop", "a.py", 1), ("sc_cache_growth", "c.py", 1)]
+
+
+def test_javascript_comments_and_suites(spark):
+    code = "/** doc */\nconst f = (a) => a\n * more\nconst g = (a) => a\nx\nconst h = function () {\nclass A {\n* doc\nclass B {\n/** doc */\nclass C {\nconst class_ = (class D {\nconst k = () => 1 // class E"
+    own = [r for r in scan_rules.NEAR_RULES if r.rule == "sc_js_docs"]
+    assert found(scans.scan_near(lines(spark, code, "a.js"), own)) == [("sc_js_docs", 6, "function"), ("sc_js_docs", 7, "class"), ("sc_js_docs", 9, "class"), ("sc_js_docs", 12, "class"), ("sc_js_docs", 13, "function")]
+    suites = [r for r in scan_rules.LINE_RULES if r.rule == "sc_js_tests"]
+    assert found(scans.scan_lines(lines(spark, "describe('a', () => { })\ndescribe('b', () => {", "a.ts"), suites)) == [("sc_js_tests", 1, "empty_suite")]
+
+
+def test_registered_scans(spark):
+    scans.register_scan("shouting", lambda d: scans.one_rule(d, d["text"].rlike("^[A-Z ]+$"), "own_shouting"))
+    try:
+        assert found(scans.run_scans(lines(spark, "HELLO\nimport left_pad"), ("shouting", "third_party"))) == [("own_shouting", 1, ""), ("sc_third_party", 2, "left_pad")]
+        with pytest.raises(ValueError):
+            scans.register_scan("shouting", scans.scan_lines)
+    finally:
+        del scans.SCANS["shouting"]
+
+
 def test_first_subtype_only(spark):
     own = [r for r in scan_rules.LINE_RULES if r.rule == "sc_critical_code"]
     assert found(scans.scan_lines(lines(spark, "auth token password"), own)) == [("sc_critical_code", 1, "password")]

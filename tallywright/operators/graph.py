@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, hub_join
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -23,13 +23,15 @@ def neighbours(edges: DataFrame, nodes: DataFrame, edge_type: str | None = None,
     return pairs.join(nodes.select(F.col("id").alias("neighbour")), "neighbour", "left_semi").select("id", "neighbour")
 
 
-def by_type(edges: DataFrame, edge_type: str) -> DataFrame:
-    return edges.where(F.col("edge_type") == edge_type)
+def by_type(rows: DataFrame, kind: str, col: str = "edge_type") -> DataFrame:
+    """Edges of a type; nodes of a type, with col = node_type."""
+    return rows.where(F.col(col) == kind)
 
 
-def summary(edges: DataFrame) -> DataFrame:
-    """Edges of each type."""
-    return edges.groupBy("edge_type").agg(F.count("*").alias("edges"))
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, type, count): nodes and edges of each type."""
+    n = lambda rows, part, col: rows.groupBy(F.col(col).alias("type")).agg(F.count("*").alias("count")).select(F.lit(part).alias("part"), "type", "count")
+    return n(nodes, "node", "node_type").union(n(edges, "edge", "edge_type"))
 
 
 def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
@@ -50,9 +52,14 @@ def import_graph(source_lines: DataFrame) -> DataFrame:
     return source_lines.select("path", root.alias("module")).where("module <> ''").distinct()
 
 
-def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
-    """(members, length, severity): all simple cycles of up to `longest` nodes, as the sorted set of their members."""
+def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
+    """(members, length, severity): all simple cycles of up to `longest` nodes, as the sorted set of their members; over 4 are CRITICAL.
+    Edges that no cycle can hold, into nodes without an edge out or out of nodes without one in, are trimmed first. The
+    number of paths grows with the power `longest` of the degree, so that longer cycles are not listed."""
     e = edges.select("source_id", "target_id").where("source_id <> target_id").distinct()
+    for _ in range(longest):
+        e = e.join(e.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi").join(e.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi")
+        e = cut(e.select("source_id", "target_id"))
     step = e.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"))
     # a path starts at its smallest node, so that each cycle is walked from one place only
     paths = e.where("source_id < target_id").select(F.array("source_id", "target_id").alias("path"))
@@ -76,7 +83,7 @@ def domain_leaks(edges: DataFrame, least: int = 3) -> DataFrame:
 def layer_violations(edges: DataFrame, layers: DataFrame) -> DataFrame:
     """(from_layer, to_layer, violations): edges from a layer to a higher one, by layers (name, level); a node's layer is the first, by level, whose name it contains."""
     names = nodes_of(edges)
-    own = names.join(F.broadcast(layers), names["id"].contains(layers["name"])).groupBy("id").agg(F.min(F.struct("level", "name")).alias("l"))
+    own = names.join(layers, names["id"].contains(layers["name"])).groupBy("id").agg(F.min(F.struct("level", "name")).alias("l"))
     a = own.select(F.col("id").alias("source_id"), F.col("l.name").alias("from_layer"), F.col("l.level").alias("x"))
     b = own.select(F.col("id").alias("target_id"), F.col("l.name").alias("to_layer"), F.col("l.level").alias("y"))
     return edges.join(a, "source_id").join(b, "target_id").where("x > y").groupBy("from_layer", "to_layer").agg(F.count("*").alias("violations"))
@@ -102,28 +109,35 @@ def import_edges(imports: DataFrame, index: DataFrame) -> DataFrame:
 def call_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """(caller, callee): calls (path, caller, name) resolved to functions (path, name, id). self. is dropped; an exact name
     beats its last segment, and then the same file beats others; all that tie are kept. No edge to itself."""
-    c = calls.select("path", "caller", F.regexp_replace("name", r"^self\.", "").alias("full"))
-    f = functions.select(F.col("name").alias("key"), F.col("path").alias("home"), F.col("id").alias("callee"))
-    keys = c.select("*", F.explode(F.array_distinct(F.array("full", F.substring_index("full", ".", -1)))).alias("key"))
-    hit = keys.join(f, "key").withColumn("rank", F.when(F.col("key") == F.col("full"), 0).otherwise(2) + F.when(F.col("path") == F.col("home"), 0).otherwise(1))
-    best = hit.groupBy("path", "caller", "full").agg(F.min("rank").alias("rank"))
-    return hit.join(best, ["path", "caller", "full", "rank"]).where("caller <> callee").select("caller", "callee").distinct()
+    full = F.regexp_replace("name", r"^self\.", "")
+    rest = cut(calls.select("path", "caller", full.alias("full"), F.substring_index(full, ".", -1).alias("last")).distinct())
+    found = None
+    for key, same_file in (("full", True), ("full", False), ("last", True), ("last", False)):  # only what is still open goes on to the wider match
+        on = [key, "path"] if same_file else [key]
+        f = functions.select(F.col("name").alias(key), *(["path"] if same_file else []), F.col("id").alias("callee"))
+        hit = rest.join(f, on).select("caller", "callee")
+        found = hit if found is None else found.union(hit)
+        rest = rest.join(f.select(*on).distinct(), on, "left_anti")
+    return found.where("caller <> callee").distinct()
 
 
-def clusters(edges: DataFrame, least: int = 3) -> DataFrame:
+def clusters(edges: DataFrame, least: int = 3, max_rounds: int = 60) -> DataFrame:
     """(cluster, nodes, internal_edges): groups of at least that many nodes that pairs of edges in both directions connect, named by
-    their smallest node, and the distinct edges inside. Labels spread along edges and jump along labels until none changes."""
+    their smallest node, and the distinct edges inside. Labels spread along edges and jump along labels until none changes;
+    labels that very many nodes share meet a broadcast of their rows."""
     e = edges.select("source_id", "target_id").where("source_id <> target_id").distinct()
     both = cut(e.join(e.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")), ["source_id", "target_id"], "left_semi"))
     labels = cut(both.groupBy(F.col("source_id").alias("id")).agg(F.least(F.col("id"), F.min("target_id")).alias("label")))
-    moved = True
-    while moved:
+    for _ in range(max_rounds):
         near = both.join(labels, both["target_id"] == labels["id"]).groupBy(F.col("source_id").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = cut(labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        new = cut(step.join(jump, "label").select("id", "old", F.col("far").alias("label")))
-        moved = not new.where("old <> label").isEmpty()
+        new = cut(hub_join(step, jump, "label").select("id", "old", F.col("far").alias("label")))
         labels = new.select("id", "label")
+        if new.where("old <> label").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
     a, b = (labels.select(F.col("id").alias(c), F.col("label").alias(n)) for c, n in (("source_id", "cluster"), ("target_id", "other")))
     inside = e.join(a, "source_id").join(b, "target_id").where("cluster = other").groupBy("cluster").agg(F.count("*").alias("internal_edges"))
     return labels.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("nodes")).where(F.col("nodes") >= least).join(inside, "cluster")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch_dir
 from ..operators import graph as gr
 from ..sources import files
 from .registry import Registry
@@ -22,17 +23,59 @@ def _nodes(v: Views):
 add("src_lines", lambda v: files.lines(v.documents.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))), """
 WITH c AS (SELECT doc_id AS path, string_split_regex(text, '\\r\\n|\\n|\\r') AS l FROM documents), d AS (SELECT path, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM c)
 SELECT path, unnest(range(1, len(l) + 1))::INT AS line_no, unnest(l) AS text FROM d""")
+
+
+def _code_files(v: Views):
+    """Each file of the fixture as a text file of its own, read back from their folder."""
+    path = scratch_dir(v.spark)
+    v.source_files.select(F.regexp_replace("path", "[/.]", "_").alias("file"), F.col("content").alias("value")).write.partitionBy("file").text(path)
+    return files.code_files(v.spark, path, ("txt",)).select(F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+_report = lambda: F.struct(F.col("file_path").alias("filename"), F.struct(F.col("line_number").cast("int").alias("row")).alias("location"), F.col("issue_code").alias("code"), F.concat(F.lit('say "'), "severity", F.lit('"')).alias("message"))
+_message = lambda: F.struct(F.col("issue_code").alias("ruleId"), F.col("line_number").cast("int").alias("line"), F.when(F.col("severity") == "critical", 2).otherwise(1).alias("severity"), F.col("category").alias("message"))
+
+
+def _flat(v: Views):
+    return files.lint_flat(v.analysis_results.groupBy("run_id").agg(F.to_json(F.collect_list(_report())).alias("report")))
+
+
+def _nested(v: Views):
+    per = v.analysis_results.groupBy("run_id", "file_path").agg(F.collect_list(_message()).alias("messages"))
+    return files.lint_nested(per.groupBy("run_id").agg(F.to_json(F.collect_list(F.struct(F.col("file_path").alias("filePath"), "messages"))).alias("report")))
+
+
+def _webhooks(v: Views):
+    k, repo = F.col("o_orderkey"), F.struct(F.format_string("Customer#%09d", F.col("o_custkey")).alias("full_name"))
+    pr = F.to_json(F.struct(F.when(k % 3 == 0, "closed").when(k % 3 == 1, "opened").otherwise("synchronize").alias("action"), repo.alias("repository"), F.struct(F.when(k % 5 != 0, k).alias("number"), F.struct(F.sha2(k.cast("string"), 256).alias("sha")).alias("head")).alias("pull_request")))
+    push = F.to_json(F.struct(F.when(k % 8 != 0, F.sha2(k.cast("string"), 256)).alias("after"), F.lit("refs/heads/main").alias("ref"), repo.alias("repository")))
+    sent = v.orders.select(F.col("o_orderkey").cast("string").alias("delivery_id"), F.when(k % 4 == 0, "push").otherwise("pull_request").alias("event"), F.when(k % 4 == 0, push).otherwise(pr).alias("payload"))
+    return files.webhooks(sent.union(sent.where("delivery_id LIKE '%7'")))
+
+
+add("src_code_files", _code_files, "SELECT replace(replace(path, '/', '_'), '.', '_') AS file, sha256(content || chr(10)) AS sha256 FROM source_files")
+add("src_lint_py", _flat, "SELECT file_path AS filename, CAST(line_number AS INT) AS line, issue_code AS code, 'say \"' || severity || '\"' AS message, CASE WHEN starts_with(issue_code, 'E') THEN 'error' ELSE 'warning' END AS severity FROM analysis_results")
+add("src_lint_js", _nested, "SELECT file_path AS filename, CAST(line_number AS INT) AS line, issue_code AS code, category AS message, CASE WHEN severity = 'critical' THEN 'error' ELSE 'warning' END AS severity FROM analysis_results")
+add("src_webhooks", _webhooks, """
+WITH w AS (SELECT CAST(o_orderkey AS VARCHAR) AS delivery_id, o_orderkey AS k, o_orderkey % 4 = 0 AS push, printf('Customer#%09d', o_custkey) AS repo_full_name FROM orders)
+SELECT delivery_id, CASE WHEN push THEN 'push' ELSE 'pull_request' END AS event, CASE WHEN NOT push THEN CASE WHEN k % 3 = 1 THEN 'opened' ELSE 'synchronize' END END AS action, repo_full_name, CASE WHEN NOT push THEN CAST(k AS INT) END AS pr_number, sha256(CAST(k AS VARCHAR)) AS head_sha,
+  CASE WHEN push THEN 'refs/heads/main' END AS ref FROM w WHERE CASE WHEN push THEN k % 8 <> 0 ELSE k % 3 <> 0 AND k % 5 <> 0 END""")
 add("gr_deps", lambda v: gr.neighbours(v.graph_edges, _nodes(v)), "SELECT DISTINCT source_id AS id, target_id AS neighbour FROM graph_edges")
 add("gr_callers", lambda v: gr.neighbours(v.graph_edges, _nodes(v), "calls", incoming=True), "SELECT DISTINCT target_id AS id, source_id AS neighbour FROM graph_edges WHERE edge_type = 'calls'")
 add("gr_by_type", lambda v: gr.by_type(v.graph_edges, "imports"), "SELECT * FROM graph_edges WHERE edge_type = 'imports'")
-add("gr_summary", lambda v: gr.summary(v.graph_edges), "SELECT edge_type, count(*) AS edges FROM graph_edges GROUP BY 1")
-add("gr_impact", lambda v: gr.impact(v.graph_edges, _nodes(v).where("id LIKE '%0'")), """
-WITH s AS (SELECT id FROM (SELECT source_id AS id FROM graph_edges UNION SELECT target_id FROM graph_edges) WHERE id LIKE '%0'), one AS (SELECT DISTINCT s.id AS seed, e.source_id AS id FROM s JOIN graph_edges e ON e.target_id = s.id),
+add("gr_nodes_by_type", lambda v: gr.by_type(v.graph_nodes, "class", "node_type"), "SELECT * FROM graph_nodes WHERE node_type = 'class'")
+add("gr_summary", lambda v: gr.summary(v.graph_nodes, v.graph_edges), "SELECT 'node' AS part, node_type AS type, count(*) AS count FROM graph_nodes GROUP BY 2 UNION ALL SELECT 'edge', edge_type, count(*) FROM graph_edges GROUP BY 2")
+add("gr_impact", lambda v: gr.impact(v.graph_edges, _nodes(v)), """
+WITH s AS (SELECT source_id AS id FROM graph_edges UNION SELECT target_id FROM graph_edges), one AS (SELECT DISTINCT s.id AS seed, e.source_id AS id FROM s JOIN graph_edges e ON e.target_id = s.id),
 two AS (SELECT DISTINCT o.seed, e.source_id AS id FROM one o JOIN graph_edges e ON e.target_id = o.id)
-SELECT seed, id, 1 AS distance FROM one WHERE seed <> id UNION ALL SELECT seed, id, 2 AS distance FROM two WHERE seed <> id AND (seed, id) NOT IN (SELECT seed, id FROM one)""")
+SELECT seed, id, 1 AS distance FROM one WHERE seed <> id UNION ALL SELECT seed, id, 2 AS distance FROM two WHERE seed <> id AND NOT EXISTS (SELECT 1 FROM one WHERE one.seed = two.seed AND one.id = two.id)""")
 add("gr_import_graph", lambda v: gr.import_graph(v.source_lines), "SELECT DISTINCT path, regexp_extract(text, '^\\s*(import|from)\\s+([A-Za-z][A-Za-z0-9_]*)', 2) AS module FROM source_lines WHERE regexp_matches(text, '^\\s*(import|from)\\s+[A-Za-z]')")
 E1 = "SELECT DISTINCT source_id AS s, target_id AS t FROM graph_edges WHERE source_id <> target_id"
-add("gr_cycles", lambda v: gr.cycles(v.graph_edges, 3), f"""
+add("gr_cycles", lambda v: gr.cycles(v.graph_edges.where("edge_type = 'imports'"), 5), """
+WITH RECURSIVE e AS (SELECT DISTINCT source_id AS s, target_id AS t FROM graph_edges WHERE source_id <> target_id AND edge_type = 'imports'), p(first, here, path) AS (SELECT s, t, [s, t] FROM e WHERE s < t
+  UNION ALL SELECT first, e.t, list_append(path, e.t) FROM p JOIN e ON p.here = e.s WHERE len(path) < 5 AND e.t > first AND NOT list_contains(path, e.t))
+SELECT DISTINCT array_to_string(list_sort(path), ',') AS members, CAST(len(path) AS INT) AS length, CASE WHEN len(path) > 4 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM p JOIN e ON e.s = p.here AND e.t = p.first""")
+add("gr_cycles_all_edges", lambda v: gr.cycles(v.graph_edges, 3), f"""
 WITH e AS ({E1}), two AS (SELECT DISTINCT a.s || ',' || a.t AS members, 2 AS length FROM e a JOIN e b ON a.t = b.s AND b.t = a.s WHERE a.s < a.t),
 three AS (SELECT DISTINCT a.s || ',' || least(a.t, b.t) || ',' || greatest(a.t, b.t) AS members, 3 AS length FROM e a JOIN e b ON a.t = b.s JOIN e c ON b.t = c.s AND c.t = a.s WHERE a.s < a.t AND a.s < b.t AND a.t <> b.t)
 SELECT members, length, 'HIGH' AS severity FROM two UNION ALL SELECT members, length, 'HIGH' FROM three""")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.scalars import json_string, or_default, ranked, uuid_of
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
@@ -76,18 +77,20 @@ def conflict_key() -> Column:
     return F.concat_ws("|", F.array_join(F.slice(F.transform("affected_files", lambda f: f["path"]), 1, 3), ","), F.substring("problem_statement", 1, 50))
 
 
-def conflicts(findings: DataFrame) -> DataFrame:
-    """(id, n_others, first_other): findings that share a key, with how many others do and the smallest other id.
-    The group itself is not gathered into rows; conflict_groups() lists it once."""
-    keyed = findings.select("id", conflict_key().alias("key"))
-    per = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.min_by("id", F.struct(F.lit(0), "id")).alias("_"), F.array_sort(F.collect_set("id")).alias("ids")).where("n > 1")
+def conflicts(findings: DataFrame, by: str = "repo_id") -> DataFrame:
+    """(id, n_others, first_other): findings of one repository (or run) that share a key, with how many others do and the
+    smallest other id. No group is gathered: its smallest id and the smallest after it are two minima."""
+    keyed = cut(findings.select("id", F.struct(by, conflict_key().alias("key")).alias("key")))
+    per = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1")
     own = keyed.join(per, "key")
-    return own.select("id", (F.col("n") - 1).alias("n_others"), F.when(F.col("id") == F.col("a"), F.element_at("ids", 2)).otherwise(F.col("a")).alias("first_other"))
+    second = own.where("id <> a").groupBy("key").agg(F.min("id").alias("b"))
+    return own.join(second, "key").select("id", (F.col("n") - 1).alias("n_others"), F.when(F.col("id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("first_other"))
 
 
-def conflict_groups(findings: DataFrame) -> DataFrame:
-    """(id, conflicts): the ids of the other findings with the same key."""
-    keyed = findings.select("id", conflict_key().alias("key"))
+def conflict_groups(findings: DataFrame, by: str = "repo_id") -> DataFrame:
+    """(id, conflicts): the sorted ids of the other findings of the repository (or run) with the same key. The lists hold
+    what a group has, so they grow with the square of its size; conflicts() counts without them."""
+    keyed = cut(findings.select("id", F.struct(by, conflict_key().alias("key")).alias("key")))
     ids = keyed.groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
     return keyed.join(ids, "key").select("id", F.array_except("ids", F.array("id")).alias("conflicts"))
 
@@ -216,7 +219,7 @@ def risk_score(severity: Column, confidence: Column) -> Column:
 def classify(issues: DataFrame, rules: DataFrame, code: str = "issue_code") -> DataFrame:
     """safety, score and title of each issue by rules (issue_code, safety, score, title), SAFE before RISKY where a code is in both; SUGGEST and 0 for the others."""
     best = rules.groupBy("issue_code").agg(F.min_by(F.struct("safety", "score", "title"), ranked("safety", ("SAFE", "RISKY"))).alias("r"))
-    joined = issues.join(F.broadcast(best.withColumnRenamed("issue_code", "rule_code")), F.col(code) == F.col("rule_code"), "left").drop("rule_code")
+    joined = issues.join(best.withColumnRenamed("issue_code", "rule_code"), F.col(code) == F.col("rule_code"), "left").drop("rule_code")
     return joined.select(*issues.columns, F.coalesce("r.safety", F.lit("SUGGEST")).alias("safety"), F.coalesce("r.score", F.lit(0)).alias("rule_score"), F.coalesce("r.title", F.concat(F.lit("Rule "), F.col(code))).alias("title"))
 
 
@@ -248,7 +251,7 @@ def categorize_js(issues: DataFrame, safe: tuple[str, ...], review: tuple[str, .
 
 def explain(issues: DataFrame, texts: DataFrame, code: str = "issue_code") -> DataFrame:
     """The explanation (issue_code, explanation) of each issue's rule, or the default one."""
-    return issues.join(F.broadcast(texts), issues[code] == texts["issue_code"], "left").select(*[issues[c] for c in issues.columns], F.coalesce("explanation", F.lit("No explanation is available for this rule")).alias("explanation"))
+    return issues.join(texts, issues[code] == texts["issue_code"], "left").select(*[issues[c] for c in issues.columns], F.coalesce("explanation", F.lit("No explanation is available for this rule")).alias("explanation"))
 
 
 def batch_validation(batches: DataFrame, fixes: DataFrame, operation: str) -> DataFrame:
@@ -307,17 +310,21 @@ def batch_preview(patches: DataFrame, validity: DataFrame) -> DataFrame:
 
 
 def validate_fixes(fixes: DataFrame, files: DataFrame) -> DataFrame:
-    """Of fixes (id, status, file_path, original_code) against current content (path, content): the error or warning, if any."""
-    j = fixes.join(files.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
+    """Of fixes (id, status, file_path, original_code) against current content (path, content): the error or warning, if any.
+    Each pair of a file and an original text that its fixes name is compared once, over the whole file."""
     flat = lambda c: F.regexp_replace(c, r"\s+", "")
-    error = F.when(F.col("status") != "approved", "not approved").when(F.coalesce("file_path", F.lit("")) == "", "no path").when(F.col("content").isNull(), "file not found").when(~flat(F.col("content")).contains(flat(F.col("original_code"))), "content changed")
-    warning = F.when(F.col("error").isNull() & ~F.col("content").contains(F.col("original_code")), "white space differs")
-    return j.withColumn("error", error).select("id", "error", warning.alias("warning"))
+    checked = F.coalesce("status", F.lit("approved")) == "approved"
+    wanted = fixes.where(checked & (F.coalesce("file_path", F.lit("")) != "")).select("file_path", "original_code").distinct()
+    content, code = F.col("content"), F.col("original_code")
+    found = wanted.join(files.select(F.col("path").alias("file_path"), "content"), "file_path").select(F.col("file_path").alias("path"), code.alias("code"), F.lit(True).alias("known"), content.contains(code).alias("same"), flat(content).contains(flat(code)).alias("near"))
+    j = fixes.join(found, (F.col("file_path") == F.col("path")) & code.eqNullSafe(F.col("code")) & checked, "left").select("id", "status", "file_path", "known", "same", "near")
+    error = F.when(F.col("status") != "approved", "not approved").when(F.coalesce("file_path", F.lit("")) == "", "no path").when(F.col("known").isNull(), "file not found").when(~F.col("near"), "content changed")
+    return j.withColumn("error", error).select("id", "error", F.when(F.col("error").isNull() & ~F.col("same"), "white space differs").alias("warning"))
 
 
 def allowed_analyzers(wanted: DataFrame, bridge: DataFrame) -> DataFrame:
     """(plan, analyzer_id, allowed, reason) of wanted (plan, analyzer_id) by the bridge (plan, analyzer_id)."""
-    j = wanted.join(F.broadcast(bridge.select("plan", "analyzer_id").distinct().withColumn("ok", F.lit(True))), ["plan", "analyzer_id"], "left")
+    j = wanted.join(bridge.select("plan", "analyzer_id").distinct().withColumn("ok", F.lit(True)), ["plan", "analyzer_id"], "left")
     ok = F.coalesce("ok", F.lit(False))
     return j.select("plan", "analyzer_id", ok.alias("allowed"), F.when(~ok, F.concat(F.lit("not in plan "), F.col("plan"))).alias("reason"))
 
@@ -327,13 +334,14 @@ def plan_cutoff(analyzers: DataFrame, plan: str) -> DataFrame:
     return analyzers.where(ranked("min_plan", PLANS) <= PLANS.index(plan)).select("analyzer_id", "min_plan")
 
 
-def selection_errors(selections: DataFrame, analyzers: DataFrame) -> DataFrame:
-    """(plan, analyzer_id, error) of selections (plan, analyzer_id): unknown plan, duplicate, unknown id, plan too low."""
-    per = selections.groupBy("plan", "analyzer_id").agg(F.count("*").alias("n"))
-    j = per.join(F.broadcast(analyzers), "analyzer_id", "left")
+def selection_errors(selections: DataFrame, analyzers: DataFrame, *by: str) -> DataFrame:
+    """(by, plan, analyzer_id, error) of selections (by, plan, analyzer_id), by naming who selects: unknown plan, duplicate,
+    unknown id, plan too low."""
+    per = selections.groupBy(*by, "plan", "analyzer_id").agg(F.count("*").alias("n"))
+    j = per.join(analyzers, "analyzer_id", "left")
     rank, need = ranked("plan", PLANS, -1), ranked("min_plan", PLANS)
     errors = [F.when(rank < 0, "unknown plan"), F.when(F.col("n") > 1, "duplicate"), F.when(F.col("min_plan").isNull(), "unknown analyzer"), F.when((rank >= 0) & (rank < need) & F.col("min_plan").isNotNull(), "plan too low")]
-    return j.select("plan", "analyzer_id", F.explode(F.array_compact(F.array(*errors))).alias("error"))
+    return j.select(*by, "plan", "analyzer_id", F.explode(F.array_compact(F.array(*errors))).alias("error"))
 
 
 def locked_services(required: DataFrame, owned: DataFrame) -> DataFrame:
@@ -343,7 +351,7 @@ def locked_services(required: DataFrame, owned: DataFrame) -> DataFrame:
 
 def coverage(selected: DataFrame, executed: DataFrame, bridge: DataFrame) -> DataFrame:
     """(run_id, executed, locked, skipped): counts of a run's selected (run_id, plan, analyzer_id) that ran (run_id, analyzer_id), that the plan locks, and that did not run though allowed."""
-    j = selected.join(executed.distinct().withColumn("ran", F.lit(True)), ["run_id", "analyzer_id"], "left").join(F.broadcast(bridge.select("plan", "analyzer_id").distinct().withColumn("ok", F.lit(True))), ["plan", "analyzer_id"], "left")
+    j = selected.join(executed.distinct().withColumn("ran", F.lit(True)), ["run_id", "analyzer_id"], "left").join(bridge.select("plan", "analyzer_id").distinct().withColumn("ok", F.lit(True)), ["plan", "analyzer_id"], "left")
     ran, ok = F.col("ran").isNotNull(), F.col("ok").isNotNull()
     return j.groupBy("run_id").agg(F.count_if(ran).alias("executed"), F.count_if(~ran & ~ok).alias("locked"), F.count_if(~ran & ok).alias("skipped"))
 
@@ -353,5 +361,5 @@ def quotas(runs: DataFrame, repositories: DataFrame, limits: DataFrame) -> DataF
     own = runs.join(repositories.select(F.col("id").alias("repository_id"), "installation_id"), "repository_id")
     per = own.groupBy("installation_id", F.date_trunc("month", "created_at").alias("month")).agg(F.count("*").alias("runs"), F.count_distinct("repository_id").alias("repositories"))
     plan = F.when(F.col("installation_id") % 3 == 0, PLANS[0]).when(F.col("installation_id") % 3 == 1, PLANS[1]).otherwise(PLANS[2])
-    j = per.withColumn("plan", plan).join(F.broadcast(limits), "plan")
+    j = per.withColumn("plan", plan).join(limits, "plan")
     return j.select("installation_id", "month", "plan", "runs", "repositories", ((F.col("runs") > F.col("max_runs")) | (F.col("repositories") > F.col("max_repositories"))).alias("over"))

@@ -87,9 +87,11 @@ SELECT repo_id, rule_id, CAST(sum(n) AS BIGINT) AS hits, string_agg(path || ' '
 add("fd_file_severity", lambda v: _hits(v).groupBy("repo_id", "rule_id", "path").agg(F.count("*").alias("n")).withColumn("severity", fd.file_severity()), f"SELECT repo_id, rule_id, path, count(*) AS n, CASE WHEN count(*) > 3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM ({HITS}) GROUP BY 1, 2, 3")
 add("fd_file_cap", lambda v: fd.capped_files(find(v), 2), f"""
 SELECT id, i - 1 AS place, CASE WHEN i <= 2 THEN paths[i] ELSE '... and ' || CAST(n_files - 2 AS VARCHAR) || ' more files' END AS path FROM (SELECT id, paths, n_files, unnest(range(1, least(n_files, 3) + 1)) AS i FROM ({FINDP}))""")
-KEYED = f"SELECT id, array_to_string(paths[1:3], ',') || '|' || substr(problem_statement, 1, 50) AS k FROM ({FINDP})"
+KEYED = f"SELECT id, CAST(repo_id AS VARCHAR) || '|' || array_to_string(paths[1:3], ',') || '|' || substr(problem_statement, 1, 50) AS k FROM ({FINDP})"
 CONFLICTS = f"WITH k AS ({KEYED}), g AS (SELECT k, count(*) AS n, list(id ORDER BY id) AS ids FROM k GROUP BY 1 HAVING count(*) > 1) SELECT id, n - 1 AS n_others, CASE WHEN id = ids[1] THEN ids[2] ELSE ids[1] END AS first_other FROM k JOIN g ON g.k = k.k"
 add("fd_conflicts", lambda v: fd.conflicts(find(v)), CONFLICTS)
+add("fd_conflict_ids", lambda v: fd.conflict_groups(find(v)).select("id", F.array_join("conflicts", ",").alias("conflicts")), f"""
+WITH k AS ({KEYED}) SELECT a.id, string_agg(CAST(b.id AS VARCHAR), ',' ORDER BY b.id) AS conflicts FROM k a JOIN k b ON a.k = b.k AND a.id <> b.id GROUP BY 1""")
 add("fd_counts", lambda v: fd.counts(find(v)), f"SELECT 'severity' AS kind, severity AS value, count(*) AS findings FROM ({FIND}) GROUP BY 2 UNION ALL SELECT 'bug_class', bug_class, count(*) FROM ({FIND}) GROUP BY 2")
 SEV = ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}" for s in fd.SEVERITIES)
 add("fd_run_summary", lambda v: fd.run_summary(find(v), 3), f"SELECT count(*) AS findings, count(DISTINCT repo_id) AS repositories, {SEV}, (SELECT count(*) FROM ({CONFLICTS})) AS conflicts, 3 AS skipped FROM ({FIND})")
@@ -101,7 +103,9 @@ b AS (SELECT *, CASE WHEN {REL} AND severity = 'CRITICAL' THEN greatest(p, 0.7::
 c AS (SELECT *, CASE WHEN points < 0.3::DOUBLE THEN 'LOW' WHEN points < 0.7::DOUBLE THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level FROM b)
 SELECT id, points, risk_level, least(0.95::DOUBLE, CASE risk_level WHEN 'LOW' THEN 0.8 WHEN 'MEDIUM' THEN 0.7 ELSE 0.6 END::DOUBLE + CASE WHEN confidence >= 80 THEN 0.15 ELSE 0 END::DOUBLE) AS risk_confidence FROM c"""
 add("fd_risk", lambda v: fd.risks(find(v)), RISK)
-add("fd_risk_factors", lambda v: fd.risk_factors(find(v)).select("id", F.array_join("factors", "; ").alias("factors")))
+add("fd_risk_factors", lambda v: fd.risk_factors(find(v)).select("id", F.array_join("factors", "; ").alias("factors")), f"""
+SELECT id, array_to_string(list_filter([CASE WHEN {REL} THEN 'reliability issue' END, CASE WHEN n_files > 1 THEN 'touches ' || CAST(n_files AS VARCHAR) || ' files' END, CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN lower(severity) || ' severity' END,
+  CASE WHEN length(problem_statement) >= 300 THEN 'long statement' END, CASE WHEN n_strategies > 3 THEN 'many strategies' END], lambda x: x IS NOT NULL), '; ') AS factors FROM ({FIND})""")
 CAND = f"SELECT id, path AS file_path, 0 AS line, confidence, bug_class, CAST(split_part(line_range, '-', 1) AS INT) AS first_line, '--- ' || path || chr(10) || '+++ ' || path || chr(10) || '# ' || bug_class || ': ' || substr(problem_statement, 1, 80) || chr(10) AS patch FROM ({FIND})"
 add("fd_candidate", lambda v: fd.candidates(find(v)), CAND)
 add("fd_dedup", lambda v: fd.dedup_candidates(fd.candidates(find(v)).union(fd.candidates(find(v)))), f"SELECT id, file_path, sha256(file_path || ':0:' || CAST(id AS VARCHAR)) AS key FROM ({CAND})")
@@ -178,13 +182,12 @@ add("fd_batch_preview", lambda v: fd.batch_preview(fd.combined_patches(_batches(
 def _checked(v: Views):
     original = F.when(F.col("id") % 4 < 2, "f = open(path)").when(F.col("id") % 8 < 4, "f=open( path )").otherwise("gone()")
     fixes = v.code_fixes.select("id", "status", F.when(F.col("id") % 10 != 0, F.col("file_path")).alias("file_path"), original.alias("original_code"))
-    files = v.source_lines.where("line_no <= 40").groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("repo_id", "line_no", "text"))), lambda x: x["text"]), "\n").alias("content"))
-    return fd.validate_fixes(fixes, files)
+    return fd.validate_fixes(fixes, v.source_files.select("path", "content"))
 
 
 add("fd_validate_fix", _checked, """
 WITH f AS (SELECT id, status, CASE WHEN id % 10 <> 0 THEN file_path END AS file_path, CASE WHEN id % 4 < 2 THEN 'f = open(path)' WHEN id % 8 < 4 THEN 'f=open( path )' ELSE 'gone()' END AS o FROM code_fixes),
-c AS (SELECT path, string_agg(text, chr(10) ORDER BY repo_id, line_no) AS content FROM source_lines WHERE line_no <= 40 GROUP BY 1),
+c AS (SELECT path, content FROM source_files),
 j AS (SELECT f.*, content, CASE WHEN status <> 'approved' THEN 'not approved' WHEN coalesce(file_path, '') = '' THEN 'no path' WHEN content IS NULL THEN 'file not found' WHEN NOT contains(regexp_replace(content, '\\s+', '', 'g'), regexp_replace(o, '\\s+', '', 'g')) THEN 'content changed' END AS error FROM f LEFT JOIN c ON c.path = f.file_path)
 SELECT id, error, CASE WHEN error IS NULL AND NOT contains(content, o) THEN 'white space differs' END AS warning FROM j""")
 WANTED = "SELECT DISTINCT CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'developer' WHEN 1 THEN 'team' ELSE 'enterprise' END AS plan, CASE CAST(o_orderkey % 6 AS INT) " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(ANALYZERS[:-1])) + f" ELSE '{ANALYZERS[-1][0]}' END AS analyzer_id FROM orders"
@@ -203,11 +206,11 @@ def _wanted(v: Views):
 
 add("fd_allowed", lambda v: fd.allowed_analyzers(_wanted(v), bridge(v)), f"WITH b(plan, analyzer_id) AS (VALUES {values(BRIDGE)}) SELECT w.plan, w.analyzer_id, b.plan IS NOT NULL AS allowed, CASE WHEN b.plan IS NULL THEN 'not in plan ' || w.plan END AS reason FROM ({WANTED}) w LEFT JOIN b ON b.plan = w.plan AND b.analyzer_id = w.analyzer_id")
 add("fd_plan_cutoff", lambda v: fd.plan_cutoff(_wanted(v).select("analyzer_id").distinct().join(table(v, ANALYZERS, "analyzer_id string, min_plan string"), "analyzer_id"), "team"), f"WITH a(analyzer_id, min_plan) AS (VALUES {values(ANALYZERS)}) SELECT analyzer_id, min_plan FROM a WHERE min_plan IN ('developer', 'team') AND analyzer_id IN (SELECT analyzer_id FROM ({WANTED}))")
-SEL = "SELECT CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 'developer' WHEN 1 THEN 'team' WHEN 2 THEN 'enterprise' ELSE 'gold' END AS plan, CASE WHEN o_orderkey % 7 = 6 THEN 'mystery' ELSE a END AS analyzer_id FROM (SELECT *, CASE CAST(o_orderkey % 6 AS INT) " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(ANALYZERS[:-1])) + f" ELSE '{ANALYZERS[-1][0]}' END AS a FROM orders WHERE o_orderkey % 97 = 0)"
-add("fd_selection_check", lambda v: fd.selection_errors(v.orders.where("o_orderkey % 97 = 0").select(_pick("o_custkey", (*fd.PLANS, "gold")).alias("plan"), F.when(F.col("o_orderkey") % 7 == 6, "mystery").otherwise(_pick("o_orderkey", [a for a, _ in ANALYZERS])).alias("analyzer_id")), table(v, ANALYZERS, "analyzer_id string, min_plan string")), f"""
-WITH a(analyzer_id, min_plan) AS (VALUES {values(ANALYZERS)}), s AS (SELECT plan, analyzer_id, count(*) AS n FROM ({SEL}) GROUP BY 1, 2), r(p, k) AS (VALUES ('developer', 0), ('team', 1), ('enterprise', 2)),
+SEL = "SELECT o_custkey, CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 'developer' WHEN 1 THEN 'team' WHEN 2 THEN 'enterprise' ELSE 'gold' END AS plan, CASE WHEN o_orderkey % 7 = 6 THEN 'mystery' ELSE a END AS analyzer_id FROM (SELECT *, CASE CAST(o_orderkey % 6 AS INT) " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(ANALYZERS[:-1])) + f" ELSE '{ANALYZERS[-1][0]}' END AS a FROM orders)"
+add("fd_selection_check", lambda v: fd.selection_errors(v.orders.select("o_custkey", _pick("o_custkey", (*fd.PLANS, "gold")).alias("plan"), F.when(F.col("o_orderkey") % 7 == 6, "mystery").otherwise(_pick("o_orderkey", [a for a, _ in ANALYZERS])).alias("analyzer_id")), table(v, ANALYZERS, "analyzer_id string, min_plan string"), "o_custkey"), f"""
+WITH a(analyzer_id, min_plan) AS (VALUES {values(ANALYZERS)}), s AS (SELECT o_custkey, plan, analyzer_id, count(*) AS n FROM ({SEL}) GROUP BY 1, 2, 3), r(p, k) AS (VALUES ('developer', 0), ('team', 1), ('enterprise', 2)),
 j AS (SELECT s.*, min_plan, r.k AS rank, q.k AS need FROM s LEFT JOIN a ON a.analyzer_id = s.analyzer_id LEFT JOIN r ON r.p = s.plan LEFT JOIN r q ON q.p = min_plan)
-SELECT plan, analyzer_id, 'unknown plan' AS error FROM j WHERE rank IS NULL UNION ALL SELECT plan, analyzer_id, 'duplicate' FROM j WHERE n > 1 UNION ALL SELECT plan, analyzer_id, 'unknown analyzer' FROM j WHERE min_plan IS NULL UNION ALL SELECT plan, analyzer_id, 'plan too low' FROM j WHERE rank < need""")
+SELECT o_custkey, plan, analyzer_id, 'unknown plan' AS error FROM j WHERE rank IS NULL UNION ALL SELECT o_custkey, plan, analyzer_id, 'duplicate' FROM j WHERE n > 1 UNION ALL SELECT o_custkey, plan, analyzer_id, 'unknown analyzer' FROM j WHERE min_plan IS NULL UNION ALL SELECT o_custkey, plan, analyzer_id, 'plan too low' FROM j WHERE rank < need""")
 add("fd_locked", lambda v: fd.locked_services(_wanted(v).select("plan", F.col("analyzer_id").alias("service")), bridge(v).withColumnRenamed("analyzer_id", "service")), f"WITH b(plan, service) AS (VALUES {values(BRIDGE)}) SELECT plan, analyzer_id AS service FROM ({WANTED}) EXCEPT SELECT plan, service FROM b")
 COV = "SELECT o_custkey AS run_id, CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'developer' WHEN 1 THEN 'team' ELSE 'enterprise' END AS plan, CASE CAST(o_orderkey % 6 AS INT) " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(ANALYZERS[:-1])) + f" ELSE '{ANALYZERS[-1][0]}' END AS analyzer_id, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) = 1 AS ran FROM orders GROUP BY 1, 2, 3"
 

@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from tallywright.operators import graph, ledger
+from tallywright.operators import findings, graph, ledger
 from tallywright.plans import catalog
 from tallywright.sources import files
 
@@ -77,6 +77,27 @@ def test_impact_stops_before_the_last_edge(spark):
     assert sorted((r["id"], r["distance"]) for r in got) == [("b", 1), ("c", 2)]
 
 
+def test_cycles(spark):
+    edges = spark.createDataFrame([(a, b) for a, b in zip("abcde", "bcdea", strict=True)] + [("a", "c"), ("x", "y"), ("y", "x"), ("y", "z"), ("q", "q")], "source_id string, target_id string")
+    got = sorted((r["members"], r["length"], r["severity"]) for r in graph.cycles(edges).collect())
+    assert got == [("a,b,c,d,e", 5, "CRITICAL"), ("a,c,d,e", 4, "HIGH"), ("x,y", 2, "HIGH")]
+    assert graph.cycles(edges.where("false")).collect() == []
+
+
+def test_conflicts(spark):
+    rows = [(1, 1, "same", ["a"]), (2, 1, "same", ["a"]), (3, 1, "same", ["a"]), (4, 2, "same", ["a"]), (5, 1, "other", ["a"]), (6, 2, "x" * 50 + "1", ["b"]), (7, 2, "x" * 50 + "2", ["b"])]
+    df = spark.createDataFrame([(i, r, s, [(p, None, None) for p in ps]) for i, r, s, ps in rows], "id long, repo_id long, problem_statement string, affected_files array<struct<path: string, line_range: string, severity: string>>")
+    assert sorted(map(tuple, findings.conflicts(df).collect())) == [(1, 2, 2), (2, 2, 1), (3, 2, 1), (6, 1, 7), (7, 1, 6)]
+    assert sorted((r["id"], r["conflicts"]) for r in findings.conflict_groups(df).collect()) == [(1, [2, 3]), (2, [1, 3]), (3, [1, 2]), (6, [7]), (7, [6])]
+
+
+def test_fixes_are_looked_for_in_whole_files(spark):
+    files_ = spark.createDataFrame([("a.py", "x\n" * 100 + "f = open(p)")], "path string, content string")
+    rows = [(1, "approved", "a.py", "f = open(p)"), (2, "approved", "a.py", "f=open( p )"), (3, "approved", "a.py", "gone"), (4, "approved", "b.py", "x"), (5, "applied", "a.py", "x"), (6, "approved", None, "x"), (7, "approved", "a.py", None), (8, None, "a.py", "x")]
+    got = findings.validate_fixes(spark.createDataFrame(rows, "id int, status string, file_path string, original_code string"), files_).collect()
+    assert {r["id"]: (r["error"], r["warning"]) for r in got} == {1: (None, None), 2: (None, "white space differs"), 3: ("content changed", None), 4: ("file not found", None), 5: ("not approved", None), 6: ("no path", None), 7: (None, None), 8: (None, None)}
+
+
 def test_call_edges(spark):
     calls = spark.createDataFrame([("f", "f::x", "self.y"), ("f", "f::x", "m.z"), ("g", "g::q", "q")], "path string, caller string, name string")
     functions = spark.createDataFrame([("f", "y", "f::y"), ("g", "y", "g::y"), ("g", "z", "g::z"), ("g", "q", "g::q")], "path string, name string, id string")

@@ -37,12 +37,16 @@ def documentation_scores(f: DataFrame, by: tuple[str, ...] = ("repo_id",)) -> Da
     return per.select(*by, F.greatest(F.lit(0), 100 - off).cast("long").alias("score"))
 
 
-def test_scores(f: DataFrame, by: tuple[str, ...] = ("repo_id",)) -> DataFrame:
-    """(by, score) from facts, where there are test functions: 100 less 5 for each problem (40 at most), less 30 times the share of tests without an assertion, rounded down."""
+def test_scores(f: DataFrame, by: tuple[str, ...] = ("repo_id",), smells: DataFrame | None = None, missing: DataFrame | None = None) -> DataFrame:
+    """(by, score) from facts, where there are test functions: 100 less 5 for each problem (40 at most), less 30 times the share of
+    tests without an assertion, rounded down, less 3 for each smell (20 at most) and 2 for each source file of the repository
+    without a test file (10 at most). smells: rows with the columns by, one for each; missing: rows (repo_id, path)."""
     problems = st.test_quality(f).groupBy(*by).agg(F.count("*").alias("issues"), F.count_if(F.col("problem") == "no_assertion").alias("bare"))
     tests = f.where((F.col("kind") == "FunctionDef") & F.col("name").startswith("test")).groupBy(*by).agg(F.count("*").alias("tests"))
     per = tests.join(problems, list(by), "left").na.fill(0, ["issues", "bare"])
-    off = F.least(F.col("issues") * 5, F.lit(40)) + F.floor(F.col("bare") * 30 / F.col("tests"))
+    for rows, key, name in ((smells, list(by), "smells"), (missing, ["repo_id"], "missing")):
+        per = per.withColumn(name, F.lit(0)) if rows is None else per.join(rows.groupBy(*key).agg(F.count("*").alias(name)), key, "left").na.fill(0, [name])
+    off = F.least(F.col("issues") * 5, F.lit(40)) + F.floor(F.col("bare") * 30 / F.col("tests")) + F.least(F.col("smells") * 3, F.lit(20)) + F.least(F.col("missing") * 2, F.lit(10))
     return per.select(*by, F.greatest(F.lit(0), 100 - off).cast("long").alias("score"))
 
 

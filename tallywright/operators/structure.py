@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 FACT = "repo_id long, path string, node_id int, parent_id int, funcs array<int>, classes array<int>, loops array<int>, class_id int, kind string, name string, line int, end_line int, n int, flag boolean, doc string"
 KEY = ("repo_id", "path")
 #: Names of calls that are taken for queries. Fixed values.
@@ -73,7 +75,8 @@ def _facts_of(content: str) -> Iterator[tuple]:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Facts of files (repo_id, path, content), file by file; those that do not parse, null or empty ones give at most their module's."""
+    """Facts of files (repo_id, path, content), file by file; those that do not parse, null or empty ones give at most their module's.
+    They are written once in the shared folder, since most metrics read them several times."""
 
     names = [c.split()[0] for c in FACT.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
@@ -93,7 +96,7 @@ def facts(files: DataFrame) -> DataFrame:
                     rows = []
             yield facts_batch(rows)
 
-    return files.select(F.col("repo_id").cast("long").alias("repo_id"), "path", "content").mapInArrow(extract, FACT)
+    return cut(files.select(F.col("repo_id").cast("long").alias("repo_id"), "path", "content").mapInArrow(extract, FACT))
 
 
 def _kind(f: DataFrame, *kinds: str) -> DataFrame:
@@ -169,12 +172,14 @@ def test_quality(f: DataFrame) -> DataFrame:
 
 
 def code_nodes(f: DataFrame) -> DataFrame:
-    """(id, node_type, name, path) of a code graph: files, classes, functions, methods; an id is kept once."""
+    """(id, node_type, name, path) of a code graph: files, classes, functions, methods; of an id the last in the code is kept."""
     cls = _kind(f, "ClassDef").select(*KEY, F.col("node_id").alias("parent_id"), F.col("name").alias("owner"))
     named = _kind(f, "FunctionDef", "ClassDef").join(cls, [*KEY, "parent_id"], "left")
     kind = F.when(F.col("kind") == "ClassDef", "class").when(F.col("owner").isNotNull(), "method").otherwise("function")
-    out = named.select(F.concat("path", F.lit("::"), F.when(kind == "method", F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))).alias("id"), kind.alias("node_type"), "name", "path")
-    return out.union(_kind(f, "Module").select("path", F.lit("file"), "path", "path")).dropDuplicates(["id"])
+    out = named.select(F.concat("path", F.lit("::"), F.when(kind == "method", F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))).alias("id"), kind.alias("node_type"), "name", "path", "line", "node_id")
+    every = out.union(_kind(f, "Module").select("path", F.lit("file"), "path", "path", F.lit(0), F.lit(0)))
+    last = F.max(F.struct("line", "node_id", "node_type", "name", "path")).alias("last")
+    return every.groupBy("id").agg(last).select("id", "last.node_type", "last.name", "last.path")
 
 
 def structural_edges(f: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import scans
 from ..operators import scores as sc
 from ..operators import structure as st
 from .registry import Registry
@@ -62,7 +63,12 @@ add("st_feature_envy", lambda v: _without_line(st.feature_envy(_facts(v), 0)), f
 add("st_module", lambda v: st.module_checks(_facts(v), _files(v), code_lines=40, classes=0), f"""
 WITH m AS (SELECT repo_id, path, 1 + sum(CASE form WHEN 2 THEN 2 ELSE 4 END) AS code_lines, 0 AS imports, 1 AS classes FROM {ORDERS} GROUP BY 1, 2)
 SELECT repo_id, path, 'classes' AS problem, 'MEDIUM' AS severity, code_lines, imports, classes FROM m UNION ALL SELECT repo_id, path, 'lines', 'MEDIUM', code_lines, imports, classes FROM m WHERE code_lines > 40""")
-add("st_test_score", lambda v: sc.test_scores(_facts(v), st.KEY), f"SELECT repo_id, path, 70 - least(count(*) * 5, 40) AS score FROM {ORDERS} WHERE form = 1 GROUP BY 1, 2")
+_UNTESTED = lambda v: scans.missing_tests(v.orders.select((F.col("o_custkey") % 20).alias("repo_id"), F.format_string("src/c%d.py", F.col("o_custkey")).alias("path")))
+add("st_test_score", lambda v: sc.test_scores(_facts(v), st.KEY, missing=_UNTESTED(v)), f"""
+WITH m AS (SELECT repo_id, count(DISTINCT path) AS n FROM {ORDERS} GROUP BY 1), t AS (SELECT repo_id, path, count(*) AS k FROM {ORDERS} WHERE form = 1 GROUP BY 1, 2)
+SELECT t.repo_id, path, 70 - least(k * 5, 40) - least(2 * n, 10) AS score FROM t JOIN m ON m.repo_id = t.repo_id""")
+add("st_list_conv", lambda v: _without_line(st.calls_and_asserts(_facts(v)).where("kind = 'list'")), f"SELECT repo_id, path, 'list' AS kind FROM {ORDERS} WHERE form = 2")
+add("st_long_function", lambda v: _without_line(st.function_sizes(_facts(v), 3, 1000)), f"SELECT repo_id, path, CASE form WHEN 0 THEN 'm' ELSE 'test_m' END || k AS name, 4 AS lines, CASE form WHEN 0 THEN 4 ELSE 1 END AS parameters FROM {ORDERS} WHERE form <> 2")
 
 #: Code that is written from the order lines: a file for each order, a function for each line.
 LINE_FORMS = (

@@ -52,6 +52,19 @@ def test_scores_of_nothing_and_of_much(spark):
     assert sc.overall(sc.family_scores(none, "run_id", "security"), none, "run_id").count() == 0
 
 
+def test_last_node_of_an_id(spark):
+    f = st.facts(_rows(spark, ("a.py", "def f():\n    pass\n\nclass f:\n    pass\n")))
+    assert {(r["id"], r["node_type"]) for r in st.code_nodes(f).collect()} == {("a.py", "file"), ("a.py::f", "class")}
+
+
+def test_scores_of_tests_with_smells_and_missing_files(spark):
+    f = st.facts(_rows(spark, ("test_a.py", "def test_a():\n    assert 1\n")))
+    smells = spark.createDataFrame([(1,)] * 9, "repo_id int")
+    missing = spark.createDataFrame([(1, "b.py"), (1, "c.py"), (2, "d.py")], "repo_id int, path string")
+    score = lambda **more: sc.test_scores(f, **more).first()["score"]
+    assert (score(), score(smells=smells), score(missing=missing), score(smells=smells, missing=missing)) == (100, 80, 96, 76)
+
+
 def test_clusters(spark):
     pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("d", "c"), ("c", "d"), ("e", "a"), ("a", "c"), ("x", "y"), ("y", "x"), ("a", "a")]
     edges = spark.createDataFrame(pairs, "source_id string, target_id string")

@@ -48,12 +48,21 @@ def fix_funnel(repositories: DataFrame, runs: DataFrame, results: DataFrame, fix
     return t.withColumns({"adoption_rate": ratio(F.col("applied"), F.col("proposed")), "success_rate": ratio(F.col("applied"), F.col("applied") + F.col("failed"))})
 
 
-def metrics(repositories: DataFrame, runs: DataFrame, results: DataFrame, fixes: DataFrame, prs: DataFrame, as_of: str) -> DataFrame:
-    """One row for each repository: risks of 30 days, fix funnel, counters, score and grade; 100 and A where nothing is known."""
+def metrics(repositories: DataFrame, runs: DataFrame, results: DataFrame, fixes: DataFrame, prs: DataFrame, as_of: str, snapshots: DataFrame | None = None) -> DataFrame:
+    """One row for each repository: risks of 30 days, fix funnel, counters, score and grade; 100 and A where nothing is known.
+    With snapshots, also the change of the score since the latest snapshot of 7 and of 30 days before (null without one)
+    and the trend of the total risks since then."""
     t = risk_rollup(repositories, prs, as_of).join(fix_funnel(repositories, runs, results, fixes), "id").join(pr_counters(prs), "repo_full_name", "left").fillna(0, ["total_prs", "prs_critical", "prs_high"])
     new = (F.col("total_prs") == 0) & (F.col("proposed") + F.col("failed") == 0)
     s = F.when(new, 100.0).otherwise(score(*[F.col(x) for x in SEVERITIES], F.col("adoption_rate")))
-    return t.withColumn("score", s).withColumn("grade", grade(F.col("score")))
+    t = t.withColumn("score", s).withColumn("grade", grade(F.col("score")))
+    if snapshots is None:
+        return t
+    at = lambda c, n: F.max_by(c, F.when(F.col("created_at") <= since(as_of, n), F.struct("created_at", "id"))).alias(f"{c}_{n}")
+    past = snapshots.groupBy(F.col("repo_metrics_id").alias("id")).agg(*[at(c, n) for c in ("reliability_score", "total_risks") for n in (7, 30)])
+    total = F.col("critical") + F.col("high") + F.col("medium") + F.col("low")
+    t = t.join(past, "id", "left").withColumns({f"score_change_{n}d": F.col("score") - F.col(f"reliability_score_{n}") for n in (7, 30)} | {f"risk_trend_{n}d": risk_trend(total, F.col(f"total_risks_{n}")) for n in (7, 30)})
+    return t.drop(*[f"{c}_{n}" for c in ("reliability_score", "total_risks") for n in (7, 30)])
 
 
 def as_of_changes(snapshots: DataFrame, as_of: str, days: tuple[int, ...] = (7, 30)) -> DataFrame:
@@ -83,6 +92,15 @@ def pr_snapshots(prs: DataFrame) -> DataFrame:
     return own.select("id", "repo_full_name", F.col("completed_at").alias("created_at"), F.lit("pr_analysis").alias("snapshot_type"), *[x.alias(f"{s}_risks") for x, s in zip(c, SEVERITIES, strict=False)], F.lit(0).alias("low_risks"), (c[0] + c[1] + c[2]).alias("total_risks"))
 
 
+def fix_snapshots(fixes: DataFrame, results: DataFrame, runs: DataFrame, current: DataFrame) -> DataFrame:
+    """A snapshot for each applied fix, of its repository's current metrics (id, critical, high, medium, low, score); the total is the sum of all four."""
+    owner = results.select(F.col("id").alias("result_id"), "run_id").join(runs.select(F.col("id").alias("run_id"), "repository_id"), "run_id").select("result_id", "repository_id")
+    own = fixes.where("status = 'applied'").select(F.col("id").alias("code_fix_id"), "result_id", "created_at").join(owner, "result_id")
+    now = current.select(F.col("id").alias("repository_id"), *[F.col(s).alias(f"{s}_risks") for s in SEVERITIES], F.col("score").alias("reliability_score"))
+    total = F.col("critical_risks") + F.col("high_risks") + F.col("medium_risks") + F.col("low_risks")
+    return own.join(now, "repository_id").select("code_fix_id", "repository_id", "created_at", F.lit("fix_applied").alias("snapshot_type"), *[f"{s}_risks" for s in SEVERITIES], total.alias("total_risks"), "reliability_score")
+
+
 def score_trend(snapshots: DataFrame, as_of: str, days: int) -> DataFrame:
     own = snapshots.where(F.col("created_at") >= since(as_of, days))
     return own.select("repo_metrics_id", "created_at", "reliability_score", "id").orderBy("repo_metrics_id", "created_at", "id")

@@ -37,15 +37,21 @@ SELECT *, {GRADE.format('score')} AS grade FROM s"""
 
 
 def _metrics(v: Views):
-    return rel.metrics(v.repositories, v.analysis_runs, v.analysis_results, v.code_fixes, v.pr_analyses, AS_OF)
+    return rel.metrics(v.repositories, v.analysis_runs, v.analysis_results, v.code_fixes, v.pr_analyses, AS_OF, v.risk_snapshots)
 
 
 add("rel_pr_counters", lambda v: rel.pr_counters(v.pr_analyses), COUNTERS)
 add("rel_risk_rollup", lambda v: rel.risk_rollup(v.repositories, v.pr_analyses, AS_OF), ROLLUP)
 add("rel_fix_stats", lambda v: rel.fix_funnel(v.repositories, v.analysis_runs, v.analysis_results, v.code_fixes), FUNNEL)
-add("rel_metrics", _metrics, METRICS)
 S = "risk_snapshots"
 AT = "max_by({}, (created_at, id)) FILTER (WHERE created_at <= " + T + " - INTERVAL {} DAY)"
+TREND = "CASE WHEN {1} IS NULL OR {1} = 0 THEN 'stable' WHEN ({0} - {1}) / {1} * 100 > 10 THEN 'increasing' WHEN ({0} - {1}) / {1} * 100 < -10 THEN 'decreasing' ELSE 'stable' END"
+add("rel_metrics", _metrics, f"""
+WITH m AS ({METRICS}), p AS (SELECT repo_metrics_id, {', '.join(f'{AT.format(c, n)} AS {x}{n}' for c, x in (('reliability_score', 's'), ('total_risks', 'r')) for n in (7, 30))} FROM {S} GROUP BY 1)
+SELECT m.*, score - s7 AS score_change_7d, score - s30 AS score_change_30d, {', '.join(TREND.format('(critical + high + medium + low)', f'r{n}') + f' AS risk_trend_{n}d' for n in (7, 30))} FROM m LEFT JOIN p ON p.repo_metrics_id = m.id""")
+add("rel_snapshot_fix", lambda v: rel.fix_snapshots(v.code_fixes, v.analysis_results, v.analysis_runs, _metrics(v)), f"""
+SELECT f.id AS code_fix_id, a.repository_id, f.created_at, 'fix_applied' AS snapshot_type, critical AS critical_risks, high AS high_risks, medium AS medium_risks, low AS low_risks, critical + high + medium + low AS total_risks, score AS reliability_score
+FROM code_fixes f JOIN analysis_results r ON r.id = f.result_id JOIN analysis_runs a ON a.id = r.run_id JOIN ({METRICS}) m ON m.id = a.repository_id WHERE f.status = 'applied'""")
 add("rel_asof_change", lambda v: rel.as_of_changes(v.risk_snapshots, AS_OF), f"SELECT repo_metrics_id, {AT.format('reliability_score', 0)} AS score, {AT.format('reliability_score', 0)} - {AT.format('reliability_score', 7)} AS change_7d, {AT.format('reliability_score', 0)} - {AT.format('reliability_score', 30)} AS change_30d FROM {S} GROUP BY 1")
 add("rel_risk_trend", lambda v: rel.risk_trends(v.risk_snapshots, AS_OF), f"""SELECT repo_metrics_id, CASE WHEN past IS NULL OR past = 0 THEN 'stable' WHEN (now - past) / past * 100 > 10 THEN 'increasing' WHEN (now - past) / past * 100 < -10 THEN 'decreasing' ELSE 'stable' END AS risk_trend
 FROM (SELECT repo_metrics_id, {AT.format('total_risks', 0)} AS now, {AT.format('total_risks', 30)} AS past FROM {S} GROUP BY 1)""")

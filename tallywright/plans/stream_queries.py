@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import reliability
 from ..streaming import streams
 from .ledger_queries import written
+from .metric_queries import COUNTERS
 from .registry import Registry
 from .views import Views
 
@@ -59,7 +60,7 @@ SELECT delivery_id, repo_full_name, CASE WHEN s IN ('ignored', 'queued') THEN s
   CASE s WHEN 'ignored' THEN 'Action not configured' WHEN 'missing' THEN 'Missing required fields' WHEN 'untracked' THEN 'Repository not tracked or disabled' END AS reason FROM j""")
 add("sm_rate_limit", lambda v: streams.rate_limit(_calls(v), 3, 86400.0))
 add("sm_rate_limit_stream", lambda v: _drained(v, _calls(v), lambda s: streams.rate_limit_stream(s, 3, 86400.0)))
-add("sm_metrics", _metrics)
+add("sm_metrics", _metrics, COUNTERS)
 add("sm_daily", lambda v: _drained(v, v.analysis_runs.select("id", "status", F.col("created_at").cast("timestamp").alias("created_at")), streams.daily_counts, "complete"), "SELECT CAST(created_at AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed FROM analysis_runs GROUP BY 1")
 _W = "OVER (PARTITION BY run_id ORDER BY sequence, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 add("sm_invariants", lambda v: _drained(v, v.ledger_events.select(*E), streams.watch_invariants), f"""

@@ -64,18 +64,29 @@ def rate_limit(calls: DataFrame, limit: int = 10, window: float = 3600.0) -> Dat
     return rows.repartition("key").sortWithinPartitions("key", "at", "id").mapInPandas(decide, DECISION)
 
 
-def rate_limit_stream(calls: DataFrame, limit: int = 10, window: float = 3600.0) -> DataFrame:
-    """The same over a stream, in order within each micro-batch; the state of a key is its allowed times."""
+def _timeout(idle: float | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def rate_limit_stream(calls: DataFrame, limit: int = 10, window: float = 3600.0, idle: float | None = None) -> DataFrame:
+    """The same over a stream, in order within each micro-batch; the state of a key is its allowed times. With `idle`, it is dropped
+    when no call has come for so many seconds of the clock, or for the window if that is longer; such a stream looks for
+    idle keys for ever, so it needs a trigger by time, not availableNow."""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times, out = list(state.get[0]) if state.exists else [], []
         for at, i in sorted((at, i) for b in batches for at, i in zip(b["at"], b["id"], strict=True)):
             times, ok, left = _decide(times, at, limit, window)
             out.append((key[0], at, i, ok, left))
         state.update((times,))
+        if idle is not None:
+            state.setTimeoutDuration(int(1000 * max(window, idle)))
         yield pd.DataFrame(out, columns=["key", "at", "id", "allowed", "remaining"])
 
-    return calls.select("key", "at", "id").groupBy("key").applyInPandasWithState(decide, DECISION, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return calls.select("key", "at", "id").groupBy("key").applyInPandasWithState(decide, DECISION, "times array<double>", "append", _timeout(idle))
 
 
 def daily_counts(runs: DataFrame, at: str = "created_at", late: str = "1 day") -> DataFrame:
@@ -84,10 +95,15 @@ def daily_counts(runs: DataFrame, at: str = "created_at", late: str = "1 day") -
     return out.select(F.to_date("window.start").alias("day"), "total", "completed", "failed")
 
 
-def watch_invariants(events: DataFrame) -> DataFrame:
-    """(run_id, sequence, kind) as events arrive: gap (not the next sequence), after_end (beyond a terminal event), early_fix (before any approval)."""
+def watch_invariants(events: DataFrame, idle: float | None = None) -> DataFrame:
+    """(run_id, sequence, kind) as events arrive: gap (not the next sequence), after_end (beyond a terminal event), early_fix (before
+    any approval). With `idle`, a run's state is dropped when it has ended and no event has
+    come for so many seconds of the clock (not for availableNow, as above)."""
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, approved, sealed = state.get if state.exists else (-1, False, False)
         out = []
         for seq, _, kind in sorted(r for b in batches for r in zip(b["sequence"], b["id"], b["event_type"], strict=True)):
@@ -99,9 +115,11 @@ def watch_invariants(events: DataFrame) -> DataFrame:
                 out.append((key[0], seq, "early_fix"))
             last, approved, sealed = int(seq), approved or kind == "PLAN_APPROVED", sealed or kind in TERMINAL
         state.update((last, approved, sealed))
+        if sealed and idle is not None:
+            state.setTimeoutDuration(int(1000 * idle))
         yield pd.DataFrame(out, columns=["run_id", "sequence", "kind"])
 
-    return events.select("run_id", "sequence", "id", "event_type").groupBy("run_id").applyInPandasWithState(watch, BREACH, "last int, approved boolean, sealed boolean", "append", GroupStateTimeout.NoTimeout)
+    return events.select("run_id", "sequence", "id", "event_type").groupBy("run_id").applyInPandasWithState(watch, BREACH, "last int, approved boolean, sealed boolean", "append", _timeout(idle))
 
 
 def refresh_metrics(metrics: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:

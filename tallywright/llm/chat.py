@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hub_join, written
+from ..functions.lineage import hub_join
+from .common import written
 
 #: Turn numbers of a block.
 BLOCK = 1000

@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import hub_join, scratch_dir
+
 #: An odd constant that mixes bits (2**64 over the golden ratio).
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new temporary folder where it is unset (tests only)."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = context.getCheckpointDir()
-    return found
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder's path below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/tallywright/{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lost executors do not lose it, and its lineage ends there."""
     spark = df.sparkSession
@@ -39,6 +21,17 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, and the JVM and the worker each hold some batches.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's spark.sql.execution.arrow.maxRecordsPerBatch to BATCH_ROWS, where it is Spark's default of 10000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -91,22 +84,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total, dtype=np.int64)
 
 
-#: Keys that hub_join() treats as hubs, at most; and rows of a hub, at least.
-HUBS, HUB_ROWS = 512, 64
-
-
-def hub_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """left.join(right, key, how), how being inner, left, left_semi or left_anti, where right has one row at most for each key.
-    The HUBS most frequent keys of left, each of which would send its rows to one task, meet a broadcast of their rows of
-    right, which are as many at most; no other key has more than a HUBS-th of the rows. left is read three times."""
-    most = left.groupBy(key).count().where(F.col("count") > HUB_ROWS).orderBy(F.desc("count"), key).limit(HUBS)
-    hubs = [r[key] for r in most.collect() if r[key] is not None]
-    if not hubs:
-        return left.join(right, key, how)
-    hub, other = F.coalesce(F.col(key).isin(hubs), F.lit(False)), ~F.coalesce(F.col(key).isin(hubs), F.lit(False))
-    return left.where(other).join(right.where(other), key, how).unionByName(left.where(hub).join(F.broadcast(right.where(hub)), key, how))
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b) of longs: one row (node, root) for each node that has an edge,
     root being the component's smallest node. Alternates the large-star and small-star steps; each takes the least

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed
+from .common import mixed, small_batches
 
 #: Most items, and characters, of a part of the benchmark that is sent to every task.
 PART, PART_CHARS = 50_000, 20_000_000
@@ -180,6 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = 5, least: f
     passages never do.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     source = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col).cast("binary")).alias("text_key")).where(F.length("text") > 0)
     schema = "doc_id string, text_key long, item_id string, start_word long, n_words long, similarity double, distance int"

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hub_join, mixed, scratch_dir, shuffle_width, written
+from ..functions.lineage import hub_join, scratch_dir
+from .common import mixed, shuffle_width, written
 
 #: Snapshot digests of a bucket, on average; and bytes of filters that are sent to every task, at most.
 BUCKET, FILTER_BYTES = 200_000, 32_000_000

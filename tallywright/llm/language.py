@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed
+from .common import mixed, small_batches
 
 #: Texts of each language, and of all, that the classifiers learn from, about (a bound by rate of a hash of doc_id).
 PER_LANGUAGE, SAMPLE = 400, 20_000
@@ -111,6 +111,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     """Learn every language of the rows that are not held out from a bounded sample: about `per_language` texts of each,
     fewer where that makes more than `most` in all, chosen by a hash of the id, and one text of each language at least.
     None if there is nothing to learn from. The driver holds the sample's features and a row for each language."""
+    small_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     draw = F.xxhash64(F.lit("language"), F.col("doc_id")).bitwiseAND(F.lit(2**53 - 1)) / F.lit(2.0**53)
     known = known.where(F.length("text") > 0).withColumn("draw", draw)
@@ -158,6 +159,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", id_co
             out.loc[rows, "ambiguous"] = gap < CLOSE
         return out
 
+    small_batches(docs.sparkSession)
     predict = F.pandas_udf(run, "lang_pred string, score double, ambiguous boolean")
     cols = [F.col(c) for c in keep]
     found = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.struct(*cols).alias("kept") if keep else F.lit(None).alias("kept"), predict(F.col(text_col)).alias("p"))

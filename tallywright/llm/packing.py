@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, shuffle_width, written
+from .common import ragged, shuffle_width, small_batches, written
 from .tokens import crcs, ended, word_memo
 
 #: Partitions whose open windows are merged together: a merge has at most OPEN * FAN windows.
@@ -62,6 +62,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: in
     empty table gives no pieces.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     kinds = [pa.string(), *[pa.int64()] * 6, pa.bool_(), *([pa.list_(pa.int32())] if with_ids else [])]
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "window", "offset", "leftover", *(["ids"] if with_ids else [])]

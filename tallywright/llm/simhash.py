@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, components, hub_join, mixed, shuffle_width, text_bytes, written
+from ..functions.lineage import hub_join
+from .common import MIX, components, mixed, shuffle_width, small_batches, text_bytes, written
 
 #: Tiles there are, whatever the number of fingerprints, so that each fingerprint is sent equally often at every size;
 #: and the most fingerprints of a tile, beyond which there are more tiles.
@@ -55,6 +56,7 @@ def majority(h: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, ngram: int = 3, words: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text_key, f0, f1, ..): `words` 64-bit words of the SimHash of each text, as signed longs. The first word is of the
     shingles' XXH64, the others of mixed forms of it. A text with no words (or null) has fingerprint zero."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     cols = [f"f{i}" for i in range(words)]
 
@@ -262,6 +264,7 @@ def near_copies(docs: DataFrame, ngram: int, words: int, radius: int, screen: in
     A text with fewer words than `ngram` is one shingle; texts without words (or null) are alike. Rows that repeat in id and
     text stay as one row here. Other columns are not looked at. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     cols = [f"f{i}" for i in range(words)]
 

@@ -20,12 +20,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, mixed, rolling, row_key, shuffle_width, text_bytes, word_hashes
+from .common import MIX, mixed, rolling, row_key, shuffle_width, small_batches, text_bytes, word_hashes
 
 #: Perfect difference sets: every residue modulo v is the difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
-#: Entries of a task's flush, and of a bin on average.
-FLUSH, BIN = 1_000_000, 500_000
+#: Entries of a task's flush, and of a bin on average; and bins that a flush is dealt into, at most: beyond that there are
+#: two levels, so that a blob always holds hundreds of entries.
+FLUSH, BIN, COARSE = 1_000_000, 500_000, 2048
+_NAMES = ["bin", "docs", "doc", "pos", "h1", "h2", "settled"]
 _BLOB = "bin int, docs binary, doc binary, pos binary, h1 binary, h2 binary, settled boolean"
 
 
@@ -48,6 +50,31 @@ def _unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
 
 
+def _bin_of(h: np.ndarray, bins: int) -> np.ndarray:
+    """Bins are ranges of hashes."""
+    return (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+
+
+def _entries(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Of blobs that are not settled: h1, h2, pos, the documents' keys, and for each entry its key's place (-1: none)."""
+    h1 = np.concatenate([np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in rows.h1])
+    h2 = np.concatenate([_unplanes(x, np.uint32) for x in rows.h2])
+    pos = np.concatenate([_unplanes(x, np.uint32) for x in rows.pos])
+    keys, base, doc = [], 0, []
+    for d, t in zip(rows.doc, rows.docs, strict=True):
+        d, t = _unplanes(d, np.uint32).astype(np.int64), np.frombuffer(t, np.int64)
+        doc.append(np.where(d == 0, -1, d - 1 + base))
+        keys.append(t)
+        base += len(t)
+    return h1, h2, pos, np.concatenate(keys), np.concatenate(doc)
+
+
+def _blob(at: int, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple:
+    """A blob of entries that are sorted by h1; doc: places in keys, -1 for none."""
+    used, local = np.unique(np.r_[-1, doc], return_inverse=True)
+    return at, keys[used[1:]].tobytes(), _planes(local[1:].astype(np.uint32)), _planes(pos), _planes(np.diff(h1, prepend=np.uint64(0))), _planes(h2), False
+
+
 class _Flush:
     """Entries (document, position, hash) gathered by a task."""
 
@@ -62,8 +89,7 @@ class _Flush:
             self.n += len(pos)
 
     def _bin(self, h: np.ndarray) -> np.ndarray:
-        """Bins are ranges of hashes."""
-        return (((h >> np.uint64(32)) * np.uint64(self.bins)) >> np.uint64(32)).astype(np.int64)
+        return _bin_of(h, self.bins)
 
     def blobs(self) -> Iterator[pd.DataFrame]:
         if not self.n:
@@ -79,12 +105,9 @@ class _Flush:
         rows = []
         # one probe for each hash: reference 0 where this task has the hash twice, as those are settled, else 1 + its document
         ph1, ph2, ppos = h1[first], h2[first], np.where(alone[first], pos[first], 0).astype(np.uint32)
-        pdoc = np.where(alone[first], doc[first] + np.uint32(1), np.uint32(0))
+        pdoc = np.where(alone[first], doc[first].astype(np.int64), -1)
         b = b[first]
-        for at in np.split(np.arange(len(b)), np.flatnonzero(np.diff(b)) + 1):
-            used, local = np.unique(np.r_[np.uint32(0), pdoc[at]], return_inverse=True)
-            table = keys[used[1:].astype(np.int64) - 1]
-            rows.append((int(b[at[0]]), table.tobytes(), _planes(local[1:].astype(np.uint32)), _planes(ppos[at]), _planes(np.diff(ph1[at], prepend=np.uint64(0))), _planes(ph2[at]), False))
+        rows += [_blob(int(b[at[0]]), keys, pdoc[at], ppos[at], ph1[at], ph2[at]) for at in np.split(np.arange(len(b)), np.flatnonzero(np.diff(b)) + 1)]
         held = ~alone
         if held.any():
             d, p = doc[held], pos[held]
@@ -93,7 +116,42 @@ class _Flush:
             bins = self._bin(keys.view(np.uint64))
             for at in np.split(np.arange(len(d)), np.flatnonzero(np.diff(d)) + 1):
                 rows.append((int(bins[d[at[0]]]), keys[d[at[0]]].tobytes(), b"", p[at].tobytes(), b"", b"", True))
-        yield pd.DataFrame(rows, columns=["bin", "docs", "doc", "pos", "h1", "h2", "settled"])
+        yield pd.DataFrame(rows, columns=_NAMES)
+
+
+def _deal_finely(bins: int, by_hash: bool):
+    """The second level: the blobs of coarse bins, cut into blobs of fine ones. by_hash: bins go by h1; else the coarse bins stay
+    together in as many fine ones as h2 gives."""
+
+    def run(batches):
+        held, settled, n = [], [], 0
+
+        def flush():
+            rows = list(settled)
+            if held:
+                h1, h2, pos, keys, doc, b = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((h2, h1, b))
+                h1, h2, pos, doc, b = h1[order], h2[order], pos[order], doc[order], b[order]
+                rows += [_blob(int(b[at[0]]), keys, doc[at], pos[at], h1[at], h2[at]) for at in np.split(np.arange(len(b)), np.flatnonzero(np.diff(b)) + 1)]
+            return pd.DataFrame(rows, columns=_NAMES)
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if row.settled:
+                    settled.append((int(_bin_of(np.frombuffer(row.docs, np.uint64), bins)[0]), *row[1:]))
+                    n += len(row.pos) // 4
+                else:
+                    h1, h2, pos, keys, doc = _entries(pd.DataFrame([row]))
+                    base = sum(len(x[3]) for x in held)
+                    b = _bin_of(h1, bins) if by_hash else row.bin + COARSE * (h1.astype(np.int64) % max(1, bins // COARSE))
+                    held.append((h1, h2, pos, keys, np.where(doc < 0, -1, doc + base), b))
+                    n += len(h1)
+                if n >= FLUSH:
+                    yield flush()
+                    held, settled, n = [], [], 0
+        yield flush()
+
+    return run
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,16 +162,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
         out_pos.append(pos)
     own = pdf[~pdf.settled]
     if len(own):
-        h1 = np.concatenate([np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in own.h1])
-        h2 = np.concatenate([_unplanes(x, np.uint32) for x in own.h2])
-        pos = np.concatenate([_unplanes(x, np.uint32) for x in own.pos])
-        keys, base, doc = [], 0, []
-        for d, t in zip(own.doc, own.docs, strict=True):
-            d, t = _unplanes(d, np.uint32).astype(np.int64), np.frombuffer(t, np.int64)
-            doc.append(np.where(d == 0, -1, d - 1 + base))
-            keys.append(t)
-            base += len(t)
-        doc, keys = np.concatenate(doc), np.concatenate(keys)
+        h1, h2, pos, keys, doc = _entries(own)
         order = np.lexsort((h2, h1))
         same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
         again = np.r_[False, same] | np.r_[same, False]
@@ -130,8 +179,10 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k": np.array(out_key, np.int64), "pos": out_pos})
 
 
-def _repeats(found: DataFrame) -> DataFrame:
+def _repeats(found: DataFrame, bins: int, by_hash: bool) -> DataFrame:
     """(k, pos): for each document, the blobs of positions that repeat; a document's own positions only."""
+    if bins > COARSE:
+        found = found.repartition(max(COARSE, shuffle_width(found.sparkSession)), "bin").mapInPandas(_deal_finely(bins, by_hash), _BLOB)
     return found.groupBy("bin").applyInPandas(_meet, "k long, pos binary").groupBy("k").agg(F.collect_list("pos").alias("pos"))
 
 
@@ -146,9 +197,10 @@ def dedup_substrings(docs: DataFrame, window: int = 35, texts: bool = True, text
     n_words, n_removed, kept_sha256 (of the kept words joined by one space), spans (binary: pairs of unsigned 32-bit
     word positions, start and end of each removed run) and, if `texts`, kept_text. A null or empty text has no words. A row that is there twice
     (same id and text) counts as two documents, so it is removed where it is long enough. A null id is an id like any
-    other. Other columns are not looked at, whatever their names.
+    other. Very long texts are taken whole. Other columns are not looked at, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     v, member = cover_for(window)
     short = min(8, window)
     anchor = window - v + 1
@@ -158,7 +210,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, texts: bool = True, text
     by_key = base.repartition(shuffle_width(spark), "k")
 
     def anchors(batches):
-        flush = _Flush(bins)
+        flush = _Flush(min(bins, COARSE))
         for pdf in batches:
             for k, t in zip(pdf.k, pdf.t, strict=True):
                 ids = word_hashes(t)
@@ -172,7 +224,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, texts: bool = True, text
         yield from flush.blobs()
 
     def windows(batches):
-        flush = _Flush(bins)
+        flush = _Flush(min(bins, COARSE))
         with np.errstate(over="ignore"):
             for pdf in batches:
                 for k, t, blobs in zip(pdf.k, pdf.t, pdf.pos, strict=True):
@@ -207,9 +259,9 @@ def dedup_substrings(docs: DataFrame, window: int = 35, texts: bool = True, text
                 out.append((d, len(words), int(gone.sum()), hashlib.sha256(left).hexdigest(), cuts.astype(np.uint32).tobytes(), left.decode() if texts else None))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
 
-    first = _repeats(base.select("k", "t").mapInPandas(anchors, _BLOB))
+    first = _repeats(base.select("k", "t").mapInPandas(anchors, _BLOB), bins, True)
     near = by_key.join(first, "k").select("k", "t", F.col("doc_id").cast("string"), "pos")  # with doc_id, so that both joins read one shuffle of the texts
-    second = _repeats(near.mapInPandas(windows, _BLOB))
+    second = _repeats(near.mapInPandas(windows, _BLOB), bins, False)
     kind = base.schema["doc_id"].dataType.simpleString()
     done = by_key.join(second, "k", "left").select(F.col("doc_id").cast("string"), "t", "pos")  # as text: pandas would turn ids into floats where one is null
     return done.mapInPandas(kept, "doc_id string, n_words long, n_removed long, kept_sha256 string, spans binary, kept_text string").select(

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import scratch_dir, written
+from ..functions.lineage import scratch_dir
+from .common import small_batches, written
 from .tokens import crcs, ended, word_memo
 
 #: Ids of a block, about.
@@ -82,6 +83,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, te
     the frequencies over all documents are known. The table of counts has at most as many rows as there are token ids.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ordered = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).repartitionByRange(F.col("doc_id"), F.substring("t", 1, 64)).sortWithinPartitions("doc_id", "t")
     ordered = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "t")
 

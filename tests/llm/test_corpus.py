@@ -60,9 +60,10 @@ def test_covers_are_difference_covers(v):
     assert {(a - b) % v for a in substring_dedup.COVERS[v] for b in substring_dedup.COVERS[v]} == set(range(v))
 
 
-@pytest.mark.parametrize("size", [35, 20, 6])
-def test_substring_dedup(spark, size, monkeypatch):
+@pytest.mark.parametrize(("size", "coarse"), [(35, 2048), (20, 2048), (6, 2048), (35, 5)])
+def test_substring_dedup(spark, size, coarse, monkeypatch):
     monkeypatch.setattr(substring_dedup, "FLUSH", 500)
+    monkeypatch.setattr(substring_dedup, "COARSE", coarse)
     rows = [(r["doc_id"], r["text"]) for r in docs(spark).collect()][:80] + [(d, t) for d, t, _ in ODD]
     got = substring_dedup.dedup_substrings(odd(spark, [(d, t, "en") for d, t in rows]), window=size).collect()
     assert key([tuple(r[:4]) for r in got]) == key(windows_removed(rows, size))

@@ -48,7 +48,7 @@ def test_paths_that_rules_leave_out(spark):
 
 @pytest.mark.parametrize("scan,hit,miss", [
     (scans.heavy_handlers, "@app.route('/')\nx = sorted(y)", "@app.route('/')\ndef f():\n  x = sorted(y)"), (scans.deadlocks, "a.acquire()\nb.acquire()\nwith my_lock:", "a.acquire()\nb.acquire()"),
-    (scans.long_locks, "with lock:\n" + "x\n" * 22, "with lock:\n" + "x\n" * 20), (lambda d: scans.scan_near(d), "t = Thread(f); thread\nself.a.append(1)", "t = f\nself.a = 1"),
+    (scans.long_locks, "with lock:\n" + "x\n" * 22, "with lock:\n" + "x\n" * 19), (lambda d: scans.scan_near(d), "t = Thread(f); thread\nself.a.append(1)", "t = f\nself.a = 1"),
 ])
 def test_scope_rules(spark, scan, hit, miss):
     assert found(scan(lines(spark, hit))) and not found(scan(lines(spark, miss)))

@@ -84,21 +84,26 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total, dtype=np.int64)
 
 
+#: Edges of a task of components(), about.
+EDGES = 100_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b) of longs: one row (node, root) for each node that has an edge,
     root being the component's smallest node. Alternates the large-star and small-star steps; each takes the least
     smaller neighbour with a map-side combine and joins it back by hub_join, so no neighbourhood meets in one task.
-    The work on each round is cut off in the shared folder; the number of edges never grows."""
+    The work on each round is cut off in the shared folder; the number of edges never grows. Few edges are few files and tasks."""
     pairs = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
     pairs = written(pairs)
-    before = None
+    before, tasks = None, max(1, -(-pairs.count() // EDGES))
+    tidy = lambda df: df.distinct().coalesce(min(tasks, shuffle_width(df.sparkSession)))
     for _ in range(max_rounds):
         least = pairs.groupBy("hi").agg(F.min("lo").alias("m"))
         large = hub_join(pairs, least.withColumnRenamed("hi", "lo"), "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
-        large = written(large.distinct())
+        large = written(tidy(large))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = hub_join(large, least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        pairs = written(small.union(least.select("hi", F.col("m").alias("lo"))).distinct())
+        pairs = written(tidy(small.union(least.select("hi", F.col("m").alias("lo")))))
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first()
         if now == before:
             roots = pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()

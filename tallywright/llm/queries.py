@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language, packing, simhash, substring_dedup, token_output, url_filter, warc
+from . import chat, decontaminate, exact_dedup, hard_negatives, jaccard_join, language, packing, repair, simhash, substring_dedup, token_output, url_filter, warc
 
 #: The rules that op8 applies before the method's own patterns. Fixed values.
 HOST_RULES = (
@@ -89,13 +89,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=1)
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.repair_conversations(repair.damaged(rows), ids=rows, texts=False)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"), ngram=4, percent=85)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_token_output, op4_chat_format, op5_decontaminate, op6_language_id, op7_exact_dedup, op8_url_filter, op9_warc_revisits, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_token_output, op4_chat_format, op5_decontaminate, op6_language_id, op7_exact_dedup, op8_url_filter, op9_warc_revisits, op10_packing, op11_structure_repair, op12_hard_negatives, op13_jaccard_join, pipeline)}
 
 ORACLES = {
     "op1_substring_dedup": r"""

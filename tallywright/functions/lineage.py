@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Keys that hub_join() treats as hubs, at most; and rows of a hub, at least.
@@ -47,3 +47,16 @@ def hub_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
         return left.join(right, key, how)
     hub = F.coalesce(F.col(key).isin(hubs), F.lit(False))
     return left.where(~hub).join(right.where(~hub), key, how).unionByName(left.where(hub).join(F.broadcast(right.where(hub)), key, how))
+
+
+def numbered(df: DataFrame, key: str, *order: str, name: str = "at") -> DataFrame:
+    """df with the place of each row within its key, from 1 (long). Rows are dealt by ranges of key and order, so a key with very
+    many rows is numbered in many tasks: inside each range, then by the sizes of the ranges before it."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(width, key, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    past = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"))
+    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
+    out = inside.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    return out.withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_key", "_p", "_before")

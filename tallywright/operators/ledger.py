@@ -48,10 +48,11 @@ def human_approvals(events: DataFrame) -> DataFrame:
 
 
 def policies(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, policy): the header's policy unless LEGACY, and the references of safety passes and policy events; distinct."""
-    own = runs.where("run_policy_id <> 'LEGACY'").select("run_id", F.col("run_policy_id").alias("policy"))
-    seen = events.where(_is("SAFETY_CHECK_PASSED") | F.col("event_type").contains("POLICY")).where(F.col("payload_ref").isNotNull())
-    return own.union(seen.select("run_id", "payload_ref")).distinct()
+    """(run_id, policy): the header's policy unless LEGACY in any case, and the references of safety passes and policy events;
+    distinct, without empty ones."""
+    own = runs.where(F.upper("run_policy_id") != "LEGACY").select("run_id", F.col("run_policy_id").alias("policy"))
+    seen = events.where(_is("SAFETY_CHECK_PASSED") | F.col("event_type").contains("POLICY"))
+    return own.union(seen.select("run_id", "payload_ref")).where("policy <> ''").distinct()
 
 
 def policy_lists(events: DataFrame, runs: DataFrame) -> DataFrame:
@@ -106,16 +107,23 @@ def noninteger_sequences(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("sequence_text").try_cast("int").isNull()).select("run_id", "index", "sequence_text")
 
 
+def _agrees(event: Column | None = None) -> Column:
+    """Whether a terminal event agrees with final_state."""
+    event = F.col("event_type") if event is None else event
+    out = F.lit(False)
+    for name, states in TERMINAL_STATES.items():
+        out = out | ((event == name) & F.col("final_state").isin(*states))
+    return out
+
+
 def _terminal(events: DataFrame, runs: DataFrame) -> DataFrame:
     return _last(events, "event_type").join(runs.select("run_id", "final_state"), "run_id")
 
 
 def terminal_mismatch(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """Runs whose last event is terminal and disagrees with the header's state, where that is set."""
-    agrees = F.lit(False)
-    for event, states in TERMINAL_STATES.items():
-        agrees = agrees | (_is(event) & F.col("final_state").isin(*states))
-    return _terminal(events, runs).where(F.col("event_type").isin(*TERMINAL_STATES) & F.col("final_state").isNotNull() & ~agrees).select("run_id", "event_type", "final_state")
+    """(run_id, sequence, event_type, final_state): every terminal event that disagrees with its header's state, where that is set."""
+    ends = events.where(F.col("event_type").isin(*TERMINAL_STATES)).join(runs.select("run_id", "final_state"), "run_id")
+    return ends.where((F.col("final_state") != "") & ~_agrees()).select("run_id", "sequence", "event_type", "final_state")
 
 
 def no_terminal(events: DataFrame) -> DataFrame:
@@ -125,32 +133,69 @@ def no_terminal(events: DataFrame) -> DataFrame:
 
 def violations(events: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, violation) of the replay's invariants."""
-    gaps = sequence_gaps(events).select("run_id", F.concat(F.lit("sequence gap: expected "), F.col("expected").cast("string"), F.lit(", found "), F.col("found").cast("string")).alias("violation"))
-    wrong = terminal_mismatch(events, runs).select("run_id", F.concat(F.lit("terminal mismatch: "), "event_type", F.lit(" but "), "final_state"))
-    open_ = no_terminal(events).select("run_id", F.concat(F.lit("no terminal event: last is "), "last_event"))
+    gaps = sequence_gaps(events).select("run_id", F.concat(F.lit("sequence-gap-or-out-of-order: expected "), F.col("expected").cast("string"), F.lit(", found "), F.col("found").cast("string")).alias("violation"))
+    wrong = terminal_mismatch(events, runs).select("run_id", F.concat(F.lit("terminal-mismatch: ledger="), "final_state", F.lit(" event="), "event_type"))
+    open_ = no_terminal(events).select("run_id", F.lit("no-terminal-event"))
     return gaps.union(wrong).union(open_)
 
 
-def replay(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """Flat replay state, one row for each run header."""
-    folded = events.groupBy("run_id").agg(
-        F.count("*").alias("event_count"), F.count_if(_is("ISSUE_DETECTED")).alias("issues_detected"), F.count_if(_is("PLAN_APPROVED")).alias("approvals"),
-        F.count_if(_is("SAFETY_CHECK_PASSED")).alias("safety_passes"), F.count_if(_is("FIX_APPLIED")).alias("fixes_count"), F.count_if(F.col("event_type").contains("OVERRIDE")).alias("overrides"),
+#: The state that a replay folds a run's events to; two of them, one after the other, merge.
+REPLAY_STATE = (
+    "run_id string, event_count long, issues_detected long, approvals long, safety_passes long, fixes_count long, completed long, aborted long, rejected long, gaps long, "
+    "first_sequence long, last_sequence long, last_event string, reports long, edr_id string"
+)
+_COUNTS = {"issues_detected": "ISSUE_DETECTED", "approvals": "PLAN_APPROVED", "safety_passes": "SAFETY_CHECK_PASSED", "fixes_count": "FIX_APPLIED", "completed": "RUN_COMPLETED", "aborted": "RUN_ABORTED", "rejected": "RUN_REJECTED", "reports": "EDR_FINALIZED"}
+
+
+def fold(events: DataFrame) -> DataFrame:
+    """REPLAY_STATE of each run's events, in one pass; gaps are those between two of these events."""
+    before = F.lag("sequence").over(Window.partitionBy("run_id").orderBy(*ORDER))
+    at = F.struct(*ORDER)
+    t = events.select("run_id", "sequence", "id", "event_type", "payload_ref", (F.col("sequence") != before + 1).alias("gap"))
+    out = t.groupBy("run_id").agg(
+        F.count("*").alias("event_count"), *[F.count_if(_is(e)).alias(c) for c, e in _COUNTS.items()], F.count_if("gap").alias("gaps"), F.min("sequence").cast("long").alias("first_sequence"), F.max("sequence").cast("long").alias("last_sequence"),
+        F.max_by("event_type", at).alias("last_event"), F.max_by(F.struct("payload_ref"), F.when(_is("EDR_FINALIZED"), at)).alias("report"),
     )
-    broken = violations(events, runs).groupBy("run_id").agg(F.count("*").alias("violations"))
-    out = runs.select("run_id", "final_state", "started_at", "ended_at").join(folded, "run_id", "left").join(broken, "run_id", "left").join(last_report(events), "run_id", "left")
+    return out.withColumn("edr_id", F.col("report.payload_ref")).select(*[x.split(" ")[0] for x in REPLAY_STATE.split(", ")])
+
+
+def fold_onto() -> dict[str, Column]:
+    """How a state `o` goes on with the state `n` of later events, either of which may be absent: for KeyedTable.merge."""
+    plus = lambda c: F.coalesce(f"o.{c}", F.lit(0)) + F.coalesce(f"n.{c}", F.lit(0))
+    seam = F.coalesce((F.col("n.first_sequence") != F.col("o.last_sequence") + 1).cast("long"), F.lit(0))
+    return {c: plus(c) for c in ("event_count", *_COUNTS)} | {"gaps": plus("gaps") + seam, "first_sequence": F.coalesce("o.first_sequence", "n.first_sequence"), "edr_id": F.when(F.col("n.reports") > 0, F.col("n.edr_id")).otherwise(F.col("o.edr_id"))}
+
+
+def replayed(states: DataFrame, runs: DataFrame) -> DataFrame:
+    """Flat replay state, one row for each run header, of folded states. A first sequence that is not 0 is a gap too."""
+    t = runs.select("run_id", "final_state", "started_at", "ended_at").join(states, "run_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(
-        "run_id", "final_state", *[zero(c).alias(c) for c in ("event_count", "issues_detected", "fixes_count", "overrides", "violations")],
-        (zero("approvals") > 0).alias("plan_approved"), (zero("safety_passes") > 0).alias("safety_passed"), "edr_id", seconds(F.col("started_at"), F.col("ended_at")).alias("duration_seconds"),
+    wrong = sum((F.when((F.col("final_state") != "") & ~_agrees(F.lit(e)), zero(c)).otherwise(F.lit(0)) for c, e in (("completed", "RUN_COMPLETED"), ("aborted", "RUN_ABORTED"), ("rejected", "RUN_REJECTED"))), F.lit(0))
+    open_ = zero((~F.col("last_event").isin(*TERMINAL_STATES)).cast("long"))
+    broken = zero("gaps") + zero((F.col("first_sequence") != 0).cast("long")) + wrong + open_
+    return t.select(
+        "run_id", "final_state", *[zero(c).alias(c) for c in ("event_count", "issues_detected", "fixes_count")], (zero("aborted") + zero("rejected")).alias("overrides"), broken.alias("violations"),
+        *[(zero(c) > 0).alias(n) for c, n in (("approvals", "plan_approved"), ("safety_passes", "safety_passed"), ("aborted", "aborted"), ("rejected", "rejected"))], "edr_id",
+        seconds(F.col("started_at"), F.col("ended_at")).alias("duration_seconds"),
     )
 
 
+def replay(events: DataFrame, runs: DataFrame) -> DataFrame:
+    """Flat replay state, one row for each run header."""
+    return replayed(fold(events), runs)
+
+
 def replay_items(events: DataFrame) -> DataFrame:
-    """(run_id, approvals, fixes, overrides): arrays of (sequence, actor, payload_ref, summary) in order; the actor is the role, else the actor."""
-    item = F.struct("sequence", "id", F.coalesce("actor_role", "actor").alias("actor"), "payload_ref", "summary")
-    listed = lambda cond: F.sort_array(F.collect_list(F.when(cond, item)))
-    return events.groupBy("run_id").agg(listed(_is("PLAN_APPROVED")).alias("approvals"), listed(_is("FIX_APPLIED")).alias("fixes"), listed(F.col("event_type").contains("OVERRIDE")).alias("overrides"))
+    """(run_id, approvals, fixes, overrides, policy_refs): approvals as (sequence, id, actor, actor_role, timestamp), fixes as
+    (sequence, id, actor, summary), the actor being the role, else the actor; aborted and rejected events as (sequence, id,
+    event_type, summary), all in order; and the sorted references of safety passes."""
+    role = F.when(F.col("actor_role") != "", F.col("actor_role")).otherwise(F.col("actor"))
+    listed = lambda cond, *cols: F.sort_array(F.collect_list(F.when(cond, F.struct("sequence", "id", *cols))))
+    passed = F.when(_is("SAFETY_CHECK_PASSED") & (F.col("payload_ref") != ""), F.col("payload_ref"))
+    return events.groupBy("run_id").agg(
+        listed(_is("PLAN_APPROVED"), "actor", "actor_role", "timestamp").alias("approvals"), listed(_is("FIX_APPLIED"), role.alias("actor"), "summary").alias("fixes"),
+        listed(F.col("event_type").isin("RUN_ABORTED", "RUN_REJECTED"), "event_type", "summary").alias("overrides"), F.array_sort(F.collect_set(passed)).alias("policy_refs"),
+    )
 
 
 def replay_nested(events: DataFrame, runs: DataFrame) -> DataFrame:

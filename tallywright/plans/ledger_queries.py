@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import scratch_dir
 from ..operators import ledger
-from ..sources import files
+from ..sources import files, stores
 from .registry import Registry
 from .views import Views
 
@@ -18,8 +18,8 @@ SECONDS = "epoch_us(ended_at - started_at) / 1e6"
 TERMINAL = "('RUN_COMPLETED', 'RUN_ABORTED', 'RUN_REJECTED')"
 AGREE = "(l.event_type = 'RUN_COMPLETED' AND r.final_state IN ('COMPLETE', 'COMPLETED') OR l.event_type = 'RUN_ABORTED' AND r.final_state IN ('ABORTED', 'INCOMPLETE') OR l.event_type = 'RUN_REJECTED' AND r.final_state = 'REJECTED')"
 GAPS = "SELECT run_id, expected, found FROM (SELECT run_id, lag(sequence, 1, -1) OVER (PARTITION BY run_id ORDER BY sequence, id) + 1 AS expected, sequence AS found FROM ledger_events) WHERE expected <> found"
-POLICIES = """SELECT DISTINCT run_id, policy FROM (SELECT run_id, run_policy_id AS policy FROM ledger_runs WHERE run_policy_id <> 'LEGACY' UNION ALL
-SELECT run_id, payload_ref FROM ledger_events WHERE payload_ref IS NOT NULL AND (event_type = 'SAFETY_CHECK_PASSED' OR contains(event_type, 'POLICY')))"""
+POLICIES = """SELECT DISTINCT run_id, policy FROM (SELECT run_id, run_policy_id AS policy FROM ledger_runs WHERE upper(run_policy_id) <> 'LEGACY' UNION ALL
+SELECT run_id, payload_ref FROM ledger_events WHERE event_type = 'SAFETY_CHECK_PASSED' OR contains(event_type, 'POLICY')) WHERE policy <> ''"""
 REPORT = "SELECT run_id, list(payload_ref ORDER BY sequence DESC, id DESC)[1] AS edr_id FROM ledger_events WHERE event_type = 'EDR_FINALIZED' GROUP BY run_id"
 HUMAN = "count(*) FILTER (WHERE event_type = 'PLAN_APPROVED' AND lower(actor_role) = 'human')"
 
@@ -51,6 +51,36 @@ SELECT i.run_id, i.id, coalesce(m, -1) + row_number() OVER (PARTITION BY i.run_i
 FROM inc i LEFT JOIN last ON last.run_id = i.run_id WHERE i.run_id NOT IN (SELECT run_id FROM ledger_runs WHERE ended_at IS NOT NULL)""")
 
 
+EVENT = "run_id string, id long, sequence long, event_type string, summary string"
+
+
+def _stored(v: Views):
+    """The given log, and the incoming rows appended to it in two batches, the first of them twice: what is stored then."""
+    log = stores.EventLog(v.spark, scratch_dir(v.spark), EVENT, buckets=8)
+    log.load(0, v.ledger_events)
+    odd = F.col("id") % 2 == 1
+    log.append(1, _incoming(v).where(odd))
+    log.append(2, _incoming(v).where(~odd))
+    log.append(1, _incoming(v).where(odd))
+    return log.read().select("version", *[x.split(" ")[0] for x in EVENT.split(", ")])
+
+
+def _replayed_in_steps(v: Views):
+    """Replay of states that three batches of events, by their sequence, were merged into one after another."""
+    states = stores.KeyedTable(v.spark, scratch_dir(v.spark), ledger.REPLAY_STATE, ("run_id",), buckets=8)
+    for k, step in enumerate(("sequence < 20", "sequence >= 20 AND sequence < 45", "sequence >= 45")):
+        states.merge(k, ledger.fold(v.ledger_events.where(step)), ledger.fold_onto())
+    return ledger.replayed(states.read(), v.ledger_runs)
+
+
+add("sink_ledger_store", _stored, """
+WITH inc AS (SELECT 'run-' || CAST(o_custkey % 200 AS VARCHAR) AS run_id, o_orderkey AS id, 'ISSUE_DETECTED' AS event_type, repeat('x', CAST(900 + o_orderkey % 300 AS INT)) AS summary, CASE WHEN o_orderkey % 2 = 1 THEN 1 ELSE 2 END AS version FROM orders),
+last AS (SELECT run_id, max(sequence) AS m, bool_or(event_type IN ('RUN_COMPLETED', 'RUN_ABORTED', 'RUN_REJECTED')) AS sealed FROM ledger_events GROUP BY run_id)
+SELECT 0 AS version, run_id, id, sequence, event_type, summary FROM ledger_events
+UNION ALL SELECT i.version, i.run_id, i.id, coalesce(m, -1) + row_number() OVER (PARTITION BY i.run_id ORDER BY i.version, i.id), i.event_type, substr(summary, 1, 1000)
+FROM inc i LEFT JOIN last ON last.run_id = i.run_id WHERE NOT coalesce(sealed, false)""")
+
+
 def _incoming(v: Views):
     return v.orders.select(
         F.concat(F.lit("run-"), (F.col("o_custkey") % 200).cast("string")).alias("run_id"), F.col("o_orderkey").alias("id"), F.lit("ISSUE_DETECTED").alias("event_type"),
@@ -87,19 +117,34 @@ def _raw(v: Views):
     return v.ledger_events.select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy("id")) - 1).alias("index"), text.alias("sequence_text"))
 
 
-MISMATCH = f"SELECT l.run_id, l.event_type, r.final_state FROM ({LAST}) l JOIN ledger_runs r ON r.run_id = l.run_id WHERE l.event_type IN {TERMINAL} AND r.final_state IS NOT NULL AND NOT {AGREE}"
+MISMATCH = f"SELECT l.run_id, l.sequence, l.event_type, r.final_state FROM ledger_events l JOIN ledger_runs r ON r.run_id = l.run_id WHERE l.event_type IN {TERMINAL} AND r.final_state <> '' AND NOT {AGREE}"
 OPEN = f"SELECT run_id, event_type AS last_event FROM ({LAST}) WHERE event_type NOT IN {TERMINAL}"
 add("led_terminal_mismatch", lambda v: ledger.terminal_mismatch(v.ledger_events, v.ledger_runs), MISMATCH)
 add("led_no_terminal", lambda v: ledger.no_terminal(v.ledger_events), OPEN)
 REPLAY = f"""
 SELECT r.run_id, final_state, coalesce(event_count, 0) AS event_count, coalesce(issues, 0) AS issues_detected, coalesce(fixes, 0) AS fixes_count, coalesce(overrides, 0) AS overrides, coalesce(b.n, 0) AS violations,
-  coalesce(approvals, 0) > 0 AS plan_approved, coalesce(safe, 0) > 0 AS safety_passed, edr_id, {SECONDS} AS duration_seconds FROM ledger_runs r
+  coalesce(approvals, 0) > 0 AS plan_approved, coalesce(safe, 0) > 0 AS safety_passed, coalesce(aborted, 0) > 0 AS aborted, coalesce(rejected, 0) > 0 AS rejected, edr_id, {SECONDS} AS duration_seconds FROM ledger_runs r
 LEFT JOIN (SELECT run_id, count(*) AS event_count, count(*) FILTER (WHERE event_type = 'ISSUE_DETECTED') AS issues, count(*) FILTER (WHERE event_type = 'FIX_APPLIED') AS fixes, count(*) FILTER (WHERE event_type = 'PLAN_APPROVED') AS approvals,
-  count(*) FILTER (WHERE event_type = 'SAFETY_CHECK_PASSED') AS safe, count(*) FILTER (WHERE contains(event_type, 'OVERRIDE')) AS overrides FROM ledger_events GROUP BY run_id) c ON c.run_id = r.run_id
+  count(*) FILTER (WHERE event_type = 'SAFETY_CHECK_PASSED') AS safe, count(*) FILTER (WHERE event_type IN ('RUN_ABORTED', 'RUN_REJECTED')) AS overrides, count(*) FILTER (WHERE event_type = 'RUN_ABORTED') AS aborted, count(*) FILTER (WHERE event_type = 'RUN_REJECTED') AS rejected FROM ledger_events GROUP BY run_id) c ON c.run_id = r.run_id
 LEFT JOIN (SELECT run_id, count(*) AS n FROM (SELECT run_id FROM ({GAPS}) UNION ALL SELECT run_id FROM ({MISMATCH}) UNION ALL SELECT run_id FROM ({OPEN})) GROUP BY run_id) b ON b.run_id = r.run_id
 LEFT JOIN ({REPORT}) e ON e.run_id = r.run_id"""
+
+
+def _items(v: Views):
+    """The replay's arrays as flat texts; an empty array is null."""
+    flat = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[x[f].cast("string") for f in fields])), ";")
+    t = ledger.replay_items(v.ledger_events)
+    cols = {"approvals": flat("approvals", "sequence", "actor", "actor_role"), "fixes": flat("fixes", "sequence", "actor", "summary"), "overrides": flat("overrides", "sequence", "event_type", "summary"), "policy_refs": F.array_join("policy_refs", ";")}
+    return t.select("run_id", *[F.nullif(c, F.lit("")).alias(n) for n, c in cols.items()])
+
+
 add("led_replay", lambda v: ledger.replay(v.ledger_events, v.ledger_runs), REPLAY)
-add("led_replay_fold", lambda v: ledger.replay_items(v.ledger_events).select("run_id", *[F.to_json(c).alias(c) for c in ("approvals", "fixes", "overrides")]))
+add("led_replay_fold", _items, """
+SELECT run_id, string_agg(sequence || ' ' || actor || ' ' || actor_role, ';' ORDER BY sequence, id) FILTER (WHERE event_type = 'PLAN_APPROVED') AS approvals,
+  string_agg(sequence || ' ' || coalesce(nullif(actor_role, ''), actor) || ' ' || summary, ';' ORDER BY sequence, id) FILTER (WHERE event_type = 'FIX_APPLIED') AS fixes,
+  string_agg(sequence || ' ' || event_type || ' ' || summary, ';' ORDER BY sequence, id) FILTER (WHERE event_type IN ('RUN_ABORTED', 'RUN_REJECTED')) AS overrides,
+  string_agg(DISTINCT payload_ref, ';' ORDER BY payload_ref) FILTER (WHERE event_type = 'SAFETY_CHECK_PASSED' AND payload_ref <> '') AS policy_refs FROM ledger_events GROUP BY run_id""")
+add("led_replay_steps", _replayed_in_steps, REPLAY)
 add("led_phase_counts", lambda v: ledger.phase_counts(v.ledger_events), "SELECT run_id, upper(phase) AS phase, count(*) AS events FROM ledger_events GROUP BY 1, 2")
 add("led_type_hist", lambda v: ledger.type_counts(v.ledger_events), "SELECT run_id, event_type, count(*) AS events FROM ledger_events GROUP BY 1, 2")
 add("led_first_last", lambda v: ledger.first_last(v.ledger_events), """SELECT run_id, min_by(event_type, (sequence, id)) AS first_event, min_by(timestamp, (sequence, id)) AS first_at,

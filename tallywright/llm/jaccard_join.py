@@ -3,7 +3,11 @@
 Under any order of all tokens, two sets that are alike enough share a token among the first few of each (prefix filtering). So
 sets are indexed by their prefixes under one order, and a pair is verified only if its prefixes meet under every other order
 too: the filters are intersected, first by bit sets of the other orders' prefixes, which never lose a pair. All orders put
-frequent tokens last, by classes of a count sketch over the whole corpus, and differ in a hash inside a class.
+frequent tokens last, by classes of their exact number of texts, and differ in a hash inside a class.
+
+Tokens are counted in bins: texts are taken in runs, a run sends each bin its tokens with the place of their text in the run, and a
+bin sends back those that other texts have too. Tokens of one text only come first in every order, so most texts have no shared token
+in their prefix and leave; of the others the shared tokens and the size of the set are all that a comparison needs.
 
 Equal sets are one node. A group of nodes that share a prefix token is first compared with one leader, a star that grows
 with the group, not with its square; the links found fuse the nodes into components. Only pairs of a group across two components
@@ -18,18 +22,21 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import hub_join
 from .common import MIX, components, mixed, rolling, shuffle_width, small_batches, text_bytes, word_hashes, written
 
-#: Counters of the sketch of token counts (eight MB; it is sent to every task and does not grow with the data), and the slices it is added up in.
-COUNTERS, SLICES = 2**21, 32
+#: Tokens of a run and of a bin, about; texts of a run at most; bins at most.
+RUN, BIN, RUN_TEXTS, BINS = 2_000_000, 1_000_000, 60_000, 65_536
+#: A token in so many texts of one run is of the last class everywhere, and its texts are not sent to its bin.
+HOT, LAST = 64, 255
 #: Token orders besides the one that the index is by, and the bits of a prefix's bit set under each.
 ORDERS, BITS = 2, 256
-#: Nodes of a group of candidates that are compared at a time; nodes whose sets' keys are sent to every task, at most.
-GROUP, SENT = 1_024, 200_000
+#: Nodes of a group of candidates that are compared at a time.
+GROUP = 1_024
 _SIG = [f"s{r}_{i}" for r in range(ORDERS) for i in range(BITS // 64)]
 
 
@@ -49,17 +56,22 @@ def shared_least(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
-def counter_of(h: np.ndarray, counters: int) -> np.ndarray:
-    """The counter of each hash, of a power of two of them."""
-    return (h >> np.uint64(65 - counters.bit_length())).astype(np.int64)
+def ordered(tokens: np.ndarray, level: np.ndarray, order: int, size: int) -> np.ndarray:
+    """The first `size` tokens of the set under a global order: by their class, then by a hash of the order's own."""
+    with np.errstate(over="ignore"):
+        draw = mixed(tokens + np.uint64(order + 1) * MIX)
+    return tokens[np.lexsort((draw, level))[:size]]
+
 
+def pack48(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash."""
+    return np.ascontiguousarray(h.astype("<u8").view("<u2").reshape(-1, 4)[:, 1:]).tobytes()
 
-def ordered(h: np.ndarray, counts: np.ndarray, order: int, size: int) -> np.ndarray:
-    """The first `size` tokens of the set under a global order: by the class of their count, then by a hash of the order's own."""
-    with np.errstate(over="ignore"):
-        draw = mixed(h + np.uint64(order + 1) * MIX)
-    level = np.frexp(counts[counter_of(h, len(counts))].astype(float))[1]
-    return h[np.lexsort((draw, level))[:size]]
+
+def unpack48(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 4), "<u2")
+    out[:, 1:] = np.frombuffer(raw, "<u2").reshape(-1, 3)
+    return out.view("<u8").ravel()
 
 
 def bit_set(tokens: np.ndarray) -> np.ndarray:
@@ -69,82 +81,147 @@ def bit_set(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _documents(docs: DataFrame, ngram: int, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, node, n) of every row, node being null for an empty set, and the sketch's parts (slice, at, count)."""
-    small_batches(docs.sparkSession)
-    counters, slices = COUNTERS, SLICES
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(counters, np.int64)
-        for pdf in batches:
-            rows = []
-            for t in pdf.t:
-                h = shingle_set(t, ngram)
-                np.add.at(counts, counter_of(h, counters), 1)
-                rows.append((set_key(h) if len(h) else None, len(h)))
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "text_key": pdf.text_key, "node": pd.array([r[0] for r in rows], "Int64"), "n": [r[1] for r in rows], "slice": pd.array([None] * len(rows), "Int32"), "at": None, "count": None})
-        step = counters // slices
-        for s in range(slices):
-            at = np.flatnonzero(counts[s * step : (s + 1) * step])
-            if len(at):
-                yield pd.DataFrame({"doc_id": [None], "text_key": pd.array([None], "Int64"), "node": pd.array([None], "Int64"), "n": [0], "slice": pd.array([s], "Int32"), "at": [at.astype(np.int32).tobytes()], "count": [counts[s * step + at].tobytes()]})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_bytes(text_col).alias("t")).withColumn("text_key", F.xxhash64("t"))
-    both = written(texts.mapInPandas(run, "doc_id string, text_key long, node long, n long, slice int, at binary, count binary"))
-    return both.where("slice IS NULL").select(F.col("doc_id").cast(kind).alias("doc_id"), "text_key", "node", "n"), both.where("slice IS NOT NULL").select("slice", "at", "count")
-
+_PARTS = "kind int, bin int, run long, ids array<string>, nodes binary, sizes binary, places binary, tokens binary, level binary"
 
-def _sketch(parts: DataFrame) -> np.ndarray:
-    """The counts of all tokens by their counter; COUNTERS numbers, whatever the input."""
-    step = COUNTERS // SLICES
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(step, np.int64)
-        for at, count in zip(pdf["at"], pdf["count"], strict=True):
-            np.add.at(out, np.frombuffer(at, np.int32), np.frombuffer(count, np.int64))
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "sums": [np.minimum(out, 2**31 - 1).astype(np.int32).tobytes()]})
+def _parts(**cols) -> pd.DataFrame:
+    """One row of _PARTS: kind 0 is a run's texts, 1 tokens for a bin, 2 tokens for a bin that are hot, 3 shared tokens of a run's texts."""
+    names = [x.split(" ")[0] for x in _PARTS.split(", ")]
+    return pd.DataFrame({c: pd.Series([cols.get(c)], dtype=object) for c in names}).astype({"kind": "int32", "bin": "int32", "run": "int64"})
 
-    out = np.zeros(COUNTERS, np.int32)
-    for r in parts.groupBy("slice").applyInPandas(add, "slice int, sums binary").collect():
-        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["sums"], np.int32)
-    return out
 
-
-def _prefixes(docs: DataFrame, ngram: int, percent: int, sketch, text_col: str) -> DataFrame:
-    """(token, node, n, pos): the prefix of each node under the first order. Tokens that the sketch shows to be in one text only are left out."""
+def _runs(docs: DataFrame, ngram: int, bins: int, text_col: str, id_col: str) -> DataFrame:
+    """The runs of texts and their tokens by bin. Equal sets of a run are one place in it."""
+    small_batches(docs.sparkSession)
+    most, texts_most, hot_from = RUN, RUN_TEXTS, HOT
+
+    def close(run: int, ids: list, places: list[int], nodes: dict[int, int], sizes: list[int], sets: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        yield _parts(kind=0, bin=run % bins, run=run, ids=ids, nodes=np.array(list(nodes), np.int64).tobytes(), sizes=np.array(sizes, np.int64).tobytes(), places=np.array(places, np.int32).tobytes())
+        h = np.concatenate([np.empty(0, np.uint64), *sets])
+        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets]).astype(np.uint16)
+        order = np.argsort(h, kind="stable")
+        h, at = h[order], at[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, int)
+        hot = np.repeat(np.diff(np.r_[first, len(h)]) >= hot_from, np.diff(np.r_[first, len(h)]))
+        bin_of = (h & np.uint64(0xFFFF)).astype(np.int64) % bins
+        if hot.any():
+            yield _parts(kind=3, bin=run % bins, run=run, places=at[hot].tobytes(), tokens=_named(h[hot], bin_of[hot]).tobytes(), level=np.full(int(hot.sum()), LAST, np.uint8).tobytes())
+        order = np.argsort(bin_of, kind="stable")
+        edges = np.searchsorted(bin_of[order], np.arange(bins + 1))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            own = order[edges[b] : edges[b + 1]]
+            cold = own[~hot[own]]
+            if len(cold):
+                yield _parts(kind=1, bin=b, run=run, places=at[cold].tobytes(), tokens=pack48(h[cold]))
+            if len(cold) < len(own):
+                yield _parts(kind=2, bin=b, run=run, tokens=pack48(np.unique(h[own[hot[own]]])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = sketch.value
+        number, held = TaskContext.get().partitionId() << 24, 0
+        ids, places, nodes, sizes, sets = [], [], {}, [], []
         for pdf in batches:
-            out = []
-            for t in pdf.t:
+            for d, t in zip(pdf.doc_id, pdf.t, strict=True):
                 h = shingle_set(t, ngram)
-                if len(h):
-                    first = ordered(h, counts, 0, len(h) - shared_least(len(h), percent) + 1)
-                    pos = np.flatnonzero(counts[counter_of(first, len(counts))] > 1)
-                    if len(pos):
-                        out.append((first[pos].view(np.int64), np.full(len(pos), set_key(h)), np.full(len(pos), len(h)), pos))
-            if out:
-                yield pd.DataFrame(dict(zip(("token", "node", "n", "pos"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                ids.append(d)
+                if not len(h):
+                    places.append(-1)
+                    continue
+                node = set_key(h)
+                if node not in nodes:
+                    nodes[node] = len(nodes)
+                    sizes.append(len(h))
+                    sets.append(h)
+                    held += len(h)
+                places.append(nodes[node])
+                if held >= most or len(ids) >= texts_most:
+                    yield from close(number, ids, places, nodes, sizes, sets)
+                    number, held = number + 1, 0
+                    ids, places, nodes, sizes, sets = [], [], {}, [], []
+        if ids:
+            yield from close(number, ids, places, nodes, sizes, sets)
+
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), text_bytes(text_col).alias("t")).mapInPandas(run, _PARTS)
+
+
+def _named(h: np.ndarray, bin_of: np.ndarray | int) -> np.ndarray:
+    """A token as one number: the upper 48 bits of its hash, and its bin."""
+    return (h & ~np.uint64(0xFFFF)) | np.asarray(bin_of).astype(np.uint64)
+
+
+def _counted(parts: DataFrame) -> DataFrame:
+    """Of each bin the shared tokens, with their classes, back to the runs (kind 3); rows of kinds 0 and 3 pass. A bin holds BIN tokens, about:
+    a token that very many texts have is hot, and comes once from each run."""
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = pdf[pdf.kind.isin([0, 3])]
+        own, hot = pdf[pdf.kind == 1], np.unique(np.concatenate([np.empty(0, np.uint64), *map(unpack48, pdf.tokens[pdf.kind == 2])]))
+        raw = [unpack48(t) for t in own.tokens]
+        h = np.concatenate([np.empty(0, np.uint64), *raw])
+        values, at, n = np.unique(h, return_inverse=True, return_counts=True)
+        level = np.where(np.isin(values, hot), LAST, np.minimum(np.frexp(n.astype(float))[1], LAST - 1)).astype(np.uint8)
+        shared, level = ((n > 1) | (level == LAST))[at], level[at]
+        out, start = [kept], 0
+        for run, places, t in zip(own.run, own.places, raw, strict=True):
+            here = np.flatnonzero(shared[start : start + len(t)])
+            if len(here):
+                out.append(_parts(kind=3, bin=key[0], run=run, places=np.frombuffer(places, np.uint16)[here].tobytes(), tokens=_named(t[here], key[0]).tobytes(), level=level[start + here].tobytes()))
+            start += len(t)
+        return pd.concat(out)
+
+    return parts.groupBy("bin").applyInPandas(count, _PARTS)
+
+
+def _nodes(parts: DataFrame, percent: int) -> DataFrame:
+    """(node, n, first, prefix, h, bit sets of the other orders' prefixes) of the nodes that have a shared token in their prefix: the size
+    of the set, the number of its own tokens, which come first, and its shared ones."""
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = pdf[pdf.kind == 0].iloc[0]
+        node, size = np.frombuffer(table.nodes, np.int64), np.frombuffer(table.sizes, np.int64)
+        back = pdf[pdf.kind == 3]
+        at, token, level = (np.concatenate([np.empty(0, t), *(np.frombuffer(x, t) for x in back[c])]) for c, t in (("places", np.uint16), ("tokens", np.uint64), ("level", np.uint8)))
+        order = np.argsort(at, kind="stable")
+        at, token, level = at[order], token[order], level[order]
+        cuts = np.searchsorted(at, np.arange(len(node) + 1))
+        rows = []
+        for i in np.flatnonzero(len_prefix(size, percent) > size - np.diff(cuts)).tolist():
+            t, lv, own = token[cuts[i] : cuts[i + 1]], level[cuts[i] : cuts[i + 1]], size[i] - (cuts[i + 1] - cuts[i])
+            want = len_prefix(size[i], percent) - own
+            sig = np.concatenate([bit_set(ordered(t, lv, r + 1, want)) for r in range(ORDERS)])
+            rows.append((node[i], size[i], own, ordered(t, lv, 0, want).tobytes(), np.sort(t).tobytes(), *sig.tolist()))
+        return pd.DataFrame(rows, columns=["node", "n", "own", "prefix", "h", *_SIG])
+
+    return parts.groupBy("run").applyInPandas(gather, "node long, n long, own long, prefix binary, h binary, " + ", ".join(f"{c} long" for c in _SIG)).dropDuplicates(["node"])
+
+
+def len_prefix(n: np.ndarray | int, percent: int) -> np.ndarray | int:
+    return n - shared_least(n, percent) + 1
+
+
+def _index(nodes: DataFrame) -> DataFrame:
+    """(token, node, n, pos): the shared tokens of each prefix and their places under the first order."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tokens = [np.frombuffer(p, np.int64) for p in pdf.prefix]
+            n = [len(t) for t in tokens]
+            if sum(n):
+                yield pd.DataFrame({"token": np.concatenate(tokens), "node": np.repeat(pdf.node.to_numpy(), n), "n": np.repeat(pdf.n.to_numpy(), n), "pos": np.concatenate([o + np.arange(m) for o, m in zip(pdf.own, n, strict=True)])})
 
-    return docs.select(text_bytes(text_col).alias("t")).mapInPandas(run, "token long, node long, n long, pos long")
+    return nodes.select("node", "n", "own", "prefix").mapInPandas(spread, "token long, node long, n long, pos long")
 
 
-def _sets(docs: DataFrame, firsts: DataFrame, ngram: int, percent: int, sketch, text_col: str, id_col: str) -> DataFrame:
-    """(node, n, h, bit sets of the other orders' prefixes) of the nodes of firsts (node, doc_id, text_key)."""
+def _rows(parts: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, node, n) of every text, node being null for an empty set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = sketch.value
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [shingle_set(t, ngram) for t in pdf.t]
-            sig = np.array([np.concatenate([bit_set(ordered(h, counts, r + 1, len(h) - shared_least(len(h), percent) + 1)) for r in range(ORDERS)]) for h in sets], np.int64).reshape(-1, len(_SIG))
-            yield pd.DataFrame({"node": pdf.node, "n": [len(h) for h in sets], "h": [h.tobytes() for h in sets], **{c: sig[:, i] for i, c in enumerate(_SIG)}})
+            for ids, nodes, sizes, places in zip(pdf.ids, pdf.nodes, pdf.sizes, pdf.places, strict=True):
+                at = np.frombuffer(places, np.int32)
+                node, size = np.r_[np.frombuffer(nodes, np.int64), 0], np.r_[np.frombuffer(sizes, np.int64), 0]
+                yield pd.DataFrame({"doc_id": list(ids), "node": pd.array(node[at], "Int64").copy(), "n": size[at]}).assign(node=lambda x, at=at: x.node.where(at >= 0))
 
-    texts = docs.select(F.col(id_col).alias("own_id"), text_bytes(text_col).alias("t")).withColumn("own_key", F.xxhash64("t"))
-    few = firsts.count() <= SENT
-    one = texts.join(F.broadcast(firsts) if few else firsts, (F.col("own_key") == F.col("text_key")) & F.col("own_id").eqNullSafe(F.col("doc_id")))
-    return one.select("node", "t").mapInPandas(run, "node long, n long, h binary, " + ", ".join(f"{c} long" for c in _SIG)).dropDuplicates(["node"])
+    return parts.where("kind = 0").select("ids", "nodes", "sizes", "places").mapInPandas(spread, "doc_id string, node long, n long").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _meet(a: str, b: str) -> F.Column:
@@ -161,16 +238,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = []
-            for x, y in zip(pdf.x, pdf.y, strict=True):
+            for x, y, m, n in zip(pdf.x, pdf.y, pdf.na, pdf.nb, strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(100 * both >= percent * (m + n - both))
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
     left = hub_join(pairs, sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("h").alias("x"), F.struct(*_SIG).alias("p")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("h").alias("y"), F.struct(*_SIG).alias("q")), "b")
     both = both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _meet("p", "q"))
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return both.select("a", "b", "x", "y", "na", "nb").mapInPandas(run, "a long, b long")
 
 
 def _across(index: DataFrame, percent: int) -> DataFrame:
@@ -216,17 +293,17 @@ def similar_documents(docs: DataFrame, ngram: int = 4, percent: int = 85, text_c
     Words are what ASCII white space separates, A-Z lower-cased; texts are read whole. A text with fewer words than `ngram` is one
     n-gram. Null texts and texts without words have none and link with nothing, not even with each other. Equal sets, and so rows that
     repeat, always link. A row with a null id takes part; its group's component_id is null only if no member has an id. Sets are
-    compared by 64-bit hashes of their n-grams and known by a 64-bit key. Other columns are not looked at. An empty table gives no rows.
+    compared by hashes of their n-grams (48 bits and those that choose the bin) and known by a 64-bit key. Other columns are not looked at. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows, parts = _documents(docs, ngram, text_col, id_col)
-    sketch = spark.sparkContext.broadcast(_sketch(parts))
-    found = written(_prefixes(docs, ngram, percent, sketch, text_col).groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
-    shared = found.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    index = written(hub_join(found, shared.select("token"), "token", "left_semi"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    firsts = rows.join(index.select("node").distinct(), "node", "left_semi").groupBy("node").agg(first).select("node", "first.doc_id", "first.text_key")
-    sets = written(_sets(docs, firsts, ngram, percent, sketch, text_col, id_col))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bins = int(min(BINS, max(shuffle_width(spark), size // (6 * BIN))))  # a word and a space are some six bytes
+    parts = written(_counted(_runs(docs, ngram, bins, text_col, id_col)))
+    rows = _rows(parts, docs.schema[id_col].dataType.simpleString())
+    sets = written(_nodes(parts, percent))
+    index = _index(sets)
+    shared = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    index = written(hub_join(index, shared.select("token"), "token", "left_semi"))
 
     leader = index.groupBy("token").agg(F.min(F.struct("n", "node")).alias("l")).select("token", F.col("l.node").alias("a"))
     star = written(hub_join(index, leader, "token").select("a", F.col("node").alias("b")).where("a <> b").distinct())
@@ -234,7 +311,7 @@ def similar_documents(docs: DataFrame, ngram: int = 4, percent: int = 85, text_c
     comp = written(components(links))
     index = written(hub_join(index, comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
     wide = index.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    wide = hub_join(index, wide, "token", "left_semi").join(sets.drop("h", "n"), "node")
+    wide = hub_join(index, wide, "token", "left_semi").join(sets.select("node", *_SIG), "node")
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(_across(written(wide), percent).join(tried, ["a", "b"], "left_anti"))
     links = links.union(verified(rest, sets, percent))

@@ -258,11 +258,10 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize(("counters", "group", "percent"), [(2**21, 1024, 85), (2**21, 5, 70), (32, 1024, 85), (32, 8, 50)])
-def test_similar_documents(spark, counters, group, percent, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "COUNTERS", counters)
-    monkeypatch.setattr(jaccard_join, "GROUP", group)
-    monkeypatch.setattr(jaccard_join, "SENT", 10 if group == 5 else 200_000)
+@pytest.mark.parametrize(("run", "hot", "group", "percent"), [(2_000_000, 64, 1024, 85), (700, 64, 5, 70), (3000, 3, 1024, 85), (100, 2, 8, 50)])
+def test_similar_documents(spark, run, hot, group, percent, monkeypatch):
+    for name, value in (("RUN", run), ("HOT", hot), ("GROUP", group), ("RUN_TEXTS", max(5, run // 100))):
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = texts()
     df = spark.createDataFrame([(*r, "a", "n", "t", "x", "c") for r in rows], "doc_id long, text string, a string, node string, token string, x string, component_id string").repartition(3)
     got = jaccard_join.similar_documents(df, percent=percent).collect()
@@ -277,12 +276,12 @@ def test_op13(spark):
 
 def test_prefixes_of_alike_sets_meet():
     rng = np.random.default_rng(1)
-    counts = rng.integers(0, 50, jaccard_join.COUNTERS)
     for _ in range(300):
         x = np.unique(rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64))
         y = np.unique(np.r_[x[rng.random(len(x)) < 0.95], rng.integers(0, 2**63, rng.integers(0, 4), dtype=np.uint64)])
         both = len(np.intersect1d(x, y))
         if len(y) and 100 * both >= 85 * (len(x) + len(y) - both):
+            level = {int(t): int(rng.integers(1, 9)) for t in np.union1d(x, y)}
             for r in range(3):
-                p, q = (jaccard_join.ordered(h, counts, r, len(h) - jaccard_join.shared_least(len(h), 85) + 1) for h in (x, y))
+                p, q = (jaccard_join.ordered(h, np.array([level[int(t)] for t in h]), r, jaccard_join.len_prefix(len(h), 85)) for h in (x, y))
                 assert len(np.intersect1d(p, q)) and (jaccard_join.bit_set(p) & jaccard_join.bit_set(q)).any()

@@ -154,4 +154,40 @@ o AS (SELECT *, CASE WHEN id IS NULL THEN 'no_response' WHEN tag = '' THEN 'unve
 SELECT record_id, url AS canonical_url, outcome, CASE WHEN outcome = 'resolved' THEN id END AS response_id,
   CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=120' || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || tag END AS headers,
   CASE WHEN outcome = 'resolved' THEN digest END AS digest FROM o""",
+    "op11_structure_repair": r"""
+WITH RECURSIVE bits(i, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k, coalesce(role, ' ') AS r0, coalesce(text, ' ') AS t0 FROM conversations),
+hit AS (SELECT keyed.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS fault FROM keyed, tab),
+dam AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE r0 END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t0, '[.!?]', '', 'g') ELSE t0 END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE fault <> 0),
+o AS (SELECT conv_id AS c, turn, role, text, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS x,
+  lag(left(role, 1)) OVER w AS before FROM dam WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, body = '' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut FROM o),
+facts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+  count(*) FILTER (WHERE i > 1 AND before || x NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY c),
+pre(q, p, q1, made) AS (VALUES (0, '', 0, ''), (1, '', 1, ''), (2, '', 2, ''), (3, '', 3, ''), (0, 'I', 2, chr(10) || 'user:'), (1, 'I', 2, chr(10) || 'user:'), (2, 'I', 3, chr(10) || 'assistant:'), (3, 'I', 2, chr(10) || 'user:'),
+  (0, 'II', 3, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 'II', 3, chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 'II', 2, chr(10) || 'assistant:' || chr(10) || 'user:'), (3, 'II', 3, chr(10) || 'user:' || chr(10) || 'assistant:')),
+ed(q1, e, x, q2, cost) AS (VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0), (0, 'R', NULL, 2, 1), (1, 'R', NULL, 2, 1), (2, 'R', NULL, 3, 1), (3, 'R', NULL, 2, 1), (0, 'D', NULL, 0, 2), (1, 'D', NULL, 1, 2), (2, 'D', NULL, 2, 2), (3, 'D', NULL, 3, 2)),
+best(c, i, q, b) AS (SELECT c, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': '', 'made': ''} FROM facts
+  UNION ALL SELECT best.c, f.i, q2, min({'cost': best.b.cost + 5 * length(p) + ed.cost + CASE WHEN e <> 'D' AND cut THEN 5 ELSE 0 END, 'audit': best.b.audit || p || e,
+    'made': best.b.made || pre.made || CASE e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || CASE q2 WHEN 2 THEN 'user:' ELSE 'assistant:' END || text END})
+  FROM best JOIN f ON f.c IS NOT DISTINCT FROM best.c AND f.i = best.i + 1 JOIN pre ON pre.q = best.q JOIN ed ON ed.q1 = pre.q1 AND (ed.x IS NULL OR ed.x = f.x) AND (e = 'D' OR NOT blank AND NOT dup) GROUP BY best.c, f.i, q2),
+done AS (SELECT best.c, min({'cost': b.cost + 5 * length(p), 'audit': b.audit || p, 'made': b.made || pre.made}) AS b FROM best JOIN facts ON facts.c IS NOT DISTINCT FROM best.c AND n = best.i JOIN pre ON pre.q = best.q WHERE q1 IN (0, 3) GROUP BY best.c)
+SELECT d.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit,
+  sha256(coalesce(substr(b.made, 2), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN facts ON facts.c IS NOT DISTINCT FROM d.conv_id LEFT JOIN done ON done.c IS NOT DISTINCT FROM d.conv_id""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, a.label AS la, b.vec_id AS b, b.label AS lb, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE la = lb QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a AS anchor_id, p.b AS positive_id, p.s AS ps, s.b AS negative_id, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS rank FROM p JOIN s ON s.a = p.a AND s.la <> s.lb AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 10""",
+    "op13_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS t FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM g a JOIN g b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 85 * (x.n + y.n - same)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) m ON m.a = d.doc_id""",
 }

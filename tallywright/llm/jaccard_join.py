@@ -35,6 +35,8 @@ RUN, BIN, RUN_TEXTS, BINS = 2_000_000, 1_000_000, 60_000, 65_536
 HOT, LAST = 64, 255
 #: Token orders besides the one that the index is by, and the bits of a prefix's bit set under each.
 ORDERS, BITS = 2, 256
+#: Bits of a node's whole set: each that another lacks is a token, at least, that it lacks.
+WHOLE = 2_048
 #: Nodes of a group of candidates that are compared at a time.
 GROUP = 1_024
 _SIG = [f"s{r}_{i}" for r in range(ORDERS) for i in range(BITS // 64)]
@@ -74,10 +76,10 @@ def unpack48(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def bit_set(tokens: np.ndarray) -> np.ndarray:
-    """The tokens as a set of BITS bits: two sets of tokens that meet have a common bit."""
-    bits = np.zeros(BITS, np.uint8)
-    bits[(mixed(tokens) % np.uint64(BITS)).astype(np.int64)] = 1
+def bit_set(tokens: np.ndarray, size: int = BITS) -> np.ndarray:
+    """The tokens as a set of bits: two sets of tokens that meet have a common bit."""
+    bits = np.zeros(size, np.uint8)
+    bits[(mixed(tokens) % np.uint64(size)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -172,8 +174,8 @@ def _counted(parts: DataFrame) -> DataFrame:
 
 
 def _nodes(parts: DataFrame, percent: int) -> DataFrame:
-    """(node, n, first, prefix, h, bit sets of the other orders' prefixes) of the nodes that have a shared token in their prefix: the size
-    of the set, the number of its own tokens, which come first, and its shared ones."""
+    """(node, n, own, prefix, h, bits, bit sets of the other orders' prefixes) of the nodes that have a shared token in their prefix: the
+    size of the set, the number of its own tokens, which come first, and its shared ones, whole and as bits."""
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         table = pdf[pdf.kind == 0].iloc[0]
@@ -188,10 +190,10 @@ def _nodes(parts: DataFrame, percent: int) -> DataFrame:
             t, lv, own = token[cuts[i] : cuts[i + 1]], level[cuts[i] : cuts[i + 1]], size[i] - (cuts[i + 1] - cuts[i])
             want = len_prefix(size[i], percent) - own
             sig = np.concatenate([bit_set(ordered(t, lv, r + 1, want)) for r in range(ORDERS)])
-            rows.append((node[i], size[i], own, ordered(t, lv, 0, want).tobytes(), np.sort(t).tobytes(), *sig.tolist()))
-        return pd.DataFrame(rows, columns=["node", "n", "own", "prefix", "h", *_SIG])
+            rows.append((node[i], size[i], own, ordered(t, lv, 0, want).tobytes(), np.sort(t).tobytes(), bit_set(t, WHOLE).tobytes(), *sig.tolist()))
+        return pd.DataFrame(rows, columns=["node", "n", "own", "prefix", "h", "bits", *_SIG])
 
-    return parts.groupBy("run").applyInPandas(gather, "node long, n long, own long, prefix binary, h binary, " + ", ".join(f"{c} long" for c in _SIG)).dropDuplicates(["node"])
+    return parts.groupBy("run").applyInPandas(gather, "node long, n long, own long, prefix binary, h binary, bits binary, " + ", ".join(f"{c} long" for c in _SIG)).dropDuplicates(["node"])
 
 
 def len_prefix(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -251,8 +253,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(index: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of nodes of two components that share a token of the index (token, node, n, pos, comp, bit sets) and pass the size,
-    position and order filters. A large group is dealt into chunks, and each pair of chunks is one unit of work."""
+    """(a, b): pairs of nodes of two components that share a token of the index (token, node, n, pos, comp, own, bits, bit sets) and
+    pass the size, position and order filters and the bound that the bits of both sets give on what they share. A large group is dealt
+    into chunks, and each pair of chunks is one unit of work."""
     spark = index.sparkSession
     sizes = index.groupBy("token").agg(F.count("*").alias("m"))
     k = F.ceil(F.col("m") / GROUP).cast("int")
@@ -261,11 +264,12 @@ def _across(index: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.withColumn("chunk", chunk).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     bins = 4 * shuffle_width(spark)  # small groups share a unit
     dealt = dealt.withColumn("bin", F.when(F.col("k") > 1, F.col("token")).otherwise(F.pmod(F.xxhash64("token"), F.lit(bins))))
-    dealt = dealt.select("bin", (F.col("k") > 1).alias("big"), F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"), "chunk", "token", "node", "n", "pos", "comp", *_SIG)
+    dealt = dealt.select("bin", (F.col("k") > 1).alias("big"), F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"), "chunk", "token", "node", "n", "pos", "comp", "own", "bits", *_SIG)
 
     def unit(pdf: pd.DataFrame) -> pd.DataFrame:  # its pairs fit in memory: a unit holds GROUP rows of a token or a share of the small groups
         pdf = pdf.sort_values(["token", "node"])
-        token, node, n, pos, comp, chunk = (pdf[c].to_numpy() for c in ("token", "node", "n", "pos", "comp", "chunk"))
+        token, node, n, pos, comp, own, chunk = (pdf[c].to_numpy() for c in ("token", "node", "n", "pos", "comp", "own", "chunk"))
+        bits = np.frombuffer(b"".join(pdf.bits), np.uint64).reshape(len(pdf), -1)
         sig, i, j = pdf[_SIG].to_numpy(np.int64).reshape(len(pdf), ORDERS, -1), pdf.i.iloc[0], pdf.j.iloc[0]
         cuts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)]
         out = []
@@ -277,8 +281,12 @@ def _across(index: DataFrame, percent: int) -> DataFrame:
                 p, q = p[keep], q[keep]
                 least = -(-percent * (n[p] + n[q]) // (100 + percent))  # shared tokens, of a pair that is alike
                 keep = (least <= np.minimum(n[p], n[q])) & (np.minimum(n[p] - pos[p], n[q] - pos[q]) >= least)  # what may follow the first shared token, itself included
-                p, q = p[keep], q[keep]
+                p, q, least = p[keep], q[keep], least[keep]
                 keep = ((sig[p] & sig[q]) != 0).any(2).all(1)
+                p, q, least = p[keep], q[keep], least[keep]
+                both = bits[p] & bits[q]
+                lacks = [np.bitwise_count(bits[x] ^ both).sum(1, dtype=np.int64) for x in (p, q)]
+                keep = np.minimum(n[p] - own[p] - lacks[0], n[q] - own[q] - lacks[1]) >= least
                 out.append(np.stack([node[p[keep]], node[q[keep]]]))
         ab = np.unique(np.concatenate([np.empty((2, 0), np.int64), *out], 1), axis=1)
         return pd.DataFrame({"a": ab[0], "b": ab[1]})
@@ -311,7 +319,7 @@ def similar_documents(docs: DataFrame, ngram: int = 4, percent: int = 85, text_c
     comp = written(components(links))
     index = written(hub_join(index, comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
     wide = index.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    wide = hub_join(index, wide, "token", "left_semi").join(sets.select("node", *_SIG), "node")
+    wide = hub_join(index, wide, "token", "left_semi").join(sets.select("node", "own", "bits", *_SIG), "node")
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(_across(written(wide), percent).join(tried, ["a", "b"], "left_anti"))
     links = links.union(verified(rest, sets, percent))

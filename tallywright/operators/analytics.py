@@ -63,7 +63,7 @@ def severities(results: DataFrame) -> DataFrame:
 
 def health_scores(repositories: DataFrame, runs: DataFrame, results: DataFrame, days: int, as_of: str) -> DataFrame:
     """Score of each repository over the last days: the whole part of success % + 20, less 20 if there is any issue, from 0
-    to 100; 100 without runs. The trend improves above 70 % success. Any number of issues weighs the same, as documented."""
+    to 100; 100 without runs, and then no trend. The trend improves above 70 % success, else it needs attention. Any number of issues weighs the same, as documented."""
     own = recent(runs, days, as_of)
     issues = results.join(own.select(F.col("id").alias("run_id"), "repository_id"), "run_id").groupBy("repository_id").agg(F.count("*").alias("issues"))
     per = own.groupBy("repository_id").agg(F.count("*").alias("runs"), _count(F.col("status") == "completed").alias("completed"))
@@ -72,7 +72,7 @@ def health_scores(repositories: DataFrame, runs: DataFrame, results: DataFrame,
     score = F.greatest(F.lit(0), F.least(F.lit(100), (rate + 20 - F.when(F.col("issues") > 0, 20).otherwise(0)).cast("int")))
     return t.select(
         "repository_id", "runs", "issues", F.when(F.col("runs") == 0, 100).otherwise(score).cast("int").alias("score"),
-        F.when(F.col("runs") == 0, "stable").when(rate > 70, "improving").otherwise("declining").alias("trend"),
+        F.when(F.col("runs") > 0, F.when(rate > 70, "improving").otherwise("needs_attention")).alias("trend"),
     )
 
 

@@ -292,10 +292,23 @@ def from_findings(findings: DataFrame) -> DataFrame:
     return start.unionByName(each).unionByName(end)
 
 
+#: What an event of a finding promises. Fixed values.
+CONSTRAINTS = ("proposal_only", "no_execution", "human_approval_required")
+_PARTS = ("id", "bug_class", "severity", "confidence", "problem_statement", "affected_files", "suggested_strategies")
+
+
 def finding_events(findings: DataFrame) -> DataFrame:
-    """Each finding (run_id, id, bug_class, severity, confidence, problem_statement) as one event that loses nothing: the payload is its JSON, confidence as a share."""
-    payload = F.to_json(F.struct("id", "bug_class", "severity", (F.col("confidence") / 100).alias("confidence"), "problem_statement"))
-    return findings.select("run_id", F.lit("INTELLIGENCE_PROPOSAL").alias("event_type"), F.col("id").cast("string").alias("payload_ref"), payload.alias("payload"))
+    """Each finding (run_id, id, bug_class, severity, confidence, problem_statement and any others) as one event whose payload is JSON:
+    confidence as a share, the summary, the paths of the files, the strategies whole, the constraints, every other column under
+    metadata, and the finding as it is under full_proposal."""
+    others = [c for c in findings.columns if c not in (*_PARTS, "run_id", "analyzer")]
+    has = lambda c: c in findings.columns
+    parts = [
+        F.col("analyzer") if has("analyzer") else F.lit(None).cast("string").alias("analyzer"), F.col("id").cast("string").alias("id"), "bug_class", "severity", (F.col("confidence") / 100).alias("confidence"), "problem_statement",
+        F.transform("affected_files", lambda f: f["path"]).alias("affected_files") if has("affected_files") else F.array().cast("array<string>").alias("affected_files"), *(["suggested_strategies"] if has("suggested_strategies") else []),
+        F.struct(*[F.lit(True).alias(c) for c in CONSTRAINTS]).alias("constraints"), *([F.struct(*others).alias("metadata")] if others else []), F.struct(*[c for c in findings.columns if c != "run_id"]).alias("full_proposal"),
+    ]
+    return findings.select("run_id", F.lit("INTELLIGENCE_PROPOSAL").alias("event_type"), F.col("id").cast("string").alias("payload_ref"), F.to_json(F.struct(*parts)).alias("payload"))
 
 
 def selection_events(selected: DataFrame) -> DataFrame:

@@ -215,12 +215,15 @@ def decision_reports(runs: DataFrame) -> DataFrame:
     """Of runs (run_id, mode, before, after, fixed, rules): confidence, risk level and title.
 
     Confidence is 0 for a run that only analyses, 1 if there was nothing before, else the share of issues fixed in per cent,
-    less 15 after a regression, from 0 to 100, over 100. The risk is high after a regression, medium below one half."""
-    worse = F.col("after") > F.col("before")
-    share = clamp(F.col("fixed") / F.col("before") * 100 - F.when(worse, 15).otherwise(0), 0.0, 100.0) / 100
-    conf = F.when(F.col("mode") == "analyze", 0.0).when(F.col("before") == 0, 1.0).otherwise(share)
-    risk = F.when(worse, "HIGH").when(F.col("confidence") < 0.5, "MEDIUM").otherwise("LOW")
-    title = F.when(F.col("mode") == "analyze", "Analysis only").when(worse, "Regression found").when(F.col("fixed") == 0, "No change").otherwise(F.concat(F.lit("Fixed "), F.col("fixed").cast("string"), F.lit(" issues")))
+    less 15 after a regression, from 0 to 100, over 100, to two places. The risk is high after a regression, medium with more
+    than 50 issues left, else by the number fixed: low under 10, medium under 50, high from there."""
+    worse, fixed = F.col("after") > F.col("before"), F.col("fixed")
+    share = clamp(fixed / F.col("before") * 100 - F.when(worse, 15).otherwise(0), 0.0, 100.0) / 100
+    conf = F.bround(F.when(F.col("mode") == "analyze", 0.0).when(F.col("before") == 0, 1.0).otherwise(share), 2)
+    risk = F.when(worse, "high").when(F.col("after") > 50, "medium").when(fixed < 10, "low").when(fixed < 50, "medium").otherwise("high")
+    n = fixed.cast("string")
+    title = F.when(F.col("mode") == "analyze", "Code analysis completed (preview mode)").when(fixed == 0, "No issues were auto-fixed").when(worse, F.concat(F.lit("Fixed "), n, F.lit(" issues (regressions detected)")))
+    title = title.when(fixed == 1, "Fixed 1 code issue").otherwise(F.concat(F.lit("Fixed "), n, F.lit(" code issues")))
     return runs.withColumn("confidence", conf).withColumn("risk_level", risk).withColumn("title", title)
 
 

@@ -188,7 +188,27 @@ WITH f AS ({FOUND}), n AS (SELECT run_id, count(*) AS n FROM f GROUP BY run_id)
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY id) AS sequence, 'INTELLIGENCE_PROPOSAL' AS event_type, lower(analyzer) AS actor, CAST(id AS VARCHAR) AS payload_ref, substr(summary, 1, 1000) AS summary FROM f
 UNION ALL SELECT run_id, 0, 'INTELLIGENCE_STARTED', 'orchestrator', NULL, 'analysis started' FROM n
 UNION ALL SELECT run_id, n + 1, 'INTELLIGENCE_COMPLETED', 'orchestrator', NULL, CAST(n AS VARCHAR) || ' findings' FROM n""")
-add("led_finding_event_full", lambda v: ledger.finding_events(_found(v)))
+def _whole(v: Views):
+    """What the payloads of whole findings hold, read back from their JSON."""
+    from .finding_queries import full
+
+    events = ledger.finding_events(full(v).withColumn("run_id", F.col("repo_id")))
+    got = lambda path: F.get_json_object("payload", path)
+    return events.select(
+        F.col("payload_ref").cast("long").alias("id"), "run_id", "event_type", got("$.bug_class").alias("bug_class"), got("$.severity").alias("severity"), got("$.confidence").cast("double").alias("confidence"), got("$.problem_statement").alias("summary"),
+        F.array_join(F.from_json(got("$.affected_files"), "array<string>"), ",").alias("files"), F.size(F.from_json(got("$.suggested_strategies"), "array<struct<name: string>>")).alias("strategies"), got("$.suggested_strategies[0].description").alias("first_way"),
+        got("$.constraints.no_execution").alias("no_execution"), got("$.metadata.risk_explanation").alias("risk_explanation"), got("$.metadata.decision_required_for").alias("decision"), got("$.full_proposal.affected_files[0].line_range").alias("line_range"),
+    )
+
+
+def _whole_sql() -> str:
+    from .finding_queries import FINDP
+
+    return f"""SELECT id, repo_id AS run_id, 'INTELLIGENCE_PROPOSAL' AS event_type, bug_class, severity, confidence / 100 AS confidence, problem_statement AS summary, CASE WHEN id % 13 = 0 THEN '' ELSE array_to_string(paths, ',') END AS files, CASE WHEN id % 17 = 0 THEN 0 ELSE n_strategies END AS strategies,
+  CASE WHEN id % 17 <> 0 THEN 'Do step 1' END AS first_way, 'true' AS no_execution, CASE WHEN id % 7 <> 0 THEN 'It may fail: ' || problem_statement END AS risk_explanation, CASE WHEN id % 10 = 0 THEN 'the design' END AS decision, CASE WHEN id % 13 <> 0 THEN line_range END AS line_range FROM ({FINDP})"""
+
+
+add("led_finding_event_full", _whole, _whole_sql())
 add("led_selection_event", lambda v: ledger.selection_events(v.analysis_results.select(F.col("category").alias("plan"), F.col("issue_code").alias("analyzer_id"))), """
 SELECT category AS plan, 'selection:' || category || ':' || string_agg(DISTINCT issue_code, ',' ORDER BY issue_code) AS payload_ref FROM analysis_results GROUP BY category""")
 add("led_runs_list", lambda v: ledger.runs_list(v.ledger_runs), """

@@ -93,17 +93,21 @@ FROM (SELECT *, row_number() OVER (PARTITION BY run_id, severity ORDER BY id) AS
 
 
 def _edr(v: Views):
-    r = v.analysis_results.groupBy("run_id").agg(F.count("*").alias("before"), F.count_if(F.col("is_fixed") == 1).alias("fixed"), F.array_join(F.array_sort(F.collect_set("issue_code")), ",").alias("rules"))
+    """Reports of runs and, as runs of the fixture are small, of all runs of a repository together."""
+    r = v.analysis_results.select("run_id", "issue_code", "is_fixed").union(v.analysis_results.join(v.analysis_runs.select(F.col("id").alias("run_id"), "repository_id"), "run_id").select((-F.col("repository_id")).alias("run_id"), "issue_code", "is_fixed"))
+    fixed = F.col("is_fixed") == 1
+    r = r.groupBy("run_id").agg(F.count("*").alias("before"), F.count_if(fixed).alias("fixed"), F.array_join(F.array_sort(F.collect_set(F.when(fixed, F.col("issue_code")))), ",").alias("rules"))
     r = r.withColumns({"mode": F.when(F.col("run_id") % 7 == 0, "analyze").otherwise("fix"), "after": F.col("before") - F.col("fixed") + F.when(F.col("run_id") % 5 == 0, F.col("before")).otherwise(0)})
     return rel.decision_reports(r)
 
 
 add("rel_edr", _edr, """
-WITH r AS (SELECT run_id, count(*) AS before, count(*) FILTER (WHERE is_fixed = 1) AS fixed, string_agg(DISTINCT issue_code, ',' ORDER BY issue_code) AS rules FROM analysis_results GROUP BY 1),
-s AS (SELECT *, CASE WHEN run_id % 7 = 0 THEN 'analyze' ELSE 'fix' END AS mode, before - fixed + CASE WHEN run_id % 5 = 0 THEN before ELSE 0 END AS after FROM r),
-c AS (SELECT *, CASE WHEN mode = 'analyze' THEN 0 WHEN before = 0 THEN 1 ELSE greatest(0, least(100, fixed / before * 100 - CASE WHEN after > before THEN 15 ELSE 0 END)) / 100 END AS confidence FROM s)
-SELECT *, CASE WHEN after > before THEN 'HIGH' WHEN confidence < 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
-  CASE WHEN mode = 'analyze' THEN 'Analysis only' WHEN after > before THEN 'Regression found' WHEN fixed = 0 THEN 'No change' ELSE 'Fixed ' || CAST(fixed AS VARCHAR) || ' issues' END AS title FROM c""")
+WITH x AS (SELECT run_id, issue_code, is_fixed FROM analysis_results UNION ALL SELECT -repository_id, issue_code, is_fixed FROM analysis_results r JOIN analysis_runs a ON a.id = r.run_id),
+r AS (SELECT run_id, count(*) AS before, count(*) FILTER (WHERE is_fixed = 1) AS fixed, coalesce(string_agg(DISTINCT issue_code, ',' ORDER BY issue_code) FILTER (WHERE is_fixed = 1), '') AS rules FROM x GROUP BY 1),
+s AS (SELECT *, CASE WHEN run_id % 7 = 0 THEN 'analyze' ELSE 'fix' END AS mode, before - fixed + CASE WHEN run_id % 5 = 0 THEN before ELSE 0 END AS after FROM r)
+SELECT *, round_even(CASE WHEN mode = 'analyze' THEN 0 ELSE greatest(0, least(100, fixed / before * 100 - CASE WHEN after > before THEN 15 ELSE 0 END)) / 100 END, 2) AS confidence,
+  CASE WHEN after > before THEN 'high' WHEN after > 50 THEN 'medium' WHEN fixed < 10 THEN 'low' WHEN fixed < 50 THEN 'medium' ELSE 'high' END AS risk_level,
+  CASE WHEN mode = 'analyze' THEN 'Code analysis completed (preview mode)' WHEN fixed = 0 THEN 'No issues were auto-fixed' WHEN after > before THEN 'Fixed ' || fixed || ' issues (regressions detected)' WHEN fixed = 1 THEN 'Fixed 1 code issue' ELSE 'Fixed ' || fixed || ' code issues' END AS title FROM s""")
 _before = lambda v: v.analysis_results.where("id % 3 <> 0").select("run_id", "issue_code")
 _after = lambda v: v.analysis_results.where("id % 4 <> 0").select("run_id", "issue_code")
 add("rel_regressions", lambda v: rel.scan_diff(_before(v), _after(v)), """

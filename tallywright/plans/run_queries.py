@@ -30,7 +30,7 @@ iss AS (SELECT repository_id, count(*) AS issues FROM analysis_results r JOIN ow
 t AS (SELECT p.id AS repository_id, coalesce(runs, 0) AS runs, coalesce(completed, 0) AS completed, coalesce(issues, 0) AS issues FROM repositories p LEFT JOIN per ON per.repository_id = p.id LEFT JOIN iss ON iss.repository_id = p.id),
 u AS (SELECT *, CASE WHEN runs > 0 THEN completed / runs * 100 ELSE 0 END AS rate FROM t)
 SELECT repository_id, runs, issues, CAST(CASE WHEN runs = 0 THEN 100 ELSE greatest(0, least(100, trunc(rate + 20 - CASE WHEN issues > 0 THEN 20 ELSE 0 END))) END AS INT) AS score,
-  CASE WHEN runs = 0 THEN 'stable' WHEN rate > 70 THEN 'improving' ELSE 'declining' END AS trend FROM u""")
+  CASE WHEN runs > 0 THEN CASE WHEN rate > 70 THEN 'improving' ELSE 'needs_attention' END END AS trend FROM u""")
 add("an_top_issues", lambda v: an.top_issues(v.analysis_results, 5), "SELECT issue_code, count(*) AS occurrences FROM analysis_results GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 add("an_runs_list", lambda v: an.list_runs(v.analysis_runs, v.repositories, v.analysis_results, 50, status="completed"), f"""
 SELECT a.id, repo_full_name, status, created_at, coalesce(issues, 0) AS issues FROM (SELECT x.*, repo_full_name FROM analysis_runs x JOIN repositories p ON p.id = x.repository_id WHERE status = 'completed' ORDER BY created_at DESC, x.id LIMIT 50) a

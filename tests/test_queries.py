@@ -91,13 +91,6 @@ def test_conflicts(spark):
     assert sorted((r["id"], r["conflicts"]) for r in findings.conflict_groups(df).collect()) == [(1, [2, 3]), (2, [1, 3]), (3, [1, 2]), (6, [7]), (7, [6])]
 
 
-def test_fixes_are_looked_for_in_whole_files(spark):
-    files_ = spark.createDataFrame([("a.py", "x\n" * 100 + "f = open(p)")], "path string, content string")
-    rows = [(1, "approved", "a.py", "f = open(p)"), (2, "approved", "a.py", "f=open( p )"), (3, "approved", "a.py", "gone"), (4, "approved", "b.py", "x"), (5, "applied", "a.py", "x"), (6, "approved", None, "x"), (7, "approved", "a.py", None), (8, None, "a.py", "x")]
-    got = findings.validate_fixes(spark.createDataFrame(rows, "id int, status string, file_path string, original_code string"), files_).collect()
-    assert {r["id"]: (r["error"], r["warning"]) for r in got} == {1: (None, None), 2: (None, "white space differs"), 3: ("content changed", None), 4: ("file not found", None), 5: ("not approved", None), 6: ("no path", None), 7: (None, None), 8: (None, None)}
-
-
 def test_call_edges(spark):
     calls = spark.createDataFrame([("f", "f::x", "self.y"), ("f", "f::x", "m.z"), ("g", "g::q", "q")], "path string, caller string, name string")
     functions = spark.createDataFrame([("f", "y", "f::y"), ("g", "y", "g::y"), ("g", "z", "g::z"), ("g", "q", "g::q")], "path string, name string, id string")

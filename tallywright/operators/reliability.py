@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.asof import asof_join
+
 from ..functions.scalars import clamp, ratio, since
 
 SEVERITIES = ("critical", "high", "medium", "low")
@@ -72,6 +74,17 @@ def as_of_changes(snapshots: DataFrame, as_of: str, days: tuple[int, ...] = (7,
     return per.select("repo_metrics_id", F.col("now").alias("score"), *[(F.col("now") - F.col(f"d{n}")).alias(f"change_{n}d") for n in days])
 
 
+def changes_at_snapshots(snapshots: DataFrame, days: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """(id, repo_metrics_id, score, change_7d, ..): of every snapshot the change of the score since the latest snapshot that was there so
+    many days before it; null without one."""
+    score = ("reliability_score",)
+    out = snapshots.select("id", "repo_metrics_id", "created_at", F.col("reliability_score").alias("score"))
+    for n in days:
+        past = asof_join(out, snapshots, "repo_metrics_id", F.col("created_at") - F.expr(f"INTERVAL {n} DAYS"), F.col("created_at"), ("id",), score)
+        out = past.withColumn(f"change_{n}d", F.col("score") - F.col("found.reliability_score")).drop("found")
+    return out.drop("created_at")
+
+
 def risk_trend(now: Column, past: Column) -> Column:
     """increasing or decreasing beyond 10 per cent; stable where the past is zero or missing."""
     change = (now - past) / past * 100

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch_dir
 from ..operators import findings as fd
+from ..sources import stores
 from .registry import Registry
 from .views import AS_OF, Views
 
@@ -175,6 +177,17 @@ add("fd_group_category", lambda v: fd.category_summary(_class(v)), f"{CLASS} SEL
 add("fd_fix_plan", lambda v: fd.fix_plan(_class(v), "smart"), f"{CLASS} SELECT issue_code, CASE safety WHEN 'SAFE' THEN 'fix' WHEN 'RISKY' THEN 'review' ELSE 'suggest' END AS action, count(*) AS issues FROM cl GROUP BY 1, 2")
 add("fd_recategorize", lambda v: fd.recategorize(v.analysis_results, rules(v)), f"""{CLASS}, n AS (SELECT *, CASE safety WHEN 'SAFE' THEN 'safe' WHEN 'RISKY' THEN 'review' ELSE 'suggestion' END AS c, CASE WHEN safety = 'SAFE' THEN 1 ELSE is_fixed END AS f FROM cl)
 SELECT id, c AS category, f AS is_fixed FROM n WHERE c IS DISTINCT FROM category OR f IS DISTINCT FROM is_fixed""")
+
+
+def _recategorized(v: Views):
+    """The issues as a stored table, their categories and states merged in: what is stored then."""
+    table = stores.KeyedTable(v.spark, scratch_dir(v.spark), "id long, issue_code string, category string, is_fixed int", ("id",), buckets=16)
+    table.merge(0, v.analysis_results.select("id", "issue_code", "category", "is_fixed"))
+    table.merge(1, fd.recategorize(table.read(), rules(v)), only_matched=True)
+    return table.read()
+
+
+add("fd_recategorize_store", _recategorized, f"""{CLASS} SELECT id, issue_code, CASE safety WHEN 'SAFE' THEN 'safe' WHEN 'RISKY' THEN 'review' ELSE 'suggestion' END AS category, CASE WHEN safety = 'SAFE' THEN 1 ELSE is_fixed END AS is_fixed FROM cl""")
 add("fd_categorize_js", lambda v: fd.categorize_js(v.analysis_results.select("id", "issue_code"), ("F401", "W291"), ("E711",)), "SELECT id, issue_code, CASE WHEN issue_code IN ('F401', 'W291') THEN 'safe' WHEN issue_code = 'E711' THEN 'review' ELSE 'suggestion' END AS category FROM analysis_results")
 add("fd_explain", lambda v: fd.explain(v.analysis_results.select("id", "issue_code"), table(v, EXPLAINED, "issue_code string, title string, description string, why_safe string, impact string, safety_score int")), f"""
 WITH t(issue_code, title, description, why_safe, impact, safety_score) AS (VALUES {values(EXPLAINED)}) SELECT r.id, r.issue_code, coalesce(title, 'Rule ' || r.issue_code) AS title, coalesce(description, 'Code quality issue') AS description, coalesce(why_safe, 'Unknown') AS why_safe,
@@ -221,6 +234,18 @@ def _outcomes(v: Views):
 
 
 add("fd_transition", _outcomes, OUT)
+
+
+def _moved(v: Views):
+    """The fixes as a stored table, what was approved, rejected and applied merged in with who did it and when: what is stored then."""
+    table = stores.KeyedTable(v.spark, scratch_dir(v.spark), "id long, file_path string, status string, actor string, at timestamp", ("id",), buckets=16)
+    table.merge(0, _fixes(v).select("id", "file_path", "status"))
+    done = _outcomes(v).where("error IS NULL")
+    table.merge(1, done.select(F.col("fix_id").alias("id"), "status", "actor", "at"), only_matched=True)
+    return table.read()
+
+
+add("fd_transition_store", _moved, f"SELECT f.id, f.file_path, coalesce(o.status, f.status) AS status, o.actor, o.at FROM ({FIXES}) f LEFT JOIN (SELECT * FROM ({OUT}) WHERE error IS NULL) o ON o.fix_id = f.id")
 add("fd_batch_outcome", lambda v: fd.batch_outcomes(_outcomes(v), _batches(v)), f"SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE error IS NULL) AS succeeded, count(*) FILTER (WHERE error IS NOT NULL) AS failed FROM (SELECT DISTINCT batch_id, fix_id FROM ({BATCH})) b JOIN ({OUT}) o ON o.fix_id = b.fix_id GROUP BY 1")
 PATCH = f"""SELECT batch_id, string_agg('# Fix #' || fix_id || ': ' || file_path || chr(10) || coalesce(patch, '--- a/' || file_path || '+++ b/' || file_path || '@@ -1,2 +1,2 @@ a' || chr(10) || '-b' || chr(10) || '+c' || chr(10)) || chr(10), chr(10) ORDER BY file_path, fix_id) AS patch
 FROM ({FIXED}) b JOIN ({FIXES}) f ON f.id = b.fix_id WHERE patch IS NOT NULL OR fixed_code IS NOT NULL GROUP BY 1"""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch_dir
 from ..operators import reliability as rel
+from ..sources import stores
 from .registry import Registry
 from .views import AS_OF, Views
 
@@ -53,6 +55,21 @@ add("rel_snapshot_fix", lambda v: rel.fix_snapshots(v.code_fixes, v.analysis_res
 SELECT f.id AS code_fix_id, a.repository_id, f.created_at, 'fix_applied' AS snapshot_type, critical AS critical_risks, high AS high_risks, medium AS medium_risks, low AS low_risks, critical + high + medium + low AS total_risks, score AS reliability_score
 FROM code_fixes f JOIN analysis_results r ON r.id = f.result_id JOIN analysis_runs a ON a.id = r.run_id JOIN ({METRICS}) m ON m.id = a.repository_id WHERE f.status = 'applied'""")
 add("rel_asof_change", lambda v: rel.as_of_changes(v.risk_snapshots, AS_OF), f"SELECT repo_metrics_id, {AT.format('reliability_score', 0)} AS score, {AT.format('reliability_score', 0)} - {AT.format('reliability_score', 7)} AS change_7d, {AT.format('reliability_score', 0)} - {AT.format('reliability_score', 30)} AS change_30d FROM {S} GROUP BY 1")
+_PAST = " ASOF LEFT JOIN (SELECT repo_metrics_id, created_at, max_by(reliability_score, id) AS s FROM risk_snapshots GROUP BY 1, 2) b{0} ON b{0}.repo_metrics_id = a.repo_metrics_id AND a.at{0} >= b{0}.created_at"
+add("rel_asof_snapshots", lambda v: rel.changes_at_snapshots(v.risk_snapshots), f"""
+SELECT a.id, a.repo_metrics_id, a.reliability_score AS score, a.reliability_score - b7.s AS change_7d, a.reliability_score - b30.s AS change_30d FROM (SELECT *, created_at - INTERVAL 7 DAY AS at7, created_at - INTERVAL 30 DAY AS at30 FROM {S}) a{_PAST.format(7)}{_PAST.format(30)}""")
+
+
+def _merged_metrics(v: Views):
+    """Counters of the reviews up to a day, then those of the repositories reviewed since merged in: what is stored then."""
+    table = stores.KeyedTable(v.spark, scratch_dir(v.spark), "repo_full_name string, total_prs long, prs_critical long, prs_high long", ("repo_full_name",), buckets=8)
+    early = v.pr_analyses.where("id % 3 = 0")
+    table.merge(0, rel.pr_counters(early))
+    table.merge(1, rel.pr_counters(v.pr_analyses.join(v.pr_analyses.where("id % 3 <> 0").select("repo_full_name").distinct(), "repo_full_name", "left_semi")))
+    return table.read()
+
+
+add("rel_metrics_store", _merged_metrics, COUNTERS)
 add("rel_risk_trend", lambda v: rel.risk_trends(v.risk_snapshots, AS_OF), f"""SELECT repo_metrics_id, CASE WHEN past IS NULL OR past = 0 THEN 'stable' WHEN (now - past) / past * 100 > 10 THEN 'increasing' WHEN (now - past) / past * 100 < -10 THEN 'decreasing' ELSE 'stable' END AS risk_trend
 FROM (SELECT repo_metrics_id, {AT.format('total_risks', 0)} AS now, {AT.format('total_risks', 30)} AS past FROM {S} GROUP BY 1)""")
 add("rel_snapshot", lambda v: rel.pr_snapshots(v.pr_analyses), """SELECT id, repo_full_name, completed_at AS created_at, 'pr_analysis' AS snapshot_type, critical_risks_count AS critical_risks, high_risks_count AS high_risks, medium_risks_count AS medium_risks, 0 AS low_risks,

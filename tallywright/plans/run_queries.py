@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch_dir
 from ..operators import analytics as an
+from ..sources import stores
 from .registry import Registry
 from .views import AS_OF, Views
 
@@ -55,6 +57,17 @@ add("an_trending", lambda v: an.trending(v.analysis_results, DAYS, AS_OF, 5), f"
 SELECT issue_code, count(*) AS occurrences, count(*) FILTER (WHERE is_fixed = 1) AS fixed, min_by(category, id) AS category, min_by(severity, id) AS severity FROM analysis_results WHERE {CUT} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
 add("an_bulk_fix", lambda v: an.bulk_fix(v.analysis_results, ("F401", "E501")).select("id", "is_fixed", "changed"), """
 SELECT id, CASE WHEN issue_code IN ('F401', 'E501') AND is_fixed = 0 THEN 1 ELSE is_fixed END AS is_fixed, issue_code IN ('F401', 'E501') AND is_fixed = 0 AS changed FROM analysis_results""")
+
+
+def _fixed(v: Views):
+    """The issues as a stored table, the open ones of two codes marked in it: what is stored then."""
+    table = stores.KeyedTable(v.spark, scratch_dir(v.spark), "id long, issue_code string, is_fixed int", ("id",), buckets=16)
+    table.merge(0, v.analysis_results.select("id", "issue_code", "is_fixed"))
+    table.merge(1, an.bulk_fix(table.read(), ("F401", "E501")).where("changed").select("id", "is_fixed"))
+    return table.read()
+
+
+add("an_bulk_fix_store", _fixed, "SELECT id, issue_code, CASE WHEN issue_code IN ('F401', 'E501') AND is_fixed = 0 THEN 1 ELSE is_fixed END AS is_fixed FROM analysis_results")
 add("an_status_counts", lambda v: an.status_counts(v.analysis_runs), "SELECT count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status NOT IN ('completed', 'failed')) AS in_progress FROM analysis_runs")
 add("an_fix_progress", lambda v: an.fix_progress(v.analysis_runs, v.analysis_results), """
 SELECT a.id AS run_id, CASE WHEN coalesce(n, 0) > 0 THEN f / n * 100 ELSE 0 END AS fix_percent FROM analysis_runs a LEFT JOIN (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE is_fixed = 1) AS f FROM analysis_results GROUP BY 1) r ON r.run_id = a.id""")

@@ -102,3 +102,22 @@ def test_numbered_splits_a_large_key(spark):
     for r in sorted(got, key=lambda r: (str(r["k"]), r["o"])):
         by.setdefault(r["k"], []).append(r["at"])
     assert len(got) == 1000 and all(v == list(range(1, len(v) + 1)) for v in by.values())
+
+
+def test_asof_join(spark):
+    import datetime as dt
+
+    from tallywright.functions.asof import asof_join
+
+    day = lambda d, s=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, seconds=s)
+    right = [("a", day(0), 1, "x"), ("a", day(0), 2, "y"), ("a", day(100), 3, "z"), ("a", day(100, 5), 4, None), ("b", day(3), 5, "w"), (None, day(1), 6, "no"), ("a", None, 7, "no")]
+    left = [("a", day(-1)), ("a", day(0)), ("a", day(0, 1)), ("a", day(99)), ("a", day(100)), ("a", day(400)), ("b", day(2)), ("b", day(3)), ("c", day(9)), (None, day(9)), ("a", None), ("a", day(99))]
+    r = spark.createDataFrame(right, "k string, t timestamp, id int, v string")
+    out = asof_join(spark.createDataFrame(left, "k string, at timestamp"), r, "k", F.col("at"), F.col("t"), ("id",), ("id", "v"), block=86_400 * 30)
+
+    def brute(k, at):
+        hits = [(t, i, v) for rk, t, i, v in right if rk is not None and rk == k and t is not None and at is not None and t <= at]
+        return max(hits, key=lambda h: h[:2])[1:] if hits else None
+
+    got = sorted(((r["k"], r["at"], tuple(r["found"]) if r["found"] else None) for r in out.collect()), key=str)
+    assert got == sorted(((k, at, brute(k, at)) for k, at in left), key=str)

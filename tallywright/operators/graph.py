@@ -73,6 +73,71 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     return found.distinct().withColumn("severity", F.when(F.col("length") > 4, "CRITICAL").otherwise("HIGH"))
 
 
+#: Edges up to which labels are joined plainly, in one task each: no node can be a hub then.
+FEW = 100_000
+
+
+def _least_reaching(edges: DataFrame, nodes: DataFrame, max_rounds: int, few: bool) -> DataFrame:
+    """(id, label): the least node that reaches each node (itself included) along edges (source_id, target_id). Labels are taken from
+    neighbours and, as reaching is transitive, from their own labels, so that they jump: a path takes about the logarithm of its length."""
+    meet = (lambda a, b, c, how="inner": a.join(b, c, how)) if few else hub_join
+    keep = (lambda df: cut(df.coalesce(1))) if few else cut
+    labels = keep(nodes.select("id", F.col("id").alias("label")))
+    for _ in range(max_rounds):
+        near = meet(edges, labels.withColumnRenamed("id", "source_id"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min("label").alias("near"))
+        step = keep(labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.coalesce(F.least("label", "near"), "label").alias("label")))
+        new = keep(meet(step, step.select(F.col("id").alias("label"), F.col("label").alias("far")), "label", "left").select("id", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        labels = new.select("id", "label")
+        if new.where("old <> label").isEmpty():
+            return labels
+    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(id, component): the nodes of each strongly connected component of two nodes or more, named by its smallest node.
+
+    Nodes that no cycle can hold are trimmed. Every other node gets the least node, in an order at random, that reaches it as its colour; edges between
+    colours are in no component. Inside a colour, the nodes that reach the colour's own node are one component. It is taken
+    out, and what is left goes round again; every round takes out at least the component of each colour.
+    """
+    keyed = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), c).alias(c)  # noqa: E731  at random, so that labels jump on any path
+    e = cut(edges.where("source_id <> target_id").select(keyed("source_id"), keyed("target_id")).distinct())
+    found = None
+    for _ in range(max_rounds):
+        before = -1
+        while before != (n := e.count()):  # trim; a chain takes one step for each node, so only while it helps much
+            if 0 <= before < 1.1 * n:
+                break
+            before = n
+            e = e.join(e.select(F.col("target_id").alias("source_id")).distinct(), "source_id", "left_semi").join(e.select(F.col("source_id").alias("target_id")).distinct(), "target_id", "left_semi")
+            e = cut(e.select("source_id", "target_id"))
+        if n == 0:
+            break
+        few = n <= FEW
+        colour = _least_reaching(e, nodes_of(e), max_rounds, few)
+        a, b = (colour.select(F.col("id").alias(c), F.col("label").alias(x)) for c, x in (("source_id", "a"), ("target_id", "b")))
+        own = cut(e.join(a, "source_id").join(b, "target_id").where("a = b").select("source_id", "target_id"))
+        back = _least_reaching(own.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")), nodes_of(own), max_rounds, few)
+        done = cut(back.join(colour.withColumnRenamed("label", "colour"), "id").where("label = colour").select("id", F.col("colour").alias("component")))
+        found = done if found is None else found.union(done)
+        for c in ("source_id", "target_id"):
+            own = own.join(done.select(F.col("id").alias(c)), c, "left_anti")
+        e = cut(own.select("source_id", "target_id"))
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if found is None:
+        return e.select(F.col("source_id").alias("id"), F.col("source_id").alias("component"))
+    own = found.select(F.substr("id", F.lit(17)).alias("id"), F.col("component").alias("key"))
+    name = own.groupBy("key").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return hub_join(own, name, "key").select("id", "component")
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """(component, size, severity): cyclic dependencies of any length, as components; over 4 nodes are CRITICAL."""
+    size = strong_components(edges).groupBy("component").agg(F.count("*").alias("size"))
+    return size.withColumn("severity", F.when(F.col("size") > 4, "CRITICAL").otherwise("HIGH"))
+
+
 def domain_leaks(edges: DataFrame, least: int = 3) -> DataFrame:
     """(domain_a, domain_b, imports): pairs of domains (first part of the id) with that many edges between them."""
     d = lambda c: F.substring_index(c, ".", 1)

@@ -79,6 +79,10 @@ add("gr_cycles_all_edges", lambda v: gr.cycles(v.graph_edges, 3), f"""
 WITH e AS ({E1}), two AS (SELECT DISTINCT a.s || ',' || a.t AS members, 2 AS length FROM e a JOIN e b ON a.t = b.s AND b.t = a.s WHERE a.s < a.t),
 three AS (SELECT DISTINCT a.s || ',' || least(a.t, b.t) || ',' || greatest(a.t, b.t) AS members, 3 AS length FROM e a JOIN e b ON a.t = b.s JOIN e c ON b.t = c.s AND c.t = a.s WHERE a.s < a.t AND a.s < b.t AND a.t <> b.t)
 SELECT members, length, 'HIGH' AS severity FROM two UNION ALL SELECT members, length, 'HIGH' FROM three""")
+REACH = """WITH RECURSIVE e AS (SELECT DISTINCT source_id AS s, target_id AS t FROM graph_edges WHERE source_id <> target_id AND edge_type = 'imports'), r(a, b) AS (SELECT s, t FROM e UNION SELECT r.a, e.t FROM r JOIN e ON e.s = r.b),
+m AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"""
+add("gr_components", lambda v: gr.strong_components(v.graph_edges.where("edge_type = 'imports'")), f"{REACH} SELECT id, component FROM m")
+add("gr_cycles_whole", lambda v: gr.cyclic_components(v.graph_edges.where("edge_type = 'imports'")), f"{REACH} SELECT component, count(*) AS size, CASE WHEN count(*) > 4 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM m GROUP BY 1")
 add("gr_domain_leak", lambda v: gr.domain_leaks(v.graph_edges), "WITH t AS (SELECT split_part(source_id, '.', 1) AS a, split_part(target_id, '.', 1) AS b FROM graph_edges) SELECT least(a, b) AS domain_a, greatest(a, b) AS domain_b, count(*) AS imports FROM t WHERE a <> b GROUP BY 1, 2 HAVING count(*) >= 3")
 add("gr_layers", lambda v: gr.layer_violations(v.graph_edges, v.spark.createDataFrame(list(LAYERS), "name string, level int")), f"""
 WITH l(name, level) AS (VALUES ('n1', 1), ('n2', 2), ('pkg3', 3)), o AS (SELECT id, min_by(name, level) AS name, min(level) AS level FROM ({NODES}) n JOIN l ON contains(id, name) GROUP BY 1)

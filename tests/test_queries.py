@@ -84,6 +84,14 @@ def test_cycles(spark):
     assert graph.cycles(edges.where("false")).collect() == []
 
 
+def test_strong_components(spark):
+    ring = [(f"m{i:03d}", f"m{(i + 1) % 200:03d}") for i in range(200)]
+    tail = [("m000", "t0"), ("t0", "t1"), ("h0", "m005"), ("t1", "u0"), ("u0", "u1"), ("u1", "u0"), ("a", "a"), ("u0", "b"), ("b", "c"), ("c", "d"), ("d", "b")]
+    edges = spark.createDataFrame(ring + tail, "source_id string, target_id string")
+    assert sorted(map(tuple, graph.cyclic_components(edges).collect())) == [("b", 3, "HIGH"), ("m000", 200, "CRITICAL"), ("u0", 2, "HIGH")]
+    assert graph.strong_components(edges.where("false")).collect() == [] and graph.strong_components(edges.where("source_id = 't0'")).collect() == []
+
+
 def test_conflicts(spark):
     rows = [(1, 1, "same", ["a"]), (2, 1, "same", ["a"]), (3, 1, "same", ["a"]), (4, 2, "same", ["a"]), (5, 1, "other", ["a"]), (6, 2, "x" * 50 + "1", ["b"]), (7, 2, "x" * 50 + "2", ["b"])]
     df = spark.createDataFrame([(i, r, s, [(p, None, None) for p in ps]) for i, r, s, ps in rows], "id long, repo_id long, problem_statement string, affected_files array<struct<path: string, line_range: string, severity: string>>")

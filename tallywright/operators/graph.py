@@ -47,9 +47,9 @@ def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
 
 
 def import_graph(source_lines: DataFrame) -> DataFrame:
-    """(path, module): root modules that the lines of a file import; names that start with an underscore are left out."""
+    """(repo_id, path, module): root modules that the lines of a file import; names that start with an underscore are left out."""
     root = F.regexp_extract("text", r"^\s*(?:import|from)\s+([A-Za-z][A-Za-z0-9_]*)", 1)
-    return source_lines.select("path", root.alias("module")).where("module <> ''").distinct()
+    return source_lines.select("repo_id", "path", root.alias("module")).where("module <> ''").distinct()
 
 
 def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
@@ -155,32 +155,36 @@ def layer_violations(edges: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def module_index(files: DataFrame) -> DataFrame:
-    """(module, path): the dotted name of each file; and its stem, for the first path by name, where no dotted name is the same."""
-    dotted = files.select(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", ".").alias("module"), "path").distinct()
-    stems = dotted.select(F.substring_index("module", ".", -1).alias("module"), "path").groupBy("module").agg(F.min("path").alias("path"))
-    return dotted.union(stems.join(dotted.select("module"), "module", "left_anti"))
+    """(repo_id, module, path): the dotted name of each file of a repository; and its stem, for the first path by name, where no dotted
+    name of the repository is the same."""
+    key = ["repo_id", "module"]
+    dotted = files.select("repo_id", F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", ".").alias("module"), "path").distinct()
+    stems = dotted.select("repo_id", F.substring_index("module", ".", -1).alias("module"), "path").groupBy(*key).agg(F.min("path").alias("path"))
+    return dotted.union(stems.join(dotted.select(*key), key, "left_anti").select("repo_id", "module", "path"))
 
 
 def import_edges(imports: DataFrame, index: DataFrame) -> DataFrame:
-    """(source, target): imports (path, module) resolved by an index (module, path): the full name, else the longest known prefix, else the last segment; no edge to itself."""
+    """(repo_id, source, target): imports (repo_id, path, module) resolved by an index (repo_id, module, path) of the same repository: the
+    full name, else the longest known prefix, else the last segment; no edge to itself."""
     parts = F.split("module", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(parts, F.lit(1), i), ".").alias("name")))
-    each = imports.select("path", "module", F.explode(F.concat(prefixes, F.array(F.struct(F.lit(0).alias("n"), F.substring_index("module", ".", -1).alias("name"))))).alias("p"))
-    hit = each.select(F.col("path").alias("source"), "module", "p.n", "p.name").join(index.select(F.col("module").alias("name"), F.col("path").alias("target")), "name")
-    best = hit.groupBy("source", "module").agg(F.max_by("target", "n").alias("target"))
-    return best.where("source <> target").select("source", "target").distinct()
+    each = imports.select("repo_id", "path", "module", F.explode(F.concat(prefixes, F.array(F.struct(F.lit(0).alias("n"), F.substring_index("module", ".", -1).alias("name"))))).alias("p"))
+    hit = each.select("repo_id", F.col("path").alias("source"), "module", "p.n", "p.name").join(index.select("repo_id", F.col("module").alias("name"), F.col("path").alias("target")), ["repo_id", "name"])
+    best = hit.groupBy("repo_id", "source", "module").agg(F.max_by("target", "n").alias("target"))
+    return best.where("source <> target").select("repo_id", "source", "target").distinct()
 
 
 def call_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
-    """(caller, callee): calls (path, caller, name) resolved to functions (path, name, id). self. is dropped; an exact name
-    beats its last segment, and then the same file beats others; all that tie are kept. No edge to itself."""
+    """(repo_id, caller, callee): calls (repo_id, path, caller, name) resolved to functions (repo_id, path, name, id) of the same
+    repository. self. is dropped; an exact name beats its last segment, and then the same file beats others; all that tie are
+    kept. No edge to itself."""
     full = F.regexp_replace("name", r"^self\.", "")
-    rest = cut(calls.select("path", "caller", full.alias("full"), F.substring_index(full, ".", -1).alias("last")).distinct())
+    rest = cut(calls.select("repo_id", "path", "caller", full.alias("full"), F.substring_index(full, ".", -1).alias("last")).distinct())
     found = None
     for key, same_file in (("full", True), ("full", False), ("last", True), ("last", False)):  # only what is still open goes on to the wider match
-        on = [key, "path"] if same_file else [key]
-        f = functions.select(F.col("name").alias(key), *(["path"] if same_file else []), F.col("id").alias("callee"))
-        hit = rest.join(f, on).select("caller", "callee")
+        on = ["repo_id", key, "path"] if same_file else ["repo_id", key]
+        f = functions.select("repo_id", F.col("name").alias(key), *(["path"] if same_file else []), F.col("id").alias("callee"))
+        hit = rest.join(f, on).select("repo_id", "caller", "callee")
         found = hit if found is None else found.union(hit)
         rest = rest.join(f.select(*on).distinct(), on, "left_anti")
     return found.where("caller <> callee").distinct()

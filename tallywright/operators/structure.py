@@ -76,7 +76,7 @@ def _facts_of(content: str) -> Iterator[tuple]:
 
 def facts(files: DataFrame) -> DataFrame:
     """Facts of files (repo_id, path, content), file by file; those that do not parse, null or empty ones give at most their module's.
-    They are written once in the shared folder, since most metrics read them several times."""
+    Content may be text or bytes; bytes that are not UTF-8 are dropped. Facts are written once in the shared folder, since most metrics read them several times."""
 
     names = [c.split()[0] for c in FACT.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
@@ -90,13 +90,13 @@ def facts(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for file in batch.to_pylist():
-                rows.extend((file["repo_id"], file["path"], *f) for f in _facts_of(file["content"] or ""))
+                rows.extend((file["repo_id"], file["path"], *f) for f in _facts_of((file["content"] or b"").decode("utf-8", "ignore")))
                 if len(rows) >= 20_000:
                     yield facts_batch(rows)
                     rows = []
             yield facts_batch(rows)
 
-    return cut(files.select(F.col("repo_id").cast("long").alias("repo_id"), "path", "content").mapInArrow(extract, FACT))
+    return cut(files.select(F.col("repo_id").cast("long").alias("repo_id"), "path", F.col("content").cast("binary").alias("content")).mapInArrow(extract, FACT))
 
 
 def _kind(f: DataFrame, *kinds: str) -> DataFrame:
@@ -140,13 +140,22 @@ def cyclomatic(f: DataFrame, over: int = 10) -> DataFrame:
     return out.where(F.col("complexity") > over).withColumn("severity", F.when(F.col("complexity") > 20, "HIGH").otherwise("MEDIUM"))
 
 
-def loop_nesting(f: DataFrame) -> DataFrame:
-    """(repo_id, path, line, depth, severity): loops with loops directly in them, to a depth of 3."""
-    loops = _kind(f, "For", "While", "AsyncFor")
-    at = lambda a: loops.select(*KEY, F.col("node_id").alias(f"n{a}"), F.col("parent_id").alias(f"n{a - 1}"))
-    deep = loops.select(*KEY, "line", F.col("node_id").alias("n1")).join(at(2), [*KEY, "n1"]).join(at(3), [*KEY, "n2"], "left")
-    depth = F.max(F.when(F.col("n3").isNotNull(), 3).otherwise(2))
-    return deep.groupBy(*KEY, "line", "n1").agg(depth.alias("depth")).drop("n1").withColumn("severity", F.when(F.col("depth") >= 3, "HIGH").otherwise("MEDIUM"))
+def loop_nesting(f: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(repo_id, path, line, depth, severity): for and while loops with such loops directly in them, and how many levels there are of
+    those. A level is one join of what is left with its own next, so code of depth d takes d rounds. Async loops do not count."""
+    loops = cut(_kind(f, "For", "While").select(*KEY, "line", "node_id", "parent_id"))
+    level = loops.select(*KEY, "line", F.col("node_id").alias("top"), F.col("node_id").alias("at"))
+    inner = loops.select(*KEY, "node_id", F.col("parent_id").alias("at"))
+    found = None
+    for depth in range(2, max_depth + 1):
+        level = cut(level.join(inner, [*KEY, "at"]).select(*KEY, "line", "top", F.col("node_id").alias("at")))
+        if level.isEmpty():
+            break
+        here = level.select(*KEY, "line", "top", F.lit(depth).alias("depth"))
+        found = here if found is None else found.union(here)
+    found = level.select(*KEY, "line", "top", F.lit(0).alias("depth")) if found is None else found
+    per = found.groupBy(*KEY, "line", "top").agg(F.max("depth").alias("depth")).drop("top")
+    return per.withColumn("severity", F.when(F.col("depth") >= 3, "HIGH").otherwise("MEDIUM"))
 
 
 def calls_and_asserts(f: DataFrame) -> DataFrame:
@@ -172,18 +181,19 @@ def test_quality(f: DataFrame) -> DataFrame:
 
 
 def code_nodes(f: DataFrame) -> DataFrame:
-    """(id, node_type, name, path) of a code graph: files, classes, functions, methods; of an id the last in the code is kept."""
+    """(repo_id, id, node_type, name, path) of each repository's code graph: files, classes, functions, methods; of an id of a repository the
+    last in the code is kept."""
     cls = _kind(f, "ClassDef").select(*KEY, F.col("node_id").alias("parent_id"), F.col("name").alias("owner"))
     named = _kind(f, "FunctionDef", "ClassDef").join(cls, [*KEY, "parent_id"], "left")
     kind = F.when(F.col("kind") == "ClassDef", "class").when(F.col("owner").isNotNull(), "method").otherwise("function")
-    out = named.select(F.concat("path", F.lit("::"), F.when(kind == "method", F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))).alias("id"), kind.alias("node_type"), "name", "path", "line", "node_id")
-    every = out.union(_kind(f, "Module").select("path", F.lit("file"), "path", "path", F.lit(0), F.lit(0)))
+    out = named.select("repo_id", F.concat("path", F.lit("::"), F.when(kind == "method", F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))).alias("id"), kind.alias("node_type"), "name", "path", "line", "node_id")
+    every = out.union(_kind(f, "Module").select("repo_id", "path", F.lit("file"), "path", "path", F.lit(0), F.lit(0)))
     last = F.max(F.struct("line", "node_id", "node_type", "name", "path")).alias("last")
-    return every.groupBy("id").agg(last).select("id", "last.node_type", "last.name", "last.path")
+    return every.groupBy("repo_id", "id").agg(last).select("repo_id", "id", "last.node_type", "last.name", "last.path")
 
 
 def structural_edges(f: DataFrame) -> DataFrame:
-    """(source_id, target_id, edge_type) of a code graph: a file defines its classes and functions, a class contains its methods and
+    """(repo_id, source_id, target_id, edge_type) of each repository's code graph: a file defines its classes and functions, a class contains its methods and
     inherits from its bases, which are named as they stand in the code; each edge once."""
     cls = _kind(f, "ClassDef").select(*KEY, F.col("node_id").alias("parent_id"), F.col("name").alias("owner"))
     named = _kind(f, "FunctionDef", "ClassDef", "Base").join(cls, [*KEY, "parent_id"], "left")
@@ -192,7 +202,7 @@ def structural_edges(f: DataFrame) -> DataFrame:
     source = F.when(base | method, at("owner")).otherwise(F.col("path"))
     target = F.when(base, F.col("name")).when(method, at("owner", F.lit("."), "name")).otherwise(at("name"))
     kind = F.when(base, "inherits").when(method, "contains").otherwise("defines")
-    return named.where(~base | (F.col("name") != "")).select(source.alias("source_id"), target.alias("target_id"), kind.alias("edge_type")).distinct()
+    return named.where(~base | (F.col("name") != "")).select("repo_id", source.alias("source_id"), target.alias("target_id"), kind.alias("edge_type")).distinct()
 
 
 def couplings(f: DataFrame, most: int = 10) -> DataFrame:

@@ -69,7 +69,7 @@ add("gr_impact", lambda v: gr.impact(v.graph_edges, _nodes(v)), """
 WITH s AS (SELECT source_id AS id FROM graph_edges UNION SELECT target_id FROM graph_edges), one AS (SELECT DISTINCT s.id AS seed, e.source_id AS id FROM s JOIN graph_edges e ON e.target_id = s.id),
 two AS (SELECT DISTINCT o.seed, e.source_id AS id FROM one o JOIN graph_edges e ON e.target_id = o.id)
 SELECT seed, id, 1 AS distance FROM one WHERE seed <> id UNION ALL SELECT seed, id, 2 AS distance FROM two WHERE seed <> id AND NOT EXISTS (SELECT 1 FROM one WHERE one.seed = two.seed AND one.id = two.id)""")
-add("gr_import_graph", lambda v: gr.import_graph(v.source_lines), "SELECT DISTINCT path, regexp_extract(text, '^\\s*(import|from)\\s+([A-Za-z][A-Za-z0-9_]*)', 2) AS module FROM source_lines WHERE regexp_matches(text, '^\\s*(import|from)\\s+[A-Za-z]')")
+add("gr_import_graph", lambda v: gr.import_graph(v.source_lines), "SELECT DISTINCT repo_id, path, regexp_extract(text, '^\\s*(import|from)\\s+([A-Za-z][A-Za-z0-9_]*)', 2) AS module FROM source_lines WHERE regexp_matches(text, '^\\s*(import|from)\\s+[A-Za-z]')")
 E1 = "SELECT DISTINCT source_id AS s, target_id AS t FROM graph_edges WHERE source_id <> target_id"
 add("gr_cycles", lambda v: gr.cycles(v.graph_edges.where("edge_type = 'imports'"), 5), """
 WITH RECURSIVE e AS (SELECT DISTINCT source_id AS s, target_id AS t FROM graph_edges WHERE source_id <> target_id AND edge_type = 'imports'), p(first, here, path) AS (SELECT s, t, [s, t] FROM e WHERE s < t
@@ -94,16 +94,17 @@ SELECT l.cluster, count(*) AS nodes, any_value(i.internal_edges) AS internal_edg
 
 
 def _index(v: Views):
-    return gr.module_index(v.source_lines.select("path").distinct())
+    return gr.module_index(v.code_imports.select("repo_id", "path").distinct())
 
 
-INDEX = "d AS (SELECT DISTINCT replace(regexp_replace(path, '\\.py$', ''), '/', '.') AS module, path FROM source_lines), x AS (SELECT module, path FROM d UNION ALL SELECT split_part(module, '.', -1), min(path) FROM d WHERE split_part(module, '.', -1) NOT IN (SELECT module FROM d) GROUP BY 1)"
-add("gr_module_index", _index, f"WITH {INDEX} SELECT module, path FROM x")
+INDEX = """d AS (SELECT DISTINCT repo_id, replace(regexp_replace(path, '\\.py$', ''), '/', '.') AS module, path FROM code_imports),
+x AS (SELECT repo_id, module, path FROM d UNION ALL SELECT repo_id, stem, min(path) FROM (SELECT *, split_part(module, '.', -1) AS stem FROM d) s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.repo_id = s.repo_id AND d.module = s.stem) GROUP BY 1, 2)"""
+add("gr_module_index", _index, f"WITH {INDEX} SELECT repo_id, module, path FROM x")
 add("gr_import_edges", lambda v: gr.import_edges(v.code_imports, _index(v)), f"""
-WITH {INDEX}, m AS (SELECT DISTINCT path, module, string_split(module, '.') AS parts FROM code_imports),
-k AS (SELECT path, module, unnest(range(0, len(parts) + 1)) AS n, parts FROM m), h AS (SELECT k.path AS source, k.module, k.n, x.path AS target FROM k JOIN x ON x.module = CASE k.n WHEN 0 THEN parts[-1] ELSE array_to_string(parts[1:k.n], '.') END),
-b AS (SELECT source, module, arg_max(target, n) AS target FROM h GROUP BY 1, 2) SELECT DISTINCT source, target FROM b WHERE source <> target""")
+WITH {INDEX}, m AS (SELECT DISTINCT repo_id, path, module, string_split(module, '.') AS parts FROM code_imports),
+k AS (SELECT repo_id, path, module, unnest(range(0, len(parts) + 1)) AS n, parts FROM m), h AS (SELECT k.repo_id, k.path AS source, k.module, k.n, x.path AS target FROM k JOIN x ON x.repo_id = k.repo_id AND x.module = CASE k.n WHEN 0 THEN parts[-1] ELSE array_to_string(parts[1:k.n], '.') END),
+b AS (SELECT repo_id, source, module, arg_max(target, n) AS target FROM h GROUP BY 1, 2, 3) SELECT DISTINCT repo_id, source, target FROM b WHERE source <> target""")
 add("gr_call_edges", lambda v: gr.call_edges(v.code_calls, v.code_functions), """
-WITH c AS (SELECT DISTINCT path, caller, regexp_replace(name, '^self\\.', '') AS called FROM code_calls), f AS (SELECT path AS home, name, id FROM code_functions),
-h AS (SELECT c.path, caller, called, id, CASE WHEN f.name = called THEN 0 ELSE 2 END + CASE WHEN home = path THEN 0 ELSE 1 END AS r FROM c JOIN f ON f.name = split_part(called, '.', -1))
-SELECT DISTINCT caller, id AS callee FROM (SELECT *, min(r) OVER (PARTITION BY path, caller, called) AS least FROM h) WHERE r = least AND caller <> id""")
+WITH c AS (SELECT DISTINCT repo_id, path, caller, regexp_replace(name, '^self\\.', '') AS called FROM code_calls), f AS (SELECT repo_id, path AS home, name, id FROM code_functions),
+h AS (SELECT c.repo_id, c.path, caller, called, id, CASE WHEN f.name = called THEN 0 ELSE 2 END + CASE WHEN home = path THEN 0 ELSE 1 END AS r FROM c JOIN f ON f.repo_id = c.repo_id AND f.name = split_part(called, '.', -1))
+SELECT DISTINCT repo_id, caller, id AS callee FROM (SELECT *, min(r) OVER (PARTITION BY repo_id, path, caller, called) AS least FROM h) WHERE r = least AND caller <> id""")

@@ -18,7 +18,7 @@ FORMS = (
     '    def test_m%1$d(self):\n        """Doc."""\n        if self.k%1$d:\n            return requests.get(self.u)\n',
     "    def m%1$d(self):\n        self.v%1$d = list(self.k)\n",
 )
-ORDERS = "(SELECT o_custkey % 20 AS repo_id, 'src/c' || CAST(o_custkey AS VARCHAR) || '.py' AS path, o_custkey AS c, o_orderkey AS k, o_orderkey % 3 AS form FROM orders)"
+ORDERS = "(SELECT o_custkey % 20 AS repo_id, 'src/c' || CAST(o_custkey // 20 AS VARCHAR) || '.py' AS path, o_custkey AS c, o_orderkey AS k, o_orderkey % 3 AS form FROM orders)"
 
 
 def _dealt(rows: DataFrame, key: str) -> DataFrame:
@@ -31,7 +31,7 @@ def _files(v: Views):
     method = F.when(key % 3 == 0, F.format_string(FORMS[0], key)).when(key % 3 == 1, F.format_string(FORMS[1], key)).otherwise(F.format_string(FORMS[2], key))
     parts = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), method.alias("m")))), lambda p: p["m"])
     text = F.concat(F.format_string("class C%d(Base, Other):\n", F.col("o_custkey")), F.array_join(parts, ""))
-    return _dealt(v.orders, "o_custkey").groupBy("o_custkey").agg(text.alias("content")).select((F.col("o_custkey") % 20).alias("repo_id"), F.format_string("src/c%d.py", F.col("o_custkey")).alias("path"), "content")
+    return _dealt(v.orders, "o_custkey").groupBy("o_custkey").agg(text.alias("content")).select((F.col("o_custkey") % 20).alias("repo_id"), F.format_string("src/c%d.py", F.floor(F.col("o_custkey") / 20)).alias("path"), "content")
 
 
 def _facts(v: Views):
@@ -54,16 +54,17 @@ add("st_nested_loop", lambda v: _without_line(st.loop_nesting(_facts(v))), f"SEL
 add("st_asserts", lambda v: _without_line(st.calls_and_asserts(_facts(v))), f"SELECT repo_id, path, CASE form WHEN 0 THEN 'assert' WHEN 1 THEN 'no_timeout' ELSE 'list' END AS kind FROM {ORDERS}")
 add("st_doc_cover", lambda v: st.doc_coverage(_facts(v)), f"SELECT repo_id, count(*) FILTER (WHERE form = 1) AS documented, count(*) + 2 * count(DISTINCT c) AS total, count(*) FILTER (WHERE form = 1) / (count(*) + 2 * count(DISTINCT c)) * 100 AS coverage FROM {ORDERS} GROUP BY 1")
 add("st_test_quality", lambda v: st.test_quality(_facts(v)), f"SELECT repo_id, path, 'test_m' || k AS name, 'no_assertion' AS problem, 'HIGH' AS severity FROM {ORDERS} WHERE form = 1")
-add("gr_nodes", lambda v: st.code_nodes(_facts(v)).select("id", "node_type"), f"SELECT DISTINCT path AS id, 'file' AS node_type FROM {ORDERS} UNION ALL SELECT DISTINCT path || '::C' || c, 'class' FROM {ORDERS} UNION ALL SELECT path || '::C' || c || CASE form WHEN 1 THEN '.test_m' ELSE '.m' END || k, 'method' FROM {ORDERS}")
+add("gr_nodes", lambda v: st.code_nodes(_facts(v)), f"""SELECT DISTINCT repo_id, path AS id, 'file' AS node_type, path AS name, path FROM {ORDERS} UNION ALL SELECT DISTINCT repo_id, path || '::C' || c, 'class', 'C' || c, path FROM {ORDERS}
+UNION ALL SELECT repo_id, path || '::C' || c || CASE form WHEN 1 THEN '.test_m' ELSE '.m' END || k, 'method', CASE form WHEN 1 THEN 'test_m' ELSE 'm' END || k, path FROM {ORDERS}""")
 add("gr_structural_edges", lambda v: st.structural_edges(_facts(v)), f"""
-SELECT DISTINCT path AS source_id, path || '::C' || c AS target_id, 'defines' AS edge_type FROM {ORDERS} UNION ALL SELECT DISTINCT path || '::C' || c, 'Base', 'inherits' FROM {ORDERS} UNION ALL SELECT DISTINCT path || '::C' || c, 'Other', 'inherits' FROM {ORDERS}
-UNION ALL SELECT path || '::C' || c, path || '::C' || c || CASE form WHEN 1 THEN '.test_m' ELSE '.m' END || k, 'contains' FROM {ORDERS}""")
+SELECT DISTINCT repo_id, path AS source_id, path || '::C' || c AS target_id, 'defines' AS edge_type FROM {ORDERS} UNION ALL SELECT DISTINCT repo_id, path || '::C' || c, 'Base', 'inherits' FROM {ORDERS} UNION ALL SELECT DISTINCT repo_id, path || '::C' || c, 'Other', 'inherits' FROM {ORDERS}
+UNION ALL SELECT repo_id, path || '::C' || c, path || '::C' || c || CASE form WHEN 1 THEN '.test_m' ELSE '.m' END || k, 'contains' FROM {ORDERS}""")
 add("st_coupling", lambda v: _without_line(st.couplings(_facts(v), 7)), f"SELECT repo_id, path, 'C' || c AS name, 2 + max(CASE form WHEN 0 THEN 5 ELSE 0 END) + max(CASE form WHEN 1 THEN 1 ELSE 0 END) + max(CASE form WHEN 2 THEN 1 ELSE 0 END) AS names FROM {ORDERS} GROUP BY repo_id, path, c HAVING names > 7")
 add("st_feature_envy", lambda v: _without_line(st.feature_envy(_facts(v), 0)), f"SELECT repo_id, path, 'test_m' || k AS name, 'requests' AS root, 1 AS accesses FROM {ORDERS} WHERE form = 1")
 add("st_module", lambda v: st.module_checks(_facts(v), _files(v), code_lines=40, classes=0), f"""
 WITH m AS (SELECT repo_id, path, 1 + sum(CASE form WHEN 2 THEN 2 ELSE 4 END) AS code_lines, 0 AS imports, 1 AS classes FROM {ORDERS} GROUP BY 1, 2)
 SELECT repo_id, path, 'classes' AS problem, 'MEDIUM' AS severity, code_lines, imports, classes FROM m UNION ALL SELECT repo_id, path, 'lines', 'MEDIUM', code_lines, imports, classes FROM m WHERE code_lines > 40""")
-_UNTESTED = lambda v: scans.missing_tests(v.orders.select((F.col("o_custkey") % 20).alias("repo_id"), F.format_string("src/c%d.py", F.col("o_custkey")).alias("path")))
+_UNTESTED = lambda v: scans.missing_tests(v.orders.select((F.col("o_custkey") % 20).alias("repo_id"), F.format_string("src/c%d.py", F.floor(F.col("o_custkey") / 20)).alias("path")))
 add("st_test_score", lambda v: sc.test_scores(_facts(v), st.KEY, missing=_UNTESTED(v)), f"""
 WITH m AS (SELECT repo_id, count(DISTINCT path) AS n FROM {ORDERS} GROUP BY 1), t AS (SELECT repo_id, path, count(*) AS k FROM {ORDERS} WHERE form = 1 GROUP BY 1, 2)
 SELECT t.repo_id, path, 70 - least(k * 5, 40) - least(2 * n, 10) AS score FROM t JOIN m ON m.repo_id = t.repo_id""")

@@ -112,16 +112,16 @@ FROM {lineitem}""",
     "graph_nodes": """
 SELECT id, CASE CAST(length(id) % 3 AS INT) WHEN 0 THEN 'file' WHEN 1 THEN 'class' ELSE 'function' END AS node_type FROM (SELECT source_id AS id FROM {graph_edges} UNION SELECT target_id AS id FROM {graph_edges})""",
     "code_imports": f"""
-SELECT {_PATH} AS path,
-  CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'src.' WHEN 1 THEN 'lib.' ELSE '' END || 'm' || CAST(l_partkey % 600 AS STRING)
+SELECT CAST(floor(f / 250) AS INT) AS repo_id, 'src/m' || CAST(f % 250 AS STRING) || '.py' AS path,
+  CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'src.' WHEN 1 THEN 'lib.' ELSE '' END || 'm' || CAST(l_partkey % 300 AS STRING)
     || CASE WHEN l_linenumber % 3 = 0 AND l_suppkey % 2 = 0 THEN '.Thing' ELSE '' END AS module
 FROM (SELECT *, {_FILE} AS f FROM {{lineitem}})""",
     "code_functions": """
-SELECT 'src/m' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) || '.py' AS path, 'g' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) AS name,
+SELECT CAST(p_partkey % 2 AS INT) AS repo_id, 'src/m' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) || '.py' AS path, 'g' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) AS name,
   'src/m' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) || '.py::g' || CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) || '#' || CAST(p_partkey AS STRING) AS id
 FROM {part}""",
     "code_calls": """
-SELECT 'src/m' || CAST(CAST(floor(l_partkey / 41) AS BIGINT) AS STRING) || '.py' AS path, 'src/m' || CAST(CAST(floor(l_partkey / 41) AS BIGINT) AS STRING) || '.py::f' || CAST(l_orderkey AS STRING) AS caller,
+SELECT CAST(l_orderkey % 2 AS INT) AS repo_id, 'src/m' || CAST(CAST(floor(l_partkey / 41) AS BIGINT) AS STRING) || '.py' AS path, 'src/m' || CAST(CAST(floor(l_partkey / 41) AS BIGINT) AS STRING) || '.py::f' || CAST(l_orderkey AS STRING) AS caller,
   CASE CAST(l_linenumber % 3 AS INT) WHEN 0 THEN 'self.' WHEN 1 THEN 'mod.' ELSE '' END || CASE WHEN l_suppkey % 5 = 0 THEN 'h' ELSE 'g' END || CAST(CAST(floor((l_partkey + l_suppkey % 2 * 97) / 3) AS BIGINT) AS STRING) AS name
 FROM {lineitem}""",
     "scored_issues": """

@@ -33,11 +33,12 @@ def ledger_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def code_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("py", "js", "ts", "jsx", "tsx")) -> DataFrame:
-    """(path, content) of the code files below a folder; bytes that are not UTF-8 become replacement marks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    folders = F.split("path", "/")
-    own = files.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*extensions) & ~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in EXCLUDED])))
-    return own.select("path", F.col("content").cast("string").alias("content"))
+    """(path, content) of the code files below a folder, but for those in EXCLUDED folders; other names are not opened. Bytes that are
+    not UTF-8 are dropped (in a file that has such bytes, replacement marks of its own go with them)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(path)
+    own = files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in EXCLUDED])))
+    text = F.col("content").cast("string")
+    return own.select("path", F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))).alias("content"))
 
 
 def lines(files: DataFrame) -> DataFrame:

@@ -100,6 +100,22 @@ def test_conflicts(spark):
 
 
 def test_call_edges(spark):
-    calls = spark.createDataFrame([("f", "f::x", "self.y"), ("f", "f::x", "m.z"), ("g", "g::q", "q")], "path string, caller string, name string")
-    functions = spark.createDataFrame([("f", "y", "f::y"), ("g", "y", "g::y"), ("g", "z", "g::z"), ("g", "q", "g::q")], "path string, name string, id string")
-    assert sorted(map(tuple, graph.call_edges(calls, functions).collect())) == [("f::x", "f::y"), ("f::x", "g::z")]
+    calls = spark.createDataFrame([(1, "f", "f::x", "self.y"), (1, "f", "f::x", "m.z"), (1, "g", "g::q", "q"), (2, "f", "f::x", "z")], "repo_id int, path string, caller string, name string")
+    functions = spark.createDataFrame([(1, "f", "y", "f::y"), (1, "g", "y", "g::y"), (1, "g", "z", "g::z"), (1, "g", "q", "g::q"), (2, "h", "z", "h::z")], "repo_id int, path string, name string, id string")
+    assert sorted(map(tuple, graph.call_edges(calls, functions).collect())) == [(1, "f::x", "f::y"), (1, "f::x", "g::z"), (2, "f::x", "h::z")]
+
+
+def test_modules_of_two_repositories(spark):
+    files_ = spark.createDataFrame([(1, "a/x.py"), (2, "a/x.py"), (2, "b/x.py"), (1, "m.py")], "repo_id int, path string")
+    index = graph.module_index(files_)
+    assert sorted(map(tuple, index.collect())) == [(1, "a.x", "a/x.py"), (1, "m", "m.py"), (1, "x", "a/x.py"), (2, "a.x", "a/x.py"), (2, "b.x", "b/x.py"), (2, "x", "a/x.py")]
+    imports = spark.createDataFrame([(1, "m.py", "b.x"), (2, "a/x.py", "b.x.Thing"), (2, "a/x.py", "m")], "repo_id int, path string, module string")
+    assert sorted(map(tuple, graph.import_edges(imports, index).collect())) == [(1, "m.py", "a/x.py"), (2, "a/x.py", "b/x.py")]
+
+
+def test_code_files_in_other_encodings(spark, tmp_path):
+    for name, raw in (("a.py", "x = 'é'\n".encode("latin-1")), ("b.py", b"\xff\xfe\x00y = 1"), ("c.py", "z = '\u00e9'".encode()), ("d.txt", b"no"), ("node_modules/e.py", b"no"), ("sub/f.js", b"f")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    got = {r["path"].rsplit("/", 1)[1]: r["content"] for r in files.code_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.py": "x = ''\n", "b.py": "\x00y = 1", "c.py": "z = '\u00e9'", "f.js": "f"}

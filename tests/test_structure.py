@@ -52,6 +52,21 @@ def test_scores_of_nothing_and_of_much(spark):
     assert sc.overall(sc.family_scores(none, "run_id", "security"), none, "run_id").count() == 0
 
 
+def test_depth_of_loops_and_bytes_that_are_not_text(spark):
+    code = "".join(f"{'    ' * i}for x{i} in y:\n" for i in range(5)) + "    " * 5 + "pass\n" + "async def a():\n    async for x in y:\n        for z in x:\n            pass\n"
+    rows = [(1, "deep.py", code.encode()), (2, "deep.py", b"while x:\n    while '\xe9':\n        pass\n")]
+    f = st.facts(spark.createDataFrame(rows, "repo_id int, path string, content binary"))
+    got = sorted((r["repo_id"], r["line"], r["depth"], r["severity"]) for r in st.loop_nesting(f).collect())
+    assert got == [(1, 1, 5, "HIGH"), (1, 2, 4, "HIGH"), (1, 3, 3, "HIGH"), (1, 4, 2, "MEDIUM"), (2, 1, 2, "MEDIUM")]
+
+
+def test_nodes_of_two_repositories(spark):
+    rows = [(1, "a.py", "class A:\n    pass\n"), (2, "a.py", "def A():\n    pass\n")]
+    f = st.facts(spark.createDataFrame(rows, "repo_id int, path string, content string"))
+    assert sorted((r["repo_id"], r["id"], r["node_type"]) for r in st.code_nodes(f).collect()) == [(1, "a.py", "file"), (1, "a.py::A", "class"), (2, "a.py", "file"), (2, "a.py::A", "function")]
+    assert sorted(tuple(r) for r in st.structural_edges(f).collect()) == [(1, "a.py", "a.py::A", "defines"), (2, "a.py", "a.py::A", "defines")]
+
+
 def test_last_node_of_an_id(spark):
     f = st.facts(_rows(spark, ("a.py", "def f():\n    pass\n\nclass f:\n    pass\n")))
     assert {(r["id"], r["node_type"]) for r in st.code_nodes(f).collect()} == {("a.py", "file"), ("a.py::f", "class")}

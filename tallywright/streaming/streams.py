@@ -5,22 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.stores import KeyedTable
+
 TERMINAL = ("RUN_COMPLETED", "RUN_ABORTED", "RUN_REJECTED")
 DECISION = "key string, at double, id long, allowed boolean, remaining long"
 BREACH = "run_id string, sequence int, kind string"
 
 
 def ledger_tail(events: DataFrame) -> DataFrame:
-    """Running summary of each run: events, fixes, last sequence and its event type."""
+    """Running summary of each run: events, fixes, last sequence and its event type. As a stream it keeps every run; ledger_tail_live
+    lets ended ones go."""
     last = F.max(F.struct("sequence", "id", "event_type"))
     out = events.groupBy("run_id").agg(F.count("*").alias("event_count"), F.count_if(F.col("event_type") == "FIX_APPLIED").alias("fixes_count"), last.alias("last"))
     return out.select("run_id", "event_count", "fixes_count", F.col("last.sequence").alias("last_sequence"), F.col("last.event_type").alias("last_event"))
 
 
+TAIL = "run_id string, event_count long, fixes_count long, last_sequence int, last_event string"
+
+
+def ledger_tail_live(events: DataFrame, at: str = "timestamp", late: str = "1 hour") -> DataFrame:
+    """(run_id, event_count, fixes_count, last_sequence, last_event) of the runs that a micro-batch has events of, in update mode: for a sink
+    by key, as merge_into. Once a run has ended and the watermark, `late` behind the latest time, has passed its last event,
+    its state is dropped; events that come later still are dropped, as the watermark drops them."""
+
+    def tail(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        count, fixes, seq, number, last, ended, latest = state.get if state.exists else (0, 0, -1, -1, "", False, 0)
+        for b in batches:
+            count, fixes = count + len(b), fixes + int((b["event_type"] == "FIX_APPLIED").sum())
+            top = max(zip(b["sequence"], b["id"], b["event_type"], strict=True))
+            seq, number, last = max((seq, number, last), (int(top[0]), int(top[1]), top[2]))
+            ended, latest = ended or bool(b["event_type"].isin(TERMINAL).any()), max(latest, int(b["us"].max()))
+        state.update((count, fixes, seq, number, last, ended, latest))
+        if ended:
+            state.setTimeoutTimestamp(max(latest // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame([(key[0], count, fixes, seq, last)], columns=["run_id", "event_count", "fixes_count", "last_sequence", "last_event"])
+
+    own = events.withWatermark(at, late).select("run_id", "sequence", "id", "event_type", at, F.unix_micros(at).alias("us"))
+    return own.groupBy("run_id").applyInPandasWithState(tail, TAIL, "count long, fixes long, seq int, number long, last string, ended boolean, latest long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def merge_into(table: KeyedTable, sets: dict[str, Column] | None = None, rows: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the rows of a micro-batch, one for each key, are merged into a stored table as the version of that batch; a batch
+    that is run again replaces its own, so that sums count it once."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        table.merge(batch_id, rows(batch), sets)
+
+    return run
+
+
 def dedup_deliveries(deliveries: DataFrame, at: str = "received_at", late: str = "1 day") -> DataFrame:
     """The first row of each delivery_id; its state is dropped when the watermark is `late` past it."""
     return deliveries.withWatermark(at, late).dropDuplicatesWithinWatermark(["delivery_id"])
@@ -95,31 +135,44 @@ def daily_counts(runs: DataFrame, at: str = "created_at", late: str = "1 day") -
     return out.select(F.to_date("window.start").alias("day"), "total", "completed", "failed")
 
 
-def watch_invariants(events: DataFrame, idle: float | None = None) -> DataFrame:
-    """(run_id, sequence, kind) as events arrive: gap (not the next sequence), after_end (beyond a terminal event), early_fix (before
-    any approval). With `idle`, a run's state is dropped when it has ended and no event has
-    come for so many seconds of the clock (not for availableNow, as above)."""
+def watch_invariants(events: DataFrame, at: str = "timestamp", late: str = "1 hour", forget: float | None = None) -> DataFrame:
+    """(run_id, sequence, kind): gap (not the next sequence), after_end (beyond a terminal event), early_fix (before any approval), as
+    the batch form over all events finds them, in whatever order they arrive within `late`.
+
+    Events of a run that are not the next one wait in its state. They go on when those before them have come, or when the watermark
+    (`late` behind the latest time) has passed them, since nothing older can come then: only that is a gap. Older events are
+    dropped, as the watermark drops them. With `forget`, the state of a run that has ended is dropped when the watermark is so many
+    seconds past its last event; a later event still would look like a new run's."""
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, approved, sealed = state.get if state.exists else (-1, False, False)
-        out = []
-        for seq, _, kind in sorted(r for b in batches for r in zip(b["sequence"], b["id"], b["event_type"], strict=True)):
+        last, approved, sealed, latest, seqs, ids, kinds, times = state.get if state.exists else (-1, False, False, 0, [], [], [], [])
+        waiting = sorted([*zip(seqs, ids, kinds, times, strict=True), *((int(q), int(i), k, int(u)) for b in (() if state.hasTimedOut else batches) for q, i, k, u in zip(b["sequence"], b["id"], b["event_type"], b["us"], strict=True))])
+        passed, out, n = state.getCurrentWatermarkMs() * 1000, [], 0
+        sure = max((i + 1 for i, w in enumerate(waiting) if w[3] < passed), default=0)  # what stands before an event that the watermark has passed is older
+        for seq, _, kind, us in waiting:
+            if seq > last + 1 and n >= sure:
+                break
             if seq != last + 1:
                 out.append((key[0], seq, "gap"))
             if sealed:
                 out.append((key[0], seq, "after_end"))
             if kind == "FIX_APPLIED" and not approved:
                 out.append((key[0], seq, "early_fix"))
-            last, approved, sealed = int(seq), approved or kind == "PLAN_APPROVED", sealed or kind in TERMINAL
-        state.update((last, approved, sealed))
-        if sealed and idle is not None:
-            state.setTimeoutDuration(int(1000 * idle))
+            last, approved, sealed, latest, n = seq, approved or kind == "PLAN_APPROVED", sealed or kind in TERMINAL, max(latest, us), n + 1
+        rest = waiting[n:]
+        over = latest + int(forget * 1e6) if sealed and forget is not None else None
+        if not rest and state.hasTimedOut and over is not None and over < passed:
+            state.remove()
+        else:
+            state.update((last, approved, sealed, latest, *([w[i] for w in rest] for i in range(4))))
+            wake = min((w[3] for w in rest), default=over)
+            if wake is not None:
+                state.setTimeoutTimestamp(max(wake // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["run_id", "sequence", "kind"])
 
-    return events.select("run_id", "sequence", "id", "event_type").groupBy("run_id").applyInPandasWithState(watch, BREACH, "last int, approved boolean, sealed boolean", "append", _timeout(idle))
+    own = events.withWatermark(at, late).select("run_id", "sequence", "id", "event_type", at, F.unix_micros(at).alias("us"))
+    schema = "last int, approved boolean, sealed boolean, latest long, seqs array<int>, ids array<long>, kinds array<string>, times array<long>"
+    return own.groupBy("run_id").applyInPandasWithState(watch, BREACH, schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def refresh_metrics(metrics: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:

@@ -30,7 +30,7 @@ from ..functions.lineage import hub_join
 from .common import MIX, components, mixed, rolling, shuffle_width, small_batches, text_bytes, word_hashes, written
 
 #: Tokens of a run and of a bin, about; texts of a run at most; bins at most.
-RUN, BIN, RUN_TEXTS, BINS = 2_000_000, 1_000_000, 60_000, 65_536
+RUN, BIN, RUN_TEXTS, BINS = 1_000_000, 500_000, 60_000, 65_536
 #: A token in so many texts of one run is of the last class everywhere, and its texts are not sent to its bin.
 HOT, LAST = 64, 255
 #: Token orders besides the one that the index is by, and the bits of a prefix's bit set under each.

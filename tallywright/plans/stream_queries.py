@@ -63,6 +63,18 @@ def _tailed(v: Views) -> DataFrame:
     return table.read().where(F.col("run_id") != _END[1])
 
 
+def _limited(v: Views) -> DataFrame:
+    """The calls in two files, each with calls of all times, and one far ahead of them with which the watermark passes them."""
+    path, out, calls = scratch_dir(v.spark), scratch_dir(v.spark), _calls(v)
+    for k in range(2):
+        calls.where(F.pmod(F.xxhash64("id"), F.lit(2)) == k).coalesce(1).write.mode("append").json(path)
+    v.spark.range(1).select(F.lit(_END[1]).alias("key"), F.lit(7e9).alias("at"), F.lit(0).cast("long").alias("id")).coalesce(1).write.mode("append").json(path)
+    stream = v.spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).json(path)
+    with streams.rocksdb(v.spark):
+        streams.drain(streams.rate_limit_live(stream, 3, 86400.0, "3650 days"), f"{out}/rows", f"{out}/state")
+    return v.spark.read.schema(streams.DECISION).parquet(f"{out}/rows").select(*[c.split(" ")[0] for c in streams.DECISION.split(", ")]).where(F.col("key") != _END[1])
+
+
 def _counted(v: Views) -> DataFrame:
     """Counters of reviews, each micro-batch of them added to what is stored."""
     path, out = scratch_dir(v.spark), scratch_dir(v.spark)
@@ -107,6 +119,7 @@ SELECT delivery_id, repo_full_name, CASE WHEN s IN ('ignored', 'queued') THEN s
   CASE s WHEN 'ignored' THEN 'Action not configured' WHEN 'missing' THEN 'Missing required fields' WHEN 'untracked' THEN 'Repository not tracked or disabled' END AS reason FROM j""")
 add("sm_rate_limit", lambda v: streams.rate_limit(_calls(v), 3, 86400.0))
 add("sm_rate_limit_stream", lambda v: _drained(v, _calls(v), lambda s: streams.rate_limit_stream(s, 3, 86400.0)))
+add("sm_rate_limit_live", _limited)
 add("sm_metrics", _metrics, COUNTERS)
 add("sm_daily", lambda v: _drained(v, v.analysis_runs.select("id", "status", F.col("created_at").cast("timestamp").alias("created_at")), streams.daily_counts, "complete"), "SELECT CAST(created_at AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed FROM analysis_runs GROUP BY 1")
 _W = "OVER (PARTITION BY run_id ORDER BY sequence, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,6 +14,7 @@ from ..sources.stores import KeyedTable
 
 TERMINAL = ("RUN_COMPLETED", "RUN_ABORTED", "RUN_REJECTED")
 DECISION = "key string, at double, id long, allowed boolean, remaining long"
+_DECIDED = ["key", "at", "id", "allowed", "remaining"]
 BREACH = "run_id string, sequence int, kind string"
 
 
@@ -129,6 +131,62 @@ def rate_limit_stream(calls: DataFrame, limit: int = 10, window: float = 3600.0,
     return calls.select("key", "at", "id").groupBy("key").applyInPandasWithState(decide, DECISION, "times array<double>", "append", _timeout(idle))
 
 
+def rate_limit_live(calls: DataFrame, limit: int = 10, window: float = 3600.0, late: str = "1 hour") -> DataFrame:
+    """The decisions of rate_limit over a stream whose calls may come late, within `late`: a call waits in its key's list state until the
+    watermark has passed it, as nothing older can come then, and timers of event time decide the waiting ones in order. A key's state is
+    its waiting calls and the times of allowed ones that still count; it goes when a later timer finds neither. Needs the RocksDB state
+    store (see rocksdb)."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Limiter(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "at double, id long")
+            self.times = handle.getListState("times", "at double")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            for pdf in rows:
+                for at, i in zip(pdf["at"], pdf["id"], strict=True):
+                    self.waiting.appendValue((float(at), int(i)))
+                    self.handle.registerTimer(int(at * 1000) + 1)
+            yield pd.DataFrame([], columns=_DECIDED)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            sure = timerValues.getCurrentWatermarkInMs() / 1000
+            waiting, times, out = sorted(tuple(w) for w in self.waiting.get()), [t[0] for t in self.times.get()], []
+            rest = [w for w in waiting if w[0] >= sure]
+            for at, i in waiting[: len(waiting) - len(rest)]:
+                times, ok, left = _decide(times, at, limit, window)
+                out.append((key[0], at, i, ok, left))
+            times = [t for t in times if sure - t < window]
+            for state, values in ((self.waiting, rest), (self.times, [(t,) for t in times])):
+                if values:
+                    state.put(values)
+                else:
+                    state.clear()
+            if times and not rest:
+                self.handle.registerTimer(int((max(times) + window) * 1000) + 1)
+            yield pd.DataFrame(out, columns=_DECIDED)
+
+        def close(self) -> None:
+            pass
+
+    own = calls.select(F.coalesce("key", F.lit("")).alias("key"), F.col("at").cast("double").alias("at"), F.col("id").cast("long").alias("id"), F.timestamp_micros(F.floor(F.col("at") * 1e6)).alias("ts")).where("at IS NOT NULL")
+    return own.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Limiter(), DECISION, "Append", "eventTime")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; the session's setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def daily_counts(runs: DataFrame, at: str = "created_at", late: str = "1 day") -> DataFrame:
     """(day, total, completed, failed) in tumbling windows of a day."""
     out = runs.withWatermark(at, late).groupBy(F.window(at, "1 day")).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))

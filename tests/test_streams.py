@@ -32,6 +32,11 @@ def test_rate_limit_query_and_stream_agree(spark):
     assert one == two == brute([r[:3] for r in one], 3, 86400.0) and not all(r[3] for r in one)
 
 
+def test_rate_limit_of_late_calls(spark):
+    one, two = (sorted(map(tuple, catalog.QUERIES[n](spark, SF).collect())) for n in ("sm_rate_limit", "sm_rate_limit_live"))
+    assert one == two
+
+
 EVENT = "run_id string, id long, sequence int, event_type string, timestamp timestamp"
 
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .literals import literals
 from .scan_rules import BRANCHES, DEADLOCK, FILE_RULES, FIRST_ONLY, LAYERS, LINE_RULES, LOCK_USE, NEAR_RULES, RISKY_INIT, STDLIB, TEST_NAMES
 
 HIT = ("repo_id", "rule_id", "path", "line_no", "subtype", "snippet")
@@ -48,6 +49,14 @@ def _match(c: Column, need: str = "", skip: str = "") -> Column:
     return _all(c.rlike(need) if need else None, ~c.rlike(skip) if skip else None)
 
 
+def _found(pattern: str) -> Column:
+    """Whether the pattern matches the text; its literals are looked for first, in the text or in its lower case (low)."""
+    needed, folded = literals(pattern)
+    where = F.col("low") if folded else _text()
+    held = reduce(Column.__or__, [where.contains(x) for x in needed]) if needed else None
+    return _all(held, _text().rlike(pattern))
+
+
 def _hits(df: DataFrame, found: Iterable[Column]) -> DataFrame:
     """One row for each of the structs (rule_id, subtype) that is not null on a line."""
     out = df.withColumn("hit", F.explode(F.array_compact(F.array(*found))))
@@ -63,15 +72,19 @@ def one_rule(df: DataFrame, when: Column, rule: str, subtype: str | Column = "")
 
 
 def scan_lines(lines: DataFrame, rules: Iterable = LINE_RULES) -> DataFrame:
-    """Hits of line rules: a projection, without a shuffle."""
+    """Hits of line rules: a projection, without a shuffle. Which rules take a path is worked out once for each pattern of paths, and a
+    regular expression runs only on lines that hold a literal that it needs."""
     rules, found, chains = list(rules), [], {}
+    paths = {p: f"path_{i}" for i, p in enumerate(dict.fromkeys(p for r in rules for p in (r.paths, r.skip_paths) if p))}
+    df = _lines(lines).withColumns({"low": F.lower("text")} | {c: F.col("path").rlike(p) for p, c in paths.items()})
     for r in rules:
-        when = _all(_match(F.col("path"), r.paths, r.skip_paths), _match(_text(), r.need, r.skip), _text().rlike(r.also) if r.also else None)
+        own = [F.col(paths[r.paths]) if r.paths else None, ~F.col(paths[r.skip_paths]) if r.skip_paths else None]
+        when = _all(*own, _found(r.need) if r.need else None, _found(r.also) if r.also else None, ~_found(r.skip) if r.skip else None)
         if r.rule in FIRST_ONLY:
             chains[r.rule] = chains[r.rule].when(when, _named(r.rule, r.subtype)) if r.rule in chains else F.when(when, _named(r.rule, r.subtype))
         else:
             found.append(F.when(when, _named(r.rule, r.subtype)))
-    return _hits(_lines(lines), [*found, *chains.values()])
+    return _hits(df, [*found, *chains.values()])
 
 
 def scan_near(lines: DataFrame, rules: Iterable = NEAR_RULES) -> DataFrame:

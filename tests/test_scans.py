@@ -115,3 +115,26 @@ def test_empty_and_null(spark):
     null = spark.createDataFrame([(None, "a.py", 1, None)], LINES)
     for df in (none, null):
         assert not found(scans.scan_lines(df)) and not found(scans.scan_near(df)) and not found(scans.nested_loops(df))
+
+
+def test_literals_that_a_pattern_needs():
+    import random
+    import re
+
+    from tallywright.operators import scan_rules
+    from tallywright.operators.literals import literals
+
+    assert literals(r"(?i)AKIA[0-9A-Z]{16}") == (("akia",), True)
+    assert literals(r"\b(eval|open)\(") == (("eval", "open"), False)
+    assert literals(r"x?") == literals(r"[ab]+") == literals(r"(foo|b)") == ((), False)
+    assert literals(r"(?:open){2,}|close") == (("open", "close"), False)
+    assert literals(r"(foo)*bar") == (("bar",), False)
+    rng, patterns = random.Random(1), [p for r in scan_rules.LINE_RULES for p in (r.need, r.also, r.skip) if p]
+    words = sorted({w for p in patterns for w in literals(p)[0]} | {" ", "(", ")", "=", "x", "1", ":", ".", '"'})
+    for _ in range(3000):
+        text = "".join(rng.choices(words, k=rng.randrange(1, 8)))
+        for p in patterns:
+            needed, folded = literals(p)
+            if needed and re.search(p, text):
+                assert any(n in (text.lower() if folded else text) for n in needed), (p, text)
+    assert sum(bool(literals(p)[0]) for p in patterns) > 0.7 * len(patterns)

@@ -16,6 +16,7 @@ are then proposed, in chunks, with the size, position and order filters before t
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -83,6 +84,15 @@ def bit_set(tokens: np.ndarray, size: int = BITS) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def pack_places(at: np.ndarray) -> bytes:
+    """Places in ascending order, as their small steps."""
+    return zlib.compress(np.diff(at, prepend=np.uint16(0)).astype("<u2").tobytes(), 1)
+
+
+def unpack_places(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), "<u2"), dtype=np.uint16)
+
+
 _PARTS = "kind int, bin int, run long, ids array<string>, nodes binary, sizes binary, places binary, tokens binary, level binary"
 
 
@@ -107,14 +117,16 @@ def _runs(docs: DataFrame, ngram: int, bins: int, text_col: str, id_col: str) ->
         hot = np.repeat(np.diff(np.r_[first, len(h)]) >= hot_from, np.diff(np.r_[first, len(h)]))
         bin_of = (h & np.uint64(0xFFFF)).astype(np.int64) % bins
         if hot.any():
-            yield _parts(kind=3, bin=run % bins, run=run, places=at[hot].tobytes(), tokens=_named(h[hot], bin_of[hot]).tobytes(), level=np.full(int(hot.sum()), LAST, np.uint8).tobytes())
-        order = np.argsort(bin_of, kind="stable")
+            own = np.flatnonzero(hot)
+            own = own[np.argsort(at[own], kind="stable")]
+            yield _parts(kind=3, bin=run % bins, run=run, places=pack_places(at[own]), tokens=_named(h[own], bin_of[own]).tobytes(), level=np.full(len(own), LAST, np.uint8).tobytes())
+        order = np.lexsort((at, bin_of))
         edges = np.searchsorted(bin_of[order], np.arange(bins + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
             own = order[edges[b] : edges[b + 1]]
             cold = own[~hot[own]]
             if len(cold):
-                yield _parts(kind=1, bin=b, run=run, places=at[cold].tobytes(), tokens=pack48(h[cold]))
+                yield _parts(kind=1, bin=b, run=run, places=pack_places(at[cold]), tokens=pack48(h[cold]))
             if len(cold) < len(own):
                 yield _parts(kind=2, bin=b, run=run, tokens=pack48(np.unique(h[own[hot[own]]])))
 
@@ -166,7 +178,7 @@ def _counted(parts: DataFrame) -> DataFrame:
         for run, places, t in zip(own.run, own.places, raw, strict=True):
             here = np.flatnonzero(shared[start : start + len(t)])
             if len(here):
-                out.append(_parts(kind=3, bin=key[0], run=run, places=np.frombuffer(places, np.uint16)[here].tobytes(), tokens=_named(t[here], key[0]).tobytes(), level=level[start + here].tobytes()))
+                out.append(_parts(kind=3, bin=key[0], run=run, places=pack_places(unpack_places(places)[here]), tokens=_named(t[here], key[0]).tobytes(), level=level[start + here].tobytes()))
             start += len(t)
         return pd.concat(out)
 
@@ -181,7 +193,8 @@ def _nodes(parts: DataFrame, percent: int) -> DataFrame:
         table = pdf[pdf.kind == 0].iloc[0]
         node, size = np.frombuffer(table.nodes, np.int64), np.frombuffer(table.sizes, np.int64)
         back = pdf[pdf.kind == 3]
-        at, token, level = (np.concatenate([np.empty(0, t), *(np.frombuffer(x, t) for x in back[c])]) for c, t in (("places", np.uint16), ("tokens", np.uint64), ("level", np.uint8)))
+        at = np.concatenate([np.empty(0, np.uint16), *map(unpack_places, back.places)])
+        token, level = (np.concatenate([np.empty(0, t), *(np.frombuffer(x, t) for x in back[c])]) for c, t in (("tokens", np.uint64), ("level", np.uint8)))
         order = np.argsort(at, kind="stable")
         at, token, level = at[order], token[order], level[order]
         cuts = np.searchsorted(at, np.arange(len(node) + 1))

@@ -20,8 +20,9 @@ from .common import shuffle_width, written
 BLOCK = 86_400
 #: Headers that a not-modified response updates. Fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-_CUT = "\r\n\r\nWARC/1.1\r\n"
-_LENGTH = re.compile(r"(?im)^Content-Length:[ \t]*([0-9]+)")
+#: The end-of-record mark with the start of the next record, whatever its version (1.0, 1.1).
+_CUT = "\r\n\r\nWARC/1."
+_LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*([0-9]+)")
 
 
 def canonical_url(url: str = "url") -> F.Column:
@@ -51,11 +52,12 @@ def write_warc(captures: DataFrame, path: str) -> None:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record) of all files, each as long as its Content-Length says: a payload may hold the end-of-record mark, and what
-    follows the mark then belongs to it. Spark cuts the files at the marks; the pieces of a file go through one task in
-    order, a batch at a time, where those that a record is short of are put back to it. A record that the end of its
-    file cuts off comes as it is."""
-    raw = spark.read.option("lineSep", _CUT).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value")
+    """(record), as bytes, of all files of WARC/1.0 or 1.1, not compressed: each as long as its Content-Length says. A payload may hold the
+    end-of-record mark, and what follows the mark then belongs to it. Spark cuts the files at the marks; the pieces of a file
+    go through one task in order, a batch at a time, where those that a record is short of are put back to it. A record that
+    the end of its file cuts off comes as it is."""
+    raw = spark.read.option("lineSep", _CUT).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("value"))
+    cut, first = _CUT.encode(), b"WARC/1."
 
     def whole(batches):
         file, held, short = None, [], 0
@@ -63,18 +65,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for f, value in zip(pdf.file, pdf.value, strict=True):
                 if f != file or short <= 0:
-                    out += [_CUT.join(held)] * bool(held)
-                    file, held = f, [value if value.startswith("WARC/1.1\r\n") else "WARC/1.1\r\n" + value]
-                    head, _, block = held[0].partition("\r\n\r\n")
+                    out += [cut.join(held)] * bool(held)
+                    file, held = f, [value if value.startswith(first) else first + value]
+                    head, _, block = held[0].partition(b"\r\n\r\n")
                     size = _LENGTH.search(head)
-                    short = (int(size[1]) if size else 0) - len(block.encode())
+                    short = (int(size[1]) if size else 0) - len(block)
                 else:
                     held.append(value)
-                    short -= len((_CUT + value).encode())
+                    short -= len(cut) + len(value)
             yield pd.DataFrame({"record": pd.Series(out, dtype=object)})
-        yield pd.DataFrame({"record": pd.Series([_CUT.join(held)] * bool(held), dtype=object)})
+        yield pd.DataFrame({"record": pd.Series([cut.join(held)] * bool(held), dtype=object)})
 
-    return raw.repartition(shuffle_width(spark), "file").sortWithinPartitions("file", "start", "n").mapInPandas(whole, "record string")
+    return raw.repartition(shuffle_width(spark), "file").sortWithinPartitions("file", "start", "n").mapInPandas(whole, "record binary")
 
 
 def header(block: str, name: str) -> F.Column:
@@ -83,8 +85,11 @@ def header(block: str, name: str) -> F.Column:
 
 
 def parse_records(records: DataFrame) -> DataFrame:
-    """(record_id, url, kind, at, status, http, payload, intact) of WARC records. intact: the block is as long as its
-    Content-Length says; of others (cut off by the end of their file) what there is is returned."""
+    """(record_id, url, kind, at, status, http, payload, intact, uri, body) of WARC records, as text or bytes. uri: the record's id as it
+    stands; record_id: its number, for ids of format_records. body: the payload's bytes; payload is the same as text, where a
+    byte that is not UTF-8 stays as it is. intact: the block is as long as its Content-Length says; of others (cut off by the end of their
+    file) what there is is returned."""
+    records = records.select(F.col("record").cast("string").alias("record"))
     cut = F.instr("record", "\r\n\r\n")
     r = records.select(F.substring(F.col("record"), F.lit(1), cut - 1).alias("w"), F.substr("record", cut + 4).cast("binary").alias("bytes"))
     size = F.coalesce(header("w", "Content-Length").try_cast("int"), F.lit(-1))
@@ -100,6 +105,8 @@ def parse_records(records: DataFrame) -> DataFrame:
         F.regexp_replace(F.substring(F.col("block"), F.lit(1), split + 1), r"^HTTP/[^\r]*\r\n", "").alias("http"),
         F.substr("block", split + 4).alias("payload"),
         "intact",
+        F.regexp_replace(header("w", "WARC-Record-ID"), "^<|>$", "").alias("uri"),
+        F.substr("block", split + 4).cast("binary").alias("body"),
     )
 
 

@@ -285,3 +285,20 @@ def test_prefixes_of_alike_sets_meet():
             for r in range(3):
                 p, q = (jaccard_join.ordered(h, np.array([level[int(t)] for t in h]), r, jaccard_join.len_prefix(len(h), 85)) for h in (x, y))
                 assert len(np.intersect1d(p, q)) and (jaccard_join.bit_set(p) & jaccard_join.bit_set(q)).any()
+
+
+# ---- WARC files of other writers
+
+
+def test_warc_of_version_one_and_of_bytes(spark, tmp_path):
+    from tallywright.llm import warc
+
+    bodies = [b"caf\xe9 \xff\xfe", "ünï".encode(), b"a\r\n\r\nWARC/1.0\r\nnot a record"]
+    raw = b""
+    for i, (body, version) in enumerate(zip(bodies, (b"1.0", b"1.1", b"1.0"), strict=True)):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+        head = f"WARC-Type: response\r\nWARC-Record-ID: <urn:uuid:0000-{i}>\r\nWARC-Target-URI: http://h/{i}\r\nWARC-Date: 2024-01-0{i + 1}T00:00:00Z\r\nContent-Length: {len(block)}\r\n\r\n"
+        raw += b"WARC/" + version + b"\r\n" + head.encode() + block + b"\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(raw)
+    got = sorted((r["uri"], bytes(r["body"]), r["status"], r["url"], r["intact"], r["record_id"]) for r in warc.parse_records(warc.read_warc(spark, str(tmp_path))).select("uri", "body", "status", "url", "intact", "record_id").collect())
+    assert got == [(f"urn:uuid:0000-{i}", b, 200, f"http://h/{i}", True, None) for i, b in enumerate(bodies)]

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 
-FACT = "repo_id long, path string, node_id int, parent_id int, funcs array<int>, classes array<int>, loops array<int>, class_id int, kind string, name string, line int, end_line int, n int, flag boolean, doc string"
+NODE = "node_id int, parent_id int, funcs array<int>, classes array<int>, loops array<int>, class_id int, kind string, name string, line int, end_line int, n int, flag boolean, doc string"
+FACT = f"repo_id long, path string, {NODE}"
 KEY = ("repo_id", "path")
 #: Names of calls that are taken for queries. Fixed values.
 QUERY_CALLS = ("get", "filter", "all", "select", "query", "fetch")
@@ -74,13 +75,12 @@ def _facts_of(content: str) -> Iterator[tuple]:
         todo += [(c, me, *inside) for c in reversed(list(ast.iter_child_nodes(node)))]
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """Facts of files (repo_id, path, content), file by file; those that do not parse, null or empty ones give at most their module's.
-    Content may be text or bytes; bytes that are not UTF-8 are dropped. Facts are written once in the shared folder, since most metrics read them several times."""
-
-    names = [c.split()[0] for c in FACT.split(", ")]
+def parsed(files: DataFrame, key: str) -> DataFrame:
+    """Facts of files (the columns of `key`, and content, in bytes), file by file, behind their keys. Key is a schema."""
+    schema = f"{key}, {NODE}"
+    names, keys = ([c.split()[0] for c in x.split(", ")] for x in (schema, key))
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
-    types = [kinds[c.split()[1]] for c in FACT.split(", ")]
+    types = [kinds[c.split()[1]] for c in schema.split(", ")]
 
     def facts_batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
@@ -90,13 +90,20 @@ def facts(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for file in batch.to_pylist():
-                rows.extend((file["repo_id"], file["path"], *f) for f in _facts_of((file["content"] or b"").decode("utf-8", "ignore")))
+                own = tuple(file[k] for k in keys)
+                rows.extend((*own, *f) for f in _facts_of((file["content"] or b"").decode("utf-8", "ignore")))
                 if len(rows) >= 20_000:
                     yield facts_batch(rows)
                     rows = []
             yield facts_batch(rows)
 
-    return cut(files.select(F.col("repo_id").cast("long").alias("repo_id"), "path", F.col("content").cast("binary").alias("content")).mapInArrow(extract, FACT))
+    return files.select(*keys, "content").mapInArrow(extract, schema)
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """Facts of files (repo_id, path, content), file by file; those that do not parse, null or empty ones give at most their module's.
+    Content may be text or bytes; bytes that are not UTF-8 are dropped. Facts are written once in the shared folder, since most metrics read them several times."""
+    return cut(parsed(files.select(F.col("repo_id").cast("long").alias("repo_id"), "path", F.col("content").cast("binary").alias("content")), "repo_id long, path string"))
 
 
 def _kind(f: DataFrame, *kinds: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch_dir
 from ..operators import scans
 from ..operators import scores as sc
 from ..operators import structure as st
+from ..sources.fact_store import FactStore
 from .registry import Registry
 from .views import Views
 
@@ -26,12 +28,12 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def _files(v: Views):
+def _files(v: Views, orders: DataFrame | None = None):
     key = F.col("o_orderkey")
     method = F.when(key % 3 == 0, F.format_string(FORMS[0], key)).when(key % 3 == 1, F.format_string(FORMS[1], key)).otherwise(F.format_string(FORMS[2], key))
     parts = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), method.alias("m")))), lambda p: p["m"])
     text = F.concat(F.format_string("class C%d(Base, Other):\n", F.col("o_custkey")), F.array_join(parts, ""))
-    return _dealt(v.orders, "o_custkey").groupBy("o_custkey").agg(text.alias("content")).select((F.col("o_custkey") % 20).alias("repo_id"), F.format_string("src/c%d.py", F.floor(F.col("o_custkey") / 20)).alias("path"), "content")
+    return _dealt(v.orders if orders is None else orders, "o_custkey").groupBy("o_custkey").agg(text.alias("content")).select((F.col("o_custkey") % 20).alias("repo_id"), F.format_string("src/c%d.py", F.floor(F.col("o_custkey") / 20)).alias("path"), "content")
 
 
 def _facts(v: Views):
@@ -100,6 +102,23 @@ add("st_doc_score", lambda v: sc.documentation_scores(_line_facts(v), st.KEY), f
 WITH c AS (SELECT repo_id, path, 100.0 * count(*) FILTER (WHERE form IN (0, 2)) / (count(*) + 1) AS coverage FROM {LINES} GROUP BY 1, 2), i AS (SELECT path, count(*) AS k, count(*) FILTER (WHERE problem = 'no_parameter_section') AS p FROM {ISSUES} GROUP BY 1)
 SELECT repo_id, c.path, greatest(0, 100 - CASE WHEN coverage < 50 THEN 30 WHEN coverage < 70 THEN 20 WHEN coverage < 90 THEN 10 ELSE 0 END - least(3 * k, 30) - 2 * least(2 * p, 15)) AS score FROM c JOIN i ON i.path = c.path""")
 
+#: The code in three versions: as of the early orders; with all orders; without the files of one repository in ten.
+EARLY = "o_orderdate < '1998-06-01'"
+
+
+def _fact_store(v: Views) -> FactStore:
+    store = FactStore(v.spark, scratch_dir(v.spark))
+    store.add(1, _files(v, v.orders.where(EARLY)))
+    store.add(2, _files(v))
+    store.remove(3, store.files.read().where("repo_id % 10 = 3"))
+    return store
+
+
+add("st_facts_store", lambda v: st.class_sizes(_fact_store(v).read(), 40, 12), f"SELECT repo_id, path, 'C' || c AS name, CAST(1 + sum(CASE form WHEN 2 THEN 2 ELSE 4 END) AS INT) AS lines, count(*) AS methods FROM {ORDERS} WHERE repo_id % 10 <> 3 GROUP BY repo_id, path, c HAVING lines > 40 OR methods > 12")
+add("st_facts_parsed", lambda v: _fact_store(v).hashes().groupBy("version").agg(F.count("*").alias("texts")), f"""
+WITH e AS (SELECT count(DISTINCT o_custkey) AS n FROM orders WHERE {EARLY}), l AS (SELECT count(DISTINCT o_custkey) AS n FROM orders WHERE NOT ({EARLY}))
+SELECT 1 AS version, n AS texts FROM e WHERE n > 0 UNION ALL SELECT 2, n FROM l WHERE n > 0""")
+
 COUNTS = "count(*) FILTER (WHERE severity = 'critical') AS c, count(*) FILTER (WHERE severity = 'high') AS h, count(*) FILTER (WHERE severity = 'medium') AS m"
 SCORES = " UNION ALL ".join(
     f"SELECT run_id, '{family}' AS family, greatest(0, 100 - {c} * c - {h} * h - {m} * m) AS score FROM (SELECT run_id, {COUNTS} FROM scored_issues WHERE family = '{family}' GROUP BY 1)" for family, (c, h, m) in sc.WEIGHTS.items()

@@ -1,8 +1,13 @@
 """Facts of files that do not parse, that are empty or null, and of nested functions."""
 
+import os
+
+import pytest
+
 from tallywright.operators import graph
 from tallywright.operators import scores as sc
 from tallywright.operators import structure as st
+from tallywright.sources.fact_store import FactStore
 
 
 def test_facts(spark):
@@ -85,3 +90,43 @@ def test_clusters(spark):
     edges = spark.createDataFrame(pairs, "source_id string, target_id string")
     assert [tuple(r) for r in graph.clusters(edges).select("cluster", "nodes", "internal_edges").collect()] == [("a", 4, 7)]
     assert graph.clusters(edges.where("false")).count() == 0
+
+
+def test_stored_facts(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "f"), buckets=4)
+    assert store.read().count() == 0
+    code = "class A:\n    def m(self):\n        for x in y:\n            for z in x:\n                pass\n"
+    files = [(1, "a.py", code), (1, "copy.py", code), (2, "a.py", code + "\nassert a\n"), (1, "bad.py", "def ("), (1, "null.py", None), (1, "empty.py", ""), (1, None, "b = c.d\n"), (3, "latin.py", "x = 1\n")]
+    given = lambda rows: spark.createDataFrame(rows, "repo_id int, path string, content string")
+    texts = lambda: {r["version"]: r["count"] for r in store.hashes().groupBy("version").count().collect()}
+    same = lambda rows: sorted(map(str, store.read().collect())) == sorted(map(str, st.facts(given(rows)).collect()))
+    store.add(1, given(files))
+    assert texts() == {1: 6} and same(files)
+    store.add(2, given(files))  # nothing is parsed again
+    assert texts() == {1: 6} and same(files) and not os.path.exists(f"{store.path}/facts/version=2")
+    changed = [(1, "a.py", code + "b = 1\n"), (4, "moved.py", code), *files[1:]]
+    store.add(3, given(changed[:2]))
+    store.add(3, given(changed[:2]))  # the same version again
+    assert texts() == {1: 6, 3: 1} and same(changed)
+    store.remove(4, spark.createDataFrame([(1, "copy.py"), (9, "none.py")], "repo_id int, path string"))
+    left = [r for r in changed if r[:2] != (1, "copy.py")]
+    assert texts() == {1: 6, 3: 1} and same(left)
+    store.add(5, given(files[1:2]))  # back again, its text is known
+    assert texts() == {1: 6, 3: 1} and same(changed)
+    assert sorted(map(str, st.loop_nesting(store.read()).collect())) == sorted(map(str, st.loop_nesting(st.facts(given(changed))).collect()))
+    plan = st._kind(store.read(), "FunctionDef").select("path", "name")._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("FileScan") if "facts" in x)
+    assert "kind" in scan.split("PartitionFilters")[1].split("PushedFilters")[0] and "doc" not in scan.split("ReadSchema")[1]
+
+
+def test_a_version_of_facts_that_broke_off_is_not_seen(spark, tmp_path, monkeypatch):
+    store = FactStore(spark, str(tmp_path / "f"), buckets=2)
+    store.add(1, _rows(spark, ("a.py", "x = 1\n")))
+    before = sorted(map(str, store.read().collect()))
+    with monkeypatch.context() as m:
+        m.setattr(store.files, "merge", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.add(2, _rows(spark, ("a.py", "y = z.q\n")))
+    assert sorted(map(str, store.read().collect())) == before
+    store.add(2, _rows(spark, ("a.py", "y = z.q\n")))
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, st.facts(_rows(spark, ("a.py", "y = z.q\n"))).collect()))

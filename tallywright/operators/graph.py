@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, hub_join
+from ..functions.lineage import CELL, cell_join, cut, hub_join
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -34,16 +34,32 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n(nodes, "node", "node_type").union(n(edges, "edge", "edge_type"))
 
 
-def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(seed, id, distance): for every seed (id) the nodes that reach it over fewer than max_depth edges, itself left out."""
-    back = edges.select(F.col("target_id").alias("at"), F.col("source_id").alias("next")).distinct()
-    front = seeds.select(F.col("id").alias("seed"), F.col("id"))
-    seen = front.withColumn("distance", F.lit(0))
+def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 3, cell: int = CELL) -> DataFrame:
+    """(seed, id, distance): for every seed (id) the nodes that reach it over fewer than max_depth edges, itself left out. Null ids
+    are no nodes; a seed that repeats counts once.
+
+    Seeds go in blocks of 64 neighbours by name, one bit each: a row of the frontier is a node and those seeds of a block that it newly
+    reaches, so that what is seen is one mask. A step joins the frontier with the edges in cells, as a node may have very many
+    dependants and be in the frontier of very many blocks. Seeds are named again only at the end, from their block."""
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    back = cut(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("next")).where("id IS NOT NULL AND next IS NOT NULL").distinct())
+    known = seeds.select("id").where("id IS NOT NULL").distinct().repartitionByRange(width, "id")
+    places = cut(known.select("id", F.monotonically_increasing_id().alias("n")).select("id", F.shiftright("n", 6).alias("block"), F.expr("CAST(n & 63 AS INT)").alias("bit")))
+    front = seen = places.select("id", "block", F.expr("shiftleft(1L, bit)").alias("bits"))
+    found = None
     for distance in range(1, max_depth):
-        new = front.join(back, front["id"] == back["at"]).select("seed", F.col("next").alias("id")).distinct()
-        front = new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
-        seen = seen.union(front.withColumn("distance", F.lit(distance)))
-    return seen.where("distance > 0")
+        ahead = cell_join(front, back, "id", "block", "next", cell=cell).groupBy(F.col("next").alias("id"), "block").agg(F.bit_or("bits").alias("ahead"))
+        new = ahead.join(seen, ["id", "block"], "left").select("id", "block", F.expr("ahead & ~coalesce(bits, 0L)").alias("bits")).where("bits <> 0")
+        front = cut(new)
+        here = front.withColumn("distance", F.lit(distance))
+        found = here if found is None else found.union(here)
+        if distance < max_depth - 1:
+            seen = cut(seen.union(front).groupBy("id", "block").agg(F.bit_or("bits").alias("bits")))
+    if found is None:
+        return places.select(F.col("id").alias("seed"), "id", F.lit(0).alias("distance")).where("false")
+    names = places.groupBy("block").agg(F.collect_list(F.struct("bit", F.col("id").alias("seed"))).alias("names"))
+    out = hub_join(found, names, "block").withColumn("seed", F.explode(F.expr("filter(names, x -> (shiftright(bits, x.bit) & 1L) = 1L)")))
+    return out.select("seed.seed", "id", "distance")
 
 
 def import_graph(source_lines: DataFrame) -> DataFrame:

@@ -77,6 +77,36 @@ def test_impact_stops_before_the_last_edge(spark):
     assert sorted((r["id"], r["distance"]) for r in got) == [("b", 1), ("c", 2)]
 
 
+def test_impact_against_brute_force(spark):
+    import random
+
+    draw = random.Random(3)
+    pairs = [(f"n{draw.randrange(60)}", f"n{draw.randrange(60)}") for _ in range(90)] + [(f"x{i}", "hub") for i in range(90)] + [("hub", f"y{i}") for i in range(90)] + [("y1", "hub"), (None, "hub"), ("hub", None)]
+    edges = spark.createDataFrame(pairs, "source_id string, target_id string")
+    into = {}
+    for a, b in pairs:
+        into.setdefault(b, set()).add(a)
+    nodes = sorted({n for p in pairs for n in p if n})
+
+    def brute(depth):
+        for seed in nodes:
+            seen, front = {seed}, {seed}
+            for distance in range(1, depth):
+                front = {a for b in front for a in into.get(b, ()) if a} - seen
+                seen |= front
+                yield from ((seed, n, distance) for n in front)
+
+    seeds = spark.createDataFrame([(n,) for n in [*nodes, nodes[0], None]], "id string")
+    for depth, cell in ((1, 4), (2, 4096), (3, 4), (4, 16), (5, 4096)):
+        assert sorted(map(tuple, graph.impact(edges, seeds, depth, cell).collect())) == sorted(brute(depth))
+
+
+def test_impact_of_a_hub(spark):
+    edges = spark.range(100_000).selectExpr("'x' || id AS source_id", "'hub' AS target_id").union(spark.sql("SELECT 'hub', 'y' || id FROM range(70)"))
+    got = graph.impact(edges, graph.nodes_of(edges)).groupBy("distance").count().collect()
+    assert {r["distance"]: r["count"] for r in got} == {1: 100_070, 2: 7_000_000}
+
+
 def test_cycles(spark):
     edges = spark.createDataFrame([(a, b) for a, b in zip("abcde", "bcdea", strict=True)] + [("a", "c"), ("x", "y"), ("y", "x"), ("y", "z"), ("q", "q")], "source_id string, target_id string")
     got = sorted((r["members"], r["length"], r["severity"]) for r in graph.cycles(edges).collect())

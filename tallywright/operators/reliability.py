@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.asof import asof_join
+from ..functions.lineage import numbered
 
 from ..functions.scalars import clamp, ratio, since
 
@@ -175,7 +176,8 @@ def period_scores(snapshots: DataFrame, unit: str) -> DataFrame:
 
 
 def hotspots(runs: DataFrame, results: DataFrame) -> DataFrame:
-    """Counters of each repository's files, their main category (ties: the first by name), first and last sight, and the weight of their risks with their rank."""
+    """Counters of each repository's files, their main category (ties: the first by name), first and last sight, and the weight of their risks
+    with their rank. Files are ranked by ranges, so that a repository with very many of them is ranked in many tasks."""
     own = results.join(runs.select(F.col("id").alias("run_id"), "repository_id"), "run_id")
     n = {s: F.count_if(F.col("severity") == s) for s in SEVERITIES}
     per = own.groupBy("repository_id", "file_path").agg(
@@ -185,8 +187,8 @@ def hotspots(runs: DataFrame, results: DataFrame) -> DataFrame:
     most = F.greatest("n_review", "n_safe", "n_suggestion")
     main = F.when(F.col("n_review") == most, "review").when(F.col("n_safe") == most, "safe").otherwise("suggestion")
     weight = F.col("critical") * 10.0 + F.col("high") * 5 + F.col("medium") * 2 + F.col("low") * 0.5
-    rank = F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc("hotspot_score"), "file_path"))
-    return per.withColumn("primary_category", main).withColumn("hotspot_score", weight).withColumn("rank", rank)
+    ranked = numbered(per.withColumn("primary_category", main).withColumn("hotspot_score", weight).withColumn("_least", -F.col("hotspot_score")), "repository_id", "_least", "file_path", name="rank")
+    return ranked.drop("_least").withColumn("rank", F.col("rank").cast("int"))
 
 
 def hotspot_maps(spots: DataFrame) -> DataFrame:

@@ -107,6 +107,17 @@ def test_impact_of_a_hub(spark):
     assert {r["distance"]: r["count"] for r in got} == {1: 100_070, 2: 7_000_000}
 
 
+def test_layers_in_the_plan_and_by_a_join(spark, monkeypatch):
+    rows = [("core.a", "ui.b"), ("ui.b", "core.a"), ("ui.b", "core.a"), ("ui.core", "data.x"), ("none", "ui.b"), (None, "ui.b"), ("data.x", "core.a")]
+    edges = spark.createDataFrame(rows, "source_id string, target_id string")
+    layers = spark.createDataFrame([("ui", 2), ("core", 1), ("data", 1), (None, 0), ("data", 3)], "name string, level int")
+    want = [("ui", "core", 2)]
+    assert sorted(map(tuple, graph.layer_violations(edges, layers).collect())) == want
+    monkeypatch.setattr(graph, "LAYERS", 2)
+    assert sorted(map(tuple, graph.layer_violations(edges, layers).collect())) == want
+    assert graph.layer_violations(edges, layers.where("false")).collect() == []
+
+
 def test_cycles(spark):
     edges = spark.createDataFrame([(a, b) for a, b in zip("abcde", "bcdea", strict=True)] + [("a", "c"), ("x", "y"), ("y", "x"), ("y", "z"), ("q", "q")], "source_id string, target_id string")
     got = sorted((r["members"], r["length"], r["severity"]) for r in graph.cycles(edges).collect())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.asof import asof_join
 from ..functions.lineage import numbered
 
-from ..functions.scalars import clamp, ratio, since
+from ..functions.scalars import clamp, fraction_even, ratio, since
 
 SEVERITIES = ("critical", "high", "medium", "low")
 
@@ -147,20 +147,21 @@ def forecast(snapshots: DataFrame, as_of: str, history: int, ahead: int) -> Data
 
 
 def period_compare(snapshots: DataFrame, as_of: str, days: int) -> DataFrame:
-    """Averages of the last period (open to the right) and the one before it, with changes absolute and in per cent (0 on a base of 0)."""
+    """Averages of the last period (open to the right) and the one before it, with changes absolute and in per cent (0 on a base of 0).
+    Scores count to two places; averages and changes are rounded as the fractions they are, so that ties do not hang on doubles."""
     t, cut = F.col("created_at"), since(as_of, days)
     a, b = t >= cut, (t >= since(as_of, 2 * days)) & (t < cut)
-    mean = lambda c, cond: F.coalesce(F.avg(F.when(cond, F.col(c).cast("double"))), F.lit(0.0))
-    per = snapshots.groupBy("repo_metrics_id").agg(
-        mean("reliability_score", a).alias("s1"), mean("reliability_score", b).alias("s0"), mean("total_risks", a).alias("r1"), mean("total_risks", b).alias("r0"), F.count_if(a).alias("points"), F.count_if(b).alias("points_before")
-    )
-    one = lambda x: F.bround(x, 1)
-    pct = lambda x, y: F.when(y != 0, one((x - y) / y * 100)).otherwise(0.0)
-    s1, s0, r1, r0 = (F.col(c) for c in ("s1", "s0", "r1", "r0"))
-    return per.select(
-        "repo_metrics_id", "points", "points_before", one(s1).alias("score"), one(s0).alias("score_before"), one(s1 - s0).alias("score_change"), pct(s1, s0).alias("score_percent"),
-        one(r1).alias("risks"), one(r0).alias("risks_before"), one(r1 - r0).alias("risks_change"), pct(r1, r0).alias("risks_percent"),
-    )
+    whole = {"s": F.bround(F.col("reliability_score") * 100).cast("long"), "r": F.col("total_risks").cast("long")}
+    parts = [x for c, v in whole.items() for i, w in ((1, a), (0, b)) for x in (F.coalesce(F.sum(F.when(w, v)), F.lit(0)).alias(f"{c}{i}"), F.greatest(F.count(F.when(w, v)), F.lit(1)).alias(f"n{c}{i}"))]
+    per = snapshots.groupBy("repo_metrics_id").agg(*parts, F.count_if(a).alias("points"), F.count_if(b).alias("points_before"))
+
+    def compared(c: str, name: str, unit: int) -> list[Column]:
+        s1, n1, s0, n0 = (F.col(x).cast("decimal(38,0)") for x in (f"{c}1", f"n{c}1", f"{c}0", f"n{c}0"))
+        rise = s1 * n0 - s0 * n1
+        percent = F.when(s0 != 0, fraction_even(rise * 100, s0 * n1, 1)).otherwise(0.0)
+        return [fraction_even(s1, n1 * unit, 1).alias(name), fraction_even(s0, n0 * unit, 1).alias(f"{name}_before"), fraction_even(rise, n1 * n0 * unit, 1).alias(f"{name}_change"), percent.alias(f"{name}_percent")]
+
+    return per.select("repo_metrics_id", "points", "points_before", *compared("s", "score", 100), *compared("r", "risks", 1))
 
 
 def period_scores(snapshots: DataFrame, unit: str) -> DataFrame:
@@ -230,11 +231,12 @@ def decision_reports(runs: DataFrame) -> DataFrame:
     """Of runs (run_id, mode, before, after, fixed, rules): confidence, risk level and title.
 
     Confidence is 0 for a run that only analyses, 1 if there was nothing before, else the share of issues fixed in per cent,
-    less 15 after a regression, from 0 to 100, over 100, to two places. The risk is high after a regression, medium with more
+    less 15 after a regression, from 0 to 100, over 100, to two places of the exact fraction. The risk is high after a regression, medium with more
     than 50 issues left, else by the number fixed: low under 10, medium under 50, high from there."""
     worse, fixed = F.col("after") > F.col("before"), F.col("fixed")
-    share = clamp(fixed / F.col("before") * 100 - F.when(worse, 15).otherwise(0), 0.0, 100.0) / 100
-    conf = F.bround(F.when(F.col("mode") == "analyze", 0.0).when(F.col("before") == 0, 1.0).otherwise(share), 2)
+    all_of = F.col("before").cast("long") * 100
+    share = F.least(F.greatest(fixed.cast("long") * 100 - F.when(worse, F.col("before").cast("long") * 15).otherwise(0), F.lit(0)), all_of)
+    conf = F.when(F.col("mode") == "analyze", 0.0).when(F.col("before") == 0, 1.0).otherwise(fraction_even(share, all_of, 2))
     risk = F.when(worse, "high").when(F.col("after") > 50, "medium").when(fixed < 10, "low").when(fixed < 50, "medium").otherwise("high")
     n = fixed.cast("string")
     title = F.when(F.col("mode") == "analyze", "Code analysis completed (preview mode)").when(fixed == 0, "No issues were auto-fixed").when(worse, F.concat(F.lit("Fixed "), n, F.lit(" issues (regressions detected)")))

@@ -19,6 +19,14 @@ SCORE = "round_even(greatest(0, least(100, 100.0::DOUBLE - c * 10 - h * 5 - m *
 GRADE = "CASE WHEN {0} >= 90 THEN 'A' WHEN {0} >= 80 THEN 'B' WHEN {0} >= 70 THEN 'C' WHEN {0} >= 60 THEN 'D' ELSE 'F' END"
 
 
+def _even(p: str, q: str, places: int) -> str:
+    """p / q of whole numbers (q > 0) to so many places, half to even, in whole numbers: round_even of doubles misses ties."""
+    n, d = f"(({p})::HUGEINT * {10 ** places})", f"(({q})::HUGEINT)"
+    rest = f"((({n} % {d}) + {d}) % {d})"
+    down = f"(({n} - {rest}) // {d})"
+    return f"(({down} + CASE WHEN 2 * {rest} > {d} OR (2 * {rest} = {d} AND {down} % 2 <> 0) THEN 1 ELSE 0 END)::DOUBLE / {10 ** places}::DOUBLE)"
+
+
 def _scored(v: Views):
     k = F.col("o_orderkey")
     return v.orders.select(k.alias("id"), rel.score(k % 4, k % 6, k % 9, k % 5, (k % 11) / F.lit(10.0)).alias("score"))
@@ -83,12 +91,17 @@ VELOCITY = f"""SELECT repo_metrics_id, count(*) AS points, CASE WHEN count(*) >=
 add("rel_velocity", lambda v: rel.velocity(v.risk_snapshots, AS_OF, 700), VELOCITY)
 add("rel_forecast", lambda v: rel.forecast(v.risk_snapshots, AS_OF, 700, 30), f"""SELECT x.repo_metrics_id, round_even(greatest(0, least(100, now + score_velocity * 30)), 1) AS forecast, CASE WHEN points < 14 THEN 'low' ELSE 'medium' END AS confidence
 FROM ({VELOCITY}) x JOIN (SELECT repo_metrics_id, {LAST.format('reliability_score')} AS now FROM {S} GROUP BY 1) n ON n.repo_metrics_id = x.repo_metrics_id WHERE points >= 7""")
+_PERIODS = {1: f"created_at >= {ago(180)}", 0: f"created_at >= {ago(360)} AND created_at < {ago(180)}"}
+_WHOLE = {"s": "CAST(round_even(reliability_score * 100, 0) AS BIGINT)", "r": "total_risks"}
+_SUMS = ", ".join(f"coalesce(sum({v}) FILTER (WHERE {w}), 0)::HUGEINT AS {c}{i}, greatest(count({v}) FILTER (WHERE {w}), 1)::HUGEINT AS n{c}{i}" for c, v in _WHOLE.items() for i, w in _PERIODS.items())
+_COMPARED = ", ".join(
+    f"{_even(f'{c}1', f'n{c}1 * {unit}', 1)} AS {name}, {_even(f'{c}0', f'n{c}0 * {unit}', 1)} AS {name}_before, {_even(f'{c}1 * n{c}0 - {c}0 * n{c}1', f'n{c}1 * n{c}0 * {unit}', 1)} AS {name}_change, "
+    f"CASE WHEN {c}0 <> 0 THEN {_even(f'({c}1 * n{c}0 - {c}0 * n{c}1) * sign({c}0) * 100', f'abs({c}0) * n{c}1', 1)} ELSE 0 END AS {name}_percent"
+    for c, name, unit in (("s", "score", 100), ("r", "risks", 1))
+)
 add("rel_period_compare", lambda v: rel.period_compare(v.risk_snapshots, AS_OF, 180), f"""
-WITH a AS (SELECT repo_metrics_id, coalesce(avg(reliability_score) FILTER (WHERE created_at >= {ago(180)}), 0) AS s1, coalesce(avg(reliability_score) FILTER (WHERE created_at >= {ago(360)} AND created_at < {ago(180)}), 0) AS s0,
-  coalesce(avg(total_risks) FILTER (WHERE created_at >= {ago(180)}), 0) AS r1, coalesce(avg(total_risks) FILTER (WHERE created_at >= {ago(360)} AND created_at < {ago(180)}), 0) AS r0,
-  count(*) FILTER (WHERE created_at >= {ago(180)}) AS points, count(*) FILTER (WHERE created_at >= {ago(360)} AND created_at < {ago(180)}) AS points_before FROM {S} GROUP BY 1)
-SELECT repo_metrics_id, points, points_before, round_even(s1, 1) AS score, round_even(s0, 1) AS score_before, round_even(s1 - s0, 1) AS score_change, CASE WHEN s0 <> 0 THEN round_even((s1 - s0) / s0 * 100, 1) ELSE 0 END AS score_percent,
-  round_even(r1, 1) AS risks, round_even(r0, 1) AS risks_before, round_even(r1 - r0, 1) AS risks_change, CASE WHEN r0 <> 0 THEN round_even((r1 - r0) / r0 * 100, 1) ELSE 0 END AS risks_percent FROM a""")
+WITH a AS (SELECT repo_metrics_id, {_SUMS}, count(*) FILTER (WHERE {_PERIODS[1]}) AS points, count(*) FILTER (WHERE {_PERIODS[0]}) AS points_before FROM {S} GROUP BY 1)
+SELECT repo_metrics_id, points, points_before, {_COMPARED} FROM a""")
 add("rel_period_scores", lambda v: rel.period_scores(v.risk_snapshots, "month"), f"""
 WITH p AS (SELECT repo_metrics_id, CAST(date_trunc('month', created_at) AS TIMESTAMP) AS period, sum(reliability_score) / count(*) AS score, sum(critical_risks) / count(*) AS critical, sum(high_risks) / count(*) AS high, sum(total_risks) / count(*) AS risks,
   count(*) FILTER (WHERE snapshot_type = 'pr_analysis') AS prs, count(*) FILTER (WHERE snapshot_type = 'fix_applied') AS fixes FROM {S} GROUP BY 1, 2)
@@ -118,11 +131,11 @@ def _edr(v: Views):
     return rel.decision_reports(r)
 
 
-add("rel_edr", _edr, """
+add("rel_edr", _edr, f"""
 WITH x AS (SELECT run_id, issue_code, is_fixed FROM analysis_results UNION ALL SELECT -repository_id, issue_code, is_fixed FROM analysis_results r JOIN analysis_runs a ON a.id = r.run_id),
 r AS (SELECT run_id, count(*) AS before, count(*) FILTER (WHERE is_fixed = 1) AS fixed, coalesce(string_agg(DISTINCT issue_code, ',' ORDER BY issue_code) FILTER (WHERE is_fixed = 1), '') AS rules FROM x GROUP BY 1),
 s AS (SELECT *, CASE WHEN run_id % 7 = 0 THEN 'analyze' ELSE 'fix' END AS mode, before - fixed + CASE WHEN run_id % 5 = 0 THEN before ELSE 0 END AS after FROM r)
-SELECT *, round_even(CASE WHEN mode = 'analyze' THEN 0 ELSE greatest(0, least(100, fixed / before * 100 - CASE WHEN after > before THEN 15 ELSE 0 END)) / 100 END, 2) AS confidence,
+SELECT *, CASE WHEN mode = 'analyze' THEN 0 ELSE {_even('greatest(0, least(100 * before, 100 * fixed - CASE WHEN after > before THEN 15 * before ELSE 0 END))', '100 * before', 2)} END AS confidence,
   CASE WHEN after > before THEN 'high' WHEN after > 50 THEN 'medium' WHEN fixed < 10 THEN 'low' WHEN fixed < 50 THEN 'medium' ELSE 'high' END AS risk_level,
   CASE WHEN mode = 'analyze' THEN 'Code analysis completed (preview mode)' WHEN fixed = 0 THEN 'No issues were auto-fixed' WHEN after > before THEN 'Fixed ' || fixed || ' issues (regressions detected)' WHEN fixed = 1 THEN 'Fixed 1 code issue' ELSE 'Fixed ' || fixed || ' code issues' END AS title FROM s""")
 _before = lambda v: v.analysis_results.where("id % 3 <> 0").select("run_id", "issue_code")

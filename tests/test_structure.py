@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallywright.operators import graph
 from tallywright.operators import scores as sc
@@ -130,3 +131,18 @@ def test_a_version_of_facts_that_broke_off_is_not_seen(spark, tmp_path, monkeypa
     assert sorted(map(str, store.read().collect())) == before
     store.add(2, _rows(spark, ("a.py", "y = z.q\n")))
     assert sorted(map(str, store.read().collect())) == sorted(map(str, st.facts(_rows(spark, ("a.py", "y = z.q\n"))).collect()))
+
+
+def test_facts_of_some_kinds_of_equal_texts(spark):
+    code = "import a\nclass A(B):\n    def m(self, x: int):\n        '''Doc.'''\n        for y in x:\n            assert y and x.z\n        return [b for b in x]\n"
+    rows = [(i, f"{i}.py", code if i % 3 else f"{code}c = {i}\n") for i in range(60)] + [(61, "bad.py", "def ("), (62, "null.py", None)]
+    files = spark.createDataFrame(rows, "repo_id int, path string, content string")
+    whole = st.facts(files)
+    assert {r["n"] for r in whole.where("repo_id < 60").groupBy("repo_id").agg(F.sum(F.when(F.col("kind") == "Name", 0).otherwise(1)).alias("n")).collect()} == {13}
+    for name, (kinds, _) in st.NEEDS.items():
+        metric = getattr(st, name)
+        given = (lambda f, metric=metric, name=name: metric(f, files, code_lines=1) if name == "module_checks" else metric(f))
+        some = st.facts(files, name)
+        assert kinds is None or {r["kind"] for r in some.select("kind").distinct().collect()} <= set(kinds)
+        drop = lambda df: df.drop("class_id")  # noqa: E731  numbers of nodes differ where only statements are walked
+        assert sorted(map(str, drop(given(some)).collect())) == sorted(map(str, drop(given(whole)).collect())), name

@@ -131,11 +131,9 @@ def rate_limit_stream(calls: DataFrame, limit: int = 10, window: float = 3600.0,
     return calls.select("key", "at", "id").groupBy("key").applyInPandasWithState(decide, DECISION, "times array<double>", "append", _timeout(idle))
 
 
-def rate_limit_live(calls: DataFrame, limit: int = 10, window: float = 3600.0, late: str = "1 hour") -> DataFrame:
-    """The decisions of rate_limit over a stream whose calls may come late, within `late`: a call waits in its key's list state until the
-    watermark has passed it, as nothing older can come then, and timers of event time decide the waiting ones in order. A key's state is
-    its waiting calls and the times of allowed ones that still count; it goes when a later timer finds neither. Needs the RocksDB state
-    store (see rocksdb)."""
+def _limiter(limit: int, window: float):
+    """The processor of rate_limit_live. Whenever calls of a key wait, a timer stands at the earliest of them or before: one for each key and
+    micro-batch, and one for what still waits after it."""
     from pyspark.sql.streaming import StatefulProcessor
 
     class Limiter(StatefulProcessor):
@@ -145,11 +143,16 @@ def rate_limit_live(calls: DataFrame, limit: int = 10, window: float = 3600.0, l
             self.times = handle.getListState("times", "at double")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            first = None
             for pdf in rows:
-                for at, i in zip(pdf["at"], pdf["id"], strict=True):
-                    self.waiting.appendValue((float(at), int(i)))
-                    self.handle.registerTimer(int(at * 1000) + 1)
-            yield pd.DataFrame([], columns=_DECIDED)
+                new = list(zip(pdf["at"].tolist(), pdf["id"].tolist(), strict=True))
+                if new:
+                    self.waiting.appendList(new)
+                    least = min(new)[0]
+                    first = least if first is None else min(first, least)
+            if first is not None:
+                self.handle.registerTimer(int(first * 1000) + 1)
+            return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             sure = timerValues.getCurrentWatermarkInMs() / 1000
@@ -164,15 +167,25 @@ def rate_limit_live(calls: DataFrame, limit: int = 10, window: float = 3600.0, l
                     state.put(values)
                 else:
                     state.clear()
-            if times and not rest:
+            if rest:
+                self.handle.registerTimer(int(rest[0][0] * 1000) + 1)
+            elif times:
                 self.handle.registerTimer(int((max(times) + window) * 1000) + 1)
-            yield pd.DataFrame(out, columns=_DECIDED)
+            return iter([pd.DataFrame(out, columns=_DECIDED)] if out else ())
 
         def close(self) -> None:
             pass
 
+    return Limiter()
+
+
+def rate_limit_live(calls: DataFrame, limit: int = 10, window: float = 3600.0, late: str = "1 hour") -> DataFrame:
+    """The decisions of rate_limit over a stream whose calls may come late, within `late`: a call waits in its key's list state until the
+    watermark has passed it, as nothing older can come then, and timers of event time decide the waiting ones in order. A key's state is
+    its waiting calls and the times of allowed ones that still count; it goes when a later timer finds neither. Needs the RocksDB state
+    store (see rocksdb)."""
     own = calls.select(F.coalesce("key", F.lit("")).alias("key"), F.col("at").cast("double").alias("at"), F.col("id").cast("long").alias("id"), F.timestamp_micros(F.floor(F.col("at") * 1e6)).alias("ts")).where("at IS NOT NULL")
-    return own.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(Limiter(), DECISION, "Append", "eventTime")
+    return own.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_limiter(limit, window), DECISION, "Append", "eventTime")
 
 
 @contextmanager

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallywright.plans import catalog
@@ -82,3 +83,40 @@ def test_a_batch_again_counts_once(spark, tmp_path):
     for batch_id, rows in ((0, [("a", 1), ("b", 2)]), (1, [("a", 5)]), (1, [("a", 5)])):
         sink(spark.createDataFrame(rows, "k string, n long"), batch_id)
     assert sorted(map(tuple, table.read().collect())) == [("a", 6), ("b", 2)]
+
+
+def test_one_timer_for_the_calls_of_a_batch():
+    class State(list):
+        def appendList(self, values):  # noqa: N802
+            self.extend(values)
+
+        def put(self, values):
+            self[:] = values
+
+        def get(self):
+            return iter(list(self))
+
+    class Handle:
+        timers = []
+
+        def getListState(self, name, schema):  # noqa: N802
+            return State()
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    handle, limiter = Handle(), streams._limiter(2, 10.0)
+    limiter.init(handle)
+    calls = [(float(at), at) for at in (5, 3, 1, 9, 40, 30, 2)]
+    assert list(limiter.handleInputRows(("k",), iter([pd.DataFrame(calls[:4], columns=["at", "id"]), pd.DataFrame(calls[4:], columns=["at", "id"])]), Now(0))) == []
+    assert handle.timers == [1001]
+    rows = lambda ms: [tuple(r) for df in limiter.handleExpiredTimer(("k",), Now(ms), None) for r in df.itertuples(index=False)]
+    assert [r[1:4] for r in rows(20_000)] == [(1.0, 1, True), (2.0, 2, True), (3.0, 3, False), (5.0, 5, False), (9.0, 9, False)]
+    assert handle.timers == [1001, 30_001] and rows(25_000) == []
+    assert [r[1:4] for r in rows(50_000)] == [(30.0, 30, True), (40.0, 40, True)] and list(limiter.waiting) == []
+    rows(handle.timers[-1] + 1)
+    assert list(limiter.times) == []

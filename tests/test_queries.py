@@ -107,6 +107,20 @@ def test_impact_of_a_hub(spark):
     assert {r["distance"]: r["count"] for r in got} == {1: 100_070, 2: 7_000_000}
 
 
+def shuffled_rows(spark):
+    jvm = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_impact_sends_lists_not_pairs(spark):
+    edges = spark.sql("SELECT 'm' || id % 100 AS source_id, format_string('s%04d', id) AS target_id FROM range(2000) UNION ALL SELECT 'x' || id, 'm' || id % 100 FROM range(30000)")
+    before = shuffled_rows(spark)
+    got = graph.impact(edges, graph.nodes_of(edges)).groupBy("distance").count().collect()
+    assert {r["distance"]: r["count"] for r in got} == {1: 32_000, 2: 600_000}
+    assert shuffled_rows(spark) - before < 400_000
+
+
 def test_layers_in_the_plan_and_by_a_join(spark, monkeypatch):
     rows = [("core.a", "ui.b"), ("ui.b", "core.a"), ("ui.b", "core.a"), ("ui.core", "data.x"), ("none", "ui.b"), (None, "ui.b"), ("data.x", "core.a")]
     edges = spark.createDataFrame(rows, "source_id string, target_id string")

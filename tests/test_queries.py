@@ -147,6 +147,11 @@ def test_strong_components(spark):
     assert graph.strong_components(edges.where("false")).collect() == [] and graph.strong_components(edges.where("source_id = 't0'")).collect() == []
 
 
+def test_whole_payloads_are_read_once(spark):
+    plan = catalog.QUERIES["led_finding_event_full"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") + plan.count("get_json_object(") == 1
+
+
 def test_conflicts(spark):
     rows = [(1, 1, "same", ["a"]), (2, 1, "same", ["a"]), (3, 1, "same", ["a"]), (4, 2, "same", ["a"]), (5, 1, "other", ["a"]), (6, 2, "x" * 50 + "1", ["b"]), (7, 2, "x" * 50 + "2", ["b"])]
     df = spark.createDataFrame([(i, r, s, [(p, None, None) for p in ps]) for i, r, s, ps in rows], "id long, repo_id long, problem_statement string, affected_files array<struct<path: string, line_range: string, severity: string>>")

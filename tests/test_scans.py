@@ -138,3 +138,11 @@ def test_literals_that_a_pattern_needs():
             if needed and re.search(p, text):
                 assert any(n in (text.lower() if folded else text) for n in needed), (p, text)
     assert sum(bool(literals(p)[0]) for p in patterns) > 0.7 * len(patterns)
+
+
+def test_god_classes_in_one_window(spark):
+    text = ["def f():", "class A:", "    def m1(self):", "    def _p(self):", "  # note", "x = 1", "    def late(self):", "  class B(A):", "    def m2(self):", "", "    def m3(self):", "def top(self):", "    def m4(self):", "class C:"]
+    lines = spark.createDataFrame([(1, "a.py", i, x) for i, x in enumerate(text, 1)], "repo_id int, path string, line_no int, text string")
+    got = scans.god_classes(lines, 1)
+    assert sorted((r["class_name"], r["line_no"], r["methods"]) for r in got.collect()) == [("A", 2, 1), ("B", 8, 3)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1

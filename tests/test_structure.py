@@ -1,7 +1,9 @@
 """Facts of files that do not parse, that are empty or null, and of nested functions."""
 
+import ast
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +148,38 @@ def test_facts_of_some_kinds_of_equal_texts(spark):
         assert kinds is None or {r["kind"] for r in some.select("kind").distinct().collect()} <= set(kinds)
         drop = lambda df: df.drop("class_id")  # noqa: E731  numbers of nodes differ where only statements are walked
         assert sorted(map(str, drop(given(some)).collect())) == sorted(map(str, drop(given(whole)).collect())), name
+
+
+def _facts_by_pieces(parser, text):
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    places = parser.places(text)
+    taken = [(c.split()[0], kinds[c.split()[1]]) for c in st.NODE.split(", ")]
+    return list(zip(*(c.to_pylist() for c in st._columns(places, taken)[1]), strict=True)) if places else []
+
+
+def test_pieces_give_the_facts_of_whole_texts():
+    texts = [
+        "", "# c\n'doc a1'\nx = 1\n", "class A:\n    'd1 {x}'\n    x = 1\n", "class A:\n    x1 = '''\nfoo\n'''\n    y = 2\n", "class A:\n  x\n y\n", "class A:\n    x = 1\n\fy = 1\n", "x = '''\ny = 1\n'''\nz = 1\n",
+        "@d1\n@d2\nclass A1(B2, c.D3):\n    @p\n    def f1(self): return 1.e5\n    if a:\n        b\n    else:\n        c\n", "b'm12'\n", "'a''m12'\n", "x = 1 \\\ny = 2\n", "x = f'{a1!r} {a1=} {b:x2}'\n", "x = 0b12\n",
+        "class A1(B2):\n\n    # c\n    def f2(self):\n        '''Doc.\n\n        {a} m1\n        '''\n# left\n        for x1 in y1:\n            while z: pass\n\n\ndef g(): pass\n", "class C:\n    '''tab\there m1'''\n    z9 = 1\n",
+        "try:\n    a\nexcept E1 as e2:\n    b\nfinally:\n    c\n", "class A1:\n    class B2:\n        def f3(self):\n            self.x4 += 1\n        y5 = [q6 for q6 in z7]\n", "class A[T1](B):\n    x: T1\n", "\u00e91m2 = 1\n", "class A:\n    x\n)\n",
+        "from __future__ import barry_as_FLUFL\na <> b\n", "import a.b2\r\nclass A(B):\r\n    x = c3\r\n", "class A:\n    pass\n  # odd\n    c = 1\n", "x = 1\0\n", "if x:\n    a1\nelif y:\n    b\nelse_2 = 1\n",
+    ]
+    for kinds in (None, frozenset(("FunctionDef", "ClassDef", "Module")), frozenset(("Base", "Attribute", "Name"))):
+        parser = st._Parser(kinds)
+        for text in texts * 2:
+            try:
+                whole = st._facts_of(ast.parse(text), kinds)[0]
+            except (SyntaxError, ValueError):
+                whole = []
+            assert _facts_by_pieces(parser, text) == whole, text
+
+
+def test_statements_that_differ_in_names_are_parsed_once(monkeypatch):
+    parse, calls = ast.parse, []
+    monkeypatch.setattr(st.ast, "parse", lambda text: calls.append(text) or parse(text))
+    parser = st._Parser(None)
+    texts = ["class C%d(Base):\n" % i + "".join(f"    def m{i}_{j}(self):\n        return self.k{j}\n" for j in range(1 + i % 7)) for i in range(200)]
+    got = [_facts_by_pieces(parser, t) for t in texts]
+    assert len(calls) < 10
+    assert got == [st._facts_of(parse(t))[0] for t in texts]

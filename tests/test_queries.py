@@ -1,6 +1,8 @@
 """Registered queries of the library against DuckDB on the smallest tables, and small fixtures."""
 
 import datetime
+import itertools
+import random
 
 import duckdb
 import pytest
@@ -173,6 +175,29 @@ def test_modules_of_two_repositories(spark):
     assert sorted(map(tuple, graph.import_edges(imports, index).collect())) == [(1, "m.py", "a/x.py"), (2, "a/x.py", "b/x.py")]
 
 
+@pytest.mark.parametrize("cell", [3, 4096])
+def test_cycles_against_brute_force(spark, cell):
+    rng = random.Random(3)
+    pairs = {(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(60)}
+    edges = spark.createDataFrame(sorted(pairs) + [("n1", "n2"), ("x", "n1"), (None, "n1")], "source_id string, target_id string")
+    nodes = sorted({n for p in pairs for n in p})
+    for longest in (2, 3, 4):
+        want = {(",".join(sorted(p)), k) for k in range(2, longest + 1) for p in itertools.permutations(nodes, k) if all((a, b) in pairs for a, b in zip(p, (*p[1:], p[0]), strict=True))}
+        assert sorted((r["members"], r["length"]) for r in graph.cycles(edges, longest, cell=cell).collect()) == sorted(want)
+
+
+def test_cycles_send_no_row_for_each_path(spark):
+    # all paths of three nodes in a graph between two halves are some hundred thousand; no cycle of three closes one
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.sql("SELECT 'n' || a.id AS source_id, 'n' || b.id AS target_id FROM range(120) a JOIN range(120) b ON (a.id + b.id) % 2 = 1")
+        before = shuffled_rows(spark)
+        assert graph.cycles(edges, 3).where("length = 3").count() == 0
+        assert shuffled_rows(spark) - before < 100_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_code_files_in_other_encodings(spark, tmp_path):
     for name, raw in (("a.py", "x = 'é'\n".encode("latin-1")), ("b.py", b"\xff\xfe\x00y = 1"), ("c.py", "z = '\u00e9'".encode()), ("d.txt", b"no"), ("node_modules/e.py", b"no"), ("sub/f.js", b"f")):
         (tmp_path / name).parent.mkdir(exist_ok=True)

@@ -2,13 +2,14 @@
 
 import datetime
 import itertools
+import os
 import random
 
 import duckdb
 import pytest
 
 from tallywright.operators import findings, graph, ledger
-from tallywright.plans import catalog
+from tallywright.plans import catalog, graph_queries
 from tallywright.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -198,6 +199,26 @@ def test_cycles_send_no_row_for_each_path(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_code_files_take_no_folder_each(spark, tmp_path):
+    path = str(tmp_path / "code")
+    rows = spark.sql("SELECT id % 3 AS folder, 'n' || id || '_py' AS name, CASE WHEN id <> 7 THEN 'é\\n' || id END AS content FROM range(300)").repartition(8)
+    for _ in range(2):  # a task that runs again puts the same files in place
+        files.write_files(rows, path)
+        got = {r["name"]: r["content"] for r in files.code_files(spark, path, ("txt",)).select(files.file_name().alias("name"), "content").collect()}
+        assert got == {f"n{i}_py": (f"é\n{i}" if i != 7 else "") + "\n" for i in range(300)}
+    assert sum(len(files_) for _, _, files_ in os.walk(path)) == 300
+    assert sum(1 for _ in os.walk(path)) == 4
+    rows.write.partitionBy("folder", "name").text(str(tmp_path / "spark"))  # the form that Spark writes on other file systems
+    names = files.code_files(spark, str(tmp_path / "spark"), ("txt",)).select(files.file_name().alias("name")).collect()
+    assert sorted(r["name"] for r in names) == sorted(got)
+
+
+def test_src_code_files_takes_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph_queries, "scratch_dir", lambda spark: str(tmp_path / "code"))
+    n = catalog.QUERIES["src_code_files"](spark, SF).count()
+    assert n > 10 and sum(1 for _ in os.walk(tmp_path / "code")) <= 1 + n // 2
+
+
 def test_code_files_in_other_encodings(spark, tmp_path):
     for name, raw in (("a.py", "x = 'é'\n".encode("latin-1")), ("b.py", b"\xff\xfe\x00y = 1"), ("c.py", "z = '\u00e9'".encode()), ("d.txt", b"no"), ("node_modules/e.py", b"no"), ("sub/f.js", b"f")):
         (tmp_path / name).parent.mkdir(exist_ok=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +55,53 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_FIRST = np.array([2 ** (8 * i) - 1 for i in range(9)], np.uint64)  # masks of the first bytes of a word of eight
+#: Bytes of texts that are cut into words at a time, about; and the length from which a word is hashed on its own.
+PIECE, LONG_WORD = 1 << 20, 64
+
+
+def text_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, cuts): 64-bit hashes of the words of all texts, one after another, and where each text's words begin, and the last ones end. Words
+    are what bytes.split() gives; they are found and hashed eight bytes at a time for all words at once."""
+    raw = b"\n".join([b"", *texts, bytes(8)])
+    b = np.frombuffer(raw, np.uint8)
+    space = _SPACE[b]
+    space[-8:] = True
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(b) - 7,), "<u8", raw, 0, (1,))
+    h = mixed((eight[start] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * MIX))
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more) and at < LONG_WORD:
+        left = size[more] - at
+        h[more] = mixed(h[more] * MIX + (eight[start[more] + at] & _FIRST[np.minimum(left, 8)]))
+        more, at = more[left > 8], at + 8
+    for i in more.tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[start[i] : start[i] + size[i]])
+    return h, np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+
+def shingle_sets(texts: Iterable[bytes], ngram: int) -> Iterator[np.ndarray]:
+    """For each text the sorted hashes of its distinct n-grams of words, A-Z lower-cased; with fewer words, one hash of all; without words, none."""
+    held, size = [], 0
+    for t in chain(texts, [None]):
+        if t is not None:
+            held.append(t.lower())
+            size += len(t)
+        if size < PIECE and t is not None:
+            continue
+        h, cuts = text_words(held)
+        grams = rolling(h, ngram)
+        for a, b in pairwise(cuts.tolist()):
+            if b - a < ngram:
+                yield rolling(h[a:b], b - a) if b > a else h[:0]
+                continue
+            s = np.sort(grams[a : b - ngram + 1])
+            yield s[np.r_[True, s[1:] != s[:-1]]]
+        held, size = [], 0
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every input bit over the output."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -8,9 +8,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from tallywright.llm import hard_negatives, jaccard_join, repair
+from tallywright.llm import common, hard_negatives, jaccard_join, repair
 from tallywright.llm.queries import op11_structure_repair, op12_hard_negatives, op13_jaccard_join
 
 SF = "/root/testdata/sf0.001"
@@ -274,6 +275,36 @@ def test_op13(spark):
     assert sorted(map(tuple, op13_jaccard_join(spark, SF).select("doc_id", "n_shingles", "component_id").collect()), key=str) == sorted(brute_join(rows), key=str)
 
 
+def test_a_run_sends_its_messages_at_once(spark, monkeypatch):
+    class Docs:
+        sparkSession = spark
+        select = withColumn = lambda self, *_: self
+        mapInPandas = lambda self, run, _: run
+
+    monkeypatch.setattr(jaccard_join, "TaskContext", type("T", (), {"get": lambda: type("C", (), {"partitionId": lambda _: 3})()}))
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)).encode() for _ in range(40)]
+    pdf = pd.DataFrame({"doc_id": [str(i) for i in range(40)], "t": texts, "text_key": range(40)})
+    sent = list(jaccard_join._runs(Docs(), 4, 64, "text", "doc_id")(iter([pdf])))
+    assert len(sent) < 10  # a frame for each of the 64 bins took longer than all else, and their number grows with the square of the input
+    assert sorted(pd.concat(sent).query("kind == 1").bin) == list(range(64))
+
+
+def test_words_and_shingles_of_many_texts():
+    rng = random.Random(1)
+    parts = [b" ", b"\t", b"\x0b", b"\n", b"\x1c", b"\x00", b"a", b"B", "é".encode(), b"xyzxyzxyz", b"q" * 63, b"r" * 64, b"w" * 65, b"l" * 200]
+    texts = [b"".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(500)] + [b"", b" ", b"a", b"A b\tc", b"a  b C"]
+    h, cuts = common.text_words(texts)
+    words = [t.split() for t in texts]
+    assert np.diff(cuts).tolist() == list(map(len, words)) and len(h) == cuts[-1]
+    key = dict(zip(h.tolist(), [w for t in words for w in t], strict=True))
+    assert [key[x] for x in h.tolist()] == [w for t in words for w in t] and len(set(key.values())) == len(key)
+    sets = list(common.shingle_sets(texts, 3))
+    grams = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set() for w in (t.lower().split() for t in texts)]
+    assert [len(s) for s in sets] == [len(g) for g in grams] and all((s[1:] > s[:-1]).all() for s in sets)
+    assert sets[-1].tolist() == sets[-2].tolist() and list(common.shingle_sets([], 3)) == []
+
+
 def test_prefixes_of_alike_sets_meet():
     rng = np.random.default_rng(1)
     for _ in range(300):

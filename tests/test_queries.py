@@ -124,6 +124,24 @@ def test_impact_sends_lists_not_pairs(spark):
     assert shuffled_rows(spark) - before < 400_000
 
 
+def shuffled_bytes(spark):
+    jvm = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_impact_sends_few_bytes_for_each_row(spark):
+    edges = spark.sql("SELECT 'm' || id % 100 AS source_id, format_string('s%04d', id) AS target_id FROM range(2000) UNION ALL SELECT 'pkg' || id % 12 || '.n' || id, 'm' || xxhash64(id) % 100 FROM range(60000)")
+    before = shuffled_bytes(spark)
+    assert graph.impact(edges, graph.nodes_of(edges)).where("distance = 2").count() > 500_000
+    assert shuffled_bytes(spark) - before < 9_000_000
+
+
+def test_packed_ids():
+    for ids in ([], [b""], [b"", b""], [b"a", "é".encode()], [b"\0", b"\1", b"\1\1", b"\0\1\2", b"\1\2\0", b"x\1"]):
+        assert graph.unpacked(graph.packed(ids)) == ids
+
+
 def test_layers_in_the_plan_and_by_a_join(spark, monkeypatch):
     rows = [("core.a", "ui.b"), ("ui.b", "core.a"), ("ui.b", "core.a"), ("ui.core", "data.x"), ("none", "ui.b"), (None, "ui.b"), ("data.x", "core.a")]
     edges = spark.createDataFrame(rows, "source_id string, target_id string")

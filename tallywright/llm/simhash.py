@@ -203,109 +203,3 @@ def near_duplicates(docs: DataFrame, ngram: int = 3, words: int = 1, radius: int
     where = written(hub_join(rooted, sums, "root").select("node", "component_id", "group_size").dropDuplicates(["node"]))
     digits = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in cols])
     return hub_join(prints, where, "node").select("doc_id", digits.alias("fingerprint"), "component_id", "group_size", "text_key")
-
-
-#: Most shingle sets of a chunk of a candidate group, and most shingles, about (chunks are drawn by a hash).
-CHUNK, CHUNK_SHINGLES = 256, 500_000
-_COLUMNS = 4096
-
-
-def shingle_set(text: bytes, ngram: int) -> np.ndarray:
-    """The distinct shingle hashes, sorted."""
-    return np.unique(shingle_hashes(text, ngram))
-
-
-def set_key(h: np.ndarray) -> int:
-    """A signed 64-bit key of a shingle set."""
-    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
-
-
-def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many hashes each set of the left shares with each of the right."""
-    ids, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
-    cut = sum(map(len, left))
-    both = np.intersect1d(at[:cut], at[cut:])
-    place = np.full(len(ids), -1)
-    place[both] = np.arange(len(both))
-    col = place[at]
-    row, col = row[col >= 0], col[col >= 0]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    out = np.zeros((len(left), len(right)), np.int64)
-    for first in range(0, len(both), _COLUMNS):
-        a, b = np.searchsorted(col, [first, first + _COLUMNS])
-        m = np.zeros((len(left) + len(right), min(_COLUMNS, len(both) - first)), np.float32)
-        m[row[a:b], col[a:b] - first] = 1
-        out += (m[: len(left)] @ m[len(left) :].T).astype(np.int64)
-    return out
-
-
-def alike(left: list[np.ndarray], right: list[np.ndarray] | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of sets of left and right (left itself where that is None) with a Jaccard similarity of
-    `least` or more, as indices into both laid end to end."""
-    other = left if right is None else right
-    shared = common_counts(left, other)
-    whole = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in other])[None] - shared
-    p, q = np.nonzero(shared >= least * whole - 1e-9)
-    n = len(left) + (0 if right is None else len(right))
-    root = _forest(n, p, q + (0 if right is None else len(left)), np.arange(n))
-    moved = np.flatnonzero(root != np.arange(n))
-    return moved, root[moved]
-
-
-def near_copies(docs: DataFrame, ngram: int, words: int, radius: int, screen: int, least: float, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text_key): the row that stays of each group of documents that links of a Jaccard similarity of `least` or
-    more between their sets of shingles connect: the smallest doc_id, null ones last, then the smallest text_key.
-
-    Fingerprints of the distinct shingles only propose groups (`radius`, `screen` as in links). The shingle sets of such a
-    group are then compared exactly, all with all: dealt into chunks, each pair of chunks being a unit of work that keeps a
-    spanning forest of its links. So no pair is dropped for being many, and none is linked by its fingerprints alone.
-    A text with fewer words than `ngram` is one shingle; texts without words (or null) are alike. Rows that repeat in id and
-    text stay as one row here. Other columns are not looked at. An empty table gives no rows.
-    """
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    cols = [f"f{i}" for i in range(words)]
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for t in pdf.t:
-                h = shingle_set(t, ngram)
-                rows.append([set_key(h), len(h), *(np.uint64(majority(h if i == 0 else mixed(h + np.uint64(i * int(MIX) % 2**64)))).view(np.int64) for i in range(words))])
-            f = np.array(rows, np.int64).reshape(-1, words + 2)
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "text_key": pdf.text_key, "node": f[:, 0], "size": f[:, 1], **{c: f[:, i + 2] for i, c in enumerate(cols)}})
-
-    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_bytes(text_col).alias("t")).withColumn("text_key", F.xxhash64("t"))
-    prints = texts.mapInPandas(run, "doc_id string, text_key long, node long, size long, " + ", ".join(f"{c} long" for c in cols))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast(kind).alias("doc_id"), "text_key")
-    sets = written(prints.groupBy("node", "size", *cols).agg(F.min(first).alias("first")))
-    block = written(components(links(sets.select("node", *cols), radius, screen)).withColumnRenamed("root", "block"))
-
-    k = F.ceil(F.greatest(F.count("*") / F.lit(CHUNK), F.sum("size") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks")
-    member = written(sets.join(block, "node").select("node", "block", "size", F.col("first.text_key").alias("text_key"), F.col("first.doc_id").cast("string").alias("first_id")))
-    member = written(hub_join(member, member.groupBy("block").agg(k), "block"))
-
-    def gather(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf.node, "block": pdf.block, "chunk": pdf.chunk, "chunks": pdf.chunks, "h": [shingle_set(t, ngram).tobytes() for t in pdf.t]})
-
-    chunk = F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("chunks")).cast("int").alias("chunk")
-    one = texts.join(member.withColumnRenamed("text_key", "own_key"), (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))  # the id spreads copies
-    held = one.select("node", "block", chunk, "chunks", "t").mapInPandas(gather, "node long, block long, chunk int, chunks int, h binary")
-    x = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("x")
-    dealt = held.select("node", "block", "chunk", "h", x).select("node", "block", F.least("chunk", "x").alias("i"), F.greatest("chunk", "x").alias("j"), "chunk", "h")
-
-    def unit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").sort_values(["chunk", "node"])
-        h, node = [np.frombuffer(x, np.uint64) for x in pdf.h], pdf.node.to_numpy(np.int64)
-        n = int((pdf.chunk == pdf.i.iloc[0]).sum())
-        if n == 0 or (pdf.i.iloc[0] != pdf.j.iloc[0] and n == len(h)):
-            return pd.DataFrame({"a": node[:0], "b": node[:0]})
-        a, b = alike(h, None, least) if pdf.i.iloc[0] == pdf.j.iloc[0] else alike(h[:n], h[n:], least)
-        return pd.DataFrame({"a": node[a], "b": node[b]})
-
-    group = components(dealt.groupBy("block", "i", "j").applyInPandas(unit, "a long, b long"))
-    kept = sets.join(group, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return kept.select("first.doc_id", "first.text_key")

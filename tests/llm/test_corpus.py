@@ -587,6 +587,35 @@ def test_near_stage_equals_brute_force(spark):
     assert p.drop_near_copies(spark, odd(spark, []), SF).collect() == []
 
 
+def test_near_stage_finds_pairs_that_fingerprints_miss(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(5)
+    first = lambda words: simhash.majority(np.unique(simhash.shingle_hashes(" ".join(words).encode(), 5)))
+    for _ in range(100_000):  # 4 of 5 shingles in common, and the fingerprints' first 64 bits far apart
+        long = [f"t{x}" for x in rng.integers(0, 10**6, 9)]
+        if (first(long) ^ first(long[:8])).bit_count() > 22:
+            break
+    rows = [(1, " ".join(long), "en"), (2, " ".join(long[:8]), "en"), (3, "one two three four five six", "en")]
+    assert sorted(r["doc_id"] for r in p.drop_near_copies(spark, odd(spark, rows), SF).collect()) == [1, 3]
+
+
+def test_near_stage_does_not_compare_all_with_all(spark):
+    import corpus_pipeline as p
+
+    n = 4000
+    docs = spark.range(n).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 30), x -> hex(xxhash64(id, x))), ' ') AS text", "'en' AS lang")
+    before = shuffled_rows(spark)
+    assert p.drop_near_copies(spark, docs, SF).count() == n
+    assert shuffled_rows(spark) - before < 6 * n
+
+
+def shuffled_rows(spark):
+    jvm = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 def test_language_stage_without_labels(spark):
     import corpus_pipeline as p
 
